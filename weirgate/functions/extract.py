@@ -21,7 +21,7 @@ INT_BITS = {"tinyint": 8, "smallint": 16, "int": 32}
 def json_path(path: str | Sequence[str]) -> str:
     """``user.name`` -> ``$['user']['name']``; each dot is one object step, as is each item of a list."""
     steps = path.split(".") if isinstance(path, str) else path
-    return "$" + "".join(f"['{step}']" for step in steps)
+    return "$" + "".join(f'["{step}"]' if "'" in step else f"['{step}']" for step in steps)
 
 
 def parsed(df: DataFrame, doc: str) -> DataFrame:

@@ -111,7 +111,7 @@ ORACLE = {
     """,
     "epoch_convert": """
         SELECT event_id, epoch_us(ts) AS micros, epoch_us(ts - INTERVAL 60 YEAR) AS micros_before_1970,
-               epoch_us(ts) - 8 * 3600 * 1000000 AS micros_utc,
+               epoch_us(ts) - 28800000000 AS micros_utc,
                CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS days,
                CAST(date_diff('day', DATE '1970-01-01', CAST(ts - INTERVAL 60 YEAR AS DATE)) AS INT) AS days_before_1970,
                epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS micros_of_day
