@@ -36,7 +36,7 @@ def temporal_text(column: Column, data_type: T.DataType) -> Column:
         return F.concat(F.date_format(column, "yyyy-MM-dd HH:mm:ss"), _fraction(column))
     if isinstance(data_type, T.DayTimeIntervalType):
         seconds = column.cast("interval second").cast("decimal(18,6)")
-        plain = F.rtrim(F.lit("."), F.rtrim(F.lit("0"), seconds.cast("string")))
+        plain = F.rtrim(F.rtrim(seconds.cast("string"), F.lit("0")), F.lit("."))
         return F.concat(F.lit("PT"), plain, F.lit("S"))
     return column.cast("string")
 
