@@ -50,7 +50,7 @@ def requests(spark, rows):
 
 
 def test_insert_is_unique_by_name_and_tenant(spark, docs):
-    batch = requests(spark, [("one", "red"), ("two", "red"), ("two", "red"), ("two", "blue"), (None, "red")])
+    batch = requests(spark, [("one", "red"), ("two", "red"), ("two", "red"), ("two", "blue"), ("three", "red")])
     table, conflicts = catalog.insert_documents(docs, batch, now="2026-02-02T00:00:00Z")
     assert sorted(r["seq"] for r in conflicts.collect()) == [0, 2]
     added = table.where("metadata.created_at = '2026-02-02T00:00:00Z'").collect()

@@ -53,8 +53,12 @@ def tenant_lookup(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def tenant_missing(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keys without a document: wrong id, or a document of another tenant."""
-    known = docs.select(F.col(ID).alias("__id"), F.col(TENANT).alias("__tenant"))
+    """The keys without a document: wrong id, or a document of another tenant.
+
+    The documents are first narrowed down to the keys, which needs no shuffle of the documents when
+    the keys are few.
+    """
+    known = tenant_lookup(docs, keys).select(F.col(ID).alias("__id"), F.col(TENANT).alias("__tenant"))
     same = (F.col("id") == F.col("__id")) & (F.col("tenant_id") == F.col("__tenant"))
     return keys.join(known, same, "left_anti")
 
@@ -114,7 +118,15 @@ def document_id(name: Column, tenant: Column) -> Column:
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in groups])
 
 
-def new_documents(requests: DataFrame, tenant: str, now: str | None = None) -> DataFrame:
+def default_capabilities() -> Column:
+    """A new connection type has no capability until an audit finds one."""
+    none = F.struct(F.lit(False).alias("flight"), F.lit(False).alias("rest"))
+    return F.struct(none.alias("capabilities"))
+
+
+def new_documents(
+    requests: DataFrame, tenant: str, now: str | None = None, status: Column | None = None
+) -> DataFrame:
     """Wrap ``requests(resource, ...)`` into documents: metadata with id and times, default status."""
     stamp = F.lit(now or now_text())
     metadata = F.struct(
@@ -123,7 +135,9 @@ def new_documents(requests: DataFrame, tenant: str, now: str | None = None) -> D
         stamp.alias("created_at"),
         stamp.alias("updated_at"),
     )
-    return requests.withColumn("metadata", metadata).withColumn("status", default_status())
+    return requests.withColumn("metadata", metadata).withColumn(
+        "status", default_status() if status is None else status
+    )
 
 
 def insert_unique(
@@ -132,34 +146,30 @@ def insert_unique(
     """Mark each row of a batch: ``accepted``, or ``conflict`` with an existing or an earlier key.
 
     The first row per key, by the unique column ``order``, is the one that can be accepted. First rows
-    are found by a pre-aggregated minimum, so a key that fills the batch is never sorted in one place.
+    are a pre-aggregated minimum, and the batch is joined by ``order`` alone, so a key that fills the
+    batch is never in one place. The table is narrowed down to the batch's keys before anything else.
     """
-    join = [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     first = batch.groupBy(*keys).agg(F.min(order).alias("__first"))
-    taken = existing.select(*keys).distinct().withColumn("__taken", F.lit(True))
-    match = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    decided = (
-        first.alias("f")
-        .join(taken.alias("t"), reduce(lambda a, b: a & b, match), "left")
-        .select(
-            *[F.col(f"f.{k}") for k in keys],
-            F.when(F.col("__taken").isNull(), F.col("__first")).alias("__accepted"),
-        )
-    )
-    marked = batch.alias("b").join(decided.alias("f"), reduce(lambda a, b: a & b, join), "left")
-    accepted = F.coalesce(F.col(f"b.{order}") == F.col("__accepted"), F.lit(False))
-    return marked.select("b.*", F.when(accepted, F.lit("accepted")).otherwise(F.lit("conflict")).alias(outcome))
+    taken = existing.select(*keys).join(first, list(keys), "left_semi")
+    fresh = first.join(taken, list(keys), "left_anti").select("__first")
+    marked = batch.join(fresh, F.col(order) == F.col("__first"), "left")
+    accepted = F.when(F.col("__first").isNotNull(), F.lit("accepted")).otherwise(F.lit("conflict"))
+    return marked.withColumn(outcome, accepted).drop("__first")
 
 
 def insert_documents(
-    docs: DataFrame, requests: DataFrame, tenant: str = "tenant_id", now: str | None = None
+    docs: DataFrame,
+    requests: DataFrame,
+    tenant: str = "tenant_id",
+    now: str | None = None,
+    status: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(the table's next version, conflicts)`` for ``requests(resource, <tenant>, seq)``."""
     keyed = requests.withColumn("__name", F.col("resource.name")).withColumn("__tenant", F.col(tenant))
     known = docs.select(F.col("resource.name").alias("__name"), F.col(TENANT).alias("__tenant"))
     marked = insert_unique(known, keyed, ["__name", "__tenant"], "seq")
     accepted = marked.where(F.col("outcome") == "accepted")
-    added = new_documents(accepted, tenant, now).select("metadata", "resource", "status")
+    added = new_documents(accepted, tenant, now, status).select("metadata", "resource", "status")
     conflicts = marked.where(F.col("outcome") == "conflict").drop("__name", "__tenant")
     return docs.select("metadata", "resource", "status").unionByName(added), conflicts
 
@@ -177,12 +187,12 @@ def reference_check(
     ``targets`` is ``(id, tenant_id)``. Passing rows have a NULL reason.
     """
     # ids are unique, so each list holds one tenant, and one join answers for both tenants
-    known = targets.groupBy(F.col("id").alias("__id")).agg(F.collect_set("tenant_id").alias("__tenants"))
-    found = rows.join(known, F.col(reference) == F.col("__id"), "left")
-    seen = F.array_contains("__tenants", F.col(tenant)) | F.array_contains("__tenants", F.lit(global_tenant))
+    known = targets.groupBy(F.col("id").alias("__target")).agg(F.collect_set("tenant_id").alias("__owners"))
+    found = rows.join(known, F.col(reference) == F.col("__target"), "left")
+    seen = F.array_contains("__owners", F.col(tenant)) | F.array_contains("__owners", F.lit(global_tenant))
     text = F.concat(F.lit("connection type '"), F.col(reference).cast("string"), F.lit("' not found"))
     missing = F.when(~F.coalesce(seen, F.lit(False)), F.coalesce(text, F.lit("no reference")))
-    return found.withColumn(reason, missing).drop("__id", "__tenants")
+    return found.withColumn(reason, missing).drop("__target", "__owners")
 
 
 def merge_patch_map(target: Column, patch: Column) -> Column:

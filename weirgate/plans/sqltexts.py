@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -34,7 +35,7 @@ SHARED = {
           AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')
         UNION ALL
         SELECT s.s_suppkey, s.s_name, 'idle' AS kind FROM supplier s
-        WHERE s.s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)
     """,
     "sql_range_join": """
         SELECT o.o_orderkey, l.l_partkey, l.l_linenumber, l.l_quantity, o.o_orderdate, l.l_shipdate
@@ -132,7 +133,8 @@ PARAMS_ORACLE = PARAMS.replace(":status", "'O'").replace(":low", "100000.0").rep
 
 def _query(text: str, args: Mapping[str, Any] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, location(sf_dir), NAMES)
+        used = [name for name in NAMES if re.search(rf"\b(FROM|JOIN) {name}\b", text)]
+        register_tables(spark, location(sf_dir), used)
         return sql_read(spark, text, args)
 
     return run
