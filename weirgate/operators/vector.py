@@ -453,8 +453,8 @@ def build_cell_index(
     """Cluster the vectors and store (key, vector) in one folder per cell.
 
     Centres are learned from a bounded hash-picked part of the rows; every row is then stored. The
-    rows are spread by (cell, key) range before the write, so a cell that holds most of the data is
-    written by many tasks.
+    rows are rebalanced by cell before the write: adaptive execution splits a cell that holds most of
+    the data over many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -469,6 +469,8 @@ def build_cell_index(
     features = training.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
     centres = np.array(model.clusterCenters())
+    if centres.size > BROADCAST_FLOATS:
+        raise InvalidRequest("too many cells for vectors of this width")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,7 +481,8 @@ def build_cell_index(
 
     schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())])
     path = scratch_path(spark, "cells")
-    stored = points.mapInArrow(assign, schema).repartitionByRange(F.col("cell"), F.col(pk))
+    assigned = points.mapInArrow(assign, schema)
+    stored = spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {assigned}", assigned=assigned)
     stored.write.partitionBy("cell").parquet(path)
     counts = spark.read.parquet(path).groupBy("cell").count().collect()
     return CellIndex(path, centres, {r["cell"]: r["count"] for r in counts}, vector, pk)

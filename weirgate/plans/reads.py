@@ -7,8 +7,11 @@ import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..hub import Hub
 from ..operators.search import default_index_column
@@ -41,18 +44,24 @@ def demo_hub(spark: SparkSession, sf_dir: str) -> Hub:
     """A catalog with one SQL connection over the tables and one to their files."""
     stamp = "2026-01-01T00:00:00Z"
 
-    def connection(name: str, kind: str, properties: dict[str, str]) -> tuple:
-        return ((name, "team", stamp, stamp), (name, kind, "tabular", None, properties))
+    def document(doc_id: str, tenant: str, resource: dict) -> dict:
+        metadata = {"id": doc_id, "tenant_id": tenant, "created_at": stamp, "updated_at": stamp}
+        return {"metadata": metadata, "resource": resource}
+
+    def connection(name: str, kind: str, **properties: str) -> dict:
+        # a map is a list of pairs in Arrow
+        resource = {"name": name, "data_connection_type_id": kind, "format": "tabular", "properties": list(properties.items())}
+        return document(name, "team", resource)
+
+    def small(rows: list[dict], ddl: str) -> DataFrame:
+        return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(T.StructType.fromDDL(ddl))))
 
-    tables = {"location": location(sf_dir), "tables": "orders,customer"}
     connections = [
-        connection("warehouse", "type-postgres", tables),
-        connection("lake", "type-s3", {"location": sf_dir}),
+        connection("warehouse", "type-postgres", location=location(sf_dir), tables="orders,customer"),
+        connection("lake", "type-s3", location=sf_dir),
     ]
-    types = [((f"type-{p}", "global", stamp, stamp), (p, p, None)) for p in ("postgres", "s3")]
-    return Hub(
-        spark, spark.createDataFrame(connections, CONNECTION_DDL), spark.createDataFrame(types, TYPE_DDL), "team"
-    )
+    types = [document(f"type-{p}", "global", {"name": p, "provider": p}) for p in ("postgres", "s3")]
+    return Hub(spark, small(connections, CONNECTION_DDL), small(types, TYPE_DDL), "team")
 
 
 def hub_read(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ def jdbc_options(
         "url": target,
         "dbtable": f"(\n{query.strip().rstrip(';')}\n) q",
         "fetchsize": str(fetch_size),
+        "preferTimestampNTZ": "true",
         **login,
     }
     if target.startswith("jdbc:postgresql:"):
