@@ -9,7 +9,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from weirgate import build_session  # noqa: E402
-from weirgate.session import ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,7 +16,6 @@ def spark():
     session = build_session(
         "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g", "spark.log.level": "ERROR"}
     )
-    ship_package(session)
     yield session
     session.stop()
 

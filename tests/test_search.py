@@ -178,3 +178,10 @@ def test_large_cuts_are_exact(spark, monkeypatch, offset, limit):
     monkeypatch.setattr(ranking, "TOP_ROWS", 0)
     got = [r["k"] for r in ranking.take_ordered(df, [F.col("k").asc()], limit, offset).collect()]
     assert got == list(range(1000))[offset : offset + limit]
+
+
+def test_places_are_exact(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = ranking.with_place(df, [F.col("k").desc()]).collect()
+    assert {(r["k"], r["place"]) for r in got} == {(999 - i, i + 1) for i in range(1000)}
+    assert ranking.with_place(df.limit(0), [F.col("k").asc()]).count() == 0

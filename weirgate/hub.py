@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .errors import ConfigError, InvalidRequest, NotFound, SecretNotFound, SourceUnavailable
 from .operators import catalog, search, vector
-from .session import ship_package
 from .sources import export, files, jdbc, sqlite, sqltext
 
 
@@ -70,7 +69,6 @@ class Hub:
             "milvus": self._read_vectors,
             "neo4j": self._read_graph,
         }
-        ship_package(spark)
 
     # -- lookup --------------------------------------------------------------------------------
 

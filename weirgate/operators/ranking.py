@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -14,6 +14,8 @@ from ..session import scratch_path
 # Up to this many rows a per-task heap and one final merge are cheap; past it the rows stay spread out.
 TOP_ROWS = 100_000
 
+ROW_ID = "__row_id"
+
 
 def take_ordered(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of an order that has no ties.
@@ -30,27 +32,46 @@ def take_ordered(df: DataFrame, order: Sequence[Column], limit: int, offset: int
     return _cut_sorted(df, order, limit, offset)
 
 
-def _cut_sorted(df: DataFrame, order: Sequence[Column], limit: int, offset: int) -> DataFrame:
+def _write_sorted(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[Row]]:
+    """The rows, stored in order with an increasing id, and the row count of each sorted part.
+
+    The generated id is ``(part << 33) + row in part``. It is written once, so it never changes again.
+    """
     spark = df.sparkSession
-    position = "__position"
     path = scratch_path(spark, "sorted")
-    # the generated id is (part << 33) + row in part; written once, so that it never changes again
-    df.orderBy(*order).withColumn(position, F.monotonically_increasing_id()).write.parquet(path)
+    df.orderBy(*order).withColumn(ROW_ID, F.monotonically_increasing_id()).write.parquet(path)
     stored = spark.read.parquet(path)
-    counts = stored.groupBy(F.shiftright(position, 33).alias("part")).count().orderBy("part").collect()
+    counts = stored.groupBy(F.shiftright(ROW_ID, 33).alias("part")).count().orderBy("part").collect()
+    return stored, counts
+
+
+def with_place(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Number all rows from 1 in an order without ties, with no task seeing more than its own part."""
+    stored, counts = _write_sorted(df, order)
+    starts = accumulate((r["count"] for r in counts), initial=0)
+    offsets = [(r["part"], start) for r, start in zip(counts, starts)]
+    # one row per sorted part, so the broadcast is no larger than the number of tasks
+    parts = df.sparkSession.createDataFrame(offsets, "__part long, __start long")
+    numbered = stored.join(F.broadcast(parts), F.shiftright(ROW_ID, 33) == F.col("__part"))
+    row = F.col(ROW_ID).bitwiseAND((1 << 33) - 1)
+    return numbered.withColumn(name, F.col("__start") + row + 1).drop("__part", "__start", ROW_ID)
+
+
+def _cut_sorted(df: DataFrame, order: Sequence[Column], limit: int, offset: int) -> DataFrame:
+    stored, counts = _write_sorted(df, order)
     ends = list(accumulate(r["count"] for r in counts))
 
-    def position_of(rank: int) -> int | None:
+    def id_of(rank: int) -> int | None:
         """Generated id of the row with this many rows before it; None behind the end."""
         i = bisect_right(ends, rank)
         if i == len(ends):
             return None
         return (counts[i]["part"] << 33) + rank - (ends[i] - counts[i]["count"])
 
-    first, behind = position_of(offset), position_of(offset + limit)
+    first, behind = id_of(offset), id_of(offset + limit)
     if first is None:
         return df.limit(0)
-    cut = stored.where(F.col(position) >= first)
+    cut = stored.where(F.col(ROW_ID) >= first)
     if behind is not None:
-        cut = cut.where(F.col(position) < behind)
-    return cut.orderBy(position).drop(position)
+        cut = cut.where(F.col(ROW_ID) < behind)
+    return cut.orderBy(ROW_ID).drop(ROW_ID)

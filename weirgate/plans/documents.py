@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..errors import ERROR_CODES
 from ..functions import redact
 from ..operators import catalog
-from ..session import ship_package
 from .tables import event_documents, table
 
 GLOBAL = "view"
@@ -75,7 +74,6 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     docs = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), "props", F.lit("2024-01-01T00:00:00Z").alias("updated_at")
     )
@@ -185,7 +183,6 @@ def split_inline_secret_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     events = table(spark, sf_dir, "events").select(
         "event_id",
         F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import jsontext
 from ..operators import graph
+from ..operators.ranking import with_place
 from .tables import table
 
 # Ids of the four kinds of nodes do not meet: regions and nations are small, the others alternate.
@@ -91,7 +92,7 @@ def graph_edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.match_edge(
         nodes(spark, sf_dir), edges(spark, sf_dir), "PLACED", returning, "Customer", "Order", order_by=["price", "order_node"]
     )
-    return found
+    return with_place(found, [F.col("price").asc(), F.col("order_node").asc()])
 
 
 def graph_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +195,8 @@ ORACLE = {
         SELECT c_name AS customer, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
     """,
     "graph_edge_properties": """
-        SELECT c_name AS customer, o_orderkey * 2 + 10001 AS order_node, o_totalprice AS price
+        SELECT c_name AS customer, o_orderkey * 2 + 10001 AS order_node, o_totalprice AS price,
+               row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place
         FROM orders JOIN customer ON o_custkey = c_custkey
     """,
     "graph_limit": """

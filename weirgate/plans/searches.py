@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..operators import search
+from ..operators.ranking import with_place
 from .tables import table
 
 # -- JSON documents made of events ---------------------------------------------------------------
@@ -134,13 +135,19 @@ BODIES = {
     "search_range": {"query": {"range": {"n_chars": {"gte": 300, "lt": 5000}}}},
     "search_bool": {"query": BOOL_QUERY},
     "search_size": {"query": {"term": {"lang": "en"}}, "size": 25},
-    "search_sort": {"query": {"match_all": {}}, "sort": [{"n_chars": "desc"}]},
     "search_source_project": {"_source": ["doc_id", "lang", "n_*"]},
 }
 
 PAGE_SORT = (("o_orderdate", "desc", "_last"), ("o_orderpriority", "asc", "_last"))
 
 
+def search_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, longest first, with their place in the order."""
+    request = search.parse_search({"query": {"match_all": {}}, "sort": [{"n_chars": "desc"}]})
+    hits = search.search(table(spark, sf_dir, "documents"), request, "doc_id")
+    return with_place(hits, search.ordering(hits, search.sort_keys(request.sort, "doc_id")))
+
+
 def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of the orders, newest first."""
     orders = table(spark, sf_dir, "orders")
@@ -163,6 +170,7 @@ QUERIES = {
     "extract_timestamp": _extracted("millis", lambda v: F.unix_millis(extract.as_instant(v)), "at"),
     "extract_text": extract_text,
     "narrow_int_wrap": narrow_int_wrap,
+    "search_sort": search_sort,
     "page_after": page_after,
 } | {name: _search(body) for name, body in BODIES.items()}
 
@@ -230,7 +238,7 @@ ORACLE = {
         SELECT * FROM documents WHERE n_chars > 200 AND lang <> 'de' AND source IN ('src1', 'src2', 'src3')
     """,
     "search_size": "SELECT * FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 25",
-    "search_sort": "SELECT * FROM documents",
+    "search_sort": "SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents",
     "search_source_project": """
         SELECT doc_id, CAST(NULL AS VARCHAR) AS text, lang, CAST(NULL AS VARCHAR) AS source, n_chars FROM documents
     """,

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vector
-from ..session import ship_package
 from .tables import table
 
 PK, VECTOR = "vec_id", "embedding"
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return table(spark, sf_dir, "embeddings")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -58,19 +57,3 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, not yet existing folder for one written table."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster that has not installed it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="weirgate-zip-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = shutil.make_archive(os.path.join(folder, "weirgate"), "zip", os.path.dirname(root), "weirgate")
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
