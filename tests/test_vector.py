@@ -155,12 +155,13 @@ def test_cell_search(spark, cloud):
     assert many.count() == 550
 
 
-def test_cells_prune_the_scan(spark, cloud):
+def test_only_probed_cells_are_read(spark, cloud):
     _, df = cloud
     index = vector.build_cell_index(df, "v", "id", cells=6)
-    found = vector.vector_search_approx(spark, index, [[0.0] * 8], 3, probe=1)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    read = vector.read_cells(spark, index, [1, 4])
+    assert {f.split("cell=")[1].split("/")[0] for f in read.inputFiles()} == {"1", "4"}
+    assert read.count() == index.cells[1] + index.cells[4]
+    assert vector.read_cells(spark, index, []).count() == 0
 
 
 def test_dimension_mismatch_fails(cloud):

@@ -30,6 +30,10 @@ DEFAULT_SEARCH_LIMIT = 10
 BROADCAST_FLOATS = 4_000_000
 # Rows of a finished result whose keys are looked up by a broadcast.
 BROADCAST_ROWS = 100_000
+# Cells of a stored index, each one folder.
+MOST_CELLS = 4_096
+# Queries that one matrix product covers.
+QUERY_BLOCK = 256
 # Longest key list that is a filter the file scan can use.
 IN_LIST_KEYS = 1_000
 
@@ -206,6 +210,19 @@ def _distances(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
 
+def _rough_distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """All rows against all queries in one matrix product, and a bound of its rounding error."""
+    products = rows @ queries.T
+    row_squares, query_squares = np.einsum("ij,ij->i", rows, rows), np.einsum("ij,ij->i", queries, queries)
+    size = float(row_squares.max(initial=0.0) + query_squares.max(initial=0.0))
+    if metric == "L2":
+        return row_squares[:, None] + query_squares[None, :] - 2.0 * products, 1e-9 * size
+    if metric == "IP":
+        return -products, 1e-9 * size
+    norms = np.sqrt(row_squares)[:, None] * np.sqrt(query_squares)[None, :]
+    return 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0), 1e-9
+
+
 def _nearest(distances: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` smallest, equal distances in key order."""
     if len(distances) > k:
@@ -236,7 +253,7 @@ def _top_kernel(
     """Per-task top ``k`` of each query over batches of (key, vector[, cell])."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), None)] * len(queries)
+        best: list[tuple[np.ndarray, np.ndarray | None]] = [(np.empty(0), None)] * len(queries)
         key_type = None
         for batch in batches:
             if batch.num_rows == 0:
@@ -245,17 +262,12 @@ def _top_kernel(
             rows, present = _as_matrix(batch.column(1), queries.shape[1])
             keys = batch.column(0).to_numpy(zero_copy_only=False)[present]
             cells = batch.column(2).to_numpy(zero_copy_only=False)[present] if probes else None
-            for i, query in enumerate(queries):
-                if probes:
-                    near = np.isin(cells, list(probes[i]))
-                    found, found_keys = _distances(rows[near], query, metric), keys[near]
-                else:
-                    found, found_keys = _distances(rows, query, metric), keys
-                if best[i][1] is not None:
-                    found = np.concatenate([best[i][0], found])
-                    found_keys = np.concatenate([best[i][1], found_keys])
-                top = _nearest(found, found_keys, k)
-                best[i] = (found[top], found_keys[top])
+            for start in range(0, len(queries), QUERY_BLOCK):
+                block = queries[start : start + QUERY_BLOCK]
+                rough, error = _rough_distances(rows, block, metric)
+                for i, query in enumerate(block, start):
+                    near = np.isin(cells, list(probes[i])) if probes else None
+                    best[i] = _improve(best[i], rows, keys, query, rough[:, i - start], error, near, k, metric)
         if key_type is None:
             return
         for query_id, (found, found_keys) in zip(query_ids, best):
@@ -272,6 +284,36 @@ def _top_kernel(
     return kernel
 
 
+def _improve(
+    best: tuple[np.ndarray, np.ndarray | None],
+    rows: np.ndarray,
+    keys: np.ndarray,
+    query: np.ndarray,
+    rough: np.ndarray,
+    error: float,
+    near: np.ndarray | None,
+    k: int,
+    metric: str,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` so far with a batch of rows taken in.
+
+    Rough distances only rule out rows that cannot be among them; the others are measured exactly.
+    """
+    known, known_keys = best
+    allowed = rough if near is None else rough[near]
+    limit = np.partition(allowed, k - 1)[k - 1] if len(allowed) > k else np.inf
+    if len(known) == k:
+        limit = min(limit, known[-1])
+    possible = rough <= limit + 2.0 * error
+    if near is not None:
+        possible &= near
+    found, found_keys = _distances(rows[possible], query, metric), keys[possible]
+    if known_keys is not None:
+        found, found_keys = np.concatenate([known, found]), np.concatenate([known_keys, found_keys])
+    top = _nearest(found, found_keys, k)
+    return found[top], found_keys[top]
+
+
 def _candidate_schema(df: DataFrame, pk: str) -> T.StructType:
     return T.StructType(
         [
@@ -445,13 +487,16 @@ class CellIndex:
     cells: dict[int, int]
     vector: str
     pk: str
+    schema: T.StructType
 
 
 def build_cell_index(
-    df: DataFrame, vector: str, pk: str, cells: int = 16, seed: int = 7, training_rows: int = 100_000
+    df: DataFrame, vector: str, pk: str, cells: int | None = None, seed: int = 7, training_rows: int = 100_000
 ) -> CellIndex:
     """Cluster the vectors and store (key, vector) in one folder per cell.
 
+    The number of cells grows with the root of the number of rows, up to ``MOST_CELLS``.
+
     Centres are learned from a bounded hash-picked part of the rows; every row is then stored. The
     rows are rebalanced by cell before the write: adaptive execution splits a cell that holds most of
     the data over many tasks.
@@ -462,7 +507,10 @@ def build_cell_index(
     spark = df.sparkSession
     points = df.select(pk, vector).where(F.col(vector).isNotNull())
     total = points.count()
+    if cells is None:
+        cells = max(2, min(MOST_CELLS, int(total**0.5)))
     training = points
+    training_rows = max(training_rows, 64 * cells)
     if total > training_rows:
         share = training_rows / total
         training = points.where(F.pmod(F.xxhash64(pk), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -475,8 +523,8 @@ def build_cell_index(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, _ = _as_matrix(batch.column(1), centres.shape[1])
-            gaps = np.stack([_distances(rows, c, "L2") for c in centres], axis=1)
-            cell = pa.array(gaps.argmin(axis=1).astype("i4"))
+            rough, _ = _rough_distances(rows, centres, "L2")
+            cell = pa.array(rough.argmin(axis=1).astype("i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cell], names=[pk, vector, "cell"])
 
     schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())])
@@ -484,8 +532,8 @@ def build_cell_index(
     assigned = points.mapInArrow(assign, schema)
     stored = spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {assigned}", assigned=assigned)
     stored.write.partitionBy("cell").parquet(path)
-    counts = spark.read.parquet(path).groupBy("cell").count().collect()
-    return CellIndex(path, centres, {r["cell"]: r["count"] for r in counts}, vector, pk)
+    counts = spark.read.schema(schema).parquet(path).groupBy("cell").count().collect()
+    return CellIndex(path, centres, {r["cell"]: r["count"] for r in counts}, vector, pk, schema)
 
 
 def vector_search_approx(
@@ -493,7 +541,7 @@ def vector_search_approx(
     index: CellIndex,
     queries: Sequence[Sequence[float]],
     limit: int = DEFAULT_SEARCH_LIMIT,
-    probe: int = 4,
+    probe: int = 8,
     metric: str = "L2",
 ) -> DataFrame:
     """Nearest rows within the ``probe`` cells nearest to each query; other cells are not read.
@@ -506,13 +554,21 @@ def vector_search_approx(
     if matrix.size > BROADCAST_FLOATS:
         raise InvalidRequest("too many query vectors for one request")
     probes = [_probed(index, q, limit, probe) for q in matrix]
-    wanted = sorted(frozenset().union(*probes))
-    rows = spark.read.parquet(index.path).where(F.col("cell").isin(wanted))
+    wanted = sorted(c for c in frozenset().union(*probes) if index.cells.get(c))
+    rows = read_cells(spark, index, wanted)
     kernel = _top_kernel(index.pk, list(range(len(matrix))), matrix, limit, metric, probes)
     found = rows.select(index.pk, index.vector, "cell").mapInArrow(kernel, _candidate_schema(rows, index.pk))
     return _merge_top(found, index.pk, limit).select(QUERY_ID, "place", index.pk, DISTANCE)
 
 
+def read_cells(spark: SparkSession, index: CellIndex, cells: Sequence[int]) -> DataFrame:
+    """The stored rows of some cells; other folders are not even listed."""
+    if not cells:
+        return spark.createDataFrame([], index.schema)
+    folders = [f"{index.path}/cell={c}" for c in cells]
+    return spark.read.schema(index.schema).option("basePath", index.path).parquet(*folders)
+
+
 def _probed(index: CellIndex, query: np.ndarray, limit: int, probe: int) -> frozenset[int]:
     taken: list[int] = []
     rows = 0

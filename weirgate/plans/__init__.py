@@ -1,8 +1,8 @@
 """The registered queries, one per operator, and the SQL that each must agree with."""
 
-from . import documents, graphs, reads, searches, sqltexts, typing, vectors
+from . import changes, documents, graphs, reads, searches, sqltexts, typing, vectors
 
-MODULES = (reads, sqltexts, typing, searches, vectors, graphs, documents)
+MODULES = (reads, sqltexts, typing, searches, vectors, graphs, documents, changes)
 
 
 def queries():
