@@ -39,18 +39,21 @@ def json_kind(variant: Column) -> Column:
     return F.schema_of_variant(variant)
 
 
-def as_bool(variant: Column) -> Column:
-    return F.when(json_kind(variant) == "BOOLEAN", F.try_variant_get(variant, "$", "boolean"))
+def as_bool(variant: Column, kind: Column | None = None) -> Column:
+    kind = json_kind(variant) if kind is None else kind
+    return F.when(kind == "BOOLEAN", F.try_variant_get(variant, "$", "boolean"))
 
 
-def as_int(variant: Column) -> Column:
+def as_int(variant: Column, kind: Column | None = None) -> Column:
     """Whole JSON numbers that fit 64 bits; ``"12"`` and ``12.0`` are NULL."""
-    return F.when(json_kind(variant) == "BIGINT", F.try_variant_get(variant, "$", "bigint"))
+    kind = json_kind(variant) if kind is None else kind
+    return F.when(kind == "BIGINT", F.try_variant_get(variant, "$", "bigint"))
 
 
-def as_float(variant: Column) -> Column:
-    """Any JSON number."""
-    numeric = json_kind(variant).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def as_float(variant: Column, kind: Column | None = None, whole: bool = True) -> Column:
+    """Any JSON number, or only those written as a fraction if ``whole`` is off."""
+    kind = json_kind(variant) if kind is None else kind
+    numeric = kind.isin("DOUBLE", "FLOAT", *(["BIGINT"] if whole else [])) | kind.startswith("DECIMAL")
     return F.when(numeric, F.try_variant_get(variant, "$", "double"))
 
 
@@ -67,51 +70,88 @@ def text_to_instant(text: Column) -> Column:
     return F.date_trunc("MILLISECOND", F.coalesce(zoned, local).try_cast("timestamp"))
 
 
-def as_instant(variant: Column) -> Column:
+def as_instant(variant: Column, kind: Column | None = None) -> Column:
     """Whole numbers are epoch milliseconds, strings are parsed, everything else is NULL."""
-    text = F.when(json_kind(variant) == "STRING", F.try_variant_get(variant, "$", "string"))
-    return F.coalesce(F.timestamp_millis(as_int(variant)), text_to_instant(text))
+    kind = json_kind(variant) if kind is None else kind
+    text = F.try_variant_get(variant, "$", "string")
+    return F.when(kind == "STRING", text_to_instant(text)).when(
+        kind == "BIGINT", F.timestamp_millis(F.try_variant_get(variant, "$", "bigint"))
+    )
 
 
-def as_text(variant: Column, doc: Column, path: str | Sequence[str]) -> Column:
-    """Strings as they are, any other kind as JSON text (JSON ``null`` is the text ``null``).
+def as_text(
+    variant: Column,
+    doc: Column,
+    path: str | Sequence[str],
+    kind: Column | None = None,
+    null_text: str | None = "null",
+) -> Column:
+    """Strings as they are, any other kind as JSON text; JSON ``null`` is the text ``null_text``.
 
     Numbers and containers are copied from the document, because a parsed 12.0 prints as 12.
     """
-    kind = json_kind(variant)
-    return (
-        F.when(kind.isNull(), F.lit(None).cast("string"))
-        .when(kind.isin("STRING", "BIGINT", "BOOLEAN"), F.try_variant_get(variant, "$", "string"))
-        .when(kind == "VOID", F.lit("null"))
+    kind = json_kind(variant) if kind is None else kind
+    text = (
+        F.when(kind.isin("STRING", "BIGINT", "BOOLEAN"), F.try_variant_get(variant, "$", "string"))
+        .when(kind == "VOID", F.lit(null_text))
         .otherwise(F.get_json_object(doc, json_path(path)))
     )
+    return F.when(variant.isNotNull(), text)
+
 
+def typed_value(
+    variant: Column,
+    doc: Column,
+    path: str | Sequence[str],
+    target: str,
+    kind: Column | None = None,
+    strict: bool = False,
+) -> Column:
+    """A value found at ``path``, read as the Spark type ``target``.
 
-def typed_value(variant: Column, doc: Column, path: str | Sequence[str], target: str) -> Column:
-    """The value at ``path`` read as the Spark type ``target``."""
-    at = value_at(variant, path)
+    ``strict`` values are of their column's kind exactly: a whole number is no float, a null no text.
+    """
     if target == "boolean":
-        return as_bool(at)
+        return as_bool(variant, kind)
     if target in INT_BITS:
-        return wrap_int(as_int(at), target)
+        return wrap_int(as_int(variant, kind), target)
     if target == "bigint":
-        return as_int(at)
+        return as_int(variant, kind)
     if target in ("float", "double"):
-        return as_float(at).cast(target)
+        return as_float(variant, kind, not strict).cast(target)
     if target == "timestamp":
-        return as_instant(at)
-    return as_text(at, doc, path)
+        return as_instant(variant, kind)
+    return as_text(variant, doc, path, kind, None if strict else "null")
 
 
 def extract_fields(
     df: DataFrame,
     doc: str,
-    fields: Iterable[tuple[str, str]],
+    fields: Iterable[tuple[str | Sequence[str], str]],
+    keep: Iterable[str] = (),
+) -> DataFrame:
+    """One column per ``(path, document type name)``, named by its dotted path, next to ``keep``."""
+    targets = [(path, spark_type("elasticsearch", name)) for path, name in fields]
+    return extract_typed(df, doc, targets, keep)
+
+
+def extract_typed(
+    df: DataFrame,
+    doc: str,
+    targets: Sequence[tuple[str | Sequence[str], str]],
     keep: Iterable[str] = (),
+    strict: bool = False,
 ) -> DataFrame:
-    """One column per ``(dotted path, document type name)``, named by its path, next to ``keep``."""
-    columns = [F.col(f"`{c}`") for c in keep]
-    for path, type_name in fields:
-        target = spark_type("elasticsearch", type_name)
-        columns.append(typed_value(F.col(PARSED), F.col(doc), path, target).alias(path))
-    return parsed(df, doc).select(*columns)
+    """One column per ``(path, Spark type)``. The document, each value and each kind are worked out once."""
+    kept = [F.col(f"`{c}`") for c in keep]
+    values = [value_at(F.col(PARSED), path).alias(f"__value{i}") for i, (path, _) in enumerate(targets)]
+    found = parsed(df, doc).select(*kept, F.col(doc).alias("__doc"), *values)
+    kinds = {f"__kind{i}": json_kind(F.col(f"__value{i}")) for i in range(len(targets))}
+    found = found.withColumns(kinds) if kinds else found
+    columns = [
+        typed_value(F.col(f"__value{i}"), F.col("__doc"), path, target, F.col(f"__kind{i}"), strict).alias(
+            path if isinstance(path, str) else ".".join(path)
+        )
+        for i, (path, target) in enumerate(targets)
+    ]
+    return found.select(*kept, *columns)

@@ -174,17 +174,4 @@ def first_row_schema(df: DataFrame, doc: str, position: str) -> DataFrame:
     types = first_row_types(df, doc, position)
     if not types:
         return df.select()
-    variant = F.col(extract.PARSED)
-    columns = [F.col(position)]
-    for name, target in types:
-        value = extract.typed_value(variant, F.col(doc), [name], target)
-        if target == "string":
-            missing = F.is_variant_null(extract.value_at(variant, [name]))
-            value = F.when(~F.coalesce(missing, F.lit(True)), value)
-        elif target == "double":
-            # a whole number is another kind of value than a float
-            kind = extract.json_kind(extract.value_at(variant, [name]))
-            value = F.when(kind != "BIGINT", value)
-        columns.append(value.alias(name))
-    return extract.parsed(df, doc).select(*columns)
-
+    return extract.extract_typed(df, doc, [([name], target) for name, target in types], [position], strict=True)

@@ -67,12 +67,9 @@ def _extracted(name: str, build: Callable[[Column], Column], path: str = "mixed"
 
 
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = extract.parsed(event_json(spark, sf_dir), "doc")
-    read = {
-        path: extract.as_text(extract.value_at(F.col(extract.PARSED), path), F.col("doc"), path)
-        for path in ("mixed", "props", "user", "nothing", "user.kind")
-    }
-    return docs.select("event_id", *[column.alias(path.replace(".", "_")) for path, column in read.items()])
+    paths = ("mixed", "props", "user", "nothing", "user.kind")
+    read = extract.extract_typed(event_json(spark, sf_dir), "doc", [(p, "string") for p in paths], ["event_id"])
+    return read.toDF(*[c.replace(".", "_") for c in read.columns])
 
 
 def mapping_to_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
