@@ -114,6 +114,23 @@ def test_jsonl_type_conflict_fails(spark, tmp_path):
         files.read_jsonl(spark, path, files.T.StructType.fromDDL("id bigint")).collect()
 
 
+@pytest.mark.parametrize("late", ['{"t":5}', '{"t":true}', '{"t":"x","o":{"u":[1]}}', '{"t":["x"]}', '{"n":"1"}', '{"n":1.5}', '{"n":true}', '{"f":"1.5"}', '{"b":1}', '{"b":"true"}', '{"o":[]}'])
+def test_jsonl_late_conflict_fails(spark, tmp_path, late):
+    first = '{"t":"x","n":1,"f":1.5,"b":true,"o":{"u":["a",null]}}\n'
+    path = write(tmp_path / "c.jsonl", first * 30_000 + late + "\n")
+    df = files.read_jsonl(spark, path)
+    assert df.schema.simpleString() == "struct<t:string,n:bigint,f:double,b:boolean,o:struct<u:array<string>>>"
+    assert df.limit(1).first()["o"]["u"] == ["a", None]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed|JSON Lines field"):
+        df.write.format("noop").mode("overwrite").save()
+
+
+def test_jsonl_values_that_fit(spark, tmp_path):
+    path = write(tmp_path / "ok.jsonl", '{"t":"x","f":1.5}\n{"t":null,"f":2}\n{"f":null,"extra":1}\n\n')
+    df = files.read_jsonl(spark, path, files.T.StructType.fromDDL("t string, f double"))
+    assert [tuple(r) for r in df.collect()] == [("x", 1.5), (None, 2.0), (None, None)]
+
+
 def test_sample_is_bounded(spark, tmp_path):
     path = write(tmp_path / "big.csv", "a\n" + "".join("y" * 1000 + "\n" for _ in range(3000)))
     sample = files.sample_lines(spark, path)

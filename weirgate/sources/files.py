@@ -6,7 +6,7 @@ import csv
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,12 +247,43 @@ def infer_jsonl_schema(spark: SparkSession, path: str) -> T.StructType:
     return _no_null_types(schema)
 
 
+def _with_variants(kind: T.DataType) -> T.DataType:
+    """The same type with every text field read as it stands, so that its JSON kind can be told."""
+    if isinstance(kind, T.StringType):
+        return T.VariantType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_variants(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_variants(f.dataType)) for f in kind.fields])
+    return kind
+
+
+def _only_text(value: Column, kind: T.DataType, name: str) -> Column:
+    """Text out of the variants; a number, boolean, list or object in a text field fails the read."""
+    if isinstance(kind, T.StringType):
+        found = F.schema_of_variant(value)
+        error = F.raise_error(F.concat(F.lit(f"JSON Lines field '{name}' is text, found "), found))
+        text = F.variant_get(value, "$", "string")
+        return F.when(value.isNull() | F.is_variant_null(value), None).when(found == "STRING", text).otherwise(error)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _only_text(item, kind.elementType, name))
+    if isinstance(kind, T.StructType):
+        parts = [_only_text(value.getField(f.name), f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    return value
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One JSON object per line. A malformed line or a value of another type fails the read."""
     schema = schema if schema is not None else infer_jsonl_schema(spark, path)
     if not schema.fields:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return _read_lines(spark.read, path, schema)
+
+
+def _read_lines(reader: DataFrameReader, path: str, schema: T.StructType) -> DataFrame:
+    raw = reader.schema(_with_variants(schema)).option("mode", "FAILFAST").json(path)
+    return raw.select(*[_only_text(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in schema.fields])
 
 
 # -- one object, or a folder of mixed formats --------------------------------------------------
@@ -297,7 +328,7 @@ def read_mixed(spark: SparkSession, folder: str) -> DataFrame:
                 part = part.replace("", None)
             else:
                 schema = infer_jsonl_schema(spark, first[0])
-                part = reader.schema(schema).option("mode", "FAILFAST").json(folder)
+                part = _read_lines(reader, folder, schema)
         parts.append(part.withColumn("format", F.lit(name)))
     if not parts:
         raise NoData(f"no rows in {folder}")
