@@ -36,6 +36,7 @@ def hub(spark, sf_dir, tmp_path_factory):
         "lake_hint": ("s3", {"location": str(folder), "format": "CSV"}, None),
         "docs": ("elasticsearch", {"location": tables, "index": "documents", "id_field": "doc_id"}, None),
         "two": ("elasticsearch", {"location": tables, "id_field": "doc_id"}, None),
+        "views": ("elasticsearch", {"id_field": "doc_id"}, None),
         "vectors": ("milvus", {"location": tables, "primary_key": "vec_id"}, None),
         "graph": ("neo4j", {"location": str(folder / "{name}.parquet")}, None),
         "hf": ("huggingface", {}, None),
@@ -107,3 +108,24 @@ def test_other_tenant_sees_nothing(hub):
     other = Hub(hub.spark, hub.connections, hub.types, "other")
     with pytest.raises(NotFound):
         other.read("SELECT 1", "pg")
+
+
+def test_index_patterns(spark, hub, sf_dir):
+    for name in ("ix_labels", "ix_documents"):
+        spark.read.parquet(f"{sf_dir}/{name[3:]}.parquet").createOrReplaceTempView(name)
+    plain = {"index": "ix_*", "_source": ["doc_id"]}
+    frames = hub.connection("views").names(spark, plain["index"])
+    assert frames == ["ix_documents", "ix_labels"]
+    assert {"text", "toxic"} <= set(hub.read(json.dumps(plain), "views").columns)
+    with pytest.raises(InvalidRequest):
+        hub.read(json.dumps(plain), "two")
+    with pytest.raises(NotFound):
+        hub.read('{"index": "no_such_*"}', "views")
+
+
+def test_listing(hub):
+    listed = hub.list_connections()
+    assert listed.count() == listed.first()["total_count"] == 13
+    assert {"id", "name", "properties", "created_at"} <= set(listed.columns)
+    types = hub.list_types().collect()
+    assert {r["tenant_id"] for r in types} == {""} and "neo4j" in {r["provider"] for r in types}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from fnmatch import fnmatchcase
 from typing import Any
 
 import pyarrow as pa
@@ -31,6 +32,20 @@ class Connection:
                     return lowered[name]
         return None
 
+    def names(self, spark: SparkSession, wanted: str) -> list[str]:
+        """A comma list of table names; ``*`` stands for registered tables."""
+        names = []
+        for name in (n.strip() for n in wanted.split(",")):
+            if "*" not in name:
+                names.append(name)
+            elif self.setting("location") is not None:
+                raise InvalidRequest(f"'{name}': a location needs the names of its tables")
+            else:
+                names += sorted(t.name for t in spark.catalog.listTables() if fnmatchcase(t.name, name))
+        if not names:
+            raise NotFound(f"no index matches '{wanted}'")
+        return names
+
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         """A named table of the connection: a file under ``location``, or a registered table."""
         location = self.setting("location")
@@ -106,6 +121,20 @@ class Hub:
             raise SecretNotFound(f"Secret not found: {reference}")
         return row["properties"]
 
+    # -- the catalog ---------------------------------------------------------------------------
+
+    def list_connections(self) -> DataFrame:
+        """The tenant's connections, one flat row each, with their ``total_count``."""
+        listed = catalog.tenant_list(self.connections, self.tenant)
+        if "status" in listed.columns:
+            listed = catalog.with_default_status(listed)
+        return catalog.flatten_envelope(listed, {"tenant_id": F.lit("")})
+
+    def list_types(self) -> DataFrame:
+        """The types the tenant may use; shared ones show an empty tenant."""
+        seen = catalog.global_visibility(self.types, self.tenant, self.global_tenant)
+        return catalog.flatten_envelope(seen, {"tenant_id": F.lit("")})
+
     # -- reading -------------------------------------------------------------------------------
 
     def read(
@@ -167,8 +196,8 @@ class Hub:
 
     def _read_search(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
         request = search.parse_search(query)
-        names = search.resolve_default_index(request.index, connection.properties).split(",")
-        frames = [connection.table(self.spark, name.strip()) for name in names]
+        wanted = search.resolve_default_index(request.index, connection.properties)
+        frames = [connection.table(self.spark, name) for name in connection.names(self.spark, wanted)]
         index = frames[0] if len(frames) == 1 else search.merge_schemas(frames)
         return search.search(index, request, connection.properties.get("id_field", "id"))
 

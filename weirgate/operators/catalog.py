@@ -81,14 +81,13 @@ def global_visibility(docs: DataFrame, tenant: str, global_tenant: str) -> DataF
 def flatten_envelope(docs: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
     """One flat row per document. ``resource`` wins over ``metadata`` on equal names.
 
-    ``defaults`` fills absent values, e.g. ``{"tenant_id": F.lit("")}``.
+    The status and any other column stay. ``defaults`` fills absent values, e.g. ``{"tenant_id": F.lit("")}``.
     """
     resource = docs.schema["resource"].dataType.fieldNames()
     metadata = [f for f in docs.schema["metadata"].dataType.fieldNames() if f not in resource]
     columns = {name: F.col(f"metadata.`{name}`") for name in metadata}
     columns |= {name: F.col(f"resource.`{name}`") for name in resource}
-    if "status" in docs.columns:
-        columns["status"] = F.col("status")
+    columns |= {name: F.col(f"`{name}`") for name in docs.columns if name not in ("metadata", "resource")}
     for name, default in (defaults or {}).items():
         columns[name] = F.coalesce(columns[name], default) if name in columns else default
     return docs.select(*[c.alias(name) for name, c in columns.items()])
