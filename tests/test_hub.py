@@ -14,6 +14,9 @@ CONN = f"{META}, resource struct<name: string, data_connection_type_id: string,
 TYPE = f"{META}, resource struct<name: string, provider: string, description: string>"
 
 
+RAW_MAPPING = {"raw": {"mappings": {"properties": {"name": {"type": "keyword"}, "n": {"type": "byte"}, "at": {"type": "date"}, "o": {"properties": {"k": {"type": "text"}}}}}}}
+
+
 @pytest.fixture(scope="module")
 def hub(spark, sf_dir, tmp_path_factory):
     folder = tmp_path_factory.mktemp("hub")
@@ -27,6 +30,8 @@ def hub(spark, sf_dir, tmp_path_factory):
     spark.createDataFrame([(1, ["P"], ("Ann",)), (2, ["P"], ("Bob",))], "id long, labels array<string>, properties struct<name: string>").write.parquet(str(folder / "nodes.parquet"))
     spark.createDataFrame([(1, 1, 2, "KNOWS", (7,))], "id long, src long, dst long, typ string, properties struct<since: int>").write.parquet(str(folder / "edges.parquet"))
 
+    raw = [('{"name":"a","n":1,"at":1700000000000,"o":{"k":"v"}}',), ('{"name":"b","n":"1"}',), ('{"name":"c","n":300}',)]
+    spark.createDataFrame(raw, "doc string").write.parquet(str(folder / "raw.parquet"))
     tables = f"{sf_dir}/{{name}}.parquet"
     entries = {
         "pg": ("postgres", {"location": tables, "tables": "orders, customer"}, None),
@@ -36,6 +41,7 @@ def hub(spark, sf_dir, tmp_path_factory):
         "lake_hint": ("s3", {"location": str(folder), "format": "CSV"}, None),
         "docs": ("elasticsearch", {"location": tables, "index": "documents", "id_field": "doc_id"}, None),
         "two": ("elasticsearch", {"location": tables, "id_field": "doc_id"}, None),
+        "raw": ("elasticsearch", {"location": str(folder / "{name}.parquet"), "index": "raw", "id_field": "name", "mapping": json.dumps(RAW_MAPPING)}, None),
         "views": ("elasticsearch", {"id_field": "doc_id"}, None),
         "vectors": ("milvus", {"location": tables, "primary_key": "vec_id"}, None),
         "graph": ("neo4j", {"location": str(folder / "{name}.parquet")}, None),
@@ -125,7 +131,14 @@ def test_index_patterns(spark, hub, sf_dir):
 
 def test_listing(hub):
     listed = hub.list_connections()
-    assert listed.count() == listed.first()["total_count"] == 13
+    assert listed.count() == listed.first()["total_count"] == 14
     assert {"id", "name", "properties", "created_at"} <= set(listed.columns)
     types = hub.list_types().collect()
     assert {r["tenant_id"] for r in types} == {""} and "neo4j" in {r["provider"] for r in types}
+
+
+def test_json_documents(hub):
+    out = hub.read('{"sort": ["name"], "size": 5}', "raw")
+    assert out.schema.simpleString() == "struct<name:string,n:tinyint,at:timestamp,o.k:string>"
+    assert [(r["name"], r["n"], r["o.k"]) for r in out.collect()] == [("a", 1, "v"), ("b", None, None), ("c", 44, None)]
+    assert hub.read('{"query": {"term": {"o.k": "v"}}}', "raw").count() == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from fnmatch import fnmatchcase
 from typing import Any
@@ -198,8 +199,13 @@ class Hub:
         request = search.parse_search(query)
         wanted = search.resolve_default_index(request.index, connection.properties)
         frames = [connection.table(self.spark, name) for name in connection.names(self.spark, wanted)]
+        id_field = connection.properties.get("id_field", "id")
+        mapping = connection.properties.get("mapping")
+        if mapping is not None:
+            doc = connection.properties.get("doc_field", "doc")
+            frames = [_typed_documents(frame, doc, json.loads(mapping), id_field) for frame in frames]
         index = frames[0] if len(frames) == 1 else search.merge_schemas(frames)
-        return search.search(index, request, connection.properties.get("id_field", "id"))
+        return search.search(index, request, id_field)
 
     def _read_vectors(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
         request = vector.parse_vector_request(query)
@@ -213,6 +219,12 @@ class Hub:
         return sqltext.sql_read(self.spark, query, parameters)
 
 
+def _typed_documents(index: DataFrame, doc: str, mapping: Mapping[str, Any], id_field: str) -> DataFrame:
+    """An index kept as JSON text, typed by its mapping; the id is a mapped field or a column of its own."""
+    mapped = {path for path, _ in search.parse_mapping(mapping)}
+    return search.documents(index, doc, mapping, [] if id_field in mapped else [id_field])
+
+
 def _ranges(connection: Connection) -> dict[str, Any]:
     """Parallel range reads, if the connection names a column for them."""
     pieces = connection.properties.get("num_partitions")

@@ -25,7 +25,8 @@ PROVIDERS = ("postgres", "sqlite", "s3", "milvus", "elasticsearch", "neo4j")
 # Fixed value: label of a secret that belongs to a document.
 ATTACHED_LABEL = "attached"
 
-STATUS_TYPE = "struct<state: string, message: string, phases: array<struct<state: string, message: string, timestamp: string>>>"
+PHASES_TYPE = "array<struct<state: string, message: string, timestamp: string>>"
+STATUS_TYPE = f"struct<state: string, message: string, phases: {PHASES_TYPE}>"
 
 TENANT, ID = "metadata.tenant_id", "metadata.id"
 
@@ -98,8 +99,8 @@ def flatten_envelope(docs: DataFrame, defaults: Mapping[str, Column] | None = No
 
 def default_status() -> Column:
     """A new document is not ready and has no history."""
-    empty = F.array().cast("array<struct<state: string, message: string, timestamp: string>>")
-    return F.struct(F.lit("not_ready").alias("state"), F.lit(None).cast("string").alias("message"), empty.alias("phases"))
+    message, phases = F.lit(None).cast("string"), F.array().cast(PHASES_TYPE)
+    return F.struct(F.lit("not_ready").alias("state"), message.alias("message"), phases.alias("phases"))
 
 
 def with_default_status(docs: DataFrame) -> DataFrame:
@@ -217,17 +218,23 @@ def _merged(target: object, patch: object) -> object:
 @F.pandas_udf(T.StringType())
 def merge_patch_json(target: pd.Series, patch: pd.Series) -> pd.Series:
     """JSON merge patch (RFC 7396) on JSON text at any depth; Arrow-batched. No patch, no change."""
-    merged = [
-        t if p is None else json.dumps(_merged(json.loads(t) if t else None, json.loads(p)), separators=(",", ":"), ensure_ascii=False)
-        for t, p in zip(target, patch)
-    ]
-    return pd.Series(merged, dtype=object)
+
+    def apply(old: str | None, change: str | None) -> str | None:
+        if change is None:
+            return old
+        new = _merged(json.loads(old) if old else None, json.loads(change))
+        return json.dumps(new, separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([apply(t, p) for t, p in zip(target, patch)], dtype=object)
 
 
 def merge_patch(
     docs: DataFrame, patches: DataFrame, doc: str, now: str | None = None, key: str = "id", patch: str = "patch"
 ) -> DataFrame:
-    """Apply ``patches(id, patch)`` to the JSON text column ``doc``; only patched rows get a new time."""
+    """Apply ``patches(id, patch)``, at most one per id, to the JSON text column ``doc``.
+
+    Only patched rows get a new time.
+    """
     joined = docs.join(patches.select(key, F.col(patch).alias("__patch")), key, "left")
     touched = F.col("__patch").isNotNull()
     # rows without a patch send only NULLs to Python
@@ -423,6 +430,4 @@ def classify_errors(log: DataFrame, kind: str) -> DataFrame:
         entries = [F.lit(x) for name, found in ERROR_CODES.items() for x in (name, found[position])]
         return F.coalesce(F.try_element_at(F.create_map(*entries), F.col(kind)), F.lit(UNKNOWN_ERROR[position]))
 
-    return (
-        log.withColumn("code", looked_up(0)).withColumn("http_status", looked_up(1)).withColumn("grpc_status", looked_up(2))
-    )
+    return log.withColumns({"code": looked_up(0), "http_status": looked_up(1), "grpc_status": looked_up(2)})

@@ -163,7 +163,8 @@ def first_row_types(df: DataFrame, doc: str, position: str) -> list[tuple[str, s
     names = sorted(first["keys"])
     row = extract.parsed(df.sparkSession.createDataFrame([(first[doc],)], f"`{doc}` string"), doc)
     kinds = row.select(*[extract.json_kind(extract.value_at(F.col(extract.PARSED), [n])) for n in names]).first()
-    return [(n, spark_type("neo4j", FIRST_ROW_KINDS.get((k or "").split("(")[0], ""))) for n, k in zip(names, kinds)]
+    found = [FIRST_ROW_KINDS.get((kind or "").split("(")[0], "") for kind in kinds]
+    return [(name, spark_type("neo4j", kind)) for name, kind in zip(names, found)]
 
 
 def first_row_schema(df: DataFrame, doc: str, position: str) -> DataFrame:

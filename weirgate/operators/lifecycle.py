@@ -94,7 +94,9 @@ def patch_connections(
     creation time and status never change.
     """
     docs = _with_reference_only(docs)
-    given = patches.select(F.col("id").alias("__id"), F.col("tenant_id").alias("__tenant"), F.col("patch").alias("__patch"))
+    given = patches.select(
+        F.col("id").alias("__id"), F.col("tenant_id").alias("__tenant"), F.col("patch").alias("__patch")
+    )
     same = (F.col(catalog.ID) == F.col("__id")) & (F.col(catalog.TENANT) == F.col("__tenant"))
     joined = docs.join(given, same, "left").withColumn("__new", _patched_resource(docs.schema["resource"].dataType))
     joined = joined.withColumn("__type", F.col(f"__new.{TYPE_ID}")).withColumn("__owner", F.col(catalog.TENANT))
@@ -125,7 +127,11 @@ def patch_connections(
         F.col("metadata").withField("updated_at", stamp).alias("metadata"), resource.alias("resource"), "status"
     )
     refused = judged.where(F.col("kind").isNotNull()).select(
-        F.col("__id").alias("id"), F.col("__tenant").alias("tenant_id"), F.col("__patch").alias("patch"), "kind", "reason"
+        F.col("__id").alias("id"),
+        F.col("__tenant").alias("tenant_id"),
+        F.col("__patch").alias("patch"),
+        "kind",
+        "reason",
     )
     lost = catalog.tenant_missing(docs, patches).select(
         "id",

@@ -207,7 +207,8 @@ def literal(value: Any, kind: T.DataType) -> Column:
     """A request value as a constant that the column's own type is compared with, so it can be pushed down."""
     if isinstance(kind, T.StringType) and not isinstance(value, str):
         return F.lit(json.dumps(value) if isinstance(value, bool) else str(value))
-    if isinstance(kind, (T.DateType, T.TimestampNTZType)) or (isinstance(value, str) and not isinstance(kind, T.StringType)):
+    is_time = isinstance(kind, (T.DateType, T.TimestampNTZType))
+    if is_time or (isinstance(value, str) and not isinstance(kind, T.StringType)):
         # as text, because a Python datetime would pass through the machine's time zone
         return F.lit(str(value)).cast(kind)
     return F.lit(value)

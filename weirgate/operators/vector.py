@@ -98,8 +98,9 @@ def parse_ids(value: Any) -> tuple[Any, ...]:
 
 
 _FILTER_PARTS = re.compile(
-    r"""(?P<double>"(?:[^"\\]|\\.)*")|(?P<single>'(?:[^'\\]|\\.)*')|(?P<open>\bin\s*\[)|(?P<close>\])|(?P<sub>\[)|(?P<op>&&|\|\|)""",
-    re.IGNORECASE,
+    r"""(?P<double>"(?:[^"\\]|\\.)*") | (?P<single>'(?:[^'\\]|\\.)*')
+      | (?P<open>\bin\s*\[) | (?P<close>\]) | (?P<sub>\[) | (?P<op>&&|\|\|)""",
+    re.IGNORECASE | re.VERBOSE,
 )
 
 
@@ -183,7 +184,9 @@ def _skip_first(df: DataFrame, pk: str, offset: int) -> DataFrame:
     return df.where(F.col(pk) > F.lit(boundary[0][0])) if boundary else df.limit(0)
 
 
-def vector_get(df: DataFrame, ids: Sequence[Any] | DataFrame, pk: str, output_fields: Sequence[str] | None = None) -> DataFrame:
+def vector_get(
+    df: DataFrame, ids: Sequence[Any] | DataFrame, pk: str, output_fields: Sequence[str] | None = None
+) -> DataFrame:
     """Rows by primary key. A short list is a filter the scan can use; a table of keys is a semi join."""
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(ids.columns[0]).alias(pk))
