@@ -72,7 +72,7 @@ def test_reference_check(spark):
     checked = catalog.reference_check(rows, "type_id", "tenant", targets, "global")
     good, bad = catalog.split_reasons(checked)
     assert sorted(r["seq"] for r in good.collect()) == [0, 2]
-    assert {r["seq"]: r["reason"] for r in bad.collect()} == {1: "connection type 't2' not found", 3: "connection type 't4' not found", 4: "no reference"}
+    assert {r["seq"]: r["reason"] for r in bad.collect()} == {1: "unknown reference 't2'", 3: "unknown reference 't4'", 4: "no reference"}
 
 
 @pytest.mark.parametrize(
@@ -195,7 +195,7 @@ def test_validate_domain(spark):
     good, bad = catalog.split_reasons(catalog.validate_domain(df, "provider"))
     assert [r[0] for r in good.collect()] == ["s3"]
     reasons = {r["provider"]: r["reason"] for r in bad.collect()}
-    assert reasons["bogus"] == "unsupported provider 'bogus'; supported providers are: postgres, sqlite, s3, milvus, elasticsearch, neo4j"
+    assert reasons["bogus"] == "unsupported provider 'bogus', expected one of: postgres, sqlite, s3, milvus, elasticsearch, neo4j"
     assert len(reasons) == 3
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.operators import catalog, lifecycle
-from weirgate.streaming.seeding import watch_seeds
+from weirgate.streaming.seeding import apply_batch, watch_seeds
 
 STAMP, LATER = "2026-01-01T00:00:00Z", "2026-02-02T00:00:00Z"
 META = "metadata struct<id: string, tenant_id: string, created_at: string, updated_at: string>"
@@ -132,3 +132,19 @@ def test_seeds_that_keep_arriving(spark, tmp_path):
     assert names() == ["a", "c"]
     outcome = spark.read.parquet(str(tmp_path / "outcome")).groupBy("phase").agg(F.collect_set("seq").alias("s")).collect()
     assert {r["phase"]: set(r["s"]) for r in outcome} == {"Completed": {1, 3, 5}, "AlreadyExists": {2, 4}}
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    table, outcome = str(tmp_path / "table"), str(tmp_path / "outcome")
+    batches = [[(1, "a", None), (2, "b", None)], [(3, "a", None), (4, "c", None)]]
+
+    def state():
+        return [sorted(map(tuple, spark.read.parquet(p).collect())) for p in (table, outcome)]
+
+    for epoch, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "seq long, name string, phase string")
+        apply_batch(batch, epoch, table, outcome, ["name"], "seq")
+        before = state()
+        apply_batch(batch, epoch, table, outcome, ["name"], "seq")
+        assert state() == before
+    assert sorted(r["name"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]

@@ -103,7 +103,7 @@ def test_index_of_a_request():
 
 def test_default_index_column(spark):
     df = spark.sql("SELECT CAST(NULL AS STRING) i, map('x', 'y') p")
-    with pytest.raises(Exception, match="No index specified"):
+    with pytest.raises(Exception, match="without an index"):
         df.select(search.default_index_column(F.col("i"), F.col("p"))).collect()
 
 

@@ -93,16 +93,16 @@ class Hub:
         own = (F.col(catalog.ID) == connection_id) & (F.col(catalog.TENANT) == self.tenant)
         found = self.connections.where(own).select("resource").first()
         if found is None:
-            raise NotFound(f"data connection '{connection_id}' not found")
+            raise NotFound(f"no connection '{connection_id}'")
         resource = found["resource"]
         visible = (F.col(catalog.ID) == resource["data_connection_type_id"]) & catalog.visible_to(
             self.types, self.tenant, self.global_tenant
         )
         kind = self.types.where(visible).select("resource.provider").first()
         if kind is None:
-            raise NotFound(f"connection type '{resource['data_connection_type_id']}' not found")
+            raise NotFound(f"no connection type '{resource['data_connection_type_id']}'")
         if kind["provider"] not in self._readers:
-            raise ConfigError(f"no connector registered for provider '{kind['provider']}'")
+            raise ConfigError(f"provider '{kind['provider']}' is not supported")
         return Connection(kind["provider"], resource["properties"], self._secret(resource))
 
     def _secret(self, resource: Any) -> Mapping[str, str]:
@@ -119,7 +119,7 @@ class Hub:
             mine = (F.col("name") == reference) & (F.col("namespace") == self.tenant)
             row = self.secrets.where(mine).select("properties").first()
         if row is None:
-            raise SecretNotFound(f"Secret not found: {reference}")
+            raise SecretNotFound(f"no secret '{reference}'")
         return row["properties"]
 
     # -- the catalog ---------------------------------------------------------------------------
@@ -176,7 +176,7 @@ class Hub:
             raise InvalidRequest("parameters are bound by Spark SQL, not by a database read over JDBC")
         url = connection.setting("url", "uri")
         if url is None:
-            raise SourceUnavailable("PostgreSQL URL is required")
+            raise SourceUnavailable("the connection has no database url")
         return jdbc.read_jdbc(self.spark, url, query, **_ranges(connection))
 
     def _read_sqlite(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
@@ -186,7 +186,7 @@ class Hub:
             raise InvalidRequest("parameters are bound by Spark SQL, not by a SQLite read")
         url = connection.setting("url")
         if url is None:
-            raise SourceUnavailable("SQLite URL is required")
+            raise SourceUnavailable("the connection has no url of a SQLite file")
         ranges = _ranges(connection)
         return sqlite.read_sqlite(self.spark, url, query, ranges["partition_column"], ranges["num_partitions"] or 1)
 

@@ -190,7 +190,7 @@ def reference_check(
     known = targets.groupBy(F.col("id").alias("__target")).agg(F.collect_set("tenant_id").alias("__owners"))
     found = rows.join(known, F.col(reference) == F.col("__target"), "left")
     seen = F.array_contains("__owners", F.col(tenant)) | F.array_contains("__owners", F.lit(global_tenant))
-    text = F.concat(F.lit("connection type '"), F.col(reference).cast("string"), F.lit("' not found"))
+    text = F.concat(F.lit("unknown reference '"), F.col(reference).cast("string"), F.lit("'"))
     missing = F.when(~F.coalesce(seen, F.lit(False)), F.coalesce(text, F.lit("no reference")))
     return found.withColumn(reason, missing).drop("__target", "__owners")
 
@@ -315,7 +315,7 @@ def validate_domain(
     text = F.concat(
         F.lit(f"unsupported {what} '"),
         F.coalesce(F.col(column), F.lit("")),
-        F.lit(f"'; supported {what}s are: {', '.join(domain)}"),
+        F.lit(f"', expected one of: {', '.join(domain)}"),
     )
     known = F.coalesce(F.col(column).isin(list(domain)), F.lit(False))
     return rows.withColumn("reason", F.when(~known, text))

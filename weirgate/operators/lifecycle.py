@@ -19,8 +19,8 @@ TYPE_ID = "data_connection_type_id"
 # The data formats of a connection.
 FORMATS = ("tabular", "binary")
 
-PLAIN_SECRET = "A plain secret cannot be stored in the database, use a secret reference instead"
-TAKEN = "a resource with the same identity already exists"
+PLAIN_SECRET = "the patch holds an inline secret; store it and refer to it"
+TAKEN = "the name is taken"
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def patch_connections(
         "tenant_id",
         "patch",
         F.lit("ResourceNotFound").alias("kind"),
-        F.concat(F.lit("data connection '"), F.col("id"), F.lit("' not found")).alias("reason"),
+        F.concat(F.lit("no connection '"), F.col("id"), F.lit("'")).alias("reason"),
     )
     return Change(table, refused.unionByName(lost))
 

@@ -64,11 +64,11 @@ def parse_vector_request(text: str | Mapping[str, Any]) -> VectorRequest:
         body = json.loads(text) if isinstance(text, str) else dict(text)
         name = body["collectionName"]
     except (ValueError, KeyError, TypeError) as error:
-        raise InvalidRequest(f"Invalid vector request: {error}") from error
+        raise InvalidRequest(f"the vector request cannot be read: {error}") from error
     data, ids = body.get("data"), body.get("id")
     operation = "search" if data is not None else "get" if ids is not None else "query"
     if operation == "search" and not body.get("annsField"):
-        raise InvalidRequest("Search requires 'annsField' field")
+        raise InvalidRequest("a search names its vector field in annsField")
     fields = body.get("outputFields")
     return VectorRequest(
         collection=name,
@@ -87,13 +87,13 @@ def parse_ids(value: Any) -> tuple[Any, ...]:
     """One id or a list of ids, all whole numbers or all strings."""
     ids = value if isinstance(value, list) else [value]
     if not ids:
-        raise InvalidRequest("Empty ID array")
+        raise InvalidRequest("the list of ids is empty")
     whole = [isinstance(i, int) and not isinstance(i, bool) for i in ids]
     if isinstance(ids[0], (int, float)) and not isinstance(ids[0], bool):
         if not all(whole):
-            raise InvalidRequest("Invalid ID number")
+            raise InvalidRequest("ids must be all whole numbers or all strings")
     elif not all(isinstance(i, str) for i in ids):
-        raise InvalidRequest("Invalid string ID" if isinstance(value, list) else "Invalid ID format")
+        raise InvalidRequest("ids must be all whole numbers or all strings")
     return tuple(ids)
 
 
@@ -453,7 +453,7 @@ def vector_search(
     As one result is returned, only the first query vector counts. The distance is not output.
     """
     if not data:
-        raise InvalidRequest("Search requires at least one vector")
+        raise InvalidRequest("a search needs a vector")
     rows = _filtered(df, filter)
     found = nearest_keys(rows, [data[0]], vector, pk, limit, metric)
     fields = list(output_fields) if output_fields is not None else sorted(df.columns)

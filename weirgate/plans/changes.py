@@ -174,8 +174,8 @@ ORACLE = {
     "create_rejected": f"""
         {_JUDGED}
         SELECT seq, tenant_id, CASE WHEN known THEN 'Conflict' ELSE 'ResourceNotFound' END AS kind,
-               CASE WHEN known THEN 'a resource with the same identity already exists'
-                    ELSE concat('connection type ''NATION_', c_nationkey, ''' not found') END AS reason
+               CASE WHEN known THEN 'the name is taken'
+                    ELSE concat('unknown reference ''NATION_', c_nationkey, '''') END AS reason
         FROM j WHERE NOT (known AND NOT taken AND n = 1)
     """,
     "create_secrets": f"""

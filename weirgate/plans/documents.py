@@ -359,7 +359,7 @@ ORACLE = {
     """,
     "reference_check": """
         SELECT o_orderkey, o_custkey, 'BUILDING' AS tenant,
-               CASE WHEN c_custkey IS NULL THEN concat('connection type ''', o_custkey, ''' not found') END AS reason
+               CASE WHEN c_custkey IS NULL THEN concat('unknown reference ''', o_custkey, '''') END AS reason
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY')
     """,
     "merge_patch": """
@@ -417,7 +417,7 @@ ORACLE = {
     """,
     "validate_domain": """
         SELECT event_id, event_type, CASE WHEN event_type NOT IN ('view', 'click', 'purchase')
-          THEN concat('unsupported event type ''', event_type, '''; supported event types are: view, click, purchase') END AS reason
+          THEN concat('unsupported event type ''', event_type, ''', expected one of: view, click, purchase') END AS reason
         FROM events
     """,
     "flatten_envelope": """

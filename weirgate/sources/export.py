@@ -15,7 +15,7 @@ DEFAULT_BATCH = 512
 
 def _check(batch_size: int) -> None:
     if batch_size <= 0:
-        raise ConfigError("batch_size must be greater than 0")
+        raise ConfigError("a batch has at least one row")
 
 
 def export_batches(df: DataFrame, path: str, batch_size: int = DEFAULT_BATCH, file_format: str = "parquet") -> None:

@@ -32,12 +32,12 @@ def detect_format(path: str, hint: str | None = None) -> str:
         for name, endings in FORMATS.items():
             if hint.lower() in endings:
                 return name
-        raise InvalidRequest(f"Unsupported format: {hint.lower()}")
+        raise InvalidRequest(f"unknown format hint '{hint}'")
     lowered = path.lower()
     for name, endings in FORMATS.items():
         if lowered.endswith(tuple(f".{e}" for e in endings)):
             return name
-    raise InvalidRequest(f"Cannot detect format for path: {path}. Set 'format' in connection properties.")
+    raise InvalidRequest(f"no known file ending in '{path}'; give the connection a format")
 
 
 def format_column(path: Column) -> Column:
@@ -240,9 +240,9 @@ def infer_jsonl_schema(spark: SparkSession, path: str) -> T.StructType:
         try:
             value = json.loads(line)
         except ValueError as error:
-            raise InvalidRequest(f"Failed to infer JSONL schema: {error}") from error
+            raise InvalidRequest(f"a JSON Lines record cannot be read: {error}") from error
         if not isinstance(value, dict):
-            raise InvalidRequest("Failed to infer JSONL schema: a line is not a JSON object")
+            raise InvalidRequest("a JSON Lines record is not an object")
         schema = _merge_json_type(schema, _json_type(value))
     return _no_null_types(schema)
 

@@ -25,6 +25,23 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def apply_batch(
+    batch: DataFrame, epoch: int, table_path: str, outcome_path: str, keys: Sequence[str], order: str
+) -> None:
+    """Decide one batch against the table of the epochs before it, and store the outcome.
+
+    The batch writes folders of its own epoch, which it overwrites when it is run again.
+    """
+    spark = batch.sparkSession
+    known = T.StructType([*batch.schema.fields, T.StructField(EPOCH, T.LongType())])
+    earlier = stored(spark, table_path, known).where(F.col(EPOCH) < epoch)
+    decided = seed_if_absent(batch, earlier.select(*keys), keys, order)
+    place = f"{outcome_path}/{EPOCH}={epoch}"
+    decided.write.mode("overwrite").parquet(place)
+    added = spark.read.schema(decided.schema).parquet(place).where("added").drop("added")
+    added.write.mode("overwrite").parquet(f"{table_path}/{EPOCH}={epoch}")
+
+
 def watch_seeds(
     seeds: DataFrame,
     table_path: str,
@@ -36,19 +53,11 @@ def watch_seeds(
 ) -> StreamingQuery:
     """Append the absent ones of a stream of ``seeds(<keys>, <order>, phase, ...)`` to a table.
 
-    Each micro-batch writes folders of its own epoch, the outcome of every seed and the rows to add, and
-    overwrites them when it is run again, so that a restart neither loses nor repeats a row.
+    Every seed's outcome is stored too. A restart neither loses nor repeats a row.
     """
-    spark = seeds.sparkSession
-    known = T.StructType([*seeds.schema.fields, T.StructField(EPOCH, T.LongType())])
 
     def step(batch: DataFrame, epoch: int) -> None:
-        earlier = stored(spark, table_path, known).where(F.col(EPOCH) < epoch)
-        decided = seed_if_absent(batch, earlier.select(*keys), keys, order)
-        place = f"{outcome_path}/{EPOCH}={epoch}"
-        decided.write.mode("overwrite").parquet(place)
-        added = spark.read.schema(decided.schema).parquet(place).where("added").drop("added")
-        added.write.mode("overwrite").parquet(f"{table_path}/{EPOCH}={epoch}")
+        apply_batch(batch, epoch, table_path, outcome_path, keys, order)
 
     writer = seeds.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
