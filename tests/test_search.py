@@ -185,3 +185,18 @@ def test_places_are_exact(spark):
     got = ranking.with_place(df, [F.col("k").desc()]).collect()
     assert {(r["k"], r["place"]) for r in got} == {(999 - i, i + 1) for i in range(1000)}
     assert ranking.with_place(df.limit(0), [F.col("k").asc()]).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 25, 150, 300])
+def test_late_reading_gives_the_same_rows(spark, sf_dir, size):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = {"query": {"term": {"lang": "en"}}, "sort": [{"n_chars": "desc"}], "size": size}
+    want = search.search(docs, body, "doc_id").collect()
+    assert search.search(docs, body, "doc_id", late=True).collect() == want
+
+
+def test_late_keys_reach_the_scan(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = search.search(docs, {"size": 15, "sort": [{"n_chars": "desc"}]}, "doc_id", late=True)
+    pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("ReadSchema")[0]
+    assert pushed.count("In(doc_id") == 2

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirgate.errors import InvalidRequest
 from weirgate.operators import vector
@@ -167,3 +168,13 @@ def test_dimension_mismatch_fails(cloud):
     _, df = cloud
     with pytest.raises(Exception, match="dimensions"):
         vector.vector_search(df, [[1.0, 2.0]], "v", "id", 3).collect()
+
+
+def test_late_reading_gives_the_same_rows(cloud):
+    points, df = cloud
+    wide = df.withColumn("text", F.concat(F.lit("t"), F.col("id")))
+    query = [[float(x) for x in points[7]]]
+    for limit in (1, 9, 300):
+        for fields in (["text", "id"], ["id"], None):
+            want = vector.vector_search(wide, query, "v", "id", limit, output_fields=fields).collect()
+            assert vector.vector_search(wide, query, "v", "id", limit, output_fields=fields, late=True).collect() == want

@@ -59,7 +59,7 @@ class Hub:
     """Reads queries through connections kept in document tables.
 
     ``connections`` and ``types`` are document tables. ``secrets`` is ``(name, namespace,
-    properties)``. Every lookup fetches one row by its key; the result of ``read`` is lazy.
+    properties)``. Every lookup fetches one row by its key.
     """
 
     def __init__(
@@ -77,7 +77,7 @@ class Hub:
         self.tenant = tenant
         self.global_tenant = global_tenant
         self.secrets = secrets
-        self._readers: dict[str, Callable[[str, Connection, Any], DataFrame]] = {
+        self._readers: dict[str, Callable[[str, Connection, Any, bool], DataFrame]] = {
             "postgres": self._read_sql_server,
             "sqlite": self._read_sqlite,
             "s3": self._read_object,
@@ -144,10 +144,14 @@ class Hub:
         """The rows of a query. What the text means depends on the connection's provider.
 
         SQL for ``postgres`` and ``sqlite``, an object path for ``s3``, a JSON body for
-        ``elasticsearch`` and ``milvus``, Spark SQL over ``nodes`` and ``edges`` for ``neo4j``.
+        ``elasticsearch`` and ``milvus``, Spark SQL over ``nodes`` and ``edges`` for ``neo4j``. The
+        result is lazy, but a search with a small limit finds its keys at once.
         """
+        return self._frame(query, connection_id, parameters, late=True)
+
+    def _frame(self, query: str, connection_id: str, parameters: Any, late: bool) -> DataFrame:
         connection = self.connection(connection_id)
-        return self._readers[connection.provider](query, connection, parameters)
+        return self._readers[connection.provider](query, connection, parameters, late)
 
     def read_pandas(self, query: str, connection_id: str, parameters: Any = None):
         """The result as a pandas frame on the driver; for results known to be small."""
@@ -161,7 +165,7 @@ class Hub:
 
     def describe(self, query: str, connection_id: str, parameters: Any = None) -> DataFrame:
         """Columns of a query's result; the query does not run."""
-        return sqltext.describe_query(self.read(query, connection_id, parameters))
+        return sqltext.describe_query(self._frame(query, connection_id, parameters, late=False))
 
     def _read_sql(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
         """SQL text over tables kept as files: ``location`` and a comma list of ``tables``."""
@@ -169,7 +173,7 @@ class Hub:
         sqltext.register_tables(self.spark, connection.properties["location"], names)
         return sqltext.sql_read(self.spark, query, parameters)
 
-    def _read_sql_server(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_sql_server(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         if "location" in connection.properties:
             return self._read_sql(query, connection, parameters)
         if parameters:
@@ -179,7 +183,7 @@ class Hub:
             raise SourceUnavailable("the connection has no database url")
         return jdbc.read_jdbc(self.spark, url, query, **_ranges(connection))
 
-    def _read_sqlite(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_sqlite(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         if "location" in connection.properties:
             return self._read_sql(query, connection, parameters)
         if parameters:
@@ -190,12 +194,12 @@ class Hub:
         ranges = _ranges(connection)
         return sqlite.read_sqlite(self.spark, url, query, ranges["partition_column"], ranges["num_partitions"] or 1)
 
-    def _read_object(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_object(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         root = connection.setting("location", "root")
         path = query if root is None else f"{root.rstrip('/')}/{query.lstrip('/')}"
         return files.read_object(self.spark, path, connection.properties.get("format"))
 
-    def _read_search(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_search(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         request = search.parse_search(query)
         wanted = search.resolve_default_index(request.index, connection.properties)
         frames = [connection.table(self.spark, name) for name in connection.names(self.spark, wanted)]
@@ -205,15 +209,15 @@ class Hub:
             doc = connection.properties.get("doc_field", "doc")
             frames = [_typed_documents(frame, doc, json.loads(mapping), id_field) for frame in frames]
         index = frames[0] if len(frames) == 1 else search.merge_schemas(frames)
-        return search.search(index, request, id_field)
+        return search.search(index, request, id_field, late)
 
-    def _read_vectors(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_vectors(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         request = vector.parse_vector_request(query)
         collection = connection.table(self.spark, request.collection)
         key = connection.properties.get("primary_key", "id")
-        return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"))
+        return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"), late)
 
-    def _read_graph(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
+    def _read_graph(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         for name in ("nodes", "edges"):
             connection.table(self.spark, name).createOrReplaceTempView(name)
         return sqltext.sql_read(self.spark, query, parameters)

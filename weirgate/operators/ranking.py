@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from ..session import scratch_path
 # Up to this many rows a per-task heap and one final merge are cheap; past it the rows stay spread out.
 TOP_ROWS = 100_000
 
+# Keys that are looked up as part of a filter, and how many of them one pushed list may hold.
+LATE_KEYS = 200
+PUSHED_KEYS = 10
+
 ROW_ID = "__row_id"
 
 
@@ -32,6 +38,27 @@ def take_ordered(df: DataFrame, order: Sequence[Column], limit: int, offset: int
     return _cut_sorted(df, order, limit, offset)
 
 
+def key_filter(key: str, keys: Sequence[Any]) -> Column:
+    """``key`` is one of ``keys``, in short lists: longer ones reach a file scan only as one wide range."""
+    ordered = sorted(keys)
+    chunks = [ordered[i : i + PUSHED_KEYS] for i in range(0, len(ordered), PUSHED_KEYS)]
+    return reduce(lambda a, b: a | b, [F.col(key).isin(*chunk) for chunk in chunks])
+
+
+def fetch_ordered(df: DataFrame, order: Sequence[Column], limit: int, key: str) -> DataFrame:
+    """The first rows of an order, found by their unique key before they are read.
+
+    One job runs at once, over the filter, sort and key columns only. The wide columns are then read
+    for the found keys, where file statistics skip the rest. A longer cut is left to ``take_ordered``.
+    """
+    if not 0 < limit <= LATE_KEYS:
+        return take_ordered(df, order, limit)
+    found = [r[0] for r in take_ordered(df, order, limit).select(key).collect()]
+    if not found:
+        return df.limit(0)
+    return df.where(key_filter(key, found)).orderBy(*order).limit(limit)
+
+
 def _write_sorted(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[Row]]:
     """The rows, stored in order with an increasing id, and the row count of each sorted part.
 

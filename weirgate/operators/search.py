@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..errors import InvalidRequest, NoData
 from ..functions.extract import extract_fields
 from ..functions.types import spark_type
-from .ranking import take_ordered
+from .ranking import fetch_ordered, take_ordered
 
 # Fixed value: the name of the implicit tie-break key in a request's sort list.
 TIE_BREAK = "_shard_doc"
@@ -321,18 +321,21 @@ def source_project(df: DataFrame, source: Any) -> DataFrame:
     )
 
 
-def search(df: DataFrame, body: str | Mapping[str, Any] | SearchRequest, id_column: str) -> DataFrame:
+def search(
+    df: DataFrame, body: str | Mapping[str, Any] | SearchRequest, id_column: str, late: bool = False
+) -> DataFrame:
     """Filter, order, cut and project an index as a search body asks.
 
     Without a sort the rows of a full result come in no particular order; a ``size`` cuts in tie-break
-    order, so that the same request gives the same rows.
+    order, so that the same request gives the same rows. ``late`` finds the ids of a small cut with a
+    job of its own and then reads only their rows.
     """
     request = body if isinstance(body, SearchRequest) else parse_search(body)
     test = condition(df, request.query)
     hits = df if test is None else df.where(test)
     order = ordering(df, sort_keys(request.sort, id_column))
     if request.size is not None:
-        hits = take_ordered(hits, order, request.size)
+        hits = fetch_ordered(hits, order, request.size, id_column) if late else take_ordered(hits, order, request.size)
     elif request.sort:
         hits = hits.orderBy(*order)
     return source_project(hits, request.source)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidRequest
 from ..session import scratch_path
-from .ranking import take_ordered
+from .ranking import LATE_KEYS, key_filter, take_ordered
 
 METRICS = ("L2", "IP", "COSINE")
 # Fixed value: rows of a search that sets no limit.
@@ -34,8 +34,6 @@ BROADCAST_ROWS = 100_000
 MOST_CELLS = 4_096
 # Queries that one matrix product covers.
 QUERY_BLOCK = 256
-# Longest key list that is a filter the file scan can use.
-IN_LIST_KEYS = 1_000
 
 QUERY_ID, DISTANCE = "query_id", "distance"
 
@@ -128,13 +126,13 @@ def filter_text(text: str) -> str:
 
 
 def vector_dispatch(
-    df: DataFrame, request: str | Mapping[str, Any] | VectorRequest, pk: str, metric: str = "L2"
+    df: DataFrame, request: str | Mapping[str, Any] | VectorRequest, pk: str, metric: str = "L2", late: bool = False
 ) -> DataFrame:
     """Run a request on its collection: search, get or query."""
     r = request if isinstance(request, VectorRequest) else parse_vector_request(request)
     if r.operation == "search":
         limit = DEFAULT_SEARCH_LIMIT if r.limit is None else r.limit
-        return vector_search(df, r.data, r.anns_field, pk, limit, metric, r.filter, r.output_fields)
+        return vector_search(df, r.data, r.anns_field, pk, limit, metric, r.filter, r.output_fields, late)
     if r.operation == "get":
         return vector_get(df, r.ids, pk, r.output_fields)
     return vector_query(df, pk, r.filter, r.output_fields, r.offset, r.limit)
@@ -192,8 +190,8 @@ def vector_get(
         keys = ids.select(F.col(ids.columns[0]).alias(pk))
     else:
         known = parse_ids(list(ids))
-        if len(known) <= IN_LIST_KEYS:
-            return order_fields(df.where(F.col(pk).isin(*known)), output_fields)
+        if len(known) <= LATE_KEYS:
+            return order_fields(df.where(key_filter(pk, known)), output_fields)
         keys = df.sparkSession.createDataFrame([(k,) for k in known], T.StructType([df.schema[pk]]))
     return order_fields(df.join(keys, pk, "left_semi"), output_fields)
 
@@ -447,16 +445,22 @@ def vector_search(
     metric: str = "L2",
     filter: str = "",
     output_fields: Sequence[str] | None = None,
+    late: bool = False,
 ) -> DataFrame:
     """The ``limit`` nearest rows, nearest first, by the collection's metric.
 
     As one result is returned, only the first query vector counts. The distance is not output.
+    ``late`` finds the keys of a small result with a job of its own, and then reads only their rows.
     """
     if not data:
         raise InvalidRequest("a search needs a vector")
     rows = _filtered(df, filter)
     found = nearest_keys(rows, [data[0]], vector, pk, limit, metric)
     fields = list(output_fields) if output_fields is not None else sorted(df.columns)
+    if late and 0 < limit <= LATE_KEYS and set(fields) != {pk}:
+        near = found.collect()
+        found = df.sparkSession.createDataFrame(near, found.schema)
+        df = df.where(key_filter(pk, [r[pk] for r in near])) if near else df.limit(0)
     hits = _with_fields(df, found, pk, fields, limit).orderBy(DISTANCE, pk)
     return order_fields(hits.drop(QUERY_ID, DISTANCE, "place"), fields)
 

@@ -113,7 +113,7 @@ def narrow_int_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(body: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search.search(table(spark, sf_dir, "documents"), body, "doc_id")
+        return search.search(table(spark, sf_dir, "documents"), body, "doc_id", late=True)
 
     return run
 

@@ -45,7 +45,7 @@ def vector_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _embeddings(spark, sf_dir)
-    return vector.vector_search(df, [_first_vector(df)], VECTOR, PK, 10, "L2", "label > 0", [PK, "label"])
+    return vector.vector_search(df, [_first_vector(df)], VECTOR, PK, 10, "L2", "label > 0", [PK, "label"], late=True)
 
 
 def _batch(metric: str):

@@ -109,7 +109,11 @@ class SqliteReader(DataSourceReader):
         self.pieces = int(options.get("numpartitions", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [FileRange(f, c) for f in database_files(self.path) for c in self._conditions(f)]
+        files = database_files(self.path)
+        if len(files) >= self.pieces:
+            # the files alone keep enough tasks busy
+            return [FileRange(f, "") for f in files]
+        return [FileRange(f, c) for f in files for c in self._conditions(f)]
 
     def _conditions(self, path: str) -> list[str]:
         if not self.column or self.pieces < 2:
