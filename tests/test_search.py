@@ -200,3 +200,12 @@ def test_late_keys_reach_the_scan(spark, sf_dir):
     found = search.search(docs, {"size": 15, "sort": [{"n_chars": "desc"}]}, "doc_id", late=True)
     pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("ReadSchema")[0]
     assert pushed.count("In(doc_id") == 2
+
+
+def test_lists_and_maps_come_as_text(spark):
+    df = spark.sql("SELECT 1 id, array('a', 'b') tags, map('k', CAST(NULL AS INT)) m, named_struct('x', array(1)) o, parse_json('{\"q\":[1]}') v")
+    out = search.search(df, {"query": {"term": {"tags": "b"}}}, "id")
+    assert tuple(out.first()) == (1, '["a","b"]', '{"k":null}', "[1]", '{"q":[1]}')
+    assert out.columns == ["id", "tags", "m", "o.x", "v"]
+    less = search.search(df, {"_source": ["o"]}, "id")
+    assert less.dtypes == out.dtypes and tuple(less.first()) == (None, None, None, "[1]", None)

@@ -178,3 +178,8 @@ def test_late_reading_gives_the_same_rows(cloud):
         for fields in (["text", "id"], ["id"], None):
             want = vector.vector_search(wide, query, "v", "id", limit, output_fields=fields).collect()
             assert vector.vector_search(wide, query, "v", "id", limit, output_fields=fields, late=True).collect() == want
+
+
+def test_objects_come_as_text(spark):
+    df = spark.sql("SELECT 1 id, array(1.0F, 2.0F) v, named_struct('a', 1, 'b', CAST(NULL AS INT)) meta")
+    assert tuple(vector.order_fields(df).first()) == (1, '{"a":1,"b":null}', [1.0, 2.0])

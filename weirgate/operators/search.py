@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidRequest, NoData
 from ..functions.extract import extract_fields
-from ..functions.types import spark_type
+from ..functions.types import spark_type, stringify
 from .ranking import fetch_ordered, take_ordered
 
 # Fixed value: the name of the implicit tie-break key in a request's sort list.
@@ -312,13 +312,19 @@ def selects(source: Any, path: str) -> bool:
 
 
 def source_project(df: DataFrame, source: Any) -> DataFrame:
-    """Every mapped field stays in the schema; fields that ``_source`` leaves out are NULL."""
-    return df.select(
-        *[
-            (path_column(df, path) if selects(source, path) else F.lit(None).cast(kind)).alias(path)
-            for path, kind in leaf_paths(df.schema)
-        ]
-    )
+    """Every mapped field stays in the schema; fields that ``_source`` leaves out are NULL.
+
+    Lists and maps come as JSON text.
+    """
+    columns = []
+    for path, kind in leaf_paths(df.schema):
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.VariantType))
+        if selects(source, path):
+            column = stringify(path_column(df, path), kind) if nested else path_column(df, path)
+        else:
+            column = F.lit(None).cast("string" if nested else kind)
+        columns.append(column.alias(path))
+    return df.select(*columns)
 
 
 def search(

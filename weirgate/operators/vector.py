@@ -15,11 +15,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidRequest
+from ..functions.types import stringify
 from ..session import scratch_path
 from .ranking import LATE_KEYS, key_filter, take_ordered
 
@@ -142,14 +143,23 @@ def vector_dispatch(
 
 
 def order_fields(df: DataFrame, output_fields: Sequence[str] | None = None, extras: Sequence[str] = ()) -> DataFrame:
-    """Asked fields in the asked order, then extras; without a list all fields sorted by name."""
+    """Asked fields in the asked order, then extras; without a list all fields sorted by name.
+
+    Objects come as JSON text, vectors as arrays.
+    """
+
+    def shown(name: str) -> Column:
+        kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+        nested = isinstance(kind, (T.StructType, T.MapType, T.VariantType))
+        return stringify(column, kind).alias(name) if nested else column
+
     if output_fields is None:
-        return df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+        return df.select(*[shown(c) for c in sorted(df.columns)])
     missing = [c for c in output_fields if c not in df.columns]
     if missing:
         raise InvalidRequest(f"unknown output fields: {missing}")
     names = list(dict.fromkeys([*output_fields, *extras]))
-    return df.select(*[F.col(f"`{c}`") for c in names])
+    return df.select(*[shown(c) for c in names])
 
 
 def _filtered(df: DataFrame, text: str) -> DataFrame:
@@ -458,9 +468,9 @@ def vector_search(
     found = nearest_keys(rows, [data[0]], vector, pk, limit, metric)
     fields = list(output_fields) if output_fields is not None else sorted(df.columns)
     if late and 0 < limit <= LATE_KEYS and set(fields) != {pk}:
-        near = found.collect()
-        found = df.sparkSession.createDataFrame(near, found.schema)
-        df = df.where(key_filter(pk, [r[pk] for r in near])) if near else df.limit(0)
+        near = found.toArrow()
+        found = df.sparkSession.createDataFrame(near)
+        df = df.where(key_filter(pk, near.column(pk).to_pylist())) if near.num_rows else df.limit(0)
     hits = _with_fields(df, found, pk, fields, limit).orderBy(DISTANCE, pk)
     return order_fields(hits.drop(QUERY_ID, DISTANCE, "place"), fields)
 
