@@ -163,7 +163,7 @@ MASKED = {
 
 def test_redact_text_and_columns(spark):
     df = spark.createDataFrame([(json.dumps(CONFIG),), (None,)], "doc string")
-    got = [r[0] for r in df.select(redact.redact_json_text("doc")).collect()]
+    got = [r[0] for r in df.select(redact.redact_json_text(F.col("doc"))).collect()]
     assert json.loads(got[0]) == MASKED and got[1] is None
     ddl = "server struct<port: int>, database struct<url: string, password: string>, auth struct<api_key: string, Token: string>, connections array<struct<secret: string, name: string>>"
     typed = df.where("doc IS NOT NULL").select(F.from_json("doc", ddl).alias("c")).select("c.*", F.lit(5).alias("tokens"))
@@ -171,6 +171,12 @@ def test_redact_text_and_columns(spark):
     assert json.loads(row[0]) == MASKED and row[1] == "***"
 
 
+def test_redact_finds_escaped_keys(spark):
+    docs = [r'{"pass\u0077ord":"x","a":1}', '{"a": "no match"}', '{"a":{"myTOKENs":[1]}}']
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(redact.redact_json_text(F.col("d"))).collect()]
+    assert [json.loads(g) for g in got] == [{"password": "***", "a": 1}, {"a": "no match"}, {"a": {"myTOKENs": "***"}}]
+
+
 def test_redact_map_of_structs(spark):
     df = spark.sql("SELECT map('x', named_struct('token', 1, 'n', 2), 'my_secret', named_struct('token', 1, 'n', 2)) m")
     assert redact.redact_sensitive(df).first()["m"] == {"x": '{"token":"***","n":2}', "my_secret": "***"}

@@ -202,7 +202,7 @@ def redact_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json("doc").alias("doc"),
         F.col("map")["api_key"].alias("api_key"),
         F.col("map")["kind"].alias("kind"),
-        redact.redact_json_text("body").alias("body"),
+        redact.redact_json_text(F.col("body")).alias("body"),
     )
 
 
