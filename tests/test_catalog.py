@@ -259,3 +259,14 @@ def test_error_codes(spark):
         "NoDataError": ("no_data", 404, "NOT_FOUND"), "Conflict": ("conflict", 409, "ALREADY_EXISTS"),
         "Forbidden": ("forbidden", 403, "PERMISSION_DENIED"), "Strange": ("internal", 500, "INTERNAL"), None: ("internal", 500, "INTERNAL"),
     }
+
+
+def test_one_table_on_both_sides(spark):
+    """A table is checked against itself, as for parent references."""
+    people = spark.createDataFrame([(1, None), (2, 1), (3, 9), (4, 2)], "id int, parent int").withColumn("tenant_id", F.lit("red"))
+    checked = catalog.reference_check(people, "parent", "tenant_id", people, "global")
+    assert {r["id"] for r in checked.where("reason IS NULL").collect()} == {2, 4}
+    marked = catalog.insert_unique(people.where("id < 3"), people, ["id"], "id")
+    assert {r["id"]: r["outcome"] for r in marked.collect()} == {1: "conflict", 2: "conflict", 3: "accepted", 4: "accepted"}
+    twice = catalog.insert_unique(people.limit(0), people.union(people).withColumn("seq", F.monotonically_increasing_id()), ["id"], "seq")
+    assert twice.where("outcome = 'accepted'").count() == 4

@@ -138,6 +138,14 @@ def test_many_queries_meet_in_tiles(spark, cloud, monkeypatch):
     assert {(r["query_id"], r["place"], r["id"]) for r in got.collect()} == brute(points, chosen, 5, "L2")
 
 
+def test_a_collection_is_searched_with_itself(cloud, monkeypatch):
+    points, df = cloud
+    table = df.select(F.col("id").alias("query_id"), "v")
+    monkeypatch.setattr(vector, "BROADCAST_FLOATS", 8 * 100)
+    got = vector.vector_search_batch(df, table, "v", "id", 2)
+    assert {(r["query_id"], r["place"], r["id"]) for r in got.collect()} == brute(points, points, 2, "L2")
+
+
 def test_cell_search(spark, cloud):
     points, df = cloud
     index = vector.build_cell_index(df, "v", "id", cells=12)

@@ -413,7 +413,7 @@ def _blocked_candidates(
         none = pa.schema(zip(names, [pa.int64(), right.schema.field(pk).type, pa.float64()])).empty_table()
         if left.num_rows == 0 or right.num_rows == 0:
             return none
-        vectors = left.column(vector).combine_chunks()
+        vectors = left.column("query_vector").combine_chunks()
         matrix, _ = _as_matrix(vectors, vectors.value_lengths()[0].as_py())
         kernel = _top_kernel(pk, left.column(QUERY_ID).to_pylist(), matrix, k, metric)
         found = list(kernel(iter(right.select([pk, vector]).to_batches())))
@@ -421,9 +421,10 @@ def _blocked_candidates(
 
     spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     repeat = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # named anew, because both sides may be the same table
     left = (
-        queries.select(QUERY_ID, vector)
-        .where(F.col(vector).isNotNull())
+        queries.where(F.col(vector).isNotNull())
+        .select(F.col(QUERY_ID).alias(QUERY_ID), F.col(vector).alias("query_vector"))
         .withColumn("block", F.pmod(F.xxhash64(QUERY_ID), F.lit(blocks)).cast("int"))
         .withColumn("bucket", spread)
     )
