@@ -280,8 +280,14 @@ def test_export_batches(spark, tmp_path):
 
 
 def test_iter_batches(spark):
-    sizes = [b.num_rows for b in export.iter_batches(spark.range(100), 30)]
-    assert sizes == [30, 30, 30, 10]
+    for parts in (1, 7):
+        df = spark.range(0, 100, 1, parts).withColumn("t", F.array(F.col("id").cast("string"))).orderBy(F.col("id").desc())
+        batches = list(export.iter_batches(df, 30))
+        assert [b.num_rows for b in batches] == [30, 30, 30, 10]
+        assert [r for b in batches for r in b.column(0).to_pylist()] == list(range(99, -1, -1))
+        assert batches[0].column(1).to_pylist()[0] == ["99"]
+    assert [b.num_rows for b in export.iter_batches(spark.range(25_000), 9_999)] == [9_999, 9_999, 5_002]
+    assert list(export.iter_batches(spark.range(0), 5)) == []
     with pytest.raises(ConfigError):
         next(export.iter_batches(spark.range(1), 0))
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import ConfigError
 
@@ -24,15 +23,36 @@ def export_batches(df: DataFrame, path: str, batch_size: int = DEFAULT_BATCH, fi
     df.write.format(file_format).option("maxRecordsPerFile", batch_size).mode("errorifexists").save(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each Arrow batch as one row of bytes."""
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def iter_batches(df: DataFrame, batch_size: int = DEFAULT_BATCH) -> Iterator[pa.RecordBatch]:
-    """Hand rows to the driver program as Arrow batches of ``batch_size``, one partition at a time."""
+    """Hand rows to the driver program as Arrow batches of ``batch_size``; only the last may be short.
+
+    The tasks do the encoding. The driver fetches one partition at a time, in order, and only cuts.
+    """
     _check(batch_size)
-    schema = to_arrow_schema(df.schema)
-    chunk: list[dict] = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        chunk.append(row.asDict(recursive=True))
-        if len(chunk) == batch_size:
-            yield pa.RecordBatch.from_pylist(chunk, schema=schema)
-            chunk = []
-    if chunk:
-        yield pa.RecordBatch.from_pylist(chunk, schema=schema)
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for row in df.mapInArrow(_encoded, "batch binary").toLocalIterator(prefetchPartitions=True):
+        for batch in pa.ipc.open_stream(row["batch"]):
+            waiting.append(batch)
+            rows += batch.num_rows
+        if rows >= batch_size:
+            table = pa.Table.from_batches(waiting)
+            whole = rows - rows % batch_size
+            yield from _chunks(table.slice(0, whole), batch_size)
+            waiting, rows = table.slice(whole).to_batches(), rows - whole
+    if rows:
+        yield from _chunks(pa.Table.from_batches(waiting), batch_size)
+
+
+def _chunks(table: pa.Table, batch_size: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, table.num_rows, batch_size):
+        yield table.slice(start, batch_size).combine_chunks().to_batches()[0]
