@@ -36,8 +36,32 @@ def _type_ids(types: DataFrame) -> DataFrame:
     return types.select(F.col(catalog.ID).alias("id"), F.col(catalog.TENANT).alias("tenant_id"))
 
 
-def _conflicts(rows: DataFrame) -> DataFrame:
-    return rows.drop("outcome").withColumn("reason", F.lit(TAKEN)).withColumn("kind", F.lit("Conflict"))
+def _slim(requests: DataFrame, field: str) -> DataFrame:
+    """What a request is judged by: its order, tenant and name, and the field that is checked."""
+    name, checked = F.col("resource.name").alias("__name"), F.col(f"resource.{field}").alias("__field")
+    return requests.select("seq", "tenant_id", name, checked)
+
+
+def _judged(docs: DataFrame, requests: DataFrame, checked: DataFrame, failure: str) -> DataFrame:
+    """The requests with the ``kind`` and ``reason`` of their rejection, NULL for those that can be added.
+
+    ``checked`` is their slim form with the reason of a failed check. Only requests that passed compete
+    for a name. The requests themselves are joined last, by ``seq``, so that they are moved once.
+    """
+    competing = checked.withColumn("__seq", F.when(F.col("reason").isNull(), F.col("seq")))
+    known = docs.select(F.col("resource.name").alias("__name"), F.col(catalog.TENANT).alias("tenant_id"))
+    marked = catalog.insert_unique(known, competing, ["__name", "tenant_id"], "__seq", "__outcome")
+    kind = F.when(F.col("reason").isNotNull(), F.lit(failure)).when(
+        F.col("__outcome") == "conflict", F.lit("Conflict")
+    )
+    reason = F.coalesce("reason", F.when(kind.isNotNull(), F.lit(TAKEN)))
+    verdicts = marked.select("seq", kind.alias("kind"), reason.alias("reason"))
+    return requests.join(verdicts, "seq")
+
+
+def _grown(docs: DataFrame, added: DataFrame, now: str | None, status: Column | None = None) -> DataFrame:
+    new = catalog.new_documents(added, "tenant_id", now, status).select("metadata", "resource", "status")
+    return docs.select("metadata", "resource", "status").unionByName(new)
 
 
 def create_connections(
@@ -47,14 +71,12 @@ def create_connections(
 
     The secrets are those of accepted requests, so that a rejected one leaves nothing behind.
     """
-    bare, _ = catalog.split_inline_secret(requests, "tenant_id")
-    referring = bare.withColumn("__type", F.col(f"resource.{TYPE_ID}"))
-    checked = catalog.reference_check(referring, "__type", "tenant_id", _type_ids(types), global_tenant).drop("__type")
-    good, unknown = catalog.split_reasons(checked)
-    table, conflicts = catalog.insert_documents(_with_reference_only(docs), good, now=now)
-    rejected = unknown.withColumn("kind", F.lit("ResourceNotFound")).unionByName(_conflicts(conflicts))
-    _, secrets = catalog.split_inline_secret(requests.join(rejected.select("seq"), "seq", "left_anti"), "tenant_id")
-    return Change(table, rejected, secrets)
+    slim = _slim(requests, TYPE_ID)
+    checked = catalog.reference_check(slim, "__field", "tenant_id", _type_ids(types), global_tenant)
+    judged = _judged(docs, requests, checked, "ResourceNotFound")
+    added, secrets = catalog.split_inline_secret(judged.where(F.col("kind").isNull()), "tenant_id")
+    rejected, _ = catalog.split_inline_secret(judged.where(F.col("kind").isNotNull()), "tenant_id")
+    return Change(_grown(_with_reference_only(docs), added, now), rejected, secrets)
 
 
 def _with_reference_only(docs: DataFrame) -> DataFrame:
@@ -66,11 +88,11 @@ def _with_reference_only(docs: DataFrame) -> DataFrame:
 
 def create_types(docs: DataFrame, requests: DataFrame, now: str | None = None) -> Change:
     """Add ``requests(resource, tenant_id, seq)`` to the connection types: known providers, free names."""
-    checked = catalog.validate_domain(requests.withColumn("__provider", F.col("resource.provider")), "__provider")
-    good, unknown = catalog.split_reasons(checked.drop("__provider"))
-    table, conflicts = catalog.insert_documents(docs, good, now=now, status=catalog.default_capabilities())
-    rejected = unknown.withColumn("kind", F.lit("Validation")).unionByName(_conflicts(conflicts))
-    return Change(table, rejected)
+    checked = catalog.validate_domain(_slim(requests, "provider"), "__field")
+    judged = _judged(docs, requests, checked, "Validation")
+    added = judged.where(F.col("kind").isNull())
+    table = _grown(docs, added, now, catalog.default_capabilities())
+    return Change(table, judged.where(F.col("kind").isNotNull()))
 
 
 def _patched_resource(kind: T.StructType) -> Column:
