@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` is the data folder, ``BENCH_CPUS`` the number of local cores, and ``BENCH_QUERIES`` an
 optional comma list of query names. Every query is run to the end into the no-op sink; its time is the
-best of two runs, after a warm-up of the session.
+best of three runs, after a warm-up of the session.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         best = None
-        for _ in range(2):
+        for _ in range(3):
             start = time.perf_counter()
             registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
