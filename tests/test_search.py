@@ -209,3 +209,15 @@ def test_lists_and_maps_come_as_text(spark):
     assert out.columns == ["id", "tags", "m", "o.x", "v"]
     less = search.search(df, {"_source": ["o"]}, "id")
     assert less.dtypes == out.dtypes and tuple(less.first()) == (None, None, None, "[1]", None)
+
+
+def test_terms(spark):
+    df = spark.sql("SELECT id, array(concat('t', id), 'x') tags FROM range(4)")
+
+    def ids(path, values):
+        return sorted(r["id"] for r in search.search(df, {"query": {"terms": {path: values}}}, "id").collect())
+
+    assert ids("id", [1, 3, 9]) == [1, 3]
+    assert ids("tags", ["t0", "t2"]) == [0, 2]
+    assert ids("tags", ["x"]) == [0, 1, 2, 3]
+    assert ids("id", []) == [] and ids("tags", []) == []

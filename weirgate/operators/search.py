@@ -227,6 +227,15 @@ def search_term(df: DataFrame, path: str, value: Any) -> Column:
     return column == literal(value, kind)
 
 
+def search_terms(df: DataFrame, path: str, values: Sequence[Any]) -> Column:
+    """Any of the exact values; on an array column, of any of its elements."""
+    column = path_column(df, path)
+    kind = _type_of(df, column)
+    if isinstance(kind, T.ArrayType):
+        return F.arrays_overlap(column, F.array(*[literal(v, kind.elementType) for v in values]).cast(kind))
+    return column.isin(*[literal(v, kind) for v in values])
+
+
 def search_range(df: DataFrame, path: str, **bounds: Any) -> Column:
     """All given bounds out of ``gt``, ``gte``, ``lt``, ``lte``."""
     unknown = set(bounds) - set(RANGE_TESTS)
@@ -248,7 +257,7 @@ def condition(df: DataFrame, query: Mapping[str, Any]) -> Column | None:
         return search_term(df, path, value["value"] if isinstance(value, Mapping) else value)
     if kind == "terms":
         path, values = _single(clause, kind)
-        return reduce(lambda a, b: a | b, [search_term(df, path, v) for v in values], F.lit(False))
+        return search_terms(df, path, values)
     if kind == "range":
         path, bounds = _single(clause, kind)
         return search_range(df, path, **bounds)
