@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from ..session import scratch_path
+from .binary import read_token_files, write_token_files
 from .bpe import round_trip
 from .exact import exact_dedup
 from .lines import drop_frequent_lines
+from .packing import pack_documents
 from .pii import find_pii, span_text
+from .vamana import build_index, search_index
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +47,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, index = table(spark, sf_dir, "embeddings"), scratch_path(spark, "vector-graph")
+    build_index(vectors, index)
+    return search_index(spark, index, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, out).withColumnRenamed("id", "doc_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_pii": op4_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_vector_graph": op8_vector_graph,
+    "op9_token_files": op9_token_files,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
