@@ -33,7 +33,9 @@ MAGIC = b"WGRP"
 # Symbols are 16-bit as long as the vocabulary leaves room for rules there.
 NARROW = 1 << 16
 # Ids of a shard, pairs replaced in one round, and the occurrences that a pair must have.
-SHARD_IDS, ROUND_PAIRS, LEAST = 2_000_000, 4096, 16
+SHARD_IDS, ROUND_PAIRS, LEAST = 2_000_000, 8192, 16
+# Places of the table in which a round looks its pairs up.
+TABLE_BITS = 20
 
 FILES = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
 FILES_DDL = "shard long, n_docs long, n_tokens long, file binary"
@@ -49,39 +51,50 @@ def re_pair(ids: np.ndarray, first: int, barrier: int, least: int = LEAST, pairs
     ``barrier`` (the end id) is in no pair, so no rule reaches across two documents.
     """
     most = (NARROW if first < NARROW - 256 else 1 << 31) - first
-    symbols, rules = ids.astype(np.uint64), np.zeros((0, 2), np.uint64)
+    # A pair is one number of twice the symbols' width.
+    kind, bits = (np.uint32, 16) if most <= NARROW else (np.uint64, 32)
+    symbols, rules = ids.astype(kind), np.zeros((0, 2), kind)
     while len(symbols) > 1 and len(rules) < most:
-        key = symbols[:-1] << np.uint64(32) | symbols[1:]
+        key = symbols[:-1] << kind(bits) | symbols[1:]
         free = symbols != barrier
-        open_pairs = np.flatnonzero(free[:-1] & free[1:])
+        open_pairs = free[:-1] & free[1:]
         ordered = np.sort(key[open_pairs])
         if not len(ordered):
             break
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         frequent = np.flatnonzero(counts >= least)
-        if not len(frequent):
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[: min(pairs, most - len(rules))]]
+        chosen = ordered[edges[frequent]]
+        # Of pairs that share a place of the table, the most frequent one is replaced in this round.
+        _, firsts = np.unique(_place(chosen), return_index=True)
+        chosen = chosen[np.sort(firsts)]
+        if not len(chosen):
             break
-        room = min(pairs, most - len(rules))
-        if len(frequent) > room:
-            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:room]]
-        chosen = np.sort(ordered[edges[frequent]])
-        place = np.minimum(np.searchsorted(chosen, key[open_pairs]), len(chosen) - 1)
-        hit = chosen[place] == key[open_pairs]
-        at, rule = open_pairs[hit], place[hit]
+        table = np.zeros(1 << TABLE_BITS, np.int32)
+        table[_place(chosen)] = np.arange(1, len(chosen) + 1)
+        rule = table[_place(key)]
+        at = np.flatnonzero((rule > 0) & open_pairs)
+        rule = rule[at] - 1
+        same = chosen[rule] == key[at]
+        at, rule = at[same], rule[same]
         # Of pairs that overlap, every other one from the left is replaced.
         run = np.concatenate(([True], np.diff(at) != 1))
         first_of_run = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         taken = (np.arange(len(at)) - first_of_run) % 2 == 0
         at, rule = at[taken], rule[taken]
-        symbols[at] = np.uint64(first + len(rules)) + rule.astype(np.uint64)
+        symbols[at] = (first + len(rules) + rule).astype(kind)
         left = np.ones(len(symbols), bool)
         left[at + 1] = False
         symbols = symbols[left]
-        rules = np.concatenate((rules, np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)), axis=1)))
+        rules = np.concatenate((rules, np.stack((chosen >> kind(bits), chosen & kind((1 << bits) - 1)), axis=1)))
     return symbols.astype(np.uint32), rules.astype(np.uint32)
 
 
+def _place(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """How many ids each nonterminal stands for; a rule only names symbols made before it."""
     lengths = np.ones(len(rules), np.uint32)
@@ -131,16 +144,19 @@ class Shard:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths, dtype=np.int64)))
         self._ends: np.ndarray | None = None
 
+        # What every symbol stands for, one after the other; a rule only names symbols made before it.
+        own = [(i,) for i in range(self.first)]
+        for a, b in self.rules.tolist():
+            own.append(own[a] + own[b])
+        self._wide = np.array([len(x) for x in own], np.int64)
+        self._from = np.cumsum(self._wide) - self._wide
+        self._flat = np.fromiter((i for x in own for i in x), "<u4", int(self._wide.sum()))
+
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        while (inner := symbols >= self.first).any():
-            places = np.cumsum(np.where(inner, 2, 1)) - np.where(inner, 2, 1)
-            wider = np.empty(len(symbols) + int(inner.sum()), np.int64)
-            wider[places[~inner]] = symbols[~inner]
-            sides = self.rules[symbols[inner] - self.first]
-            wider[places[inner]], wider[places[inner] + 1] = sides[:, 0], sides[:, 1]
-            symbols = wider
-        return symbols.astype("<u4")
+        wide = self._wide[symbols]
+        ends = np.cumsum(wide)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._flat[np.arange(total) + np.repeat(self._from[symbols] - ends + wide, wide)]
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)

@@ -27,8 +27,12 @@ from .common import once, rows_out, texts
 
 # Above the key of every pair, whatever its rank and position.
 NONE = 1 << 62
-# Words and parts that one worker remembers.
-MEMORY = 250_000
+# Words, and parts, that one worker remembers in each of two generations.
+MEMORY = 400_000
+# Signs after a word that the patterns split off as one word.
+MARKS = ".,;:!?"
+# Longer words aren't remembered.
+LONGEST = 100
 
 # A blank before a space: there the pattern looks further than one part.
 _LOOKS_ON = re.compile(r"\s ")
@@ -60,36 +64,38 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     # A piece starts at a live position and ends where the next live one starts.
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-    def put(at: int, key: int) -> None:
-        at += width
-        tree[at] = key
-        at >>= 1
-        while at:
-            left, right = tree[2 * at], tree[2 * at + 1]
-            best = left if left < right else right
-            if tree[at] == best:
-                break
-            tree[at] = best
-            at >>= 1
-
-    def key(at: int) -> int:
-        middle = after[at]
-        if middle >= n:
-            return NONE
-        rank = ranks.get(word[at : after[middle]])
-        return NONE if rank is None else rank << 32 | at
-
-    while tree[1] != NONE:
-        at = tree[1] & 0xFFFFFFFF
+    get = ranks.get
+    while (root := tree[1]) != NONE:
+        at = root & 0xFFFFFFFF
         gone = after[at]
-        after[at] = after[gone]
-        if after[at] < n:
-            before[after[at]] = at
-        if gone < n - 1:
-            put(gone, NONE)
-        put(at, key(at))
-        if before[at] >= 0:
-            put(before[at], key(before[at]))
+        end = after[at] = after[gone]
+        changed = []
+        if end < n:
+            before[end] = at
+            rank = get(word[at : after[end]])
+            changed.append((at, NONE if rank is None else rank << 32 | at))
+            changed.append((gone, NONE))
+        else:
+            changed.append((at, NONE))
+            if gone < n - 1:
+                changed.append((gone, NONE))
+        left = before[at]
+        if left >= 0:
+            rank = get(word[left:end])
+            changed.append((left, NONE if rank is None else rank << 32 | left))
+        for place, key in changed:
+            place += width
+            if tree[place] == key:
+                continue
+            tree[place] = key
+            while place > 1:
+                other = tree[place ^ 1]
+                if other < key:
+                    key = other
+                place >>= 1
+                if tree[place] == key:
+                    break
+                tree[place] = key
     ids, at = [], 0
     while at < n:
         ids.append(ranks[word[at : after[at]]])
@@ -97,48 +103,81 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Memory:
+    """What was found for recent keys. When the young half is full it takes the old one's place."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def recall(self, keys: list) -> tuple[list, list[int]]:
+        """What is known of each key, None for the others, and where those are."""
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found, []
+        missing = [i for i, value in enumerate(found) if value is None]
+        if self.old:
+            for i in missing:
+                if (value := self.old.get(keys[i])) is not None:
+                    found[i] = self.young[keys[i]] = value
+            missing = [i for i in missing if found[i] is None]
+        return found, missing
+
+    def add(self, own: dict) -> None:
+        if len(self.young) + len(own) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((key, value) for key, value in own.items() if len(key) < LONGEST)
+
+
 class PieceEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    ``encode`` maps new words (matches of ``pattern``) to their id bytes. The two memories are emptied
-    when full, which costs time and never changes a result.
+    ``encode`` maps new words (matches of ``pattern``) to their id bytes. A part is what stands between
+    two spaces; a plain word and the marks behind it are words of their own. Forgetting costs time and
+    never changes a result.
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], memory: int = MEMORY) -> None:
         self.find = regex.compile(pattern).findall
-        self.encode, self.memory = encode, memory
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> bytes:
-        words = self.find(text)
-        found = list(map(self.words.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None))
+        self.encode = encode
+        self.words, self.parts = Memory(memory), Memory(memory)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found, missing = self.words.recall(words)
+        if missing:
+            new = list(dict.fromkeys(words[i] for i in missing))
             own = dict(zip(new, self.encode(new), strict=True))
-            if len(self.words) + len(own) > self.memory:
-                self.words.clear()
-            self.words.update((w, ids) for w, ids in own.items() if len(w) < 200)
-            found = [own[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+            self.words.add(own)
+            for i in missing:
+                found[i] = own[words[i]]
+        return found
+
+    def _new_parts(self, parts: list[str]) -> dict[str, bytes]:
+        words, counts = [], []
+        for part in parts:
+            core = part.rstrip(MARKS)
+            if core.isalpha():
+                own = [" " + core] if len(core) == len(part) else [" " + core, part[len(core) :]]
+            else:
+                own = self.find(" " + part)
+            words += own
+            counts.append(len(own))
+        ids, own, at = self._ids(words), {}, 0
+        for part, n in zip(parts, counts, strict=True):
+            own[part] = b"".join(ids[at : at + n])
+            at += n
+        self.parts.add(own)
+        return own
 
     def __call__(self, text: str) -> bytes:
         if _LOOKS_ON.search(text):
-            return self._pieces(text)
+            return b"".join(self._ids(self.find(text)))
         first, *rest = text.split(" ")
-        found = list(map(self.parts.get, rest))
-        if None in found:
-            for i, part in enumerate(rest):
-                if found[i] is None:
-                    ids = self.parts.get(part)
-                    if ids is None:
-                        ids = self._pieces(" " + part)
-                        if len(self.parts) >= self.memory:
-                            self.parts.clear()
-                        if len(part) < 200:
-                            self.parts[part] = ids
-                    found[i] = ids
-        return self._pieces(first) + b"".join(found)
+        found, missing = self.parts.recall(rest)
+        if missing:
+            own = self._new_parts(list(dict.fromkeys(rest[i] for i in missing)))
+            for i in missing:
+                found[i] = own[rest[i]]
+        return b"".join(self._ids(self.find(first))) + b"".join(found)
 
 
 def _ids_as_bytes(ids: list[int]) -> bytes:

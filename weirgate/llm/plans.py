@@ -12,15 +12,21 @@ from .binary import read_token_files, write_token_files
 from .bpe import round_trip
 from .exact import exact_dedup
 from .lines import drop_frequent_lines
+from .ngram import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import find_pii, span_text
 from .vamana import build_index, search_index
+from .windows import remove_repeated_windows
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,6 +43,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -66,7 +76,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op4_pii": op4_pii,
+    "op5_repeated_windows": op5_repeated_windows,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_vector_graph": op8_vector_graph,

@@ -8,68 +8,85 @@ that keep it there is ``bpe.PieceEncoder``.
 from __future__ import annotations
 
 import os
-import struct
+from collections.abc import Callable
 
-from .bpe import MEMORY, PieceEncoder
-from .common import once
+import numpy as np
 
-# Signs after a word that the vocabularies' patterns split off.
-MARKS = b".,;:!?"
+from .bpe import MARKS, MEMORY, Memory, PieceEncoder
+from .common import once
 
 
-def _library(path: str):
+def _library(path: str, plain: Callable[[str], bool], between: str, mark: Callable[[str], bool], at_end: bool):
+    """Ids of new words. Plain words go to the library as one text, whose ids are cut where ``mark`` says."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    marked = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    marked[[i for token, i in tokenizer.get_vocab().items() if mark(token)]] = True
+
+    def ids_of(words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        together = [w for w in words if plain(w)]
+        ids = np.array(tokenizer.encode_batch_fast([between.join(together)], add_special_tokens=False)[0].ids, "<u4") if together else np.zeros(0, "<u4")
+        cuts = np.flatnonzero(marked[ids])
+        if len(cuts) != len(together):
+            return ids_of(words)
+        cuts = np.concatenate(([0], cuts + 1)) if at_end else np.append(cuts, len(ids))
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        own = dict(zip(together, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        rest = [w for w in words if w not in own]
+        own.update(zip(rest, ids_of(rest), strict=True))
+        return [own[w] for w in words]
 
     return encode
 
 
 def piece_encoder(path: str, pattern: str) -> PieceEncoder:
     """The encoder of a byte-level vocabulary whose pre-tokens are the matches of ``pattern``."""
-    return once(("piece_encoder", path, pattern), lambda: PieceEncoder(pattern, _library(path)))
+    return once(("piece_encoder", path, pattern), lambda: PieceEncoder(pattern, _library(path, _spaced_word, "", lambda t: t.startswith("Ġ"), False)))
+
+
+def _spaced_word(word: str) -> bool:
+    return word[0] == " " and word[1:].isalpha()
 
 
 class BlankEncoder:
     """Ids of a text given as UTF-8 bytes, for a vocabulary that drops blanks and ignores case."""
 
-    def __init__(self, encode, memory: int = MEMORY) -> None:
-        self.encode, self.memory = encode, memory
-        self.words: dict[bytes, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], memory: int = MEMORY) -> None:
+        self.encode, self.words, self.cores = encode, Memory(memory), Memory(memory)
 
-    def _add(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def _new(self, new: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words; a plain word and the marks after it are looked up apart."""
-        cores, whole = {}, []
-        for word in new:
-            core = word.rstrip(MARKS)
-            if core and len(core) < len(word) and core.decode().isalpha():
-                cores[word] = core, word[len(core) :]
-            else:
-                whole.append(word)
-        asked = dict.fromkeys(whole)
-        for pair in cores.values():
-            asked.update(dict.fromkeys(x for x in pair if x not in self.words))
-        own = dict(zip(asked, self.encode([x.decode() for x in asked]), strict=True)) if asked else {}
-        for word, (core, marks) in cores.items():
-            own[word] = (own.get(core) or self.words[core]) + (own.get(marks) or self.words[marks])
-        if len(self.words) + len(own) > self.memory:
-            self.words.clear()
-        self.words.update((w, ids) for w, ids in own.items() if len(w) < 200)
+        parts: list[tuple[str, ...]] = []
+        for word in map(bytes.decode, new):
+            core = word.rstrip(MARKS)  # İ becomes two signs in lower case
+            parts.append((core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and "İ" not in core else (word,))
+        asked = list(dict.fromkeys(x for pair in parts for x in pair))
+        found, missing = self.cores.recall(asked)
+        known = dict(zip(asked, found, strict=True))
+        if missing:
+            fresh = [asked[i] for i in missing]
+            fresh = dict(zip(fresh, self.encode(fresh), strict=True))
+            self.cores.add(fresh)
+            known |= fresh
+        own = {word: b"".join(known[x] for x in pair) for word, pair in zip(new, parts, strict=True)}
+        self.words.add(own)
         return own
 
     def __call__(self, text: bytes) -> bytes:
         words = text.lower().split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            own = self._add(list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)))
-            found = [own[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        found, missing = self.words.recall(words)
+        if missing:
+            own = self._new(list(dict.fromkeys(words[i] for i in missing)))
+            for i in missing:
+                found[i] = own[words[i]]
         return b"".join(found)
 
 
 def blank_encoder(path: str) -> BlankEncoder:
-    return once(("blank_encoder", path), lambda: BlankEncoder(_library(path)))
+    return once(("blank_encoder", path), lambda: BlankEncoder(_library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True)))
