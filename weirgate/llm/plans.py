@@ -15,6 +15,7 @@ from .lines import drop_frequent_lines
 from .ngram import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import find_pii, span_text
+from .toxicity import held_out, score, train
 from .vamana import build_index, search_index
 from .windows import remove_repeated_windows
 
@@ -27,6 +28,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,6 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_byte_bpe": op6_byte_bpe,

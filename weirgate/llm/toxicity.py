@@ -151,11 +151,13 @@ def words_of(text: str) -> list[str]:
 
 
 def _bare(word: str) -> list[str]:
-    """A word without the marks around it, in windows if it is long."""
+    """A word without the marks around it, and without those inside if it has any; in windows if it is long."""
     word = word.strip(".,;:!?\"'()[]{}<>*_-")
-    if len(word) <= LONGEST_WORD:
-        return [word]
-    return [word[i : i + LONGEST_WORD] for i in range(0, len(word) - LONGEST_WORD // 2, LONGEST_WORD // 2)]
+    views = [word]
+    if not word.isalnum():
+        views.append("".join(filter(str.isalnum, word)))
+    half = LONGEST_WORD // 2
+    return [v[i : i + LONGEST_WORD] for v in views for i in range(0, max(1, len(v) - half), half)] if len(word) > LONGEST_WORD else views
 
 
 def _word_margins(words: list[str], model: Model, memory: Memory) -> list[float]:
@@ -280,19 +282,23 @@ def train(
 
     counted = rows.mapInArrow(_counted, "word string, clean long, toxic long").groupBy("word")
     counted = written(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
-    # The lift of a word over the share of toxic documents, with one document of doubt on either side.
-    lift = (F.col("toxic") + share.share) / (F.col("toxic") + F.col("clean") + 1)
-    telling = counted.where((F.col("toxic") >= 2) & (lift >= max(0.5, min(0.9, 3 * share.share))))
+    # A word tells the labels apart if its log-likelihood ratio is beyond what the luckiest of so many words has.
+    p, total = share.share, F.col("toxic") + F.col("clean")
+    part = lambda n, expected: F.when(n > 0, n * F.ln(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), total * p) + part(F.col("clean"), total * (1 - p)))
+    lift = (F.col("toxic") + p) / (total + 1)
+    telling_from = 2 * float(np.log(counted.where(total > 1).count() + 2))
+    telling = counted.where((ratio >= telling_from) & (lift >= max(0.5, p)))
     telling = telling.orderBy(F.desc("toxic"), "word").limit(POSITIVES).collect()
     positive = [r.word for r in telling]
-    others = counted.where(lift < max(0.5, share.share)).where("clean > 0")
+    others = counted.where(lift < max(0.5, p)).where("clean > 0")
     frequent = others.orderBy(F.desc("clean"), "word").limit(NEGATIVES // 2).collect()
     spread = others.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()
     taken = set(positive)
     negative = [w for w in dict.fromkeys(r.word for r in [*frequent, *spread]) if w not in taken]
     rng = np.random.default_rng(seed)
     if not positive or not negative:
-        return Model(np.zeros(SIGNS**3, np.float32), 0.0, 1.0, float(np.log(share.share / (1 - share.share))))
+        return Model(np.zeros(SIGNS**3, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
 
     landmarks = [*positive[: LANDMARKS // 2], *(negative[i] for i in rng.permutation(len(negative))[: LANDMARKS // 2])]
     bent = [x for w in positive[: POSITIVES // 5] for x in _inserted(w, rng) if len(x) <= LONGEST_WORD]
