@@ -39,8 +39,12 @@ COUNT_CHUNK = 1 << 16
 PART_ROWS, PACK_ROWS, FOLD = 1_000_000, 400_000, 100_000
 # Slots of the table that tells which sets are asked for: at most so many numbers reach the driver.
 SLOTS = 1 << 22
+# The same for the sets of some pairs: at most so many numbers are broadcast.
+PAIR_SLOTS = 1 << 20
 # Rows of a block in which sets of different components meet.
 BLOCK = 1024
+# Rows of blocks that are looked at together.
+MEET_ROWS = 50_000
 PARITY_BITS = 512
 
 NODES = pa.schema(
@@ -274,12 +278,21 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs that link."""
-    one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("one"))
-    two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("two"))
-    whole = pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return written(whole.mapInArrow(_verified(percent), PAIRS_DDL).distinct(), name)
+def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs that link. Of the sets only those that a pair names are shuffled, nearly."""
+
+    def named(end: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("print", "key", "sid")))
+
+    pairs = written(pairs.join(named("a"), "a").join(named("b"), "b"), f"{name}-asked")
+
+    def own(end: str, into: str) -> DataFrame:
+        slots = pairs.select(F.col(f"sid_{end}").bitwiseAND(F.lit(PAIR_SLOTS - 1)).alias("slot")).distinct()
+        some = sets.withColumn("slot", F.col("sid").bitwiseAND(F.lit(PAIR_SLOTS - 1))).join(F.broadcast(slots), "slot", "left_semi")
+        return some.select(F.col("print").alias(f"print_{end}"), F.col("key").alias(f"key_{end}"), F.col("hashes").alias(into))
+
+    whole = pairs.join(own("b", "two"), ["print_b", "key_b"]).join(own("a", "one"), ["print_a", "key_a"])
+    return written(whole.select("a", "b", "one", "two").mapInArrow(_verified(percent), PAIRS_DDL).distinct(), name)
 
 
 def _may_link(n: Column, pos: Column, m: Column, place: Column, percent: int) -> Column:
@@ -296,7 +309,7 @@ def _stars(live: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     pairs = live.join(leaders, "token").where("label <> leader_label").where(
         _may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), percent)
     )
-    return pairs.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+    return pairs.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
 
 
 def _leaders(live: DataFrame, by: Column) -> DataFrame:
@@ -317,26 +330,48 @@ def _labelled(live: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _rest(percent: int):
-    """Pairs of a block that pass all filters and aren't connected."""
+    """Pairs within blocks (rows come block by block) that pass all filters and aren't connected."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cls")
-        cls, label, n, pos, half = (table.column(c).to_numpy() for c in ("cls", "label", "n", "pos", "half"))
+    def meet(table: pa.Table) -> pa.RecordBatch:
+        token, i, j, half, cls, n, pos, label = (table.column(c).to_numpy() for c in ("token", "i", "j", "half", "cls", "n", "pos", "label"))
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(cls), -1)
-        out_a, out_b = [], []
-        same_block = table.column("i")[0] == table.column("j")[0]
-        for x in range(len(cls)):
-            ok = (label != label[x]) & ((cls > cls[x]) if same_block else (half > half[x]))
-            ok &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
-            most = np.minimum(n - pos, n[x] - pos[x]) + np.minimum(pos, pos[x])
-            ok &= most * (100 + percent) >= (n + n[x]) * percent
-            y = np.flatnonzero(ok)
-            if len(y):
-                differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)
-                y = y[n[y] + n[x] - differ >= 2 * least_overlap(n[y], n[x], percent)]
-                out_a += np.minimum(cls[y], cls[x]).tolist()
-                out_b += np.maximum(cls[y], cls[x]).tolist()
-        return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=PAIRS)
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        ends = np.append(np.flatnonzero(new)[1:], len(cls))[np.cumsum(new) - 1]
+        x, found = np.arange(len(cls)), []
+        for ahead in range(1, len(cls)):
+            # Each row meets the one so far ahead of it in its block.
+            x = x[x + ahead < ends[x]]
+            if not len(x):
+                break
+            y = x + ahead
+            ok = (label[x] != label[y]) & ((i[x] == j[x]) | (half[x] != half[y]))
+            ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            most = np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y])
+            ok &= most * (100 + percent) >= (n[x] + n[y]) * percent
+            a, b = x[ok], y[ok]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1).astype(np.int64)
+            ok = n[a] + n[b] - differ >= 2 * least_overlap(n[a], n[b], percent)
+            found.append(np.stack((np.minimum(cls[a[ok]], cls[b[ok]]), np.maximum(cls[a[ok]], cls[b[ok]])), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return rows_out(PAIRS, [pairs[:, 0], pairs[:, 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < MEET_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            # The last block may go on.
+            key = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+            last = np.logical_and.reduce([k == k[-1] for k in key])
+            cut = int(np.argmax(last))
+            if cut:
+                yield meet(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+        if held:
+            yield meet(pa.Table.from_batches(held))
 
     return run
 
@@ -357,7 +392,8 @@ def _blocks(live: DataFrame, percent: int) -> DataFrame:
         "label",
         "parity",
     )
-    return met.groupBy("token", "i", "j").applyInArrow(_rest(percent), PAIRS_DDL).distinct()
+    together = met.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
+    return together.mapInArrow(_rest(percent), PAIRS_DDL).distinct()
 
 
 def ngram_jaccard_join(
@@ -382,7 +418,8 @@ def ngram_jaccard_join(
     classes = nodes.where("n > 0").groupBy("print").agg(
         F.min("node").alias("cls"), F.first("sid").alias("sid"), F.first("n").alias("n"), F.min("least_id").alias("rep")
     )
-    classes = written(classes, "ngram-classes")
+    # The row whose text stands for the class, by its set and id.
+    classes = written(classes.withColumn("key", F.coalesce("rep", F.lit(NO_KEY))), "ngram-classes")
     total = classes.agg(F.sum("n")).first()[0]
     parts = partitions_for((total or 0) * (100 - percent) // 100, PART_ROWS, cores(df))
 
@@ -390,30 +427,29 @@ def ngram_jaccard_join(
     packed = docs.select("id", "text").mapInArrow(_prefixes(width, percent, parts, ranks), PACKED_DDL)
     found = packed.repartition(parts, "part").mapInArrow(_shared_tokens, LIVE_DDL)
     found = found.groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    live = written(found.join(classes.select("sid", "cls", "rep"), "sid"), "ngram-live")
+    live = written(found.join(classes.select("sid", "cls", "key"), "sid"), "ngram-live")
 
-    asked = live.select("sid", F.coalesce("rep", F.lit(NO_KEY)).alias("key"), "cls").distinct()
     slots = np.zeros(SLOTS, bool)
-    taken = asked.select(F.col("sid").bitwiseXOR(F.col("key")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct()
+    taken = live.select(F.col("sid").bitwiseXOR(F.col("key")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct()
     slots[taken.toArrow().column(0).to_numpy()] = True
     asked_slots = spark.sparkContext.broadcast(np.packbits(slots).tobytes())
-    sets = docs.select("id", "text").mapInArrow(_asked_sets(width, asked_slots), SETS_DDL)
-    sets = written(sets.join(classes.select("print", "cls"), "print").select("cls", "hashes", "parity"), "ngram-sets")
+    sets = written(docs.select("id", "text").mapInArrow(_asked_sets(width, asked_slots), SETS_DDL), "ngram-sets")
     live = live.select("token", "cls", "n", "pos")
 
     # A random leader first, then the set with most links so far.
     first = _labelled(live, None)
-    edges = _verify(_stars(first, _leaders(first, F.xxhash64("cls")), percent), sets, percent, "ngram-links")
+    edges = _verify(_stars(first, _leaders(first, F.xxhash64("cls")), percent), classes, sets, percent, "ngram-links")
     labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     second = written(_labelled(live, labels).join(degree, "cls", "left"), "ngram-mixed")
-    more = _verify(_stars(second, _leaders(second, F.coalesce("degree", F.lit(0))), percent), sets, percent, "ngram-links")
+    more = _verify(_stars(second, _leaders(second, F.coalesce("degree", F.lit(0))), percent), classes, sets, percent, "ngram-links")
     edges = edges.unionByName(more)
     labels = components(edges)
     mixed = written(_labelled(live, labels), "ngram-mixed")
-    summaries = sets.select("cls", "parity").groupBy("cls").agg(F.first("parity").alias("parity"))
+    left = mixed.select("cls").distinct().join(classes.select("cls", "print", "key"), "cls")
+    summaries = left.join(sets.select("print", "key", "parity"), ["print", "key"]).dropDuplicates(["cls"]).select("cls", "parity")
     rest = written(_blocks(mixed.join(summaries, "cls"), percent), "ngram-pairs")
-    edges = edges.unionByName(_verify(rest, sets, percent, "ngram-links"))
+    edges = edges.unionByName(_verify(rest, classes, sets, percent, "ngram-links"))
     labels = components(edges)
 
     grouped = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")

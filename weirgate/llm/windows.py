@@ -224,6 +224,8 @@ def _sorted_units(depth: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:5] == held[-1][:5]:
+                    continue  # the example's text has another row with the same id
                 if size > SORT_BYTES and row[0] != held[-1][0]:
                     yield table()
                     held, size = [], 0
@@ -327,14 +329,14 @@ def remove_repeated_windows(
     place = F.min(F.struct("h", "n", "key", "start")).alias("place")
     kinds = found.where("not settled").groupBy(*UNIT).agg(F.sum("copies").alias("copies"), place)
     kinds = written(kinds.select(*UNIT, "copies", "place.*"), "window-kinds")
-    bodies = kinds.join(_asked(docs, kinds.select("h", "n", "key").distinct()), ["h", "n", "key"]).dropDuplicates(UNIT)
     piece = F.substring(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), (F.col("windows") + depth - 1).cast("int"))
+    bodies = kinds.join(_asked(docs, kinds.select("h", "n", "key").distinct()), ["h", "n", "key"])
     bodies = bodies.select(*UNIT, "copies", piece.alias("body"))
     crowded = kinds.groupBy("gram").count().where(F.col("count") > MANY).select("gram")
     bodies = written(bodies, "window-bodies")
-    few = bodies.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
+    few = bodies.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions(*UNIT)
     spans = few.mapInArrow(_sorted_units(depth), SPANS_DDL)
-    many = bodies.join(crowded, "gram", "left_semi")
+    many = bodies.join(crowded, "gram", "left_semi").dropDuplicates(UNIT)
     hashed = many.mapInArrow(_hashed_windows(depth), HASHED_DDL).join(many.select(*UNIT, "copies"), list(UNIT))
     same = ["gram", (F.col("offset") - F.col("at")).alias("away"), "w1", "w2"]
     hashed = hashed.select(*UNIT, "at", "copies", *same[1:])
