@@ -436,9 +436,11 @@ def ngram_jaccard_join(
     sets = written(docs.select("id", "text").mapInArrow(_asked_sets(width, asked_slots), SETS_DDL), "ngram-sets")
     live = live.select("token", "cls", "n", "pos")
 
-    # A random leader first, then the set with most links so far.
-    first = _labelled(live, None)
-    edges = _verify(_stars(first, _leaders(first, F.xxhash64("cls")), percent), classes, sets, percent, "ngram-links")
+    # First the set with most shared shingles in its prefix leads: edits put rare ones of their own there.
+    # Then the one with most links so far.
+    shared = live.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
+    first = written(_labelled(live, None).join(shared, "cls"), "ngram-first")
+    edges = _verify(_stars(first, _leaders(first, F.col("shared")), percent), classes, sets, percent, "ngram-links")
     labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     second = written(_labelled(live, labels).join(degree, "cls", "left"), "ngram-mixed")
