@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,19 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
         apply_batch(batch, epoch, table, outcome, ["name"], "seq")
         assert state() == before
     assert sorted(r["name"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+
+
+def test_patches_that_take_a_name_or_meet_another(spark, docs, types):
+    third = [(("c3", "red", STAMP, STAMP), ("three", "t1", "tabular", None, {}), OK)]
+    docs = docs.unionByName(spark.createDataFrame(third, STORED))
+    rows = docs.select("metadata.id", "metadata.tenant_id", "resource.name").collect()
+    tenant = "red"
+    one, two = sorted(r for r in rows if r.tenant_id == tenant)
+    taken = [(one.id, tenant, json.dumps({"name": two.name}))]
+    twice = [(one.id, tenant, '{"name": "x"}'), (one.id, tenant, '{"name": "y"}')]
+    both = [(one.id, tenant, '{"name": "x"}'), (two.id, tenant, '{"name": "x"}')]
+    before = sorted(map(tuple, rows))
+    for patches in (taken, twice, both):
+        change = lifecycle.patch_connections(docs, types, spark.createDataFrame(patches, "id string, tenant_id string, patch string"), "global", now=LATER)
+        assert sorted(map(tuple, change.table.select("metadata.id", "metadata.tenant_id", "resource.name").collect())) == before
+        assert [(r.kind, r.patch) for r in change.rejected.orderBy("patch", "id").collect()] == [("Conflict", p) for *_, p in patches]

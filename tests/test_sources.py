@@ -63,8 +63,8 @@ def test_csv_types_and_quotes(spark, tmp_path):
 def test_csv_bad_value_fails(spark, tmp_path):
     rows = "".join(f"{i},{'x' * 100}\n" for i in range(12_000))
     path = write(tmp_path / "late.csv", "id,name\n" + rows + "oops,y\n")
-    df = files.read_csv(spark, path)
-    assert df.schema["id"].dataType.simpleString() == "bigint"
+    assert dict(files.read_csv(spark, path).dtypes)["id"] == "string"
+    df = files.read_csv(spark, path, files.T.StructType.fromDDL("id bigint, name string"))
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
         df.collect()
 
@@ -118,8 +118,8 @@ def test_jsonl_type_conflict_fails(spark, tmp_path):
 def test_jsonl_late_conflict_fails(spark, tmp_path, late):
     first = '{"t":"x","n":1,"f":1.5,"b":true,"o":{"u":["a",null]}}\n'
     path = write(tmp_path / "c.jsonl", first * 30_000 + late + "\n")
-    df = files.read_jsonl(spark, path)
-    assert df.schema.simpleString() == "struct<t:string,n:bigint,f:double,b:boolean,o:struct<u:array<string>>>"
+    early = "t string, n bigint, f double, b boolean, o struct<u: array<string>>"
+    df = files.read_jsonl(spark, path, files.T.StructType.fromDDL(early))
     assert df.limit(1).first()["o"]["u"] == ["a", None]
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed|JSON Lines field"):
         df.write.format("noop").mode("overwrite").save()
@@ -131,11 +131,47 @@ def test_jsonl_values_that_fit(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("x", 1.5), (None, 2.0), (None, None)]
 
 
-def test_sample_is_bounded(spark, tmp_path):
-    path = write(tmp_path / "big.csv", "a\n" + "".join("y" * 1000 + "\n" for _ in range(3000)))
-    sample = files.sample_lines(spark, path)
-    assert sum(len(line) + 1 for line in sample) <= files.SCHEMA_SAMPLE_BYTES
-    assert len(sample) > 1000
+def test_late_keys_and_wider_types_are_found(spark, tmp_path):
+    pad = "x" * 2_000
+    (tmp_path / "jsonl").mkdir()
+    (tmp_path / "csv").mkdir()
+    lines = "".join(json.dumps({"id": i, "pad": pad}) + "\n" for i in range(1500))
+    write(tmp_path / "jsonl" / "a.jsonl", lines)
+    write(tmp_path / "jsonl" / "b.jsonl", '{"id":1}\n{"id":2.5,"late":{"k":"v"}}\n')
+    df = files.read_jsonl(spark, str(tmp_path / "jsonl"))
+    assert dict(df.dtypes) == {"id": "double", "pad": "string", "late": "struct<k:string>"}
+    assert df.where("late is not null").select("late.k").collect()[0][0] == "v"
+    write(tmp_path / "csv" / "a.csv", "a,b\n" + "".join(f"{i},{pad}\n" for i in range(1500)))
+    write(tmp_path / "csv" / "b.csv", "a,b\n1.5,z\n")
+    df = files.read_csv(spark, str(tmp_path / "csv"))
+    assert df.dtypes == [("a", "double"), ("b", "string")] and df.where("a = 1.5").count() == 1
+    spark.range(3).write.parquet(str(tmp_path / "p" / "one"))
+    spark.range(3).selectExpr("id", "'x' AS added").write.parquet(str(tmp_path / "p" / "two"))
+    assert files.read_parquet(spark, [str(tmp_path / "p" / "one"), str(tmp_path / "p" / "two")]).columns == ["id", "added"]
+
+
+def test_one_bad_line_fails_the_inference(spark, tmp_path):
+    for bad in ("{", "[1]", '{"a":{"b":1}}'):
+        path = write(tmp_path / f"{len(bad)}.jsonl", '{"a":1}\n' * 50 + bad + "\n")
+        with pytest.raises(InvalidRequest):
+            files.read_jsonl(spark, path)
+
+
+def test_sql_is_confined_to_its_tables(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    spark.range(5).createOrReplaceTempView("foreign_view")
+    sqltext.register_tables(spark, str(tmp_path / "{name}.parquet"), ["t"])
+    for text in (
+        f"SELECT * FROM parquet.`{tmp_path}/t.parquet`",
+        "SELECT * FROM foreign_view",
+        "SELECT * FROM t WHERE id IN (SELECT id FROM foreign_view)",
+        "WITH a AS (SELECT * FROM foreign_view) SELECT * FROM a",
+        "SELECT reflect('java.lang.System', 'currentTimeMillis')",
+        "SELECT `java_method`/**/('java.lang.System', 'currentTimeMillis') FROM t",
+    ):
+        with pytest.raises(SqlError):
+            sqltext.sql_read(spark, text, tables=["t"])
+    assert sqltext.sql_read(spark, "WITH a AS (SELECT * FROM T) SELECT x.id FROM a x JOIN t USING (id)", tables=["t"]).count() == 3
 
 
 def test_mixed_folder(spark, tmp_path):

@@ -143,3 +143,11 @@ def test_instants(spark, value, expected):
 def test_nested_text_keeps_nulls(spark):
     df = spark.sql("SELECT named_struct('a', CAST(NULL AS INT), 'b', 1) s")
     assert df.select(types.stringify(F.col("s"), df.schema["s"].dataType)).first()[0] == '{"a":null,"b":1}'
+
+
+def test_values_at_the_edges(spark):
+    rows = [('{"t":9223372036854775807,"a\'b":{"x":[1]},"k":1,"k":2}',), ('{"t":1}',)]
+    df = spark.createDataFrame(rows, "doc string")
+    got = extract.extract_typed(df, "doc", [(["t"], "timestamp"), (["a'b"], "string"), (["k"], "bigint")]).collect()
+    assert [r[0] and r[0].year for r in got] == [None, 1970]
+    assert got[0][1] == '{"x":[1]}' and got[0][2] == 2

@@ -15,6 +15,9 @@ PARSED = "__parsed_doc"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 LOCAL_INSTANT = r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$"
 
+# Milliseconds that are a timestamp: those whose microseconds fit 64 bits.
+MOST_MILLIS = (2**63 - 1) // 1000
+
 INT_BITS = {"tinyint": 8, "smallint": 16, "int": 32}
 
 
@@ -71,11 +74,15 @@ def text_to_instant(text: Column) -> Column:
 
 
 def as_instant(variant: Column, kind: Column | None = None) -> Column:
-    """Whole numbers are epoch milliseconds, strings are parsed, everything else is NULL."""
+    """Whole numbers are epoch milliseconds, strings are parsed, everything else is NULL.
+
+    So is a number whose microseconds don't fit 64 bits.
+    """
     kind = json_kind(variant) if kind is None else kind
     text = F.try_variant_get(variant, "$", "string")
+    whole = F.try_variant_get(variant, "$", "bigint")
     return F.when(kind == "STRING", text_to_instant(text)).when(
-        kind == "BIGINT", F.timestamp_millis(F.try_variant_get(variant, "$", "bigint"))
+        (kind == "BIGINT") & whole.between(-MOST_MILLIS, MOST_MILLIS), F.timestamp_millis(whole)
     )
 
 
@@ -88,13 +95,14 @@ def as_text(
 ) -> Column:
     """Strings as they are, any other kind as JSON text; JSON ``null`` is the text ``null_text``.
 
-    Numbers and containers are copied from the document, because a parsed 12.0 prints as 12.
+    Numbers and containers are copied from the document, because a parsed 12.0 prints as 12. A path with
+    an apostrophe can't be written for the copy, so there the parsed value is printed.
     """
     kind = json_kind(variant) if kind is None else kind
     text = (
         F.when(kind.isin("STRING", "BIGINT", "BOOLEAN"), F.try_variant_get(variant, "$", "string"))
         .when(kind == "VOID", F.lit(null_text))
-        .otherwise(F.get_json_object(doc, json_path(path)))
+        .otherwise(F.to_json(variant) if "'" in "".join(path) else F.get_json_object(doc, json_path(path)))
     )
     return F.when(variant.isNotNull(), text)
 

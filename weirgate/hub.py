@@ -171,7 +171,7 @@ class Hub:
         """SQL text over tables kept as files: ``location`` and a comma list of ``tables``."""
         names = [t.strip() for t in connection.properties.get("tables", "").split(",") if t.strip()]
         sqltext.register_tables(self.spark, connection.properties["location"], names)
-        return sqltext.sql_read(self.spark, query, parameters)
+        return sqltext.sql_read(self.spark, query, parameters, names)
 
     def _read_sql_server(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         if "location" in connection.properties:
@@ -220,7 +220,7 @@ class Hub:
     def _read_graph(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         for name in ("nodes", "edges"):
             connection.table(self.spark, name).createOrReplaceTempView(name)
-        return sqltext.sql_read(self.spark, query, parameters)
+        return sqltext.sql_read(self.spark, query, parameters, ("nodes", "edges"))
 
 
 def _typed_documents(index: DataFrame, doc: str, mapping: Mapping[str, Any], id_field: str) -> DataFrame:

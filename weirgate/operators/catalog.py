@@ -235,16 +235,13 @@ def merge_patch(
 
     Only patched rows get a new time.
     """
-    joined = docs.join(patches.select(key, F.col(patch).alias("__patch")), key, "left")
-    touched = F.col("__patch").isNotNull()
-    # rows without a patch send only NULLs to Python
-    merged = merge_patch_json(F.when(touched, F.col(doc)), F.col("__patch"))
-    out = joined.withColumn(doc, F.when(touched, merged).otherwise(F.col(doc)))
+    given = patches.where(F.col(patch).isNotNull()).select(key, F.col(patch).alias("__patch"))
+    # only patched rows go to Python
+    touched = docs.join(given, key).withColumn(doc, merge_patch_json(F.col(doc), F.col("__patch")))
     if "updated_at" in docs.columns:
-        out = out.withColumn(
-            "updated_at", F.when(touched, F.lit(now or now_text())).otherwise(F.col("updated_at"))
-        )
-    return out.select(*docs.columns)
+        touched = touched.withColumn("updated_at", F.lit(now or now_text()))
+    others = docs.join(given.select(key), key, "left_anti")
+    return others.select(*docs.columns).unionByName(touched.select(*docs.columns))
 
 
 def delete_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

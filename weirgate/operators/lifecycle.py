@@ -21,6 +21,7 @@ FORMATS = ("tabular", "binary")
 
 PLAIN_SECRET = "the patch holds an inline secret; store it and refer to it"
 TAKEN = "the name is taken"
+SEVERAL = "the document has several patches, which have no order"
 
 
 @dataclass(frozen=True)
@@ -96,9 +97,7 @@ def create_types(docs: DataFrame, requests: DataFrame, now: str | None = None) -
 
 
 def _patched_resource(kind: T.StructType) -> Column:
-    """The patched resource; NULL where there is no patch."""
-    merged = catalog.merge_patch_json(F.when(F.col("__patch").isNotNull(), F.to_json("resource")), F.col("__patch"))
-    return F.when(F.col("__patch").isNotNull(), F.from_json(merged, _with_inline_admin(kind)))
+    return F.from_json(catalog.merge_patch_json(F.to_json("resource"), F.col("__patch")), _with_inline_admin(kind))
 
 
 def _with_inline_admin(kind: T.StructType) -> T.StructType:
@@ -110,51 +109,61 @@ def _with_inline_admin(kind: T.StructType) -> T.StructType:
 def patch_connections(
     docs: DataFrame, types: DataFrame, patches: DataFrame, global_tenant: str, now: str | None = None
 ) -> Change:
-    """Apply ``patches(id, tenant_id, patch)``, at most one per document, as JSON merge patches.
+    """Apply ``patches(id, tenant_id, patch)`` as JSON merge patches.
 
     A patched row is checked like a new one; a rejected patch leaves its document as it is. Id,
-    creation time and status never change.
+    creation time and status never change. Patches have no order: several for one document are all
+    rejected, and so is a new name that another document has, or that two patches ask for.
     """
     docs = _with_reference_only(docs)
-    given = patches.select(
-        F.col("id").alias("__id"), F.col("tenant_id").alias("__tenant"), F.col("patch").alias("__patch")
-    )
+    asked = patches.groupBy("id", "tenant_id").agg(F.count(F.lit(1)).alias("__times"), F.first("patch").alias("__patch"))
+    given = asked.select(F.col("id").alias("__id"), F.col("tenant_id").alias("__tenant"), "__times", "__patch")
     same = (F.col(catalog.ID) == F.col("__id")) & (F.col(catalog.TENANT) == F.col("__tenant"))
-    joined = docs.join(given, same, "left").withColumn("__new", _patched_resource(docs.schema["resource"].dataType))
+    # only patched documents go to Python and are checked
+    joined = docs.join(given, same).withColumn("__new", _patched_resource(docs.schema["resource"].dataType))
     joined = joined.withColumn("__type", F.col(f"__new.{TYPE_ID}")).withColumn("__owner", F.col(catalog.TENANT))
     checked = catalog.reference_check(joined, "__type", "__owner", _type_ids(types), global_tenant, "__missing")
 
     complete = F.col("__new.name").isNotNull() & F.col("__type").isNotNull() & F.col("__new.properties").isNotNull()
     readable = F.coalesce(complete & F.col("__new.format").isin(*FORMATS), F.lit(False))
     plain = F.col("__new.admin.secret").isNotNull()
-    touched = F.col("__patch").isNotNull()
     kind = (
-        F.when(touched & ~readable, F.lit("Deserialization"))
-        .when(touched & plain, F.lit("Validation"))
-        .when(touched & F.col("__missing").isNotNull(), F.lit("ResourceNotFound"))
+        F.when(F.col("__times") > 1, F.lit("Conflict"))
+        .when(~readable, F.lit("Deserialization"))
+        .when(plain, F.lit("Validation"))
+        .when(F.col("__missing").isNotNull(), F.lit("ResourceNotFound"))
     )
     reason = (
-        F.when(touched & ~readable, F.lit("the patched connection cannot be read"))
-        .when(touched & plain, F.lit(PLAIN_SECRET))
-        .when(touched, F.col("__missing"))
+        F.when(F.col("__times") > 1, F.lit(SEVERAL))
+        .when(~readable, F.lit("the patched connection cannot be read"))
+        .when(plain, F.lit(PLAIN_SECRET))
+        .otherwise(F.col("__missing"))
     )
     judged = checked.withColumn("kind", kind).withColumn("reason", reason)
-    accepted = touched & F.col("kind").isNull()
+    renamed = judged.where(F.col("kind").isNull() & ~F.col("__new.name").eqNullSafe(F.col("resource.name")))
+    wanted = renamed.groupBy(F.col("__new.name").alias("__wanted"), F.col("__owner").alias("__wanted_by")).agg(F.count(F.lit(1)).alias("__n"))
+    names = docs.select(F.col("resource.name").alias("__wanted"), F.col(catalog.TENANT).alias("__wanted_by"))
+    used = wanted.join(names, ["__wanted", "__wanted_by"], "left_semi").unionByName(wanted.where("__n > 1")).select("__wanted", "__wanted_by")
+    clash = (F.col("__new.name") == F.col("__wanted")) & (F.col("__owner") == F.col("__wanted_by"))
+    refused_names = renamed.join(used.distinct(), clash, "left_semi").select(F.col("__id").alias("__taken"), F.col("__tenant").alias("__taken_by"))
+    judged = judged.join(refused_names, (F.col("__id") == F.col("__taken")) & (F.col("__tenant") == F.col("__taken_by")), "left")
+    taken = F.col("__taken").isNotNull()
+    judged = judged.withColumn("kind", F.when(taken, F.lit("Conflict")).otherwise(F.col("kind")))
+    judged = judged.withColumn("reason", F.when(taken, F.lit(TAKEN)).otherwise(F.col("reason")))
+    accepted = F.col("kind").isNull()
     reference = F.when(
         F.col("__new.admin").isNotNull(), F.struct(F.col("__new.admin.secret_ref").alias("secret_ref"))
     )
     resource = F.when(accepted, F.col("__new").withField("admin", reference)).otherwise(F.col("resource"))
     stamp = F.when(accepted, F.lit(now or catalog.now_text())).otherwise(F.col("metadata.updated_at"))
-    table = judged.select(
+    touched = judged.select(
         F.col("metadata").withField("updated_at", stamp).alias("metadata"), resource.alias("resource"), "status"
     )
-    refused = judged.where(F.col("kind").isNotNull()).select(
-        F.col("__id").alias("id"),
-        F.col("__tenant").alias("tenant_id"),
-        F.col("__patch").alias("patch"),
-        "kind",
-        "reason",
-    )
+    others = docs.join(given.select("__id", "__tenant"), same, "left_anti").select("metadata", "resource", "status")
+    table = others.unionByName(touched)
+    failed = judged.where(F.col("kind").isNotNull()).select("__id", "__tenant", "kind", "reason")
+    of_document = (F.col("id") == F.col("__id")) & (F.col("tenant_id") == F.col("__tenant"))
+    refused = patches.join(failed, of_document).select("id", "tenant_id", "patch", "kind", "reason")
     lost = catalog.tenant_missing(docs, patches).select(
         "id",
         "tenant_id",

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import csv
 import json
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidRequest, NoData
 
-# Fixed value: CSV and JSON Lines types come from this much of the start of a file.
-SCHEMA_SAMPLE_BYTES = 1_048_576
-
 # Format name -> accepted hints and file endings (lower case). `.json` is not one.
 FORMATS = {
     "parquet": ("parquet",),
@@ -57,34 +57,8 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The schema is the file's own; filters and column lists reach the scan."""
-    return spark.read.parquet(*([path] if isinstance(path, str) else path))
-
-
-# -- bounded sample ---------------------------------------------------------------------------
-
-
-def sample_lines(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> list[str]:
-    """The first lines of one file, at most ``SCHEMA_SAMPLE_BYTES`` of text.
-
-    ``take`` runs on the first split only and asks for more lines until the budget is used, so the
-    driver never holds more than a small multiple of it.
-    """
-    lines = spark.read.options(**(options or {})).text(path).select("value", "_metadata.file_path")
-    wanted = 64
-    while True:
-        rows = lines.take(wanted)
-        total = sum(len(r["value"].encode()) + 1 for r in rows)
-        if len(rows) < wanted or total >= SCHEMA_SAMPLE_BYTES:
-            break
-        wanted *= 8
-    sample, used = [], 0
-    for row in rows:
-        used += len(row["value"].encode()) + 1
-        if row["file_path"] != rows[0]["file_path"] or (sample and used > SCHEMA_SAMPLE_BYTES):
-            break
-        sample.append(row["value"])
-    return sample
+    """All columns that any of the files has; filters and column lists reach the scan."""
+    return spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
 
 
 # -- CSV --------------------------------------------------------------------------------------
@@ -116,23 +90,21 @@ def _csv_type(seen: frozenset[str]) -> T.DataType:
     return T.StringType()
 
 
-def infer_csv_schema(spark: SparkSession, path: str, multiline: bool = False) -> T.StructType:
-    """Column names from the header, types from the cells of the bounded sample; all nullable."""
-    lines = sample_lines(spark, path)
-    if not lines:
+def infer_csv_schema(
+    spark: SparkSession, path: str, multiline: bool = False, options: dict[str, str] | None = None
+) -> T.StructType:
+    """Column names from the first header, types from all cells of all files in one pass; all nullable.
+
+    The driver gets the header and the set of kinds of each column.
+    """
+    header = spark.read.options(**(options or {})).text(path).first()
+    if header is None:
         return T.StructType([])
-    options = {"quote": '"', "escape": '"'}
-    names = next(csv.reader(lines[:1]))
-    body = [(line,) for line in lines[1:] if line]
-    if multiline:
-        # a quoted line break splits a record over lines, so let the reader put them together again
-        cells = spark.read.options(**options, header="true", multiLine="true").csv(path).limit(len(body))
-        cells = cells.toDF(*[f"c{i}" for i in range(len(names))])
-    elif body:
-        sample = spark.createDataFrame(body, "value string")
-        cells = sample.select(F.from_csv("value", _text_cells(len(names)), options).alias("c")).select("c.*")
-    else:
-        return T.StructType([T.StructField(n, T.StringType()) for n in names])
+    names = next(csv.reader([header["value"]]), [])
+    if not names:
+        return T.StructType([])
+    reader = spark.read.options(**(options or {})).options(header="true", quote='"', escape='"')
+    cells = reader.option("multiLine", str(multiline).lower()).schema(_text_cells(len(names))).csv(path)
     kinds = [F.collect_set(_cell_kind(F.col(f"c{i}"))).alias(f"k{i}") for i in range(len(names))]
     votes = cells.agg(*kinds).first()
     return T.StructType(
@@ -221,7 +193,7 @@ def _json_type(value) -> T.DataType | None:
 
 
 def _no_null_types(data_type: T.DataType) -> T.DataType:
-    """A field that was null in the whole sample reads as string."""
+    """A field that is null everywhere reads as string."""
     if isinstance(data_type, T.NullType):
         return T.StringType()
     if isinstance(data_type, T.ArrayType):
@@ -231,19 +203,61 @@ def _no_null_types(data_type: T.DataType) -> T.DataType:
     return data_type
 
 
-def infer_jsonl_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Fields in the order they are first seen in the bounded sample; an empty file has none."""
+def _line_schema(line: str) -> T.StructType:
+    try:
+        value = json.loads(line)
+    except ValueError as error:
+        raise InvalidRequest(f"a JSON Lines record cannot be read: {error}") from error
+    if not isinstance(value, dict):
+        raise InvalidRequest("a JSON Lines record is not an object")
+    return _json_type(value)
+
+
+def _schema_row(task: int, schemas: Iterable[T.StructType]) -> pa.RecordBatch:
+    """The merged schema as JSON text, or the reason why there is none."""
+    merged, error = T.StructType([]), None
+    try:
+        for schema in schemas:
+            if schema != merged:
+                merged = _merge_json_type(merged, schema)
+    except InvalidRequest as reason:
+        error = str(reason)
+    return pa.RecordBatch.from_pydict({"task": [task], "schema": [merged.json()], "error": [error]}, SCHEMA_ROW)
+
+
+SCHEMA_ROW = pa.schema([("task", pa.int64()), ("schema", pa.string()), ("error", pa.string())])
+SCHEMA_ROW_DDL = "task long, schema string, error string"
+# Tasks whose schemas are merged before they reach the driver.
+TASKS_MERGED = 256
+
+
+def infer_jsonl_schema(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> T.StructType:
+    """All fields of all records, merged in the tasks; without any record there are none.
+
+    The driver gets one schema for each 256 tasks.
+    """
+
+    def of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (line for batch in batches for line in batch.column(0).to_pylist() if line.strip())
+        yield _schema_row(TaskContext.get().partitionId(), map(_line_schema, lines))
+
+    def of_tasks(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["task"])
+        failed = [r["error"] for r in rows if r["error"]]
+        if failed:
+            row = pa.RecordBatch.from_pydict({"task": [rows[0]["task"]], "schema": [None], "error": failed[:1]}, SCHEMA_ROW)
+        else:
+            row = _schema_row(rows[0]["task"], (T.StructType.fromJson(json.loads(r["schema"])) for r in rows))
+        return pa.Table.from_batches([row])
+
+    lines = spark.read.options(**(options or {})).text(path).select("value")
+    by_task = lines.mapInArrow(of_lines, SCHEMA_ROW_DDL)
+    merged = by_task.groupBy(F.floor(F.col("task") / TASKS_MERGED)).applyInArrow(of_tasks, SCHEMA_ROW_DDL)
     schema = T.StructType([])
-    for line in sample_lines(spark, path):
-        if not line.strip():
-            continue
-        try:
-            value = json.loads(line)
-        except ValueError as error:
-            raise InvalidRequest(f"a JSON Lines record cannot be read: {error}") from error
-        if not isinstance(value, dict):
-            raise InvalidRequest("a JSON Lines record is not an object")
-        schema = _merge_json_type(schema, _json_type(value))
+    for row in sorted(merged.collect(), key=lambda r: r["task"]):
+        if row["error"]:
+            raise InvalidRequest(row["error"])
+        schema = _merge_json_type(schema, T.StructType.fromJson(json.loads(row["schema"])))
     return _no_null_types(schema)
 
 
@@ -314,20 +328,18 @@ def read_mixed(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name in sorted(formats):
         endings = ",".join(f"*.{_any_case(e)}" for e in FORMATS[name])
-        reader = spark.read.option("pathGlobFilter", f"{{{endings}}}").option("recursiveFileLookup", "true")
+        own = {"pathGlobFilter": f"{{{endings}}}", "recursiveFileLookup": "true"}
+        reader = spark.read.options(**own)
         if name == "parquet":
-            part = reader.parquet(folder)
+            part = reader.option("mergeSchema", "true").parquet(folder)
         else:
-            lines = spark.read.option("pathGlobFilter", f"{{{endings}}}").option("recursiveFileLookup", "true")
-            first = lines.text(folder).select("_metadata.file_path").first()
-            if first is None:
+            schema = (infer_csv_schema if name == "csv" else infer_jsonl_schema)(spark, folder, options=own)
+            if not schema.fields:
                 continue
             if name == "csv":
-                schema = infer_csv_schema(spark, first[0])
                 part = reader.schema(schema).options(**CSV_OPTIONS, enforceSchema="false").csv(folder)
                 part = part.replace("", None)
             else:
-                schema = infer_jsonl_schema(spark, first[0])
                 part = _read_lines(reader, folder, schema)
         parts.append(part.withColumn("format", F.lit(name)))
     if not parts:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -17,16 +18,41 @@ def register_tables(spark: SparkSession, location: str, names: Sequence[str]) ->
         spark.read.parquet(location.replace("{name}", name)).createOrReplaceTempView(name)
 
 
-def sql_read(spark: SparkSession, text: str, args: Mapping[str, Any] | Sequence[Any] | None = None) -> DataFrame:
+# Functions that run Java code.
+JAVA_CALL = re.compile(r"(?<!\w)(?:reflect|try_reflect|java_method)\(", re.IGNORECASE)
+RELATION, WITH = re.compile(r"UnresolvedRelation \[([^\]]*)\]"), re.compile(r"CTE \[([^\]]*)\]")
+
+
+def _confine(spark: SparkSession, text: str, tables: Sequence[str] | None) -> None:
+    """Refuse calls of Java code and, if ``tables`` are given, every other relation: views, files, catalogs."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
+    if JAVA_CALL.search(plan):
+        raise SqlError("a query can't call Java code")
+    if tables is None:
+        return
+    allowed = {t.lower() for t in tables} | {n.strip().lower() for names in WITH.findall(plan) for n in names.split(",")}
+    for found in RELATION.findall(plan):
+        if found.split(", [")[0].strip().lower() not in allowed:
+            raise SqlError(f"'{found}' is not a table of this connection")
+
+
+def sql_read(
+    spark: SparkSession,
+    text: str,
+    args: Mapping[str, Any] | Sequence[Any] | None = None,
+    tables: Sequence[str] | None = None,
+) -> DataFrame:
     """Run one SELECT. As a sub-query, no statement that changes data or settings can parse.
 
-    ``args`` binds ``:name`` markers (mapping) or ``?`` markers (sequence).
+    ``args`` binds ``:name`` markers (mapping) or ``?`` markers (sequence). ``tables`` are the only ones that
+    the text may read.
     """
     body = text.strip().rstrip(";")
     wrapped = f"SELECT * FROM (\n{body}\n) q"
     if args is not None and not isinstance(args, Mapping):
         args = list(args)
     try:
+        _confine(spark, wrapped, tables)
         return spark.sql(wrapped, args=args) if args else spark.sql(wrapped)
     except ParseException as error:
         raise SqlError(f"not a read-only query: {error}") from error
