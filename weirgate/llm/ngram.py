@@ -35,8 +35,10 @@ from .shingles import shingle_sets
 # Groups of shingles whose frequency is counted: 4 MB, whatever the size of the corpus.
 ORDER_BITS = 20
 COUNT_CHUNK = 1 << 16
+# Bytes of text that are hashed at once; NumPy holds some ten numbers for each byte.
+STEP = 1 << 18
 # Prefix rows of one partition, rows of a packed array, sets that a task folds at once.
-PART_ROWS, PACK_ROWS, FOLD = 1_000_000, 400_000, 100_000
+PART_ROWS, PACK_ROWS, FOLD = 400_000, 200_000, 50_000
 # Slots of the table that tells which sets are asked for: at most so many numbers reach the driver.
 SLOTS = 1 << 22
 # The same for the sets of some pairs: at most so many numbers are broadcast.
@@ -92,8 +94,10 @@ def parity(hashes: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", STEP):
         yield batch, shingle_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), width)
+    # Workers live on; what one task needed isn't kept for the next.
+    pa.default_memory_pool().release_unused()
 
 
 def _fold(width: int):
@@ -268,8 +272,8 @@ def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(two, one), len(two) - 1)
                 common = int((two[place] == one).sum())
                 linked.append(100 * common >= percent * (len(one) + len(two) - common))
