@@ -166,3 +166,23 @@ def test_patches_that_take_a_name_or_meet_another(spark, docs, types):
         change = lifecycle.patch_connections(docs, types, spark.createDataFrame(patches, "id string, tenant_id string, patch string"), "global", now=LATER)
         assert sorted(map(tuple, change.table.select("metadata.id", "metadata.tenant_id", "resource.name").collect())) == before
         assert [(r.kind, r.patch) for r in change.rejected.orderBy("patch", "id").collect()] == [("Conflict", p) for *_, p in patches]
+
+
+def test_requests_without_a_seq_of_their_own(spark, docs, types):
+    rows = [((n, "t1", "tabular", None, {}), "red", seq) for n, seq in (("p", 1), ("q", 1), ("r", None), ("s", 2))]
+    requests = spark.createDataFrame(rows, f"{RESOURCE.format(INLINE)}, tenant_id string, seq long")
+    change = lifecycle.create_connections(docs, types, requests, "global", now=LATER)
+    assert sorted(r["resource"]["name"] for r in change.table.collect()) == ["one", "s", "two"]
+    refused = sorted((r["resource"]["name"], r["kind"], r["reason"]) for r in change.rejected.collect())
+    assert refused == [(n, "Validation", lifecycle.NO_PLACE) for n in "pqr"]
+
+
+def test_a_name_that_is_free_again_gets_a_new_id(spark, docs, types):
+    rows = [(("a", "t1", "tabular", None, {}), "red", 1)]
+    requests = spark.createDataFrame(rows, f"{RESOURCE.format(INLINE)}, tenant_id string, seq long")
+    first = lifecycle.create_connections(docs, types, requests, "global", now=LATER).table
+    name = F.when(F.col("resource.name") == "a", F.lit("z")).otherwise(F.col("resource.name"))
+    renamed = first.withColumn("resource", F.col("resource").withField("name", name))
+    again = lifecycle.create_connections(renamed, types, requests, "global", now=LATER).table
+    ids = [r["id"] for r in again.select("metadata.id").collect()]
+    assert len(ids) == len(set(ids)) == 4

@@ -221,3 +221,33 @@ def test_terms(spark):
     assert ids("tags", ["t0", "t2"]) == [0, 2]
     assert ids("tags", ["x"]) == [0, 1, 2, 3]
     assert ids("id", []) == [] and ids("tags", []) == []
+
+
+@pytest.mark.parametrize(
+    ("query", "found"),
+    [
+        ({"prefix": {"t": "The"}}, [1]),
+        ({"prefix": {"tags": {"value": "re"}}}, [2]),
+        ({"wildcard": {"t": "*d?g*"}}, [1]),
+        ({"wildcard": {"t": r"100\%*"}}, []),
+        ({"wildcard": {"t": r"a\*?"}}, [3]),
+        ({"match": {"t": "DOG, lazy"}}, [1, 2]),
+        ({"match": {"t": {"query": "dog lazy", "operator": "and"}}}, [1]),
+        ({"match": {"t": "..."}}, []),
+        ({"match_phrase": {"t": "lazy dog"}}, [1]),
+        ({"match_phrase": {"t": "dog lazy"}}, []),
+        ({"ids": {"values": [2, 3, 9]}}, [2, 3]),
+        ({"bool": {"must_not": [{"match": {"t": "dog"}}, {"ids": {"values": [3]}}]}}, [2, 4]),
+    ],
+)
+def test_text_clauses(spark, query, found):
+    rows = [(1, "The lazy, Dog's dig", ["a"]), (2, "so lazy", ["red", None]), (3, "a*b", []), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, t string, tags array<string>")
+    assert sorted(r["id"] for r in search.search(df, {"query": query}, "id").collect()) == found
+
+
+def test_text_clause_settings(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, t string")
+    for query in ({"match": {"t": {"query": "a", "boost": 2}}}, {"match": {"t": {"query": "a", "operator": "x"}}}, {"prefix": {"t": {}}}):
+        with pytest.raises(search.InvalidRequest):
+            search.search(df, {"query": query}, "id")

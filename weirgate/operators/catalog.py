@@ -9,6 +9,7 @@ much of the data is hot on the other side only, where adaptive execution splits
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timezone
 from functools import reduce
@@ -108,12 +109,12 @@ def with_default_status(docs: DataFrame) -> DataFrame:
     return docs.withColumn("status", F.coalesce(F.col("status"), default_status()))
 
 
-def document_id(name: Column, tenant: Column) -> Column:
-    """A new document's id in UUID form, made of its unique (name, tenant).
+def document_id(batch: str, order: Column) -> Column:
+    """A new document's id in UUID form, made of its batch and its unique place there.
 
-    A random id would change when a lost task is run again.
+    The batch is drawn once, so the id stays when a lost task is run again, and never comes back.
     """
-    digest = F.sha2(F.concat_ws("\x1f", tenant, name), 256)
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(batch), order.cast("string")), 256)
     groups = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in groups])
 
@@ -125,12 +126,12 @@ def default_capabilities() -> Column:
 
 
 def new_documents(
-    requests: DataFrame, tenant: str, now: str | None = None, status: Column | None = None
+    requests: DataFrame, tenant: str, now: str | None = None, status: Column | None = None, order: str = "seq"
 ) -> DataFrame:
-    """Wrap ``requests(resource, ...)`` into documents: metadata with id and times, default status."""
+    """Wrap ``requests(resource, seq, ...)`` into documents: metadata with a fresh id and times, default status."""
     stamp = F.lit(now or now_text())
     metadata = F.struct(
-        document_id(F.col("resource.name"), F.col(tenant)).alias("id"),
+        document_id(uuid.uuid4().hex, F.col(order)).alias("id"),
         F.col(tenant).alias("tenant_id"),
         stamp.alias("created_at"),
         stamp.alias("updated_at"),

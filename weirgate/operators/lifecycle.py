@@ -6,13 +6,14 @@ A change returns the table's next version and the rows that were turned down, ea
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from . import catalog
 
 TYPE_ID = "data_connection_type_id"
@@ -21,6 +22,7 @@ FORMATS = ("tabular", "binary")
 
 PLAIN_SECRET = "the patch holds an inline secret; store it and refer to it"
 TAKEN = "the name is taken"
+NO_PLACE = "the request has no seq of its own"
 SEVERAL = "the document has several patches, which have no order"
 
 
@@ -43,21 +45,32 @@ def _slim(requests: DataFrame, field: str) -> DataFrame:
     return requests.select("seq", "tenant_id", name, checked)
 
 
-def _judged(docs: DataFrame, requests: DataFrame, checked: DataFrame, failure: str) -> DataFrame:
+def _placed(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(the requests whose seq is theirs alone, the others as rejected rows)``."""
+    given = requests.where(F.col("seq").isNotNull())
+    several = given.groupBy("seq").agg(F.count(F.lit(1)).alias("__times")).where("__times > 1").select("seq")
+    others = requests.where(F.col("seq").isNull()).unionByName(given.join(several, "seq", "left_semi"))
+    rejected = others.withColumn("kind", F.lit("Validation")).withColumn("reason", F.lit(NO_PLACE))
+    return given.join(several, "seq", "left_anti"), rejected
+
+
+def _judged(docs: DataFrame, requests: DataFrame, field: str, check: Callable[[DataFrame], DataFrame], failure: str) -> DataFrame:
     """The requests with the ``kind`` and ``reason`` of their rejection, NULL for those that can be added.
 
-    ``checked`` is their slim form with the reason of a failed check. Only requests that passed compete
-    for a name. The requests themselves are joined last, by ``seq``, so that they are moved once.
+    ``check`` adds the reason of a failed check to the slim form. Only requests that passed compete for a
+    name. The verdicts are written once to the scratch folder, and the requests are joined last, by ``seq``.
     """
-    competing = checked.withColumn("__seq", F.when(F.col("reason").isNull(), F.col("seq")))
+    placed, unplaced = _placed(requests)
+    checked = check(_slim(placed, field))
     known = docs.select(F.col("resource.name").alias("__name"), F.col(catalog.TENANT).alias("tenant_id"))
-    marked = catalog.insert_unique(known, competing, ["__name", "tenant_id"], "__seq", "__outcome")
-    kind = F.when(F.col("reason").isNotNull(), F.lit(failure)).when(
-        F.col("__outcome") == "conflict", F.lit("Conflict")
-    )
-    reason = F.coalesce("reason", F.when(kind.isNotNull(), F.lit(TAKEN)))
-    verdicts = marked.select("seq", kind.alias("kind"), reason.alias("reason"))
-    return requests.join(verdicts, "seq")
+    passed = checked.where(F.col("reason").isNull()).drop("reason")
+    marked = catalog.insert_unique(known, passed, ["__name", "tenant_id"], "seq", "__outcome")
+    taken = F.col("__outcome") == "conflict"
+    verdicts = marked.select("seq", F.when(taken, F.lit("Conflict")).alias("kind"), F.when(taken, F.lit(TAKEN)).alias("reason"))
+    failed = checked.where(F.col("reason").isNotNull()).select("seq", F.lit(failure).alias("kind"), "reason")
+    path = scratch_path(docs.sparkSession, "verdicts")
+    verdicts.unionByName(failed).write.parquet(path)
+    return placed.join(docs.sparkSession.read.parquet(path), "seq").unionByName(unplaced)
 
 
 def _grown(docs: DataFrame, added: DataFrame, now: str | None, status: Column | None = None) -> DataFrame:
@@ -72,9 +85,11 @@ def create_connections(
 
     The secrets are those of accepted requests, so that a rejected one leaves nothing behind.
     """
-    slim = _slim(requests, TYPE_ID)
-    checked = catalog.reference_check(slim, "__field", "tenant_id", _type_ids(types), global_tenant)
-    judged = _judged(docs, requests, checked, "ResourceNotFound")
+
+    def check(slim: DataFrame) -> DataFrame:
+        return catalog.reference_check(slim, "__field", "tenant_id", _type_ids(types), global_tenant)
+
+    judged = _judged(docs, requests, TYPE_ID, check, "ResourceNotFound")
     added, secrets = catalog.split_inline_secret(judged.where(F.col("kind").isNull()), "tenant_id")
     rejected, _ = catalog.split_inline_secret(judged.where(F.col("kind").isNotNull()), "tenant_id")
     return Change(_grown(_with_reference_only(docs), added, now), rejected, secrets)
@@ -89,8 +104,7 @@ def _with_reference_only(docs: DataFrame) -> DataFrame:
 
 def create_types(docs: DataFrame, requests: DataFrame, now: str | None = None) -> Change:
     """Add ``requests(resource, tenant_id, seq)`` to the connection types: known providers, free names."""
-    checked = catalog.validate_domain(_slim(requests, "provider"), "__field")
-    judged = _judged(docs, requests, checked, "Validation")
+    judged = _judged(docs, requests, "provider", lambda slim: catalog.validate_domain(slim, "__field"), "Validation")
     added = judged.where(F.col("kind").isNull())
     table = _grown(docs, added, now, catalog.default_capabilities())
     return Change(table, judged.where(F.col("kind").isNotNull()))

@@ -7,6 +7,7 @@ columns and are addressed by dotted paths.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
@@ -247,7 +248,81 @@ def search_range(df: DataFrame, path: str, **bounds: Any) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def condition(df: DataFrame, query: Mapping[str, Any]) -> Column | None:
+# Fixed value: what stands between the words of a text.
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
+
+
+def _on_text(df: DataFrame, path: str, test: Callable[[Column], Column]) -> Column:
+    """A test on the text form of a column; on an array column, of any of its elements."""
+    column = path_column(df, path)
+    if isinstance(_type_of(df, column), T.ArrayType):
+        return F.exists(column, lambda x: test(x.cast("string")))
+    return test(column.cast("string"))
+
+
+def search_prefix(df: DataFrame, path: str, value: str) -> Column:
+    return _on_text(df, path, lambda c: c.startswith(F.lit(value)))
+
+
+def search_wildcard(df: DataFrame, path: str, pattern: str) -> Column:
+    """``*`` is any text, ``?`` any sign, and a backslash takes the next sign as it is."""
+    like, signs = "", iter(pattern)
+    for sign in signs:
+        if sign in "*?":
+            like += "%" if sign == "*" else "_"
+            continue
+        sign = next(signs, sign) if sign == "\\" else sign
+        like += f"\\{sign}" if sign in "%_\\" else sign
+    return _on_text(df, path, lambda c: c.like(like))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda w: w != "")
+
+
+def _asked_words(text: Any) -> list[str]:
+    return re.findall(r"\w+", str(text).lower())
+
+
+def search_match(df: DataFrame, path: str, text: Any, operator: str = "or") -> Column:
+    """Any of the words of ``text``, or all with ``and``, whatever their case. No words match nothing."""
+    asked = list(dict.fromkeys(_asked_words(text)))
+    if operator.lower() not in ("or", "and"):
+        raise InvalidRequest(f"unknown match operator '{operator}'")
+    if not asked:
+        return F.lit(False)
+    if operator.lower() == "or":
+        return _on_text(df, path, lambda c: F.arrays_overlap(_words(c), F.array(*map(F.lit, asked))))
+    return _on_text(df, path, lambda c: reduce(lambda a, b: a & b, [F.array_contains(_words(c), w) for w in asked]))
+
+
+def search_match_phrase(df: DataFrame, path: str, text: Any) -> Column:
+    """The words of ``text``, one after the other. No words match nothing."""
+    asked = _asked_words(text)
+    if not asked:
+        return F.lit(False)
+    phrase = F.lit(f" {' '.join(asked)} ")
+    return _on_text(df, path, lambda c: F.concat(F.lit(" "), F.array_join(_words(c), " "), F.lit(" ")).contains(phrase))
+
+
+TEXT_TESTS: dict[str, tuple[Callable[..., Column], str, tuple[str, ...]]] = {
+    "prefix": (search_prefix, "value", ()),
+    "wildcard": (search_wildcard, "value", ()),
+    "match": (search_match, "query", ("operator",)),
+    "match_phrase": (search_match_phrase, "query", ()),
+}
+
+
+def _text_condition(df: DataFrame, kind: str, clause: Mapping[str, Any]) -> Column:
+    test, main, more = TEXT_TESTS[kind]
+    path, given = _single(clause, kind)
+    given = dict(given) if isinstance(given, Mapping) else {main: given}
+    if main not in given or set(given) - {main, *more}:
+        raise InvalidRequest(f"unsupported settings of a {kind} clause: {sorted(given)}")
+    return test(df, path, given.pop(main), **given)
+
+
+def condition(df: DataFrame, query: Mapping[str, Any], id_column: str | None = None) -> Column | None:
     """A query clause as a filter on ``df``; None for match_all."""
     kind, clause = _single(query, "query")
     if kind == "match_all":
@@ -263,20 +338,24 @@ def condition(df: DataFrame, query: Mapping[str, Any]) -> Column | None:
         return search_range(df, path, **bounds)
     if kind == "exists":
         return path_column(df, clause["field"]).isNotNull()
+    if kind in TEXT_TESTS:
+        return _text_condition(df, kind, clause)
+    if kind == "ids" and id_column:
+        return search_terms(df, id_column, clause["values"])
     if kind == "bool":
-        return _bool_condition(df, clause)
+        return _bool_condition(df, clause, id_column)
     raise InvalidRequest(f"unsupported query clause '{kind}'")
 
 
-def _clauses(df: DataFrame, clause: Mapping[str, Any], name: str) -> list[Column]:
+def _clauses(df: DataFrame, clause: Mapping[str, Any], name: str, id_column: str | None) -> list[Column]:
     given = clause.get(name, [])
     given = [given] if isinstance(given, Mapping) else given
-    return [c if c is not None else F.lit(True) for c in (condition(df, q) for q in given)]
+    return [c if c is not None else F.lit(True) for c in (condition(df, q, id_column) for q in given)]
 
 
-def _bool_condition(df: DataFrame, clause: Mapping[str, Any]) -> Column | None:
-    needed = _clauses(df, clause, "must") + _clauses(df, clause, "filter")
-    optional = _clauses(df, clause, "should")
+def _bool_condition(df: DataFrame, clause: Mapping[str, Any], id_column: str | None) -> Column | None:
+    needed = _clauses(df, clause, "must", id_column) + _clauses(df, clause, "filter", id_column)
+    optional = _clauses(df, clause, "should", id_column)
     tests = list(needed)
     if optional:
         least = clause.get("minimum_should_match", 0 if needed else 1)
@@ -286,7 +365,7 @@ def _bool_condition(df: DataFrame, clause: Mapping[str, Any]) -> Column | None:
             hits = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in optional])
             tests.append(hits >= least)
     # a missing value does not match the inner clause, so its negation holds
-    tests += [~F.coalesce(c, F.lit(False)) for c in _clauses(df, clause, "must_not")]
+    tests += [~F.coalesce(c, F.lit(False)) for c in _clauses(df, clause, "must_not", id_column)]
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
@@ -346,7 +425,7 @@ def search(
     job of its own and then reads only their rows.
     """
     request = body if isinstance(body, SearchRequest) else parse_search(body)
-    test = condition(df, request.query)
+    test = condition(df, request.query, id_column)
     hits = df if test is None else df.where(test)
     order = ordering(df, sort_keys(request.sort, id_column))
     if request.size is not None:

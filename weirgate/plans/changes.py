@@ -128,6 +128,30 @@ def patch_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patched(spark, sf_dir).rejected.select("id", "tenant_id", "kind")
 
 
+def _refused(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    types = table(spark, sf_dir, "nation").select(_metadata(F.concat(F.lit("NATION_"), "n_nationkey"), F.lit("global")))
+    change = lifecycle.patch_connections(connections(spark, sf_dir), types, asked, "global", now=NOW)
+    return change.rejected.select("id", "tenant_id", "kind", "reason")
+
+
+def patch_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order patches the connection of its customer."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    asked = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("tenant_id"), F.lit('{"format":"binary"}').alias("patch")
+    )
+    return _refused(spark, sf_dir, asked)
+
+
+def patch_rename_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer wants the name of its nation."""
+    name = F.concat(F.lit('{"name":"NATION_'), F.col("c_nationkey"), F.lit('"}'))
+    asked = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("tenant_id"), name.alias("patch")
+    )
+    return _refused(spark, sf_dir, asked)
+
+
 def seed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as arriving seeds for a document per user, starting with an empty table."""
     schema = T.StructType(table(spark, sf_dir, "events").schema.fields)
@@ -149,6 +173,8 @@ QUERIES = {
     "create_secrets": create_secrets,
     "patch_connections": patch_connections,
     "patch_rejected": patch_rejected,
+    "patch_twice": patch_twice,
+    "patch_rename_rejected": patch_rename_rejected,
     "seed_stream": seed_stream,
 }
 
@@ -198,6 +224,21 @@ ORACLE = {
                     WHEN c_acctbal < 3000 THEN 'Validation' ELSE 'Deserialization' END AS kind
         FROM customer WHERE c_acctbal < 0 OR c_acctbal >= 1000 AND c_acctbal < 4000
     """,
+    "patch_twice": """
+        SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS tenant_id,
+               CASE WHEN c_acctbal < 0 THEN 'ResourceNotFound' ELSE 'Conflict' END AS kind,
+               CASE WHEN c_acctbal < 0 THEN concat('no connection ''', c_custkey, '''')
+                    ELSE 'the document has several patches, which have no order' END AS reason
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        QUALIFY c_acctbal < 0 OR count(*) OVER (PARTITION BY c_custkey) > 1
+    """,
+    "patch_rename_rejected": """
+        SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS tenant_id,
+               CASE WHEN c_acctbal < 0 THEN 'ResourceNotFound' ELSE 'Conflict' END AS kind,
+               CASE WHEN c_acctbal < 0 THEN concat('no connection ''', c_custkey, '''') ELSE 'the name is taken' END AS reason
+        FROM customer
+        QUALIFY c_acctbal < 0 OR count(*) OVER (PARTITION BY c_mktsegment, c_nationkey, c_acctbal >= 0) > 1
+    """,
     "seed_stream": """
         WITH t AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
                    FROM events WHERE event_type <> 'view')

@@ -131,6 +131,12 @@ BODIES = {
     "search_term": {"query": {"term": {"lang": "en"}}},
     "search_range": {"query": {"range": {"n_chars": {"gte": 300, "lt": 5000}}}},
     "search_bool": {"query": BOOL_QUERY},
+    "search_prefix": {"query": {"prefix": {"source": "src1"}}},
+    "search_wildcard": {"query": {"wildcard": {"source": {"value": "s?c*2"}}}},
+    "search_ids": {"query": {"ids": {"values": [0, 5, 17, 40, 160, 99_999_999]}}},
+    "search_match": {"query": {"match": {"text": "Worthless, oredat"}}},
+    "search_match_all_words": {"query": {"match": {"text": {"query": "the AND of", "operator": "and"}}}},
+    "search_match_phrase": {"query": {"match_phrase": {"text": "with by"}}},
     "search_size": {"query": {"term": {"lang": "en"}}, "size": 25},
     "search_source_project": {"_source": ["doc_id", "lang", "n_*"]},
 }
@@ -179,6 +185,8 @@ def _wrapped(value: str, bits: int) -> str:
 
 _KEY = "(o_orderkey * 1000003 - 500000000)"
 
+_WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
+
 ORACLE = {
     "mapping_to_schema": """
         SELECT event_id, event_id AS id, CAST(user_id AS INT) AS user_id, event_type AS user_kind, value,
@@ -234,6 +242,12 @@ ORACLE = {
     "search_bool": """
         SELECT * FROM documents WHERE n_chars > 200 AND lang <> 'de' AND source IN ('src1', 'src2', 'src3')
     """,
+    "search_prefix": "SELECT * FROM documents WHERE source LIKE 'src1%'",
+    "search_wildcard": "SELECT * FROM documents WHERE regexp_full_match(source, 's.c.*2')",
+    "search_ids": "SELECT * FROM documents WHERE doc_id IN (0, 5, 17, 40, 160, 99999999)",
+    "search_match": f"SELECT * FROM documents WHERE list_has_any({_WORDS}, ['worthless', 'oredat'])",
+    "search_match_all_words": f"SELECT * FROM documents WHERE list_has_all({_WORDS}, ['the', 'and', 'of'])",
+    "search_match_phrase": f"SELECT * FROM documents WHERE contains(concat(' ', array_to_string({_WORDS}, ' '), ' '), ' with by ')",
     "search_size": "SELECT * FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 25",
     "search_sort": "SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents",
     "search_source_project": """
