@@ -144,8 +144,9 @@ def patch_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_rename_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer wants the name of its nation."""
-    name = F.concat(F.lit('{"name":"NATION_'), F.col("c_nationkey"), F.lit('"}'))
+    """Every customer wants a name made of its nation and its balance in hundreds, which some share."""
+    hundreds = F.floor(F.col("c_acctbal") / 100).cast("string")
+    name = F.concat(F.lit('{"name":"NATION_'), F.col("c_nationkey"), F.lit("/"), hundreds, F.lit('"}'))
     asked = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("tenant_id"), name.alias("patch")
     )
@@ -237,7 +238,7 @@ ORACLE = {
                CASE WHEN c_acctbal < 0 THEN 'ResourceNotFound' ELSE 'Conflict' END AS kind,
                CASE WHEN c_acctbal < 0 THEN concat('no connection ''', c_custkey, '''') ELSE 'the name is taken' END AS reason
         FROM customer
-        QUALIFY c_acctbal < 0 OR count(*) OVER (PARTITION BY c_mktsegment, c_nationkey, c_acctbal >= 0) > 1
+        QUALIFY c_acctbal < 0 OR count(*) OVER (PARTITION BY c_mktsegment, c_nationkey, floor(c_acctbal / 100)) > 1
     """,
     "seed_stream": """
         WITH t AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
