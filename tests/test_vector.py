@@ -172,6 +172,26 @@ def test_only_probed_cells_are_read(spark, cloud):
     assert vector.read_cells(spark, index, []).count() == 0
 
 
+def test_an_index_is_opened_again_and_used(spark, cloud, tmp_path):
+    points, df = cloud
+    df = df.withColumn("even", F.col("id") % 2 == 0)
+    vector.build_cell_index(df, "v", "id", cells=6, path=str(tmp_path / "index"))
+    index = vector.open_cell_index(spark, str(tmp_path / "index"))
+    request = {"collectionName": "c", "data": [points[5].tolist()], "annsField": "v", "filter": "even == true", "limit": 5, "outputFields": ["even", "id"]}
+    exact = vector.vector_dispatch(df, request, "id").collect()
+    found = vector.vector_dispatch(df, request, "id", index=index)
+    assert found.columns == ["even", "id"]
+    assert found.collect() == exact
+    with pytest.raises(InvalidRequest):
+        vector.vector_dispatch(df, request | {"annsField": "w"}, "id", index=index)
+
+
+def test_an_empty_collection_is_indexed(spark, cloud):
+    _, df = cloud
+    index = vector.build_cell_index(df.where("false"), "v", "id")
+    assert vector.vector_search_approx(spark, index, [[0.0] * index.centres.shape[1]], 3).count() == 0
+
+
 def test_dimension_mismatch_fails(cloud):
     _, df = cloud
     with pytest.raises(Exception, match="dimensions"):

@@ -215,7 +215,10 @@ class Hub:
         request = vector.parse_vector_request(query)
         collection = connection.table(self.spark, request.collection)
         key = connection.properties.get("primary_key", "id")
-        return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"), late)
+        stored, index = connection.setting("index_location"), None
+        if stored and request.operation == "search":
+            index = vector.open_cell_index(self.spark, stored.replace("{name}", request.collection))
+        return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"), late, index)
 
     def _read_graph(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         for name in ("nodes", "edges"):

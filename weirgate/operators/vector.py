@@ -31,12 +31,12 @@ DEFAULT_SEARCH_LIMIT = 10
 BROADCAST_FLOATS = 4_000_000
 # Rows of a finished result whose keys are looked up by a broadcast.
 BROADCAST_ROWS = 100_000
-# Cells of a stored index, each one folder.
-MOST_CELLS = 4_096
 # Queries that one matrix product covers.
 QUERY_BLOCK = 256
 
 QUERY_ID, DISTANCE = "query_id", "distance"
+# The column of an index that names a row's cell, and the folders of its rows and centres.
+CELL, ROWS, CENTRES = "index_cell", "rows", "centres"
 
 
 # -- requests ----------------------------------------------------------------------------------
@@ -127,12 +127,23 @@ def filter_text(text: str) -> str:
 
 
 def vector_dispatch(
-    df: DataFrame, request: str | Mapping[str, Any] | VectorRequest, pk: str, metric: str = "L2", late: bool = False
+    df: DataFrame,
+    request: str | Mapping[str, Any] | VectorRequest,
+    pk: str,
+    metric: str = "L2",
+    late: bool = False,
+    index: CellIndex | None = None,
 ) -> DataFrame:
-    """Run a request on its collection: search, get or query."""
+    """Run a request on its collection: search, get or query. With an index, searches read their nearest cells alone."""
     r = request if isinstance(request, VectorRequest) else parse_vector_request(request)
     if r.operation == "search":
         limit = DEFAULT_SEARCH_LIMIT if r.limit is None else r.limit
+        if index is not None:
+            if (r.anns_field, pk) != (index.vector, index.pk):
+                raise InvalidRequest(f"the index is on '{index.vector}' by '{index.pk}'")
+            fields = list(r.output_fields) if r.output_fields is not None else sorted(df.columns)
+            found = vector_search_approx(df.sparkSession, index, r.data[:1], limit, 8, metric, r.filter, fields)
+            return order_fields(found.orderBy(DISTANCE, pk), fields)
         return vector_search(df, r.data, r.anns_field, pk, limit, metric, r.filter, r.output_fields, late)
     if r.operation == "get":
         return vector_get(df, r.ids, pk, r.output_fields)
@@ -509,49 +520,56 @@ class CellIndex:
 
 
 def build_cell_index(
-    df: DataFrame, vector: str, pk: str, cells: int | None = None, seed: int = 7, training_rows: int = 100_000
+    df: DataFrame, vector: str, pk: str, cells: int | None = None, seed: int = 7, path: str | None = None
 ) -> CellIndex:
-    """Cluster the vectors and store (key, vector) in one folder per cell.
-
-    The number of cells grows with the root of the number of rows, up to ``MOST_CELLS``.
+    """Cluster the vectors and store the collection by cell in the new folder ``path``, whence it can be opened again.
 
-    Centres are learned from a bounded hash-picked part of the rows; every row is then stored. The
-    rows are rebalanced by cell before the write: adaptive execution splits a cell that holds most of
-    the data over many tasks.
+    Centres are learned from all rows. Their number grows with the root of the number of rows, if
+    ``cells`` doesn't set it. Rows without a vector are not stored. The rows are rebalanced by cell before
+    the write: adaptive execution splits a cell that holds most of the data over many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     spark = df.sparkSession
-    points = df.select(pk, vector).where(F.col(vector).isNotNull())
+    if CELL in df.columns:
+        raise InvalidRequest(f"the column name '{CELL}' is the index's own")
+    path = scratch_path(spark, "cells") if path is None else path
+    points = df.where(F.col(vector).isNotNull())
     total = points.count()
-    if cells is None:
-        cells = max(2, min(MOST_CELLS, int(total**0.5)))
-    training = points
-    training_rows = max(training_rows, 64 * cells)
-    if total > training_rows:
-        share = training_rows / total
-        training = points.where(F.pmod(F.xxhash64(pk), F.lit(1_000_000)) < int(share * 1_000_000))
-    features = training.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
-    centres = np.array(model.clusterCenters())
-    if centres.size > BROADCAST_FLOATS:
-        raise InvalidRequest("too many cells for vectors of this width")
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, _ = _as_matrix(batch.column(1), centres.shape[1])
-            rough, _ = _rough_distances(rows, centres, "L2")
-            cell = pa.array(rough.argmin(axis=1).astype("i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cell], names=[pk, vector, "cell"])
-
-    schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())])
-    path = scratch_path(spark, "cells")
-    assigned = points.mapInArrow(assign, schema)
-    stored = spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {assigned}", assigned=assigned)
-    stored.write.partitionBy("cell").parquet(path)
-    counts = spark.read.schema(schema).parquet(path).groupBy("cell").count().collect()
-    return CellIndex(path, centres, {r["cell"]: r["count"] for r in counts}, vector, pk, schema)
+    if total:
+        wanted = max(2, int(total**0.5)) if cells is None else cells
+        features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+        centres = np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(features).clusterCenters())
+    else:
+        centres = np.zeros((1, 1))
+
+    @F.arrow_udf("int")
+    def cell_of(vectors: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(vectors), QUERY_BLOCK):
+            rows, _ = _as_matrix(vectors.slice(at, QUERY_BLOCK), centres.shape[1])
+            found.append(_rough_distances(rows, centres, "L2")[0].argmin(axis=1))
+        return pa.array(np.concatenate(found) if found else [], pa.int32())
+
+    assigned = points.withColumn(CELL, cell_of(vector))
+    stored = spark.sql(f"SELECT /*+ REBALANCE({CELL}) */ * FROM {{assigned}}", assigned=assigned)
+    stored.write.partitionBy(CELL).parquet(f"{path}/{ROWS}")
+    # Only cells with rows are listed; a centre that is nearest to no row is never probed.
+    counts = spark.read.schema(assigned.schema).parquet(f"{path}/{ROWS}").groupBy(F.col(CELL).alias("cell")).count()
+    means = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    kept = means.join(counts, "cell", "left").na.fill(0, ["count"])
+    about = [F.lit(x).alias(n) for n, x in (("vector", vector), ("pk", pk), ("schema", assigned.schema.json()))]
+    kept.select("cell", "centre", "count", *about).write.parquet(f"{path}/{CENTRES}")
+    return open_cell_index(spark, path)
+
+
+def open_cell_index(spark: SparkSession, path: str) -> CellIndex:
+    """The index that was built into ``path``; reads its centres, which grow with the root of its rows."""
+    found = spark.read.parquet(f"{path}/{CENTRES}").orderBy("cell").collect()
+    schema = T.StructType.fromJson(json.loads(found[0]["schema"]))
+    centres = np.array([r["centre"] for r in found])
+    return CellIndex(path, centres, {r["cell"]: r["count"] for r in found}, found[0]["vector"], found[0]["pk"], schema)
 
 
 def vector_search_approx(
@@ -561,30 +579,33 @@ def vector_search_approx(
     limit: int = DEFAULT_SEARCH_LIMIT,
     probe: int = 8,
     metric: str = "L2",
+    filter: str = "",
+    output_fields: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest rows within the ``probe`` cells nearest to each query; other cells are not read.
 
     Distances of the found rows are exact. A query takes more cells than ``probe`` when those hold
-    fewer than ``limit`` rows.
+    fewer than ``limit`` rows. A filter is applied before the nearest rows are chosen, so a strict one
+    can leave fewer of them.
     """
     _check(limit, metric)
     matrix = np.array(queries, dtype="f8")
-    if matrix.size > BROADCAST_FLOATS:
-        raise InvalidRequest("too many query vectors for one request")
     probes = [_probed(index, q, limit, probe) for q in matrix]
     wanted = sorted(c for c in frozenset().union(*probes) if index.cells.get(c))
-    rows = read_cells(spark, index, wanted)
+    rows = _filtered(read_cells(spark, index, wanted), filter)
     kernel = _top_kernel(index.pk, list(range(len(matrix))), matrix, limit, metric, probes)
-    found = rows.select(index.pk, index.vector, "cell").mapInArrow(kernel, _candidate_schema(rows, index.pk))
-    return _merge_top(found, index.pk, limit).select(QUERY_ID, "place", index.pk, DISTANCE)
+    found = rows.select(index.pk, index.vector, CELL).mapInArrow(kernel, _candidate_schema(rows, index.pk))
+    extra = [c for c in output_fields if c != index.pk]
+    top = _merge_top(found, index.pk, limit)
+    return _with_fields(rows, top, index.pk, extra, len(matrix) * limit).select(QUERY_ID, "place", index.pk, DISTANCE, *extra)
 
 
 def read_cells(spark: SparkSession, index: CellIndex, cells: Sequence[int]) -> DataFrame:
     """The stored rows of some cells; other folders are not even listed."""
     if not cells:
         return spark.createDataFrame([], index.schema)
-    folders = [f"{index.path}/cell={c}" for c in cells]
-    return spark.read.schema(index.schema).option("basePath", index.path).parquet(*folders)
+    folders = [f"{index.path}/{ROWS}/{CELL}={c}" for c in cells]
+    return spark.read.schema(index.schema).option("basePath", f"{index.path}/{ROWS}").parquet(*folders)
 
 
 def _probed(index: CellIndex, query: np.ndarray, limit: int, probe: int) -> frozenset[int]:
