@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_out, task_number
+from .common import rows_out, steps, task_number
 from .tokens import blank_encoder
 
 MAGIC = b"WGRP"
@@ -36,6 +35,8 @@ NARROW = 1 << 16
 SHARD_IDS, ROUND_PAIRS, LEAST = 2_000_000, 8192, 16
 # Places of the table in which a round looks its pairs up.
 TABLE_BITS = 20
+# Bytes of text whose words are looked up together.
+STEP_BYTES = 1 << 22
 
 FILES = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
 FILES_DDL = "shard long, n_docs long, n_tokens long, file binary"
@@ -187,11 +188,12 @@ def write_token_files(
             file = write_shard(np.frombuffer(b"".join(parts), "<u4"), docs, lengths, vocabulary, end_id)
             return rows_out(FILES, [[number], [len(docs)], [sum(lengths)], [file]])
 
-        for batch in batches:
-            bodies = pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()
-            for doc, body in zip(batch.column(0).to_pylist(), bodies, strict=True):
+        for batch in steps(batches, "text", STEP_BYTES):
+            ids, counts = encode.many(batch.column(1))
+            ids, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for doc, a, b in zip(batch.column(0).to_pylist(), [0, *ends], ends, strict=False):
                 docs.append(doc)
-                parts.append(encode(body) + end)
+                parts.append(ids[a:b] + end)
                 held += len(parts[-1]) // 4
                 if held >= SHARD_IDS:
                     yield shard()

@@ -11,9 +11,14 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bpe import MARKS, MEMORY, Memory, PieceEncoder
-from .common import once
+from .common import once, utf8
+
+# ASCII letters in lower case, and a space for each ASCII blank.
+LOWER = bytes(32 if 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
 def _library(path: str, plain: Callable[[str], bool], between: str, mark: Callable[[str], bool], at_end: bool):
@@ -78,14 +83,35 @@ class BlankEncoder:
         self.words.add(own)
         return own
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.lower().split()
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
         found, missing = self.words.recall(words)
         if missing:
-            own = self._new(list(dict.fromkeys(words[i] for i in missing)))
+            own = self._new([words[i] for i in missing])
             for i in missing:
                 found[i] = own[words[i]]
-        return b"".join(found)
+        return found
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. A word is looked up once for all of them."""
+        data, offsets = utf8(texts)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(LOWER))]
+        lists = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(texts), buffers), " ")
+        words = lists.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        ids = self._ids(words.dictionary.cast(pa.large_binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        wide = own[codes]
+        ends = np.cumsum(wide)
+        # Where a word's ids lie in ``flat``, less where they go.
+        shift = (np.cumsum(own) - own)[codes] - (ends - wide)
+        total = int(ends[-1]) if len(ends) else 0
+        reached = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return flat[np.arange(total) + np.repeat(shift, wide)], np.diff(reached)
+
+    def __call__(self, text: bytes) -> bytes:
+        return self.many(pa.array([text.decode()]))[0].tobytes()
 
 
 def blank_encoder(path: str) -> BlankEncoder:
