@@ -24,6 +24,11 @@ TOXIC_FROM = 0.3
 ROW, SCORE, SPANS = "__row", "__toxicity", "__spans"
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number each, written once: planned again, the same files may be packed and so numbered otherwise."""
+    return written(with_rows(docs, ROW), name)
+
+
 def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     return rows.join(written(dropped, name), ROW, "left_anti").drop(ROW)
 
@@ -34,13 +39,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_rows(docs, ROW)
+    rows = _numbered(docs, "rows-for-copies")
     return _without(rows, exact_dedup(rows, row_col=ROW).where(~F.col("kept")).select(ROW), "dropped-copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays."""
-    rows = with_rows(docs, ROW)
+    rows = _numbered(docs, "rows-for-near-copies")
     groups = ngram_jaccard_join(rows, row_col=ROW)
     return _without(rows, groups.where(F.col(ROW) != F.col("component_row")).select(ROW), "dropped-near-copies")
 

@@ -78,3 +78,24 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stage, name", [(pipeline.drop_copies, "exact_dedup"), (pipeline.drop_near_copies, "ngram_jaccard_join")])
+def test_rows_keep_their_numbers_when_files_are_packed_anew(spark, tmp_path, monkeypatch, stage, name):
+    real, key = getattr(pipeline, name), "spark.sql.files.minPartitionNum"
+
+    def with_other_packing_after(rows, **options):
+        found = real(rows, **options)
+        spark.conf.set(key, "1")
+        return found
+
+    monkeypatch.setattr(pipeline, name, with_other_packing_after)
+    texts = [" ".join(f"w{i % 30}x{j}" for j in range(20)) for i in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, COLUMNS).repartition(20, "doc_id").write.option("maxRecordsPerFile", 2).parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(key, "40")
+    try:
+        left = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.doc_id for r in left) == list(range(30))

@@ -37,7 +37,7 @@ def cores(df: DataFrame) -> int:
 
 
 def with_rows(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row, the same each time the same files are read."""
+    """A number for each row. It follows how the rows are dealt to tasks, so it holds only for one run of the plan: write it to use it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
