@@ -57,6 +57,27 @@ def test_checksums_and_context_add_spans(spark, documents):
     assert got == {0: [("iban", 5, 27)], 1: [], 2: [("ssn", 4, 15)], 3: [], 4: [("iban", 0, 27)]}
 
 
+def test_account_numbers_end_where_their_country_says(spark, documents):
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    before = ["IBAN ", "Reference SE14 ", "IBAN\u00a0", "iban 4 XX "]
+    after = [" Please pay", " BIC COBADEFFXXX", " AND then", " 2024", " 2024 AND 7 MORE", ".", "", ", B 1", " GB82 WEST 1234 5698 7654 32"]
+    rows, want = [], []
+    for number in (plain, spaced, "NO9386011117947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S", "FR1420041010050500013M02606"):
+        for b in before:
+            for a in after:
+                rows.append(b + number + a)
+                want.append([("iban", len(b), len(b + number))] + ([("iban", len(b + number) + 1, len(rows[-1]))] if "WEST" in a else []))
+    for start, number in [("SE14 ", "GB82 WEST 1234 5698 7654 32"), ("AT61 ", spaced)]:
+        rows.append(f"iban {start}{number}")
+        want.append([("iban", 10, 10 + len(number))])
+    rows += ["iban DE89370400440532013000x", "iban DE893704004405320130001", "iban DE89 3704 0044 0532 0130 01 A"]
+    want += [[], [], []]
+    got = found(find_pii(documents(rows)), ("iban",))
+    assert got == dict(enumerate(want))
+    text = redact(find_pii(documents([f"IBAN {spaced} BIC COBADEFFXXX"]))).first().text
+    assert text == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 def test_redact_hides_spans_and_keeps_the_rest(spark, documents):
     rows = ["write to é.x@y.org now", "clean é text", None, "", "+1 255 10.0.0.1 99", "a@b.co,1.1.1.1"]
     frame = redact(find_pii(documents(rows, extra=True).drop("pii")))

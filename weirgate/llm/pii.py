@@ -6,7 +6,7 @@ quantifiers and look behind a run's first character, which gives the same matche
 time that is linear in the text, and without recursion.
 
 Places count code points from 0; an end is exclusive. Defined cases: a null text is an empty text and
-has no spans; spans of different kinds may overlap (``redact`` hides their union). Rows keep all their
+has no spans; spans of different kinds, and account numbers, may overlap (``redact`` hides their union). Rows keep all their
 columns, whatever their names, unless a name begins with ``__pii``.
 """
 
@@ -37,6 +37,40 @@ class Kind:
     certain: bool
 
 
+# The countries of each length of an account number, by the IBAN registry and the countries that use the form without it.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban() -> str:
+    """A number is as long as its country says; of another country, the whole run of signs."""
+    listed = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+    others = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"
+    return f"(?:{listed}|{others})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
+# Signs that the longest of them can have, blanks included, and one more.
+IBAN_SPAN = 4 + 2 * 30 + 1
+
 # The kinds in the order of the result. The first four are certain once their check holds.
 KINDS = (
     Kind(
@@ -73,7 +107,8 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        # Only the first four signs are taken, so that a number behind what looks like one is found too.
+        rf"\b(?={IBAN})[A-Z]{{2}}[0-9]{{2}}",
         "",
         r"\b(?:iban|account|bank|transfer)\b",
         0.6,
@@ -158,6 +193,8 @@ def _spans_of(df: DataFrame, kind: Kind, text: Column) -> DataFrame:
 
     def span(start: Column, i: Column) -> Column:
         hit = F.get(F.col(hits), i)
+        if kind.name == "iban":
+            hit = F.regexp_extract(F.substring(text, (start + 1).cast("int"), F.lit(IBAN_SPAN)), f"^{IBAN}", 0)
         end = start + F.length(hit)
         left = F.greatest(start - CONTEXT, F.lit(0))
         near = F.lower(
