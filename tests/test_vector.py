@@ -186,6 +186,27 @@ def test_an_index_is_opened_again_and_used(spark, cloud, tmp_path):
         vector.vector_dispatch(df, request | {"annsField": "w"}, "id", index=index)
 
 
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_requests_miss_no_nearest_row_however_many_cells(spark, metric, tmp_path):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 12)).astype("f4")
+    df = spark.createDataFrame([(i, p.tolist(), i % 100 == 0) for i, p in enumerate(points)], "id long, v array<float>, rare boolean")
+    index = vector.build_cell_index(df, "v", "id", cells=60, path=str(tmp_path / "index"))
+    for query, filter, limit in ((points[3], "", 10), (rng.normal(size=12) * 2, "", 25), (points[9], "rare == true", 6)):
+        request = {"collectionName": "c", "data": [query.tolist()], "annsField": "v", "filter": filter, "limit": limit, "outputFields": ["id"]}
+        exact = vector.vector_dispatch(df, request, "id", metric).collect()
+        assert len(exact) == limit
+        assert vector.vector_dispatch(df, request, "id", metric, index=index).collect() == exact
+
+
+def test_cells_that_are_too_far_are_not_read(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(20, 8)) * 50
+    rows = [(i, (middles[i % 20] + rng.normal(size=8)).tolist()) for i in range(800)]
+    index = vector.build_cell_index(spark.createDataFrame(rows, "id long, v array<float>"), "v", "id", cells=20, path=str(tmp_path / "index"))
+    assert len(vector._within(index, np.array(rows[0][1]), 30.0, "L2")) < 20
+
+
 def test_an_empty_collection_is_indexed(spark, cloud):
     _, df = cloud
     index = vector.build_cell_index(df.where("false"), "v", "id")

@@ -37,6 +37,8 @@ QUERY_BLOCK = 256
 QUERY_ID, DISTANCE = "query_id", "distance"
 # The column of an index that names a row's cell, and the folders of its rows and centres.
 CELL, ROWS, CENTRES = "index_cell", "rows", "centres"
+# Cells that a search reads to learn how far its nearest rows are.
+FIRST_CELLS = 8
 
 
 # -- requests ----------------------------------------------------------------------------------
@@ -134,7 +136,7 @@ def vector_dispatch(
     late: bool = False,
     index: CellIndex | None = None,
 ) -> DataFrame:
-    """Run a request on its collection: search, get or query. With an index, searches read their nearest cells alone."""
+    """Run a request on its collection: search, get or query. With an index, searches read the cells that can have a nearest row."""
     r = request if isinstance(request, VectorRequest) else parse_vector_request(request)
     if r.operation == "search":
         limit = DEFAULT_SEARCH_LIMIT if r.limit is None else r.limit
@@ -142,7 +144,7 @@ def vector_dispatch(
             if (r.anns_field, pk) != (index.vector, index.pk):
                 raise InvalidRequest(f"the index is on '{index.vector}' by '{index.pk}'")
             fields = list(r.output_fields) if r.output_fields is not None else sorted(df.columns)
-            found = vector_search_approx(df.sparkSession, index, r.data[:1], limit, 8, metric, r.filter, fields)
+            found = vector_search_approx(df.sparkSession, index, r.data[:1], limit, None, metric, r.filter, fields)
             return order_fields(found.orderBy(DISTANCE, pk), fields)
         return vector_search(df, r.data, r.anns_field, pk, limit, metric, r.filter, r.output_fields, late)
     if r.operation == "get":
@@ -509,10 +511,11 @@ def vector_search_batch(
 
 @dataclass(frozen=True)
 class CellIndex:
-    """A collection stored by nearest centre; ``cells`` has the row count of each cell."""
+    """A collection stored by nearest centre; ``cells`` has the row count of each cell, ``radii`` how far its rows are at most."""
 
     path: str
     centres: np.ndarray
+    radii: np.ndarray
     cells: dict[int, int]
     vector: str
     pk: str
@@ -556,20 +559,45 @@ def build_cell_index(
     stored = spark.sql(f"SELECT /*+ REBALANCE({CELL}) */ * FROM {{assigned}}", assigned=assigned)
     stored.write.partitionBy(CELL).parquet(f"{path}/{ROWS}")
     # Only cells with rows are listed; a centre that is nearest to no row is never probed.
-    counts = spark.read.schema(assigned.schema).parquet(f"{path}/{ROWS}").groupBy(F.col(CELL).alias("cell")).count()
+    rows = spark.read.schema(assigned.schema).parquet(f"{path}/{ROWS}").select(vector, CELL)
+    counts = rows.mapInArrow(_measured(centres), "cell int, count long, radius double").groupBy("cell")
+    counts = counts.agg(F.sum("count").alias("count"), F.max("radius").alias("radius"))
     means = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    kept = means.join(counts, "cell", "left").na.fill(0, ["count"])
+    kept = means.join(counts, "cell", "left").na.fill(0, ["count", "radius"])
     about = [F.lit(x).alias(n) for n, x in (("vector", vector), ("pk", pk), ("schema", assigned.schema.json()))]
-    kept.select("cell", "centre", "count", *about).write.parquet(f"{path}/{CENTRES}")
+    kept.select("cell", "centre", "count", "radius", *about).write.parquet(f"{path}/{CENTRES}")
     return open_cell_index(spark, path)
 
 
+def _measured(centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (vector, cell) rows: how many each cell has, and the largest distance from its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, radius = np.zeros(len(centres), "i8"), np.zeros(len(centres))
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                some = batch.slice(at, QUERY_BLOCK)
+                rows, _ = _as_matrix(some.column(0), centres.shape[1])
+                cells = some.column(1).to_numpy(zero_copy_only=False)
+                gap = rows - centres[cells]
+                np.add.at(count, cells, 1)
+                np.maximum.at(radius, cells, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+        own = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int32()), pa.array(count[own]), pa.array(radius[own])], names=["cell", "count", "radius"]
+        )
+
+    return run
+
+
 def open_cell_index(spark: SparkSession, path: str) -> CellIndex:
     """The index that was built into ``path``; reads its centres, which grow with the root of its rows."""
     found = spark.read.parquet(f"{path}/{CENTRES}").orderBy("cell").collect()
     schema = T.StructType.fromJson(json.loads(found[0]["schema"]))
     centres = np.array([r["centre"] for r in found])
-    return CellIndex(path, centres, {r["cell"]: r["count"] for r in found}, found[0]["vector"], found[0]["pk"], schema)
+    # An index that was stored without radii gives no bound, so that all of its cells are read.
+    radii = np.array([r["radius"] if "radius" in r else np.inf for r in found])
+    return CellIndex(path, centres, radii, {r["cell"]: r["count"] for r in found}, found[0]["vector"], found[0]["pk"], schema)
 
 
 def vector_search_approx(
@@ -577,27 +605,69 @@ def vector_search_approx(
     index: CellIndex,
     queries: Sequence[Sequence[float]],
     limit: int = DEFAULT_SEARCH_LIMIT,
-    probe: int = 8,
+    probe: int | None = None,
     metric: str = "L2",
     filter: str = "",
     output_fields: Sequence[str] = (),
 ) -> DataFrame:
-    """Nearest rows within the ``probe`` cells nearest to each query; other cells are not read.
+    """Nearest rows by the cells of an index; cells that a query doesn't probe are not read.
+
+    Without ``probe`` none of the nearest rows is missed: a job of its own finds how far the ``limit``-th row of
+    the ``FIRST_CELLS`` nearest cells is, and all cells that can have a nearer row are read. If those cells have
+    fewer rows that pass the filter, every cell is.
 
-    Distances of the found rows are exact. A query takes more cells than ``probe`` when those hold
-    fewer than ``limit`` rows. A filter is applied before the nearest rows are chosen, so a strict one
-    can leave fewer of them.
+    With ``probe`` only so many cells nearest to the query are read, or more when they hold fewer than ``limit``
+    rows. Distances are exact, but nearer rows may be in other cells, and a filter can leave fewer rows.
     """
     _check(limit, metric)
     matrix = np.array(queries, dtype="f8")
-    probes = [_probed(index, q, limit, probe) for q in matrix]
+    probes = [_probed(index, q, limit, FIRST_CELLS if probe is None else probe) for q in matrix]
+    if probe is None and limit:
+        _, top = _probe(spark, index, matrix, limit, metric, filter, probes)
+        known = top.groupBy(QUERY_ID).agg(F.count("*").alias("found"), F.max(DISTANCE).alias("last")).collect()
+        safe = {r[QUERY_ID]: r["last"] for r in known if r["found"] >= limit}
+        probes = [p | _within(index, q, safe.get(i, np.inf), metric) for i, (p, q) in enumerate(zip(probes, matrix))]
+    rows, top = _probe(spark, index, matrix, limit, metric, filter, probes)
+    extra = [c for c in output_fields if c != index.pk]
+    return _with_fields(rows, top, index.pk, extra, len(matrix) * limit).select(QUERY_ID, "place", index.pk, DISTANCE, *extra)
+
+
+def _probe(
+    spark: SparkSession,
+    index: CellIndex,
+    matrix: np.ndarray,
+    limit: int,
+    metric: str,
+    filter: str,
+    probes: Sequence[frozenset[int]],
+) -> tuple[DataFrame, DataFrame]:
+    """The filtered rows of all probed cells, and the nearest rows of each query in its own."""
     wanted = sorted(c for c in frozenset().union(*probes) if index.cells.get(c))
     rows = _filtered(read_cells(spark, index, wanted), filter)
     kernel = _top_kernel(index.pk, list(range(len(matrix))), matrix, limit, metric, probes)
     found = rows.select(index.pk, index.vector, CELL).mapInArrow(kernel, _candidate_schema(rows, index.pk))
-    extra = [c for c in output_fields if c != index.pk]
-    top = _merge_top(found, index.pk, limit)
-    return _with_fields(rows, top, index.pk, extra, len(matrix) * limit).select(QUERY_ID, "place", index.pk, DISTANCE, *extra)
+    return rows, _merge_top(found, index.pk, limit)
+
+
+def _within(index: CellIndex, query: np.ndarray, last: float, metric: str) -> frozenset[int]:
+    """The cells that can have a row at most ``last`` from the query, by their centres and radii."""
+    centres, radii = index.centres, index.radii
+    if query.shape != centres.shape[1:]:
+        return frozenset(range(len(centres)))
+    size, sizes = np.sqrt(np.dot(query, query)), np.sqrt(np.einsum("ij,ij->i", centres, centres))
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        slack = 1e-9 * (1.0 + size + sizes + np.where(np.isfinite(radii), radii, 0.0)) ** 2
+        if metric == "L2":
+            least = np.maximum(0.0, np.sqrt(_distances(centres, query, "L2")) - radii) ** 2
+        elif metric == "IP":
+            least = -(centres @ query) - size * radii
+        else:
+            # A row is seen from the origin at most so far from its centre; one around the origin, anywhere.
+            wide = np.where(radii < sizes, np.arcsin(np.minimum(1.0, radii / sizes)), np.pi)
+            angle = np.arccos(np.clip(centres @ query / (sizes * size), -1.0, 1.0))
+            least = 1.0 - np.cos(np.maximum(0.0, angle - wide))
+        beyond = least > last + slack
+    return frozenset(np.flatnonzero(~beyond).tolist())
 
 
 def read_cells(spark: SparkSession, index: CellIndex, cells: Sequence[int]) -> DataFrame:

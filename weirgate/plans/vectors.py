@@ -83,12 +83,12 @@ def vector_search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether three quarters of the cells hold nine tenths of the nearest rows, over a query per label."""
+    """Whether a search as requests make it gives nine tenths of the nearest rows, over a query per label."""
     df, index = _embeddings(spark, sf_dir), _index(spark, sf_dir)
     exact = vector.vector_search_batch(df, first_per_label(df), VECTOR, PK, 10).select(vector.QUERY_ID, PK)
     queries = first_per_label(df).orderBy(vector.QUERY_ID).collect()
     labels = spark.createDataFrame([(i, r[0]) for i, r in enumerate(queries)], "place_of long, label long")
-    found = vector.vector_search_approx(spark, index, [r[1] for r in queries], 10, -(-3 * len(index.cells) // 4))
+    found = vector.vector_search_approx(spark, index, [r[1] for r in queries], 10)
     found = found.join(labels, F.col(vector.QUERY_ID) == F.col("place_of")).select(F.col("label").alias(vector.QUERY_ID), PK)
     hits = exact.join(found.withColumn("hit", F.lit(1)), [vector.QUERY_ID, PK], "left")
     return hits.agg(
