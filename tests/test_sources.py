@@ -174,6 +174,31 @@ def test_sql_is_confined_to_its_tables(spark, tmp_path):
     assert sqltext.sql_read(spark, "WITH a AS (SELECT * FROM T) SELECT x.id FROM a x JOIN t USING (id)", tables=["t"]).count() == 3
 
 
+@pytest.mark.parametrize("own_session", [False, True])
+def test_long_sql_is_confined_to_its_end(spark, tmp_path, own_session):
+    spark = spark.newSession() if own_session else spark
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    sqltext.register_tables(spark, str(tmp_path / "{name}.parquet"), ["t"])
+    call, before = "reflect('java.lang.System', 'currentTimeMillis')", spark.conf.get(sqltext.FIELDS)
+    numbers = ", ".join(map(str, range(30)))
+    columns = ", ".join(f"{i} AS c{i}" for i in range(30))
+    names = ", ".join(f"a{i} AS (SELECT * FROM t)" for i in range(30))
+    for text in (
+        f"SELECT {columns}, {call} AS x FROM t",
+        f"SELECT ({numbers}, {call}) AS x FROM t",
+        f"SELECT * FROM t WHERE id IN ({numbers}, {call})",
+        f"SELECT greatest({numbers}, {call}) AS x FROM t",
+        f"SELECT id FROM t GROUP BY id, {numbers}, {call}",
+        f"SELECT {columns}, (SELECT max(id) FROM foreign_view) AS x FROM t",
+        f"SELECT ({numbers}, (SELECT max(id) FROM foreign_view)) AS x FROM t",
+        f"WITH {names} SELECT * FROM a29 JOIN foreign_view USING (id)",
+    ):
+        with pytest.raises(SqlError, match="Java code|not a table"):
+            sqltext.sql_read(spark, text, tables=["t"])
+    assert sqltext.sql_read(spark, f"WITH {names} SELECT {columns} FROM a29 JOIN a0 USING (id)", tables=["t"]).count() == 3
+    assert spark.conf.get(sqltext.FIELDS) == before
+
+
 def test_mixed_folder(spark, tmp_path):
     names = "category string, id bigint, prompt string"
     rows = [(f"c{i}", i, f"p{i}") for i in (11, 12, 13)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -23,9 +24,27 @@ JAVA_CALL = re.compile(r"(?<!\w)(?:reflect|try_reflect|java_method)\(", re.IGNOR
 RELATION, WITH = re.compile(r"UnresolvedRelation \[([^\]]*)\]"), re.compile(r"CTE \[([^\]]*)\]")
 
 
+# Above this many items Spark cuts what it prints of a node or an expression. The setting is the session's, so one text at a time.
+FIELDS, _PRINTING = "spark.sql.debug.maxToStringFields", threading.Lock()
+
+
+def _plan_text(spark: SparkSession, text: str) -> str:
+    """The parsed plan, with all columns, names and arguments."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    with _PRINTING:
+        before = spark.conf.get(FIELDS)
+        # expressions print by the settings of the active session
+        spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)
+        spark.conf.set(FIELDS, str(2**31 - 1))
+        try:
+            return plan.treeString()
+        finally:
+            spark.conf.set(FIELDS, before)
+
+
 def _confine(spark: SparkSession, text: str, tables: Sequence[str] | None) -> None:
     """Refuse calls of Java code and, if ``tables`` are given, every other relation: views, files, catalogs."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
+    plan = _plan_text(spark, text)
     if JAVA_CALL.search(plan):
         raise SqlError("a query can't call Java code")
     if tables is None:
