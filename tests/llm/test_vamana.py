@@ -60,3 +60,15 @@ def test_odd_rows(spark):
     got = search(spark, frame, 3, 2)
     assert {q: [i for i, _ in found] for q, found in got.items()} == {0: [1, 10], 10: [0, 1]}
     assert search(spark, frame.where("false"), 3, 2) == {}
+
+
+def test_a_frequent_id_is_folded_and_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    one = lambda: [float(x) for x in rng.normal(size=8)]
+    # 64 bytes a vector, so about 100 to a shard; id 1 has 1,000 of the 1,100 different rows.
+    vectors = [(1, one()) for _ in range(1000)] + [(i, one()) for i in range(2, 102)]
+    frame = spark.createDataFrame(vectors + [vectors[-1]] * 1100, "vec_id long, embedding array<double>")
+    path = scratch_path(spark, "vector-graph")
+    build_index(frame, path, shard_bytes=6400)
+    sizes = [r[2] for r in spark.read.parquet(path).collect()]
+    assert sum(sizes) == 1100 and len(sizes) <= 11 and max(sizes) < 200

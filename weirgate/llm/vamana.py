@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Out-edges of a node, candidates kept while building, and how much closer a kept edge must be.
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
 # Candidates kept while searching.
@@ -174,7 +176,8 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def build_index(df: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", *, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes an index of all vectors into a new folder: one row per shard."""
-    points = _points(df, id_col, vector_col)
+    # Equal rows are folded where they are, before any of them is dealt.
+    points = written(_points(df, id_col, vector_col).distinct(), "vector-points")
     sizes = points.groupBy("dim").count().collect()  # one row per length of vectors
     total = {r["dim"]: max(1, -(-r["count"] * r["dim"] * 8 // shard_bytes)) for r in sizes}
     shards = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("dim")), F.lit(1)) if total else F.lit(1)
@@ -191,7 +194,7 @@ def build_index(df: DataFrame, path: str, id_col: str = "vec_id", vector_col: st
         row = [[dim], [key[1].as_py()], [len(groups)], [graph.points.tobytes()], [graph.edges.astype(np.int32).tobytes()], [graph.entries.tobytes()], [groups]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(row, INDEX, strict=True)], schema=INDEX)
 
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), shards).cast("int"))
     dealt.groupBy("dim", "shard").applyInArrow(shard_graph, INDEX_DDL).write.parquet(path)
 
 
