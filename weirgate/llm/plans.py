@@ -12,6 +12,7 @@ from .binary import read_token_files, write_token_files
 from .bpe import round_trip
 from .exact import exact_dedup
 from .lines import drop_frequent_lines
+from .merkle import verify_tampering
 from .ngram import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import find_pii, span_text
@@ -82,6 +83,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tampering(table(spark, sf_dir, "documents"), scratch_path(spark, "merkle-manifest"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_vector_graph": op8_vector_graph,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
@@ -132,4 +138,63 @@ ORACLE = {
                sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
         FROM k
     """,
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE fields AS (
+          SELECT doc_id, coalesce('=' || source, '') AS tree, text,
+            list_reduce(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+              lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')), lambda a, b: a || b) AS head,
+            coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: i::BIGINT)),
+                lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 2 = 0, false) AS lost
+          FROM documents
+        ), hashed AS (
+          SELECT doc_id, tree, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+            CASE WHEN lost THEN replace(text, chr(10), '') ELSE text END AS changed, head
+          FROM fields
+        ), leaves AS (
+          SELECT doc_id, tree, leaf, sha256(head || coalesce(strlen(changed)::VARCHAR || ':' || changed, '-')) AS found,
+            row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+          FROM hashed
+        ), low AS (
+          SELECT tree, 0 AS level, pos, leaf AS h FROM leaves
+          UNION ALL
+          SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+          FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM low) WHERE nodes > 1
+          GROUP BY tree, level, pos // 3
+        ), subroots AS (
+          SELECT tree, arg_max(h, level) AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM low GROUP BY tree
+        ), top AS (
+          SELECT 0 AS level, pos, subroot AS h FROM subroots
+          UNION ALL
+          SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+          FROM (SELECT *, count(*) OVER () AS nodes FROM top) WHERE nodes > 1
+          GROUP BY level, pos // 3
+        ), whole AS (SELECT arg_max(h, level) AS root FROM top),
+        low_runs AS (
+          SELECT tree, level, pos // 3 AS run, list(h ORDER BY pos) AS hs
+          FROM (SELECT *, max(level) OVER (PARTITION BY tree) AS last FROM low) WHERE level < last GROUP BY ALL
+        ), top_runs AS (
+          SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs
+          FROM (SELECT *, max(level) OVER () AS last FROM top) WHERE level < last GROUP BY ALL
+        ), climb AS (
+          SELECT doc_id, leaf, pos AS id, tree, 0 AS level, pos, found AS h, '' AS proof FROM leaves
+          UNION ALL
+          SELECT doc_id, leaf, id, tree, level + 1, pos // 3,
+            sha256(array_to_string(list_concat(hs[:pos % 3], [h], hs[pos % 3 + 2:]), '')),
+            proof || array_to_string(list_concat(hs[:pos % 3], hs[pos % 3 + 2:]), '')
+          FROM climb JOIN low_runs USING (tree, level) WHERE run = pos // 3
+        ), reached AS (
+          SELECT doc_id, leaf, id, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climb GROUP BY ALL
+        ), finish AS (
+          SELECT doc_id, leaf, id, tree, subroot, 0 AS level, pos, h, proof FROM reached JOIN subroots USING (tree)
+          UNION ALL
+          SELECT doc_id, leaf, id, tree, subroot, level + 1, pos // 3,
+            sha256(array_to_string(list_concat(hs[:pos % 3], [h], hs[pos % 3 + 2:]), '')),
+            proof || array_to_string(list_concat(hs[:pos % 3], hs[pos % 3 + 2:]), '')
+          FROM finish JOIN top_runs USING (level) WHERE run = pos // 3
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(arg_max(proof, level)) AS proof_sha256, arg_max(h, level) AS folded_root,
+          arg_max(h, level) = root AS verified
+        FROM finish, whole GROUP BY doc_id, leaf, id, tree, subroot, root
+    """,
 }
