@@ -240,12 +240,13 @@ def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _ways(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _ways(tiers: list[DataFrame], above: DataFrame | None) -> DataFrame:
     """The way from the root of each lowest block to the end. ``above`` has one per tree, from its root on: tree, shape, siblings, root."""
+    nothing = [F.lit(b"").alias("shape"), F.lit(b"").alias("siblings"), F.lit(None).cast("binary").alias("root")]
     ways = None
     for tier in range(len(tiers) - 1, -1, -1):
         tops = _done(tiers[tier]).select("tree", "block", F.col("root").alias("subroot"))
-        own = tops.join(above, "tree").select(*PATHS.names)
+        own = (tops.select("*", *nothing) if above is None else tops.join(above, "tree")).select(*PATHS.names)
         ways = own if ways is None else own.unionByName(ways)
         if tier:
             blocks = tiers[tier].select("tree", "block", "height", "n", "nodes")
@@ -266,7 +267,7 @@ def _leaf_proofs(key: tuple[pa.Scalar, ...], leaves: pa.Table, blocks: pa.Table)
     return pa.Table.from_batches([rows_out(PROOFS, [*columns, shapes, siblings, [row["subroot"]] * n, [row["root"]] * n])])
 
 
-def _proofs(leaves: DataFrame, tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _proofs(leaves: DataFrame, tiers: list[DataFrame], above: DataFrame | None) -> DataFrame:
     lowest = tiers[0].select("tree", "block", "height", "n", "nodes").join(_ways(tiers, above), ["tree", "block"])
     own = leaves.select("tree", _block_of("pos"), "pos", "id", "leaf", "carried")
     return own.groupBy("tree", "block").cogroup(lowest.groupBy("tree", "block")).applyInArrow(_leaf_proofs, PROOFS_DDL)
@@ -306,10 +307,7 @@ def proofs(spark: SparkSession, path: str) -> DataFrame:
     top, tiers = _tiers(spark, f"{path}/top"), _tiers(spark, f"{path}/blocks")
     if not tiers:
         return spark.createDataFrame([], PROOFS_DDL)
-    start = spark.range(1).select(
-        F.lit("").alias("tree"), F.lit(b"").alias("shape"), F.lit(b"").alias("siblings"), F.lit(None).cast("binary").alias("root")
-    )
-    groups = _proofs(read("groups"), top, start)
+    groups = _proofs(read("groups"), top, None)
     above = groups.select(F.decode("carried", "utf-8").alias("tree"), "shape", "siblings", F.col("subroot").alias("root"))
     return _proofs(read("leaves"), tiers, written(above, "merkle-groups"))
 

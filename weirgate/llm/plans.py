@@ -12,7 +12,9 @@ from .binary import read_token_files, write_token_files
 from .bpe import round_trip
 from .exact import exact_dedup
 from .lines import drop_frequent_lines
+from .lm import language_model_scores
 from .merkle import verify_tampering
+from .negatives import mine_hard_negatives
 from .ngram import ngram_jaccard_join
 from .packing import pack_documents
 from .pii import find_pii, span_text
@@ -87,6 +89,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_tampering(table(spark, sf_dir, "documents"), scratch_path(spark, "merkle-manifest"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 != 1
+    scored = language_model_scores(table(spark, sf_dir, "documents"), learned)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -99,6 +112,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lm_scores": op13_lm_scores,
 }
 
 ORACLE = {
@@ -197,4 +212,24 @@ ORACLE = {
           arg_max(h, level) = root AS verified
         FROM finish, whole GROUP BY doc_id, leaf, id, tree, subroot, root
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+          FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+          vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }
