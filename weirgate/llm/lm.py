@@ -39,8 +39,9 @@ from .trie import Trie
 CHUNK = 8 << 20
 PART_WORDS = 2_000_000
 SHARD_TOKENS = 1_500_000
-# Events that are set aside for a context seen n times: n to this power, for pairs and triples.
-GROWTH = (0.75, 0.9)
+# Events that are set aside for a context seen n times: n to this power, for pairs and triples. On sf0.1, held-out texts have 3.67 decades a word with
+# these (single words: 4.15), 3.76 with 0.75 and 0.9, and 3.88 with 0.6 and 0.75.
+GROWTH = (0.9, 1.0)
 # Steps of a quantised probability in a decade; code 0 is no probability at all.
 QUANTUM = 4096
 # Numbers of the start and the end of a text; words come behind.
