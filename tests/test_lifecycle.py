@@ -3,9 +3,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weirgate.operators import catalog, lifecycle
+from weirgate.operators import catalog, lifecycle, patching
 from weirgate.streaming.seeding import apply_batch, watch_seeds
 
 STAMP, LATER = "2026-01-01T00:00:00Z", "2026-02-02T00:00:00Z"
@@ -186,3 +188,135 @@ def test_a_name_that_is_free_again_gets_a_new_id(spark, docs, types):
     again = lifecycle.create_connections(renamed, types, requests, "global", now=LATER).table
     ids = [r["id"] for r in again.select("metadata.id").collect()]
     assert len(ids) == len(set(ids)) == 4
+
+
+def in_turn(docs, types, patches):
+    """The reference's way: one patch after the other, each on what the ones before it left."""
+    table = {(d["metadata"]["id"], d["metadata"]["tenant_id"]): json.loads(json.dumps(d["resource"])) for d in docs}
+    verdicts = {}
+    for key, tenant, seq, patch in sorted(patches, key=lambda p: p[2]):
+        old = table.get((key, tenant))
+        new = patching.applied(old, patching.step_of(json.loads(patch))) if old is not None else None
+        shape = new is not None and isinstance(new, dict) and all(isinstance(new.get(k), str) for k in ("name", "data_connection_type_id"))
+        shape = shape and new.get("format") in ("tabular", "binary") and isinstance(new.get("properties"), dict)
+        admin = new.get("admin") if shape else None
+        if old is None:
+            verdict = "ResourceNotFound"
+        elif not shape or not (admin is None or isinstance(admin, dict)):
+            verdict = "Deserialization"
+        elif admin and admin.get("secret") is not None:
+            verdict = "Validation"
+        elif any(k != (key, tenant) and k[1] == tenant and d["name"] == new["name"] for k, d in table.items()):
+            verdict = "Conflict"
+        elif new["data_connection_type_id"] not in types:
+            verdict = "ResourceNotFound"
+        else:
+            verdict, table[key, tenant] = None, new
+        verdicts[key, seq] = verdict
+    return table, verdicts
+
+
+def test_patches_in_turn(spark, types):
+    resource = {"name": "one", "data_connection_type_id": "t1", "format": "tabular", "admin": {"secret_ref": "s1"}, "properties": {"a": "1"}}
+    stored = [(("c1", "red", STAMP, STAMP), resource, OK), (("c2", "red", STAMP, STAMP), resource | {"name": "two", "data_connection_type_id": "gone"}, OK)]
+    docs = spark.createDataFrame(stored, STORED)
+    steps = [
+        ("c1", '{"properties":{"b":"2","a":null}}'),
+        ("c2", '{"properties":{"x":"1"}}'),
+        ("c1", '{"name":null}'),
+        ("c1", '{"properties":null}'),
+        ("c1", '{"properties":{"a":"3"}}'),
+        ("c1", '{"name":"two"}'),
+        ("c1", '{"admin":null}'),
+        ("c1", '{"admin":{"secret_ref":"s2"}}'),
+        ("c2", '{"data_connection_type_id":"nowhere"}'),
+        ("c2", '{"data_connection_type_id":"t1"}'),
+        ("c2", '{"properties":{"x":"2"}}'),
+        ("c1", '{"admin":{"secret_ref":null,"name":"n","secret":{"k":"v"}}}'),
+        ("c1", '{"name":"uno"}'),
+        ("c1", '{"name":"dos","properties":{"a":null}}'),
+        ("c1", '{"format":"other"}'),
+        ("c2", '{"name":"dos"}'),
+        ("c1", "7"),
+        ("c3", "{}"),
+        ("c1", '{"name":5}'),
+        ("c2", '{"admin":"text"}'),
+    ]
+    asked = [(key, "red", seq, patch) for seq, (key, patch) in enumerate(steps)]
+    want, verdicts = in_turn([{"metadata": {"id": m[0], "tenant_id": m[1]}, "resource": r} for m, r, _ in stored], {"t1"}, asked)
+    odd = [("c1", "red", None, "{}"), ("c1", "red", 100, "{}"), ("c1", "red", 100, "{}"), ("c1", "red", 101, "{"), ("c1", "red", 102, None)]
+    patches = spark.createDataFrame(asked + odd, "id string, tenant_id string, seq long, patch string")
+    change = patching.patch_in_order(docs, types, patches, "global", now=LATER)
+    table = {r["metadata"]["id"]: r for r in change.table.collect()}
+    for (key, _), resource in want.items():
+        got = table[key]["resource"].asDict(recursive=True)
+        assert got == {"admin": None} | resource
+        assert (table[key]["metadata"]["updated_at"], table[key]["metadata"]["created_at"]) == (LATER, STAMP)
+    got = {(r["id"], r["seq"]): r["kind"] for r in change.rejected.where("seq < 100").collect()}
+    assert got == {k: v for k, v in verdicts.items() if v}
+    odd = change.rejected.where("seq IS NULL OR seq >= 100").collect()
+    assert sorted((r["seq"] or 0, r["kind"]) for r in odd) == [(0, "Validation"), (100, "Validation"), (100, "Validation"), (101, "Deserialization"), (102, "Deserialization")]
+    nothing = patching.patch_in_order(docs, types, patches.where("false"), "global", now=LATER)
+    assert nothing.rejected.count() == 0 and sorted(r["metadata"]["updated_at"] for r in nothing.table.collect()) == [STAMP, STAMP]
+
+
+def test_names_are_claimed_by_the_first_patch(spark, docs, types):
+    more = [(("c3", "red", STAMP, STAMP), ("three", "t1", "tabular", None, {}), OK)]
+    docs = docs.unionByName(spark.createDataFrame(more, STORED))
+    asked = [("c3", "red", 1, "n"), ("c1", "red", 2, "n"), ("c2", "blue", 3, "n"), ("c3", "red", 4, "m"), ("c1", "red", 5, "three"), ("c1", "red", 6, "one")]
+    patches = spark.createDataFrame([(k, t, s, json.dumps({"name": n})) for k, t, s, n in asked], "id string, tenant_id string, seq long, patch string")
+    change = patching.patch_in_order(docs, types, patches, "global", now=LATER)
+    assert {r["metadata"]["id"]: r["resource"]["name"] for r in change.table.collect()} == {"c1": "one", "c2": "n", "c3": "m"}
+    assert sorted((r["seq"], r["kind"]) for r in change.rejected.collect()) == [(2, "Conflict"), (5, "Conflict")]
+
+
+def test_patch_types(spark, types):
+    asked = [
+        ("t1", "global", 1, '{"name":"MySQL"}', None),
+        ("t1", "global", 2, '{"provider":"bogus"}', "Validation"),
+        ("t1", "global", 3, '{"provider":null}', "Deserialization"),
+        ("t1", "global", 4, '{"provider":5}', "Deserialization"),
+        ("t1", "global", 5, '{"provider":"s3","description":"d"}', None),
+        ("t1", "global", 6, '{"description":null}', None),
+        ("t9", "global", 7, '{"name":"x"}', "ResourceNotFound"),
+        ("t1", "blue", 8, '{"name":"x"}', "ResourceNotFound"),
+        ("t2", "blue", 9, '{"name":"old"}', "Conflict"),
+    ]
+    patches = spark.createDataFrame([a[:4] for a in asked], "id string, tenant_id string, seq long, patch string")
+    change = patching.patch_types(types, patches, now=LATER)
+    table = {r["metadata"]["id"]: r for r in change.table.collect()}
+    assert tuple(table["t1"]["resource"]) == ("MySQL", "s3", None)
+    assert tuple(table["t1"]["status"]["capabilities"]) == (False, True)
+    assert table["t2"]["metadata"]["updated_at"] == STAMP and table["t1"]["metadata"]["updated_at"] == LATER
+    assert {(r["seq"], r["kind"]) for r in change.rejected.collect()} == {(a[2], a[4]) for a in asked if a[4]}
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers(-3, 3) | st.text("ab", max_size=2), lambda x: st.lists(x, max_size=2) | st.dictionaries(st.sampled_from("abc"), x, max_size=3), max_leaves=8)
+
+
+@given(JSON.filter(lambda x: x is not None), st.lists(JSON, min_size=2, max_size=5))
+def test_steps_compose(document, patches):
+    one_by_one = document
+    for patch in patches:
+        one_by_one = catalog._merged(one_by_one, patch)
+    steps = [patching.step_of(p) for p in patches]
+    left = right = steps[0]
+    for step in steps[1:]:
+        left = patching.compose(left, step)
+    right = steps[-1]
+    for step in steps[-2::-1]:
+        right = patching.compose(step, right)
+    assert patching.applied(document, left) == patching.applied(document, right) == one_by_one
+
+
+def test_a_hot_document_is_folded_in_many_tasks(spark):
+    n = 60_000
+    text = F.concat(F.lit('{"properties":{"k'), F.col("id") % 10, F.lit('":"'), F.col("id"), F.lit('"}}'))
+    patches = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 5000)).alias("id"), F.lit("red").alias("tenant_id"), F.col("id").alias("seq"), text.alias("patch"))
+    folded = patching.fold_patches(patches)
+    steps = {r.id: json.loads(r.step) for r in folded.collect()}
+    hot = patching.applied({}, steps["hot"])["properties"]
+    assert hot == {f"k{k}": str(max(i for i in range(0, n, 3) if i % 10 == k)) for k in range(10)} and len(steps) == 5001
+    parts = spark.sparkContext.defaultParallelism
+    ranges = patches.repartitionByRange(parts, "id", "tenant_id", "seq").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.n for r in ranges) < 2.5 * n / parts

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import catalog, lifecycle
+from ..operators import catalog, lifecycle, patching
 from ..session import scratch_path
 from ..streaming.seeding import watch_seeds
 from .tables import location, table
@@ -153,6 +153,97 @@ def patch_rename_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refused(spark, sf_dir, asked)
 
 
+def ordered_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order patches the connection of its customer, by its priority; some of a tenant's ask for the same name."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key = F.col("o_orderkey")
+    text = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit('{"properties":{"last":"'), key, F.lit('","place":"first"}}')))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit('{"properties":{"balance":null,"last":"'), key, F.lit('"}}')))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit('{"format":"binary","properties":{"balance":"'), key, F.lit('"}}')))
+        .when(key % 3 == 0, F.lit('{"name":null,"format":"binary"}'))
+        .when(key % 3 == 1, F.concat(F.lit('{"name":"shared","admin":{"secret_ref":"x'), key, F.lit('"}}')))
+        .otherwise(F.concat(F.lit('{"format":"tabular","admin":{"secret_ref":"ref-'), key, F.lit('"}}')))
+    )
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("tenant_id"), key.alias("seq"), text.alias("patch")
+    )
+
+
+def _in_order(spark: SparkSession, sf_dir: str) -> lifecycle.Change:
+    types = table(spark, sf_dir, "nation").select(_metadata(F.concat(F.lit("NATION_"), "n_nationkey"), F.lit("global")))
+    return patching.patch_in_order(connections(spark, sf_dir), types, ordered_patches(spark, sf_dir), "global", now=NOW)
+
+
+def patch_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    properties = F.col("resource.properties")
+    return _in_order(spark, sf_dir).table.select(
+        "metadata.id",
+        "metadata.updated_at",
+        "resource.name",
+        "resource.format",
+        F.col("resource.admin.secret_ref").alias("secret_ref"),
+        *(F.try_element_at(properties, F.lit(k)).alias(k) for k in ("balance", "last", "place")),
+    )
+
+
+def patch_in_order_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_order(spark, sf_dir).rejected.select("id", "tenant_id", "seq", "kind", "reason")
+
+
+def supplier_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as connection types of their nations' tenants."""
+    capabilities = F.struct(F.struct(F.lit(True).alias("flight"), F.lit(False).alias("rest")).alias("capabilities"))
+    resource = F.struct(
+        F.col("s_name").alias("name"),
+        F.lit("postgres").alias("provider"),
+        F.lit(None).cast("string").alias("description"),
+        F.array(F.struct(F.lit("host").alias("name"), F.lit(True).alias("required"))).alias("credentials_fields"),
+    )
+    tenant = F.concat(F.lit("NATION_"), F.col("s_nationkey"))
+    return table(spark, sf_dir, "supplier").select(
+        _metadata(F.col("s_suppkey").cast("string"), tenant), resource.alias("resource"), capabilities.alias("status")
+    )
+
+
+def _types_in_order(spark: SparkSession, sf_dir: str) -> lifecycle.Change:
+    """Every order line patches the type of its supplier, by its number; lines that a supplier has twice have no place of their own."""
+    lines, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    number, place = F.col("l_linenumber"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    text = (
+        F.when(number == 1, F.concat(F.lit('{"description":"'), place, F.lit('"}')))
+        .when(number == 2, F.lit('{"provider":"bogus","description":"never"}'))
+        .when(number == 3, F.lit('{"provider":"s3"}'))
+        .when(number == 4, F.lit('{"credentials_fields":null}'))
+        .when(number == 5, F.lit('{"credentials_fields":[{"name":"url","required":false},{"name":"key","required":true}]}'))
+        .when(number == 6, F.lit('{"description":null,"provider":"milvus"}'))
+        .otherwise(F.lit('{"provider":7}'))
+    )
+    asked = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").cast("string").alias("id"),
+        F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("tenant_id"),
+        place.alias("seq"),
+        text.alias("patch"),
+    )
+    return patching.patch_types(supplier_types(spark, sf_dir), asked, now=NOW)
+
+
+def patch_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _types_in_order(spark, sf_dir).table.select(
+        "metadata.id",
+        "metadata.updated_at",
+        "resource.name",
+        "resource.provider",
+        "resource.description",
+        F.size("resource.credentials_fields").alias("n_fields"),
+        F.col("status.capabilities.flight").alias("flight"),
+    )
+
+
+def patch_types_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _types_in_order(spark, sf_dir).rejected.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def seed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as arriving seeds for a document per user, starting with an empty table."""
     schema = T.StructType(table(spark, sf_dir, "events").schema.fields)
@@ -176,9 +267,40 @@ QUERIES = {
     "patch_rejected": patch_rejected,
     "patch_twice": patch_twice,
     "patch_rename_rejected": patch_rename_rejected,
+    "patch_in_order": patch_in_order,
+    "patch_in_order_rejected": patch_in_order_rejected,
+    "patch_types": patch_types,
+    "patch_types_rejected": patch_types_rejected,
     "seed_stream": seed_stream,
 }
 
+# What each order asks for: its place, and whether it is accepted. The first order of a tenant that asks for the shared name takes it for its customer.
+_ORDERED = """
+    WITH asked AS (
+      SELECT c_custkey, c_mktsegment AS tenant_id, o_orderkey AS seq, c_acctbal,
+             CASE WHEN o_orderpriority < '4' THEN left(o_orderpriority, 1) ELSE concat('x', o_orderkey % 3) END AS what
+      FROM orders JOIN customer ON o_custkey = c_custkey
+    ), owner AS (SELECT tenant_id, arg_min(c_custkey, seq) AS owner FROM asked WHERE what = 'x1' AND c_acctbal >= 0 GROUP BY tenant_id),
+    judged AS (
+      SELECT a.*, CASE WHEN c_acctbal < 0 THEN 'ResourceNotFound' WHEN what = 'x0' THEN 'Deserialization'
+                       WHEN what = 'x1' AND owner <> c_custkey THEN 'Conflict' END AS kind
+      FROM asked a LEFT JOIN owner o USING (tenant_id)
+    )
+"""
+
+_TYPED = """
+    WITH asked AS (
+      SELECT s_suppkey, l_orderkey * 8 + l_linenumber AS seq, l_linenumber AS what,
+             count(*) OVER (PARTITION BY s_suppkey, l_orderkey * 8 + l_linenumber) AS times
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+    ), judged AS (
+      SELECT *, CASE WHEN times > 1 THEN 'the request has no seq of its own'
+                     WHEN what = 2 THEN 'unsupported provider ''bogus'', expected one of: postgres, sqlite, s3, milvus, elasticsearch, neo4j'
+                     WHEN what IN (4, 7) THEN 'the patched document cannot be read' END AS reason
+      FROM asked
+    )
+"""
+
 _JUDGED = """
     WITH r AS (
       SELECT o_orderkey AS seq, c_name AS name, c_mktsegment AS tenant_id, o_orderstatus, c_nationkey, c_acctbal >= 0 AS taken,
@@ -240,6 +362,44 @@ ORACLE = {
         FROM customer
         QUALIFY c_acctbal < 0 OR count(*) OVER (PARTITION BY c_mktsegment, c_nationkey, floor(c_acctbal / 100)) > 1
     """,
+    "patch_in_order": f"""
+        {_ORDERED}, last AS (
+          SELECT c_custkey, count(*) AS n, max(seq) FILTER (what IN ('1', '2')) AS last, bool_or(what = '1') AS place, bool_or(what = 'x1') AS shared,
+                 arg_max(what, seq) FILTER (what IN ('2', '3')) AS balance, max(seq) FILTER (what = '3') AS medium,
+                 arg_max(what, seq) FILTER (what IN ('3', 'x2')) AS format,
+                 arg_max(concat(CASE WHEN what = 'x1' THEN 'x' ELSE 'ref-' END, seq), seq) FILTER (what IN ('x1', 'x2')) AS secret
+          FROM judged WHERE kind IS NULL GROUP BY c_custkey
+        )
+        SELECT CAST(c.c_custkey AS VARCHAR) AS id, CASE WHEN n IS NULL THEN '{STAMP}' ELSE '{NOW}' END AS updated_at,
+               CASE WHEN shared THEN 'shared' ELSE c_name END AS name, CASE WHEN format = '3' THEN 'binary' ELSE 'tabular' END AS format,
+               coalesce(secret, concat('ref-', c.c_custkey)) AS secret_ref,
+               CASE WHEN balance = '2' THEN NULL WHEN balance = '3' THEN CAST(medium AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END AS balance,
+               CAST(last AS VARCHAR) AS last, CASE WHEN place THEN 'first' END AS place
+        FROM customer c LEFT JOIN last l USING (c_custkey) WHERE c_acctbal >= 0
+    """,
+    "patch_in_order_rejected": f"""
+        {_ORDERED}
+        SELECT CAST(c_custkey AS VARCHAR) AS id, tenant_id, seq, kind,
+               CASE kind WHEN 'ResourceNotFound' THEN concat('no document ''', c_custkey, '''')
+                         WHEN 'Conflict' THEN 'the name is taken' ELSE 'the patched document cannot be read' END AS reason
+        FROM judged WHERE kind IS NOT NULL
+    """,
+    "patch_types": f"""
+        {_TYPED}, last AS (
+          SELECT s_suppkey, count(*) AS n, arg_max(what, seq) FILTER (what IN (3, 6)) AS provider, bool_or(what = 5) AS two,
+                 arg_max(CASE WHEN what = 1 THEN CAST(seq AS VARCHAR) ELSE '' END, seq) FILTER (what IN (1, 6)) AS description
+          FROM judged WHERE reason IS NULL GROUP BY s_suppkey
+        )
+        SELECT CAST(s.s_suppkey AS VARCHAR) AS id, CASE WHEN n IS NULL THEN '{STAMP}' ELSE '{NOW}' END AS updated_at, s_name AS name,
+               CASE provider WHEN 3 THEN 's3' WHEN 6 THEN 'milvus' ELSE 'postgres' END AS provider, nullif(description, '') AS description,
+               CAST(CASE WHEN two THEN 2 ELSE 1 END AS INTEGER) AS n_fields, true AS flight
+        FROM supplier s LEFT JOIN last l USING (s_suppkey)
+    """,
+    "patch_types_rejected": f"""
+        {_TYPED}
+        SELECT CASE WHEN times > 1 OR what = 2 THEN 'Validation' ELSE 'Deserialization' END AS kind, reason, count(*) AS n
+        FROM judged WHERE reason IS NOT NULL GROUP BY ALL
+    """,
     "seed_stream": """
         WITH t AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
                    FROM events WHERE event_type <> 'view')
