@@ -179,7 +179,7 @@ def test_long_sql_is_confined_to_its_end(spark, tmp_path, own_session):
     spark = spark.newSession() if own_session else spark
     spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
     sqltext.register_tables(spark, str(tmp_path / "{name}.parquet"), ["t"])
-    call, before = "reflect('java.lang.System', 'currentTimeMillis')", spark.conf.get(sqltext.FIELDS)
+    call, before = "reflect('java.lang.System', 'currentTimeMillis')", spark.conf.get("spark.sql.debug.maxToStringFields")
     numbers = ", ".join(map(str, range(30)))
     columns = ", ".join(f"{i} AS c{i}" for i in range(30))
     names = ", ".join(f"a{i} AS (SELECT * FROM t)" for i in range(30))
@@ -196,7 +196,47 @@ def test_long_sql_is_confined_to_its_end(spark, tmp_path, own_session):
         with pytest.raises(SqlError, match="Java code|not a table"):
             sqltext.sql_read(spark, text, tables=["t"])
     assert sqltext.sql_read(spark, f"WITH {names} SELECT {columns} FROM a29 JOIN a0 USING (id)", tables=["t"]).count() == 3
-    assert spark.conf.get(sqltext.FIELDS) == before
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == before
+
+
+def test_sql_is_confined_however_a_name_is_spelled(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    spark.range(3).selectExpr("id AS secret").createOrReplaceTempView("secretview")
+    spark.sql("SELECT 1 AS a").createOrReplaceGlobalTempView("shared")
+    spark.range(2).createOrReplaceTempView("own")
+    spark.udf.register("mine", lambda: "x")
+    tables = {"own": spark.read.parquet(str(tmp_path / "t.parquet"))}
+    for text in (
+        "SELECT * FROM secretview",
+        "SELECT * FROM IDENTIFIER('secretview')",
+        f"SELECT * FROM IDENTIFIER('parquet.`{tmp_path}/t.parquet`')",
+        f"SELECT * FROM parquet.`{tmp_path}/t.parquet`",
+        "SELECT * FROM global_temp.shared",
+        "SELECT * FROM own JOIN global_temp.shared ON id = a",
+        "SELECT (SELECT max(a) FROM global_temp.shared) AS x FROM own",
+        "SELECT * FROM own WHERE EXISTS (SELECT 1 FROM own o WHERE o.id IN (SELECT a FROM global_temp.shared))",
+        "SELECT * FROM (WITH secretview AS (SELECT 1 a) SELECT * FROM secretview) x, secretview",
+        "SELECT * FROM own, LATERAL (SELECT max(secret) FROM secretview)",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'currentTimeMillis')",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'currentTimeMillis') FROM own",
+        "SELECT try_reflect('java.lang.System', 'currentTimeMillis') FROM own",
+        "SELECT mine() FROM own",
+    ):
+        with pytest.raises(SqlError):
+            sqltext.sql_read(spark, text, tables=tables)
+    for text in ("SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'currentTimeMillis')"):
+        with pytest.raises(SqlError, match="Java code"):
+            sqltext.sql_read(spark, text)
+    read = lambda text: sqltext.sql_read(spark, text, tables=tables).collect()
+    assert read("SELECT 'please reflect(on) this' AS x, 'secretview' AS y") == [("please reflect(on) this", "secretview")]
+    assert len(read("SELECT * FROM IDENTIFIER('own') JOIN (VALUES (1), (2)) v(id) USING (id)")) == 2
+    recursive = "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT n FROM r, range(2), own"
+    assert len(read(recursive)) == 30
+    # The connection's tables aren't the session's: neither sees the other's view of the same name.
+    assert spark.table("own").count() == 2 and read("SELECT count(*) FROM own")[0][0] == 3
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true" and sqltext.sql_read(spark, "SELECT mine() AS x FROM secretview").count() == 3
+    joined = spark.table("own").join(sqltext.sql_read(spark, "SELECT id FROM own", tables=tables), "id")
+    assert joined.count() == 2
 
 
 def test_mixed_folder(spark, tmp_path):

@@ -170,8 +170,9 @@ class Hub:
     def _read_sql(self, query: str, connection: Connection, parameters: Any) -> DataFrame:
         """SQL text over tables kept as files: ``location`` and a comma list of ``tables``."""
         names = [t.strip() for t in connection.properties.get("tables", "").split(",") if t.strip()]
-        sqltext.register_tables(self.spark, connection.properties["location"], names)
-        return sqltext.sql_read(self.spark, query, parameters, names)
+        location = connection.properties["location"]
+        tables = {name: self.spark.read.parquet(location.replace("{name}", name)) for name in names}
+        return sqltext.sql_read(self.spark, query, parameters, tables)
 
     def _read_sql_server(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         if "location" in connection.properties:
@@ -221,9 +222,8 @@ class Hub:
         return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"), late, index)
 
     def _read_graph(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
-        for name in ("nodes", "edges"):
-            connection.table(self.spark, name).createOrReplaceTempView(name)
-        return sqltext.sql_read(self.spark, query, parameters, ("nodes", "edges"))
+        tables = {name: connection.table(self.spark, name) for name in ("nodes", "edges")}
+        return sqltext.sql_read(self.spark, query, parameters, tables)
 
 
 def _typed_documents(index: DataFrame, doc: str, mapping: Mapping[str, Any], id_field: str) -> DataFrame:
