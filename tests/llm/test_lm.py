@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirgate.llm.lm import GROWTH, language_model_scores, pack, unpack
+from weirgate.llm.lm import GROWTH, Shard, language_model_scores, pack, unpack
 from weirgate.llm.plans import op13_lm_scores
 from weirgate.llm.trie import EliasFano, Trie
 
@@ -147,3 +147,23 @@ def test_the_query_on_the_whole_table(spark, sf_dir):
 def test_held_out_texts_are_likelier_than_by_single_words(spark):
     rows = op13_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
     assert (rows[1] - rows[0]) / rows[2] > 0.2
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 33])
+def test_a_shard_adds_up_what_chunks_learned(shift):
+    # Two chunks: first words (differences), their runs, their counts, second words, counts, followers, third words, counts.
+    one = [[3 + shift, 4], [2, 1], [10, 5], [2, 9 + shift, 2], [1, 2, 0], [1, 2, 0], [8, 4, 5], [1, 0, 2]]
+    two = [[7 + shift], [1], [5], [2], [3], [1], [6 + shift], [3]]
+    asked = [[np.array(x, np.int64) for x in chunk] for chunk in (one, two)]
+    shard = Shard([unpack(pack(a), wide=False) for a in asked])
+    pairs = {(3 + shift, 2): (1, 10), (3 + shift, 9 + shift): (2, 10), (7 + shift, 2): (3, 5)}
+    times = [(1, 1), (0, 2), (2, 2), (3, 3)]
+    with tempfile.TemporaryFile() as file:
+        shard.trie().save(file)
+        first, rest, last = shard.look_up(Trie.mapped(file))
+    got = [10.0 ** (-(int(c) - 1) / 4096) if c else 0.0 for c in first[shard.pair]]
+    want = [n / (total + total ** GROWTH[0]) for n, total in (pairs[3 + shift, 2], pairs[3 + shift, 9 + shift], pairs[7 + shift, 2], pairs[7 + shift, 2])]
+    assert got == pytest.approx(want, rel=1e-3)
+    got = [10.0 ** (-(int(c) - 1) / 4096) if c else 0.0 for c in last[shard.triple]]
+    assert got == pytest.approx([n / (total + total ** GROWTH[1]) for n, total in times], rel=1e-3)
+    assert (rest > 0).all()

@@ -38,7 +38,7 @@ from .trie import Trie
 # Bytes of text in a chunk; words of a partition that numbers them; words of texts in a shard.
 CHUNK = 8 << 20
 PART_WORDS = 2_000_000
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_200_000
 # Events that are set aside for a context seen n times: n to this power, for pairs and triples. On sf0.1, held-out texts have 3.67 decades a word with
 # these (single words: 4.15), 3.76 with 0.75 and 0.9, and 3.88 with 0.6 and 0.75.
 GROWTH = (0.9, 1.0)
@@ -71,13 +71,15 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
+def unpack(data: bytes, wide: bool = True) -> list[np.ndarray]:
+    """The arrays, as 64-bit numbers or as narrow as they were packed."""
     out, at = [], 0
     while at < len(data):
         width, n, size = np.frombuffer(data, "<u4", 3, at).tolist()
         at += 12
         planes = pa.decompress(data[at : at + size], width * n, CODEC, asbytes=True) if n else b""
-        out.append(np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").reshape(n).astype(np.int64))
+        array = np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").reshape(n)
+        out.append(array.astype(np.int64) if wide or width == 8 else array)
         at += size
     return out
 
@@ -98,6 +100,12 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return codes[some].astype(np.int64), names, np.diff(ends)
 
 
+def _mixed(sizes: np.ndarray) -> np.ndarray:
+    """The order that takes the first of each of several lists, which lie one after the other, then the second of each, and so on."""
+    rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.argsort(rank, kind="stable")
+
+
 def _chunks(parts: int):
     """Per chunk a row with its texts (``part`` -1), and one per partition with its words there and their counts."""
 
@@ -108,19 +116,20 @@ def _chunks(parts: int):
             learned = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             of_word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
             part = (of_word % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            codes = place[codes]
             total = np.bincount(codes, minlength=len(names))
+            # Partition by partition, frequent words first; texts have small numbers for frequent words, which pack well.
+            order = np.lexsort((-total, part))
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            place = np.empty(len(order), np.int64)
+            place[order[_mixed(np.diff(edges))]] = np.arange(len(order))
             counts = np.bincount(codes, weights=np.repeat(learned, lengths), minlength=len(names)).astype(np.int64)
+            codes = place[codes]
             rows = [(chunk, -1, batch.column(0).to_pylist(), pack([codes, lengths, learned.astype(np.int64)]), len(codes) + len(lengths), int(learned.sum()))]
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 own = slice(edges[p], edges[p + 1])
                 text = pa.compress(joined := b" ".join(names[i] for i in order[own]), CODEC, asbytes=True)
                 head = np.array([len(joined), len(text)], "<i8").tobytes()
-                rows.append((chunk, p, None, head + text + pack([counts[own], total[own]]), 0, int(edges[p + 1] - edges[p])))
+                rows.append((chunk, p, None, head + text + pack([counts[order[own]], total[order[own]]]), 0, int(edges[p + 1] - edges[p])))
             yield rows_out(CHUNKS, list(zip(*rows, strict=True)))
             chunk += 1
         pa.default_memory_pool().release_unused()
@@ -183,6 +192,8 @@ class Chunk:
         codes, self.lengths, learned = unpack(row["data"])
         own = [unpack(a["data"]) for a in sorted(answers, key=lambda a: a["part"])]
         number, count, total = ([np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.int64) for k in range(3)])
+        mixed = _mixed(np.array([len(x[0]) for x in own], np.int64))
+        number, count, total = number[mixed], count[mixed], total[mixed]
         # Places in order of the words' numbers, the start and the end of a text first.
         order = np.argsort(number)
         place = np.empty(len(order), np.int64)
@@ -218,7 +229,7 @@ class Chunk:
     def shards(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs by shard, and where the pairs and the triples of each shard begin in that order."""
         one, two = self.numbers[self.pair_words]
-        split = -(-self.seen[self.pair_words[0]] // SHARD_TOKENS)
+        split = -(-self.seen[self.pair_words[0]] // (SHARD_TOKENS // 8))
         sub = np.where(split > 1, _mix(two) % np.maximum(split, 1).astype(np.uint64), np.uint64(0))
         shard = (_mix(one.astype(np.uint64) + (sub << np.uint64(40))) >> np.uint64(20)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
@@ -284,60 +295,77 @@ def aside(n: np.ndarray, growth: float) -> np.ndarray:
     return n.astype(np.float64) ** growth
 
 
-def build_trie(ones: np.ndarray, one_counts: np.ndarray, twos: np.ndarray, pair_counts: np.ndarray, pair: np.ndarray, threes: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of learned pairs (first word, count of the first word, second word, count) and triples (place of the pair, word, count).
-
-    Pairs may repeat, and their counts add up; so may triples.
-    """
-    heads, one = np.unique(ones, return_inverse=True)
-    tails, two = np.unique(twos, return_inverse=True)
-    keys, group = np.unique(one * max(1, len(tails)) + two, return_inverse=True)
-    seen = np.bincount(group, weights=pair_counts, minlength=len(keys)).astype(np.int64)
-    words, three = np.unique(threes, return_inverse=True)
-    inner, own = np.unique(group[pair] * max(1, len(words)) + three, return_inverse=True)
-    times = np.bincount(own, weights=counts, minlength=len(inner)).astype(np.int64)
-    # What was only asked for isn't part of the model.
-    kept = np.cumsum(seen > 0) - 1
-    context, last = np.divmod(inner, max(1, len(words)))
-    some = times > 0
-    context, last, times = context[some], last[some], times[some]
-    of_one = np.zeros(len(heads), np.int64)
-    of_one[one] = one_counts
-    first, second = np.divmod(keys[seen > 0], max(1, len(tails)))
-    n, total, own_total = seen[seen > 0], of_one[first], seen[context]
-    codes = [
-        [],
-        [_code(n / (total + aside(total, GROWTH[0]))), _code(aside(n, GROWTH[1]) / (n + aside(n, GROWTH[1])))],
-        [_code(times / (own_total + aside(own_total, GROWTH[1])))],
-    ]
-    parents = [np.zeros(len(heads), np.int64), first, kept[context]]
-    return Trie.of([heads, tails[second], words[last]], parents, codes)
+LOW = np.int64((1 << 32) - 1)
+
+
+class Shard:
+    """What chunks ask of a shard: different pairs and triples, and what was learned of them."""
+
+    def __init__(self, asked: list[list[np.ndarray]]) -> None:
+        join = lambda k: np.concatenate([a[k] for a in asked])
+        ones = np.concatenate([np.cumsum(a[0], dtype=np.int64) for a in asked])
+        self.heads, one = np.unique(ones, return_inverse=True)
+        self.head_counts = np.zeros(len(self.heads), np.int64)
+        self.head_counts[one] = join(2)
+        twos, threes = join(3), join(6)
+        self.names = None
+        if max(map(int, (twos.max(initial=0), threes.max(initial=0)))) > LOW:
+            # More words than 32 bits tell apart: the shard numbers its own.
+            self.names, places = np.unique(np.concatenate((twos, threes)), return_inverse=True)
+            twos, threes = places[: len(twos)], places[len(twos) :]
+        self.pairs, self.pair = np.unique(np.repeat(one, join(1)) << 32 | twos.astype(np.int64), return_inverse=True)
+        self.pair_counts = np.bincount(self.pair, weights=join(4), minlength=len(self.pairs)).astype(np.int64)
+        context = np.repeat(self.pair, join(5))
+        self.triples, self.triple = np.unique(context << 32 | threes.astype(np.int64), return_inverse=True)
+        self.counts = np.bincount(self.triple, weights=join(7), minlength=len(self.triples)).astype(np.int64)
+
+    def word(self, key: np.ndarray) -> np.ndarray:
+        low = key & LOW
+        return low if self.names is None else self.names[low]
+
+    def trie(self) -> Trie:
+        """What was learned: words, what followed them, and what followed those."""
+        some, inner = self.pair_counts > 0, self.counts > 0
+        kept = np.cumsum(some) - 1
+        pairs, n = self.pairs[some], self.pair_counts[some]
+        triples, times = self.triples[inner], self.counts[inner]
+        total, own_total = self.head_counts[pairs >> 32], self.pair_counts[triples >> 32]
+        codes = [
+            [],
+            [_code(n / (total + aside(total, GROWTH[0]))), _code(aside(n, GROWTH[1]) / (n + aside(n, GROWTH[1])))],
+            [_code(times / (own_total + aside(own_total, GROWTH[1])))],
+        ]
+        parents = [np.zeros(len(self.heads), np.int64), pairs >> 32, kept[triples >> 32]]
+        return Trie.of([self.heads, self.word(pairs), self.word(triples)], parents, codes)
+
+    def look_up(self, trie: Trie) -> list[np.ndarray]:
+        """The codes of all different pairs (two each) and triples; 0 for those that weren't learned."""
+        head = trie.find(0, np.zeros(len(self.heads), np.int64), self.heads)
+        pair = trie.find(1, head[self.pairs >> 32], self.word(self.pairs))
+        triple = trie.find(2, pair[self.triples >> 32], self.word(self.triples))
+
+        def at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return np.where(places >= 0, codes[np.maximum(places, 0)], 0) if len(codes) else np.zeros(len(places), np.uint16)
+
+        return [*(at(c, pair) for c in trie.levels[1][2]), at(trie.levels[2][2][0], triple)]
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's trie, and what it has for each pair and triple of each chunk. Answers have the part -1 - shard."""
-    for shard, rows in _by_part(batches):
-        asked = []
-        for row in rows:
-            ones, runs, one_counts, twos, pair_counts, after, threes, counts = unpack(row["data"])
-            asked.append((np.repeat(np.cumsum(ones), runs), np.repeat(one_counts, runs), twos, pair_counts, after, threes, counts))
-            row["data"] = None
-        one, one_counts, two, pair_counts, after, three, counts = (np.concatenate([a[k] for a in asked]) for k in range(7))
-        pair = np.repeat(np.arange(len(after)), after)
+    for number, rows in _by_part(batches):
+        asked = [unpack(row["data"], wide=False) for row in rows]
+        chunks = [(row["chunk"], len(a[3]), len(a[6])) for row, a in zip(rows, asked, strict=True)]
+        rows.clear()
+        shard = Shard(asked)
+        asked.clear()
         with tempfile.TemporaryFile() as file:
-            build_trie(one, one_counts, two, pair_counts, pair, three, counts).save(file)
-            trie = Trie.mapped(file)
-            del one_counts, pair_counts, counts
-            at = at_pair = 0
-            for row, (ones, _, twos, _, own_after, threes, _) in zip(rows, asked, strict=True):
-                head = trie.find(0, np.zeros(len(ones), np.int64), ones)
-                found = trie.find(1, head, twos)
-                inner = trie.find(2, np.repeat(found, own_after), threes)
-                codes = [*(c[np.maximum(found, 0)] * (found >= 0) if len(c) else np.zeros(len(found), np.int64) for c in trie.levels[1][2])]
-                code = trie.levels[2][2][0]
-                codes.append(code[np.maximum(inner, 0)] * (inner >= 0) if len(code) else np.zeros(len(inner), np.int64))
-                yield rows_out(SENT, [[row["chunk"]], [-1 - shard], [pack(codes)]])
-                at, at_pair = at + len(threes), at_pair + len(ones)
+            shard.trie().save(file)
+            codes = shard.look_up(Trie.mapped(file))
+        at = at_triple = 0
+        for chunk, pairs, triples in chunks:
+            own, inner = shard.pair[at : at + pairs], shard.triple[at_triple : at_triple + triples]
+            yield rows_out(SENT, [[chunk], [-1 - number], [pack([codes[0][own], codes[1][own], codes[2][inner]])]])
+            at, at_triple = at + pairs, at_triple + triples
         pa.default_memory_pool().release_unused()
 
 
