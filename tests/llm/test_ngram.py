@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
+
 import pytest
 
 from weirgate.llm import ngram
@@ -89,3 +92,55 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(300, 300)]
     labels = {r.vertex: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {i: 0 for i in range(101)} | {i: 200 for i in range(200, 260)}
+
+
+def test_a_pair_is_verified_once_and_only_if_its_summaries_allow_it(spark, documents, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(3000)]
+    rows = []
+    for group in range(30):
+        own = rng.sample(base, 120)
+        for _ in range(12):
+            words = list(own)
+            for _ in range(rng.randrange(0, 9)):
+                words[rng.randrange(120)] = rng.choice(base)
+            rows.append(" ".join(words))
+    # A passage that many otherwise different texts have.
+    passage = rng.sample(base, 30)
+    rows += [" ".join(rng.sample(base, 90) + passage) for _ in range(120)]
+    tables = []
+    kept = ngram.written
+    monkeypatch.setattr(ngram, "written", lambda df, name: tables.append((name, kept(df, name))) or tables[-1][1])
+    got = {r.doc_id: r.component_id for r in ngram.ngram_jaccard_join(documents(rows)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[i] & sets[j])
+        if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            linked += 1
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    assert got == {i: root(i) for i in range(len(rows))} and linked > 100
+    asked = [(r.a, r.b) for name, table in tables if name == "ngram-asked" for r in table.select("a", "b").collect()]
+    assert asked and all(a < b for a, b in asked) and len(asked) == len(set(asked))
+    assert len(asked) < 3 * len(rows)
+
+
+def test_summaries_never_understate_what_sets_share():
+    rng = np.random.default_rng(2)
+    for n, m, common in ((10, 12, 9), (500, 450, 430), (5000, 4000, 0), (3000, 1500, 1500), (1, 1, 1)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2))
+        one, two = np.sort(pool[:n]), np.sort(np.concatenate((pool[:common], pool[n : n + m - common])))
+        most = ngram.most_common(ngram.ranges(one), ngram.ranges(two))
+        assert most >= len(np.intersect1d(one, two))
+        if not common:
+            assert most < 0.8 * min(n, m)
+    crowded = np.arange(300, dtype=np.uint64)
+    assert ngram.ranges(crowded) == b"" and ngram.most_common(b"", ngram.ranges(pool)) is None

@@ -6,9 +6,10 @@
    fifth (the prefix). Prefix rows travel as packed arrays by shingle; shingles with one set drop out.
 3. Sets that share a prefix shingle link to a leader of that shingle first. What is then in one component
    needs no further comparison, so a group of near copies takes one comparison each instead of all pairs.
-4. The rest, pairs of different components, pass the length, positional and suffix filters (the last is
-   a lower bound on the difference from the parity of 512 groups of shingles), in blocks of bounded size.
-Each pair that passes is verified once, on whole sets. The order of shingles only decides how much work
+4. The rest, pairs of different components, pass the length and positional filters, in blocks of bounded size.
+Before whole sets are moved for a pair, the suffix filter compares summaries of theirs: sets are split at fixed pivots
+into ranges of shingles, and two sets share at most the smaller number of each range. A summary takes a byte for one to two shingles.
+Each pair that passes is verified once, on whole sets, whatever round proposes it again. The order of shingles only decides how much work
 there is, never which links are found: two sets in one component are connected, all others are compared.
 
 Shingles are 64-bit hashes, compared within one pair at a time; classes are told apart by 128 bits.
@@ -67,8 +68,12 @@ PACKED = pa.schema([("part", pa.int32()), ("token", pa.binary()), ("sid", pa.bin
 PACKED_DDL = "part int, token binary, sid binary, n binary, pos binary"
 LIVE = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 LIVE_DDL = "token long, sid long, n int, pos int"
-SETS = pa.schema([("sid", pa.int64()), ("key", pa.int64()), ("print", pa.binary()), ("hashes", pa.binary()), ("parity", pa.binary())])
-SETS_DDL = "sid long, key long, print binary, hashes binary, parity binary"
+SETS = pa.schema(
+    [("sid", pa.int64()), ("key", pa.int64()), ("print", pa.binary()), ("hashes", pa.binary()), ("parity", pa.binary()), ("ranges", pa.binary())]
+)
+SETS_DDL = "sid long, key long, print binary, hashes binary, parity binary, ranges binary"
+ENDS = [f"{c}_{end}" for end in "ab" for c in ("sid", "key", "print")]
+ASKED_DDL = "a long, b long, sid_a long, key_a long, print_a binary, sid_b long, key_b long, print_b binary"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS_DDL = "a long, b long"
 NO_KEY = -(1 << 63)
@@ -93,6 +98,22 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def ranges(hashes: np.ndarray) -> bytes:
+    """How many shingles lie in each of 2^k equal ranges, about one in each; nothing if a range has over 255."""
+    bits = min(20, max(4, len(hashes).bit_length() - 1))
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(one: bytes, two: bytes) -> int | None:
+    """How many shingles two sets can share by their ranges, None if that isn't known."""
+    if not one or not two:
+        return None
+    x, y = np.frombuffer(one, np.uint8).astype(np.int64), np.frombuffer(two, np.uint8).astype(np.int64)
+    few = min(len(x), len(y))
+    return int(np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in steps(batches, "text", STEP):
         yield batch, shingle_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), width)
@@ -261,7 +282,7 @@ def _asked_sets(width: int, shared):
                 fingerprint = xxhash.xxh3_128_digest(own)
                 sid, key = _sid(fingerprint), NO_KEY if key is None else key
                 if len(own) and asked[(sid ^ key) & (SLOTS - 1)]:
-                    rows.append((sid, key, fingerprint, own.tobytes(), parity(own)))
+                    rows.append((sid, key, fingerprint, own.tobytes(), parity(own), ranges(own)))
             if rows:
                 yield rows_out(SETS, list(zip(*rows, strict=True)))
 
@@ -282,21 +303,44 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs that link. Of the sets only those that a pair names are shuffled, nearly."""
+def _suffix_filter(percent: int):
+    """Pairs whose sets can share enough shingles by the ranges they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "ranges_a", "ranges_b"))
+            most = [most_common(*pair) for pair in zip(x, y, strict=True)]
+            may = [k is None or k >= least_overlap(p, q, percent) for k, p, q in zip(most, n, m, strict=True)]
+            yield batch.filter(pa.array(may, pa.bool_())).select(["a", "b", *ENDS])
+
+    return run
+
+
+def _ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _verify(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(the pairs that link, all pairs that were verified so far)``. Whole sets move only for pairs that pass the suffix filter and
+    haven't been ``asked`` before."""
 
     def named(end: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("print", "key", "sid")))
+        return known.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("sid", "key", "print", "n", "ranges")))
 
-    pairs = written(pairs.join(named("a"), "a").join(named("b"), "b"), f"{name}-asked")
+    fresh = _ordered_pairs(pairs)
+    if asked is not None:
+        fresh = fresh.join(asked, ["a", "b"], "left_anti")
+    new = written(fresh.join(named("a"), "a").join(named("b"), "b").mapInArrow(_suffix_filter(percent), ASKED_DDL), "ngram-asked")
 
     def own(end: str, into: str) -> DataFrame:
-        slots = pairs.select(F.col(f"sid_{end}").bitwiseAND(F.lit(PAIR_SLOTS - 1)).alias("slot")).distinct()
+        slots = new.select(F.col(f"sid_{end}").bitwiseAND(F.lit(PAIR_SLOTS - 1)).alias("slot")).distinct()
         some = sets.withColumn("slot", F.col("sid").bitwiseAND(F.lit(PAIR_SLOTS - 1))).join(F.broadcast(slots), "slot", "left_semi")
         return some.select(F.col("print").alias(f"print_{end}"), F.col("key").alias(f"key_{end}"), F.col("hashes").alias(into))
 
-    whole = pairs.join(own("b", "two"), ["print_b", "key_b"]).join(own("a", "one"), ["print_a", "key_a"])
-    return written(whole.select("a", "b", "one", "two").mapInArrow(_verified(percent), PAIRS_DDL).distinct(), name)
+    whole = new.join(own("b", "two"), ["print_b", "key_b"]).join(own("a", "one"), ["print_a", "key_a"])
+    links = written(whole.select("a", "b", "one", "two").mapInArrow(_verified(percent), PAIRS_DDL).distinct(), "ngram-links")
+    verified = new.select("a", "b")
+    return links, verified if asked is None else asked.unionByName(verified)
 
 
 def _may_link(n: Column, pos: Column, m: Column, place: Column, percent: int) -> Column:
@@ -443,19 +487,21 @@ def ngram_jaccard_join(
     # First the set with most shared shingles in its prefix leads: edits put rare ones of their own there.
     # Then the one with most links so far.
     shared = live.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
+    # What is known of the set that stands for a class, but for its shingles.
+    of_class = classes.select("cls", "print", "key", "n").join(sets.drop("hashes"), ["print", "key"]).dropDuplicates(["cls"])
+    known = written(of_class, "ngram-known")
     first = written(_labelled(live, None).join(shared, "cls"), "ngram-first")
-    edges = _verify(_stars(first, _leaders(first, F.col("shared")), percent), classes, sets, percent, "ngram-links")
+    edges, asked = _verify(_stars(first, _leaders(first, F.col("shared")), percent), known, sets, percent)
     labels = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     second = written(_labelled(live, labels).join(degree, "cls", "left"), "ngram-mixed")
-    more = _verify(_stars(second, _leaders(second, F.coalesce("degree", F.lit(0))), percent), classes, sets, percent, "ngram-links")
+    more, asked = _verify(_stars(second, _leaders(second, F.coalesce("degree", F.lit(0))), percent), known, sets, percent, asked)
     edges = edges.unionByName(more)
     labels = components(edges)
     mixed = written(_labelled(live, labels), "ngram-mixed")
-    left = mixed.select("cls").distinct().join(classes.select("cls", "print", "key"), "cls")
-    summaries = left.join(sets.select("print", "key", "parity"), ["print", "key"]).dropDuplicates(["cls"]).select("cls", "parity")
-    rest = written(_blocks(mixed.join(summaries, "cls"), percent), "ngram-pairs")
-    edges = edges.unionByName(_verify(rest, classes, sets, percent, "ngram-links"))
+    rest = written(_blocks(mixed.join(known.select("cls", "parity"), "cls"), percent), "ngram-pairs")
+    last, _ = _verify(rest, known, sets, percent, asked)
+    edges = edges.unionByName(last)
     labels = components(edges)
 
     grouped = classes.join(labels.withColumnRenamed("vertex", "cls"), "cls", "left")
