@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +30,13 @@ def test_words_agree_with_the_library(library, text):
     assert list(memoryview(blank_encoder(PATH)(text.encode())).cast("I")) == library(text)
 
 
+def test_many_texts_agree_with_the_library(library):
+    rows = [None, "", " ", "One two", "x <|endoftext|> y", "<|startoftext|>A", "<|EndOfText|>", "a\u00a0b  c", "One two", "<|endoftext|>"]
+    ids, counts = blank_encoder(PATH).many(pa.array(rows, pa.string()))
+    assert np.split(ids, np.cumsum(counts)[:-1])[4].tolist() == library(rows[4])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in rows]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(3, 6), max_size=60), min_size=1, max_size=8))
 def test_shards_come_back(docs):
@@ -80,3 +87,22 @@ def test_real_texts(spark, sf_dir, library):
     write_token_files(docs, out, PATH)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in read_token_files(spark, out).collect()} == want(rows, library)
+
+
+def test_an_id_with_most_rows_is_spread(spark, library):
+    rows = [(5, f"text {i} of one id") for i in range(3000)] + [(i, "another") for i in range(10, 60)] + [(1, "first")]
+    out = scratch_path(spark, "token-files")
+    # Small partitions aren't put together here.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), out, PATH)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spark.read.parquet(out).select("shard").distinct().count() > 3
+    got = read_token_files(spark, out, with_ids=True).orderBy("start").collect()
+    assert [r.id for r in got] == sorted(i for i, _ in rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*library(t), 2], "<u4").tobytes() for _, t in rows)

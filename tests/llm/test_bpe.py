@@ -4,7 +4,9 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -29,6 +31,14 @@ def test_pieces_agree_with_the_library(library, text):
     assert decode(ids, pieces) == text.encode()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab' tsdé1 \n\t\x0b\x1c\x85\xa0\u2003\u3000à .!😀漢0ñ")))), max_size=6))
+def test_many_texts_agree_with_the_library(library, rows):
+    encoder, _ = byte_bpe(PATH, PATTERN)
+    ids, counts = encoder.many(pa.array(rows, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(rows)] == [library.encode_ordinary(t or "") for t in rows]
+
+
 def test_long_words(library):
     ranks = read_ranks(PATH)
     rng = random.Random(4)
@@ -52,8 +62,12 @@ def test_round_trip_of_rows(spark, documents, library):
 
 def test_real_texts(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = {r.doc_id: len(library.encode_ordinary(r.text)) for r in docs.collect()}
-    assert {r.doc_id: r.n_tokens for r in round_trip(docs, PATH, PATTERN).collect()} == want
+    want = {}
+    for r in docs.collect():
+        ids = library.encode_ordinary(r.text)
+        digests = (hashlib.sha256(x).hexdigest() for x in (struct.pack(f"<{len(ids)}I", *ids), r.text.encode()))
+        want[r.doc_id] = (len(ids), *digests)
+    assert {r[0]: tuple(r)[1:] for r in round_trip(docs, PATH, PATTERN).collect()} == want
 
 
 def test_empty_table(spark, documents):

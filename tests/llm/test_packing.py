@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import struct
 import zlib
@@ -18,7 +19,6 @@ PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.P
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -47,6 +47,45 @@ def test_search_only_raises_squared_fill_and_saves_bins():
     assert saved > 0
 
 
+def step_left(bins):
+    """A move, or an exchange of one or two documents for a smaller one, that takes tokens into a fuller bin."""
+    for at, own in enumerate(bins.held):
+        for to, theirs in enumerate(bins.held):
+            if at == to or not own or not theirs or bins.gap[at] < bins.gap[to]:
+                continue
+            if any(x[0] <= bins.gap[to] for x in own):
+                return "move"
+            if bins.gap[at] == bins.gap[to]:
+                continue
+            given = [*itertools.combinations(own, 1), *itertools.combinations(own, 2)]
+            for out, back in itertools.product(given, theirs):
+                if 0 < sum(x[0] for x in out) - back[0] <= bins.gap[to]:
+                    return out, back
+    return None
+
+
+@pytest.mark.parametrize("least,most", [(20, 70), (1, 30), (3, 12), (30, 36)])
+def test_no_step_is_left(least, most):
+    rng = random.Random(least)
+    for _ in range(15):
+        bins = Bins(100)
+        for i in range(80):
+            at = rng.choice([x for x, g in enumerate(bins.gap) if g >= most] or [-1])
+            bins.put(bins.open() if at < 0 or rng.random() < 0.2 else at, (rng.randrange(least, most), i))
+        bins.search()
+        assert step_left(bins) is None
+        assert sorted(i for own in bins.held for _, i in own) == list(range(80)) and min(bins.gap) >= 0
+
+
+def test_rows_with_equal_ids(spark, library):
+    rows = [(7, "a b c " * n) for n in (1, 1, 50, 400)] + [(None, "x"), (8, "y")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, PATTERN, size=64).collect()
+    want = sorted(len(library(text)) for _, text in rows)
+    starts = [r for r in got if r.piece == 0]
+    assert len(starts) == len(rows) and sum(r.length for r in got) == sum(want)
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
 def check(frame, want, size):
     rows = frame.collect()
     by_sequence, by_doc = {}, {}
@@ -71,7 +110,7 @@ def check(frame, want, size):
 
 
 def test_odd_rows(spark, documents, library):
-    rows = [None, "", "a b", "a b", "x " * 1500, "  two  spaces \n ", "w" * 9000, "<|endoftext|>"]
+    rows = [None, "", "a b", "a b", "x " * 1500, "  two  spaces \n ", "w" * 9000, "<|endoftext|>", "a <|endoftext|> b  <|EndOfText|>", "\u00a0 x\u3000 y"]
     frame = pack_documents(documents(rows, extra=True), PATH, PATTERN, size=64)
     check(frame, {i: library(t) for i, t in enumerate(rows)}, 64)
     assert pack_documents(documents([]), PATH, PATTERN).count() == 0

@@ -1,6 +1,6 @@
 """Token-id files, compressed by a Re-Pair grammar per shard.
 
-Documents are dealt out by ranges of their id, sorted, encoded and written as shards. In a shard the
+Documents are dealt out by ranges of their id (and text, so that an id with many rows is spread), sorted, encoded and written as shards. In a shard the
 most frequent pairs of neighbouring symbols become nonterminals, a few thousand pairs at a time, until
 no pair is frequent or 16-bit symbols run out. A shard file holds the rules, the length of what each
 nonterminal stands for, the symbols, and each document's id and length; with the lengths any document
@@ -202,9 +202,8 @@ def write_token_files(
             yield shard()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first()).mapInArrow(
-        run, FILES_DDL
-    ).write.parquet(out)
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FILES_DDL).write.parquet(out)
 
 
 def read_token_files(spark: SparkSession, out: str, *, with_ids: bool = False) -> DataFrame:
@@ -229,9 +228,12 @@ def read_token_files(spark: SparkSession, out: str, *, with_ids: bool = False) -
                     ],
                 )
 
-    # One number per shard.
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("shard", before.alias("before"))
+    # Ids before a shard: those of earlier tasks, a number per task, and those before it in its own.
+    earlier = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = files.select("shard", F.shiftright("shard", 20).alias("task"), "n_tokens")
+    tasks = own.groupBy("task").agg(F.sum("n_tokens").alias("n_tokens")).select("task", earlier(Window.orderBy("task")).alias("of_tasks"))
+    inside = own.select("task", "shard", earlier(Window.partitionBy("task").orderBy("shard")).alias("inside"))
+    starts = inside.join(tasks, "task").select("shard", (F.col("of_tasks") + F.col("inside")).alias("before"))
     docs = files.select("shard", "file").mapInArrow(run, DOCS_DDL).join(starts, "shard")
     columns = ["id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")]
     return docs.select(*columns, *(["ids"] if with_ids else []))

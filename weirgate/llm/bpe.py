@@ -18,12 +18,14 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, rows_out, texts
+from .common import once, rows_out, texts, utf8
 
 # Above the key of every pair, whatever its rank and position.
 NONE = 1 << 62
@@ -36,6 +38,29 @@ LONGEST = 100
 
 # A blank before a space: there the pattern looks further than one part.
 _LOOKS_ON = re.compile(r"\s ")
+# The same in UTF-8: blanks of one byte, and the last two bytes of longer ones (and of a few signs more).
+_SHORT = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_FIRST, _LAST = np.isin(np.arange(256), [0xC2, 0x80, 0x81, 0x9A]), np.isin(np.arange(256), [0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(0x80, 0x8B)])
+
+
+def looks_on(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which of the texts, given as UTF-8, may have a blank before a space."""
+    space = data == 32
+    hit = np.zeros(len(data) + 1, bool)
+    hit[1:-1] = space[1:] & _SHORT[data[:-1]]
+    hit[2:-1] |= space[2:] & _LAST[data[1:-1]] & _FIRST[data[:-2]]
+    before = np.cumsum(hit)
+    # A space that begins a text has the blank of another one before it, or none.
+    return before[np.maximum(offsets[1:] - 1, 0)] - before[np.minimum(offsets[:-1], len(data))] > 0
+
+
+def gathered(flat: np.ndarray, wide: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of different lengths, which lie one after the other in ``flat``, in the order of their codes, and where each of those ends."""
+    own = wide[codes]
+    ends = np.cumsum(own)
+    # Where an entry lies in ``flat``, less where it goes.
+    shift = (np.cumsum(wide) - wide)[codes] - (ends - own)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(shift, own)], ends
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,10 +161,24 @@ class PieceEncoder:
     never changes a result.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], memory: int = MEMORY) -> None:
+    def __init__(
+        self,
+        pattern: str,
+        encode: Callable[[list[str]], list[bytes]],
+        memory: int = MEMORY,
+        apart: Callable[[pa.Array], np.ndarray] | None = None,
+        one: Callable[[str], bytes] | None = None,
+    ) -> None:
         self.find = regex.compile(pattern).findall
         self.encode = encode
         self.words, self.parts = Memory(memory), Memory(memory)
+        # Texts that ``apart`` marks are left to ``one`` as they are.
+        self.apart, self._one = apart, one
+
+    def one(self, text: str) -> bytes:
+        if self._one is not None and self.apart(pa.array([text], pa.string()))[0]:
+            return self._one(text)
+        return self._plain(text)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found, missing = self.words.recall(words)
@@ -168,16 +207,49 @@ class PieceEncoder:
         self.parts.add(own)
         return own
 
+    def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. A part is looked up once for all of them."""
+        data, offsets = utf8(column)
+        whole = looks_on(data, offsets)
+        if self.apart is not None:
+            whole |= self.apart(column)
+        plain = pc.if_else(pa.array(whole), "", pc.fill_null(column, "")).cast(pa.large_string())
+        lists = pc.split_pattern(plain, " ")
+        parts = lists.flatten().dictionary_encode()
+        codes, known = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_pylist()
+        begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        # What a text begins with has no space before it, so it is an entry of its own; so is a text that can't be taken apart.
+        firsts = []
+        for i, (w, code) in enumerate(zip(whole.tolist(), codes[begin[:-1]].tolist(), strict=True)):
+            firsts.append(self.one(column[i].as_py()) if w else b"".join(self._ids(self.find(known[code]))))
+        codes[begin[:-1]] = len(known) + np.arange(len(firsts))
+        inside = np.unique(codes[codes < len(known)]).tolist()
+        entries = [b""] * len(known)
+        for i, own in zip(inside, self._of_parts([known[i] for i in inside]), strict=True):
+            entries[i] = own
+        entries += firsts
+        wide = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        ids, ends = gathered(np.frombuffer(b"".join(entries), "<u4"), wide, codes)
+        return ids, np.diff(np.concatenate(([0], ends))[begin])
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        found, missing = self.parts.recall(parts)
+        if missing:
+            own = self._new_parts(list(dict.fromkeys(parts[i] for i in missing)))
+            for i in missing:
+                found[i] = own[parts[i]]
+        return found
+
     def __call__(self, text: str) -> bytes:
+        if self.apart is not None and self.apart(pa.array([text], pa.string()))[0]:
+            return self.one(text)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _LOOKS_ON.search(text):
             return b"".join(self._ids(self.find(text)))
         first, *rest = text.split(" ")
-        found, missing = self.parts.recall(rest)
-        if missing:
-            own = self._new_parts(list(dict.fromkeys(rest[i] for i in missing)))
-            for i in missing:
-                found[i] = own[rest[i]]
-        return b"".join(self._ids(self.find(first))) + b"".join(found)
+        return b"".join(self._ids(self.find(first))) + b"".join(self._of_parts(rest))
 
 
 def _ids_as_bytes(ids: list[int]) -> bytes:

@@ -2,9 +2,10 @@
 
 Documents are encoded where they are read and only their lengths are shuffled, dealt by hash into
 groups of bounded size. A group is packed best-fit, largest first; then the emptiest bins give their
-documents away: by a move into a gap, or by exchanging one document, or two, for a smaller one of a
-fuller bin. Every step makes the sum of squared fills larger, so the search ends; bins that become
-empty are gone. A document longer than a sequence is cut into full pieces behind a shorter first one.
+documents away: by a move into a gap, or by exchanging one document, or any two, for a smaller one of a
+fuller bin. Every step makes the sum of squared fills larger, so the search ends, and it does so when no bin has a step left.
+The lengths in a bin are the bits of a number, and so are the sums of its pairs, so whether two bins have an exchange that closes a gap by
+so much is one shift. Bins that become empty are gone. A document longer than a sequence is cut into full pieces behind a shorter first one.
 
 Defined cases: a null text is an empty document, of its end id alone. Rows with equal ids are
 different documents. An empty table gives no sequences.
@@ -16,15 +17,18 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, task_number, texts, written
+from .common import rows_out, steps, task_number, written
 from .tokens import piece_encoder
 
 # Pieces that are packed together; what a group leaves open is one sequence or two of its thousand.
 GROUP = 4096
+# Bytes of text whose words are looked up together.
+STEP_BYTES = 1 << 22
 
 PIECES = pa.schema(
     [
@@ -58,6 +62,8 @@ class Bins:
 
     def __init__(self, size: int) -> None:
         self.size, self.held, self.gap = size, [], []
+        # The lengths in each bin as bits.
+        self.lengths: list[int] = []
         # Bins by their gap, and a bit for each gap that some bin has.
         self.by_gap: list[set[int]] = [set() for _ in range(size + 1)]
         self.some = 0
@@ -86,14 +92,25 @@ class Bins:
 
     def put(self, at: int, item: tuple[int, int]) -> None:
         insort(self.held[at], item)
+        self.lengths[at] |= 1 << item[0]
         self._set_gap(at, self.gap[at] - item[0])
 
     def take(self, at: int, item: tuple[int, int]) -> None:
-        self.held[at].pop(bisect_left(self.held[at], item))
+        own = self.held[at]
+        own.pop(bisect_left(own, item))
+        if not self._with(at, item[0]):
+            self.lengths[at] &= ~(1 << item[0])
         self._set_gap(at, self.gap[at] + item[0])
 
+    def _with(self, at: int, length: int) -> list[tuple[int, int]]:
+        """The first two documents of a length in a bin."""
+        own = self.held[at]
+        i = bisect_left(own, (length, -1))
+        return [x for x in own[i : i + 2] if x[0] == length]
+
     def open(self) -> int:
         self.held.append([])
+        self.lengths.append(0)
         self.gap.append(self.size)
         self.by_gap[self.size].add(len(self.gap) - 1)
         self.some |= 1 << self.size
@@ -113,48 +130,69 @@ class Bins:
             gaps &= ~(1 << gap)
         return found
 
-    def _improve(self, at: int) -> bool:
-        """One step that takes tokens out of bin ``at`` and into a fuller one."""
+    def _sums(self, at: int) -> int:
+        """The lengths of single documents and of pairs of a bin as bits."""
+        single = sums = self.lengths[at]
+        rest = single
+        while rest:
+            length = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            # With longer ones, and with another of this length.
+            sums |= rest << length
+            if len(self._with(at, length)) > 1:
+                sums |= 1 << 2 * length
+        return sums
+
+    def _given(self, at: int, total: int) -> list[tuple[int, int]]:
+        """One document of a bin with this length, else two."""
+        if one := self._with(at, total):
+            return one[:1]
+        for item in self.held[at]:
+            pair = self._with(at, total - item[0])
+            if pair and (pair[0] != item or len(pair) > 1):
+                return [item, pair[pair[0] == item]]
+        raise LookupError(total)
+
+    def _improve(self, at: int, since: int) -> int:
+        """One step that takes tokens out of bin ``at`` and into a fuller one that was changed after ``since``: that bin, else -1."""
         for item in reversed(self.held[at]):
             to = self.best_fit(item[0], at)
             if to >= 0 and self.gap[to] <= self.gap[at]:
                 self.take(at, item)
                 self.put(to, item)
-                return True
-        own = self.held[at]
+                return to
+        sums = self._sums(at)
         for to in self._fuller(at):
-            gap = self.gap[to]
-            theirs = self.held[to]
-            given = [(x,) for x in own] + [(x, y) for i, x in enumerate(own) for y in own[i + 1 :]][:64]
-            for out in given:
-                total = sum(x[0] for x in out)
-                # The smallest of theirs for which the given ones still fit.
-                i = bisect_left(theirs, (total - gap, -1))
-                if i < len(theirs) and theirs[i][0] < total:
-                    back = theirs[i]
+            if self.changed[to] <= since:
+                continue
+            theirs = self.lengths[to]
+            # The exchange that closes most of the gap.
+            for more in range(self.gap[to], 0, -1):
+                if both := (sums >> more) & theirs:
+                    length = (both & -both).bit_length() - 1
+                    out, back = self._given(at, length + more), self._with(to, length)[0]
                     for x in out:
                         self.take(at, x)
                     self.take(to, back)
                     for x in out:
                         self.put(to, x)
                     self.put(at, back)
-                    return True
-        return False
+                    return to
+        return -1
 
     def search(self) -> None:
         """Empties bins, emptiest first, until no step is left that makes a fuller bin fuller."""
-        stuck: set[int] = set()
-        while True:
-            least = [at for at, held in enumerate(self.held) if held and at not in stuck and self.gap[at]]
-            if not least:
-                return
-            at = max(least, key=lambda x: (self.gap[x], x))
-            changed = False
-            while self.held[at] and self._improve(at):
-                changed = True
-            stuck.add(at)
-            if changed and not self.held[at]:
-                stuck = {x for x in stuck if not self.held[x]}
+        # When each bin was last changed, and looked at without finding a step. A bin that hasn't changed since only looks at those that have.
+        self.changed, looked, clock, steps = [1] * len(self.held), [0] * len(self.held), 1, 1
+        while steps:
+            steps = 0
+            least = [at for at, held in enumerate(self.held) if held and self.gap[at]]
+            for at in sorted(least, key=lambda x: (-self.gap[x], x)):
+                since = looked[at] if self.changed[at] <= looked[at] else 0
+                while self.held[at] and self.gap[at] and (to := self._improve(at, since)) >= 0:
+                    clock, steps, since = clock + 1, steps + 1, 0
+                    self.changed[at] = self.changed[to] = clock
+                looked[at] = clock
 
 
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
@@ -179,16 +217,18 @@ def token_pieces(
     """Documents as pieces of at most ``size`` ids, with a key that is the piece's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = piece_encoder(path, pattern), end_id.to_bytes(4, "little")
+        encoder, end = piece_encoder(path, pattern), end_id.to_bytes(4, "little")
         key = task_number() << 33
-        for batch in batches:
+        for batch in steps(batches, "text", STEP_BYTES):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = encode(text) + end
-                n = len(ids) // 4
+            ids, counts = encoder.many(batch.column(1))
+            ids, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for doc, first, last in zip(batch.column(0).to_pylist(), [0, *ends], ends, strict=False):
+                own = ids[first:last] + end
+                n = len(own) // 4
                 cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    part = ids[4 * a : 4 * b]
+                    part = own[4 * a : 4 * b]
                     rows.append((key, doc, piece, a, b - a, zlib.crc32(part), part if with_ids else None))
                     key += 1
             yield rows_out(PIECES, list(zip(*rows, strict=True)) if rows else [[]] * len(PIECES))

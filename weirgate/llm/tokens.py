@@ -2,7 +2,8 @@
 
 The library works on one word at a time once a text is split, so a word's ids are asked for once per
 Python worker. ``BlankEncoder`` is for vocabularies that lower-case and drop white space; for the ones
-that keep it there is ``bpe.PieceEncoder``.
+that keep it there is ``bpe.PieceEncoder``. A text in which a special token is written out is left to the library as a whole,
+which finds the token there.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .bpe import MARKS, MEMORY, Memory, PieceEncoder
+from .bpe import MARKS, MEMORY, Memory, PieceEncoder, gathered
 from .common import once, utf8
 
 # ASCII letters in lower case, and a space for each ASCII blank.
@@ -50,9 +51,30 @@ def _library(path: str, plain: Callable[[str], bool], between: str, mark: Callab
     return encode
 
 
+def _whole(path: str) -> tuple[Callable[[pa.Array], np.ndarray], Callable[[str], bytes]]:
+    """Which texts have a special token written out, and the ids of one text by the library alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    specials = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def apart(texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for special in specials:
+            found |= pc.fill_null(pc.match_substring(texts, special, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        return found
+
+    return apart, lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def piece_encoder(path: str, pattern: str) -> PieceEncoder:
     """The encoder of a byte-level vocabulary whose pre-tokens are the matches of ``pattern``."""
-    return once(("piece_encoder", path, pattern), lambda: PieceEncoder(pattern, _library(path, _spaced_word, "", lambda t: t.startswith("Ġ"), False)))
+
+    def make() -> PieceEncoder:
+        apart, one = _whole(path)
+        return PieceEncoder(pattern, _library(path, _spaced_word, "", lambda t: t.startswith("Ġ"), False), apart=apart, one=one)
+
+    return once(("piece_encoder", path, pattern), make)
 
 
 def _spaced_word(word: str) -> bool:
@@ -62,8 +84,15 @@ def _spaced_word(word: str) -> bool:
 class BlankEncoder:
     """Ids of a text given as UTF-8 bytes, for a vocabulary that drops blanks and ignores case."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], memory: int = MEMORY) -> None:
+    def __init__(
+        self,
+        encode: Callable[[list[str]], list[bytes]],
+        memory: int = MEMORY,
+        apart: Callable[[pa.Array], np.ndarray] | None = None,
+        one: Callable[[str], bytes] | None = None,
+    ) -> None:
         self.encode, self.words, self.cores = encode, Memory(memory), Memory(memory)
+        self.apart, self.one = apart, one
 
     def _new(self, new: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words; a plain word and the marks after it are looked up apart."""
@@ -94,25 +123,32 @@ class BlankEncoder:
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. A word is looked up once for all of them."""
-        data, offsets = utf8(texts)
+        whole = np.flatnonzero(self.apart(texts)) if self.apart is not None else ()
+        if len(whole):
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            rest = pc.if_else(pa.array(mask), "", texts)
+        data, offsets = utf8(rest if len(whole) else texts)
         buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes().translate(LOWER))]
         lists = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(texts), buffers), " ")
         words = lists.flatten().dictionary_encode()
-        codes = words.indices.to_numpy()
+        codes = words.indices.to_numpy().astype(np.int64)
         ids = self._ids(words.dictionary.cast(pa.large_binary()).to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        # A text that is left to the library is an entry of its own.
+        codes[begin[:-1][whole]] = len(ids) + np.arange(len(whole))
+        ids += [self.one(texts[int(i)].as_py()) for i in whole]
         own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        wide = own[codes]
-        ends = np.cumsum(wide)
-        # Where a word's ids lie in ``flat``, less where they go.
-        shift = (np.cumsum(own) - own)[codes] - (ends - wide)
-        total = int(ends[-1]) if len(ends) else 0
-        reached = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return flat[np.arange(total) + np.repeat(shift, wide)], np.diff(reached)
+        found, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), own, codes)
+        return found, np.diff(np.concatenate(([0], ends))[begin])
 
     def __call__(self, text: bytes) -> bytes:
         return self.many(pa.array([text.decode()]))[0].tobytes()
 
 
 def blank_encoder(path: str) -> BlankEncoder:
-    return once(("blank_encoder", path), lambda: BlankEncoder(_library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True)))
+    def make() -> BlankEncoder:
+        apart, one = _whole(path)
+        return BlankEncoder(_library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True), apart=apart, one=one)
+
+    return once(("blank_encoder", path), make)
