@@ -276,33 +276,34 @@ def search_wildcard(df: DataFrame, path: str, pattern: str) -> Column:
     return _on_text(df, path, lambda c: c.like(like))
 
 
-def _words(text: Column) -> Column:
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
     return F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda w: w != "")
 
 
-def _asked_words(text: Any) -> list[str]:
+def asked_words(text: Any) -> list[str]:
     return re.findall(r"\w+", str(text).lower())
 
 
 def search_match(df: DataFrame, path: str, text: Any, operator: str = "or") -> Column:
     """Any of the words of ``text``, or all with ``and``, whatever their case. No words match nothing."""
-    asked = list(dict.fromkeys(_asked_words(text)))
+    asked = list(dict.fromkeys(asked_words(text)))
     if operator.lower() not in ("or", "and"):
         raise InvalidRequest(f"unknown match operator '{operator}'")
     if not asked:
         return F.lit(False)
     if operator.lower() == "or":
-        return _on_text(df, path, lambda c: F.arrays_overlap(_words(c), F.array(*map(F.lit, asked))))
-    return _on_text(df, path, lambda c: reduce(lambda a, b: a & b, [F.array_contains(_words(c), w) for w in asked]))
+        return _on_text(df, path, lambda c: F.arrays_overlap(words_of(c), F.array(*map(F.lit, asked))))
+    return _on_text(df, path, lambda c: reduce(lambda a, b: a & b, [F.array_contains(words_of(c), w) for w in asked]))
 
 
 def search_match_phrase(df: DataFrame, path: str, text: Any) -> Column:
     """The words of ``text``, one after the other. No words match nothing."""
-    asked = _asked_words(text)
+    asked = asked_words(text)
     if not asked:
         return F.lit(False)
     phrase = F.lit(f" {' '.join(asked)} ")
-    return _on_text(df, path, lambda c: F.concat(F.lit(" "), F.array_join(_words(c), " "), F.lit(" ")).contains(phrase))
+    return _on_text(df, path, lambda c: F.concat(F.lit(" "), F.array_join(words_of(c), " "), F.lit(" ")).contains(phrase))
 
 
 TEXT_TESTS: dict[str, tuple[Callable[..., Column], str, tuple[str, ...]]] = {
@@ -415,24 +416,57 @@ def source_project(df: DataFrame, source: Any) -> DataFrame:
     return df.select(*columns)
 
 
+def _served(df: DataFrame, query: Mapping[str, Any], id_column: str, index: Any) -> tuple[DataFrame, Mapping[str, Any], list[str]]:
+    """The query with the clauses that a text index can answer turned into tests of a column each, which ``df`` gets by its id."""
+    from . import postings
+
+    marks: list[str] = []
+
+    def walk(clause: Any) -> Any:
+        nonlocal df
+        if isinstance(clause, (list, tuple)):
+            return [walk(c) for c in clause]
+        kind, inner = next(iter(clause.items())) if isinstance(clause, Mapping) and len(clause) == 1 else (None, None)
+        if kind == "bool":
+            return {kind: {k: walk(v) if k in ("must", "filter", "should", "must_not") else v for k, v in inner.items()}}
+        if kind not in ("match", "match_phrase") or next(iter(inner), None) not in index.fields:
+            return clause
+        field, given = _single(inner, kind)
+        given = dict(given) if isinstance(given, Mapping) else {"query": given}
+        if set(given) - {"query", *(("operator",) if kind == "match" else ())}:
+            return clause
+        find = postings.matching if kind == "match" else postings.matching_phrase
+        hits = find(df.sparkSession, index, field, given.pop("query"), **given)
+        marks.append(f"__hit_{len(marks)}")
+        df = df.join(hits.select(F.col("id").alias(f"{marks[-1]}_id"), F.lit(True).alias(marks[-1])), path_column(df, id_column) == F.col(f"{marks[-1]}_id"), "left")
+        return {"exists": {"field": marks[-1]}}
+
+    query = walk(query)
+    return df, query, [c for m in marks for c in (m, f"{m}_id")]
+
+
 def search(
-    df: DataFrame, body: str | Mapping[str, Any] | SearchRequest, id_column: str, late: bool = False
+    df: DataFrame, body: str | Mapping[str, Any] | SearchRequest, id_column: str, late: bool = False, text_index: Any = None
 ) -> DataFrame:
     """Filter, order, cut and project an index as a search body asks.
 
     Without a sort the rows of a full result come in no particular order; a ``size`` cuts in tie-break
     order, so that the same request gives the same rows. ``late`` finds the ids of a small cut with a
-    job of its own and then reads only their rows.
+    job of its own and then reads only their rows. A ``text_index`` (see ``postings``) answers the match and match_phrase clauses on its
+    fields; a document that it doesn't know doesn't match them.
     """
     request = body if isinstance(body, SearchRequest) else parse_search(body)
-    test = condition(df, request.query, id_column)
+    query, marks = request.query, []
+    if text_index is not None:
+        df, query, marks = _served(df, query, id_column, text_index)
+    test = condition(df, query, id_column)
     hits = df if test is None else df.where(test)
     order = ordering(df, sort_keys(request.sort, id_column))
     if request.size is not None:
         hits = fetch_ordered(hits, order, request.size, id_column) if late else take_ordered(hits, order, request.size)
     elif request.sort:
         hits = hits.orderBy(*order)
-    return source_project(hits, request.source)
+    return source_project(hits.drop(*marks), request.source)
 
 
 def after_key(df: DataFrame, keys: Sequence[tuple[str, str, str]], after: Sequence[Any]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..operators import search
+from ..operators import postings, search
 from ..operators.ranking import with_place
 from .tables import table
 
@@ -141,6 +141,39 @@ BODIES = {
     "search_source_project": {"_source": ["doc_id", "lang", "n_*"]},
 }
 
+_text_indexes: dict[tuple[str, str], str] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> postings.TextIndex:
+    """The index of the documents: built once per application, opened again by its path after that."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _text_indexes:
+        _text_indexes[key] = postings.build_text_index(table(spark, sf_dir, "documents"), "doc_id", ["text"]).path
+    return postings.open_text_index(spark, _text_indexes[key])
+
+
+def _indexed(body: dict) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.search(table(spark, sf_dir, "documents"), body, "doc_id", text_index=_text_index(spark, sf_dir))
+
+    return run
+
+
+INDEXED_BOOL = {
+    "bool": {
+        "must": [{"match": {"text": {"query": "the of", "operator": "and"}}}],
+        "should": [{"match_phrase": {"text": "with by"}}, {"match": {"text": "worthless"}}, {"term": {"source": "src1"}}],
+        "minimum_should_match": 1,
+        "must_not": [{"match": {"text": "idiot"}}],
+    }
+}
+INDEXED = {
+    "index_match": BODIES["search_match"],
+    "index_match_all_words": BODIES["search_match_all_words"],
+    "index_match_phrase": BODIES["search_match_phrase"],
+    "index_match_bool": {"query": INDEXED_BOOL},
+}
+
 PAGE_SORT = (("o_orderdate", "desc", "_last"), ("o_orderpriority", "asc", "_last"))
 
 
@@ -175,7 +208,7 @@ QUERIES = {
     "narrow_int_wrap": narrow_int_wrap,
     "search_sort": search_sort,
     "page_after": page_after,
-} | {name: _search(body) for name, body in BODIES.items()}
+} | {name: _search(body) for name, body in BODIES.items()} | {name: _indexed(body) for name, body in INDEXED.items()}
 
 
 def _wrapped(value: str, bits: int) -> str:
@@ -253,4 +286,12 @@ ORACLE = {
     "search_source_project": """
         SELECT doc_id, CAST(NULL AS VARCHAR) AS text, lang, CAST(NULL AS VARCHAR) AS source, n_chars FROM documents
     """,
+    "index_match_bool": f"""
+        WITH d AS (SELECT *, {_WORDS} AS words FROM documents)
+        SELECT * EXCLUDE (words) FROM d
+        WHERE list_has_all(words, ['the', 'of']) AND NOT list_has_any(words, ['idiot'])
+          AND (contains(concat(' ', array_to_string(words, ' '), ' '), ' with by ') OR list_has_any(words, ['worthless']) OR source = 'src1')
+    """,
 }
+for _name in ("match", "match_all_words", "match_phrase"):
+    ORACLE[f"index_{_name}"] = ORACLE[f"search_{_name}"]
