@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.errors import InvalidRequest
-from weirgate.operators import vector
+from weirgate.operators import pivots, vector
 
 ROWS = [
     (1, "factuality", "What is the capital of France?", [0.1, 0.2, 0.3, 0.4]),
@@ -128,12 +128,12 @@ def test_batch_is_exact(cloud, metric):
     assert {(r["query_id"], r["place"], r["id"]) for r in got.collect()} == brute(points, queries, 12, metric)
 
 
-def test_many_queries_meet_in_tiles(spark, cloud, monkeypatch):
-    """A query table over the bound is shuffled in blocks and gives the same rows."""
+def test_many_queries_meet_parts_of_cells(spark, cloud, monkeypatch):
+    """A query table is sent to the parts of the cells that it has to meet and gives the same rows."""
     points, df = cloud
     chosen = points[::3]
     table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(chosen)], "query_id long, v array<float>")
-    monkeypatch.setattr(vector, "BROADCAST_FLOATS", 8 * 50)
+    monkeypatch.setattr(pivots, "PART_FLOATS", 8 * 50)
     got = vector.vector_search_batch(df, table, "v", "id", 5)
     assert {(r["query_id"], r["place"], r["id"]) for r in got.collect()} == brute(points, chosen, 5, "L2")
 
@@ -141,7 +141,7 @@ def test_many_queries_meet_in_tiles(spark, cloud, monkeypatch):
 def test_a_collection_is_searched_with_itself(cloud, monkeypatch):
     points, df = cloud
     table = df.select(F.col("id").alias("query_id"), "v")
-    monkeypatch.setattr(vector, "BROADCAST_FLOATS", 8 * 100)
+    monkeypatch.setattr(pivots, "PART_FLOATS", 8 * 100)
     got = vector.vector_search_batch(df, table, "v", "id", 2)
     assert {(r["query_id"], r["place"], r["id"]) for r in got.collect()} == brute(points, points, 2, "L2")
 

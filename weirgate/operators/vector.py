@@ -27,8 +27,6 @@ from .ranking import LATE_KEYS, key_filter, take_ordered
 METRICS = ("L2", "IP", "COSINE")
 # Fixed value: rows of a search that sets no limit.
 DEFAULT_SEARCH_LIMIT = 10
-# Query vectors sent to every task as one array; more of them are shuffled in blocks instead.
-BROADCAST_FLOATS = 4_000_000
 # Rows of a finished result whose keys are looked up by a broadcast.
 BROADCAST_ROWS = 100_000
 # Queries that one matrix product covers.
@@ -384,73 +382,21 @@ def nearest_keys(
 ) -> DataFrame:
     """``(query_id, <pk>, distance, place)``: exact k nearest rows of each query vector.
 
-    ``queries`` is a list of vectors (ids are their positions) or a table ``(query_id, <vector>)``.
+    ``queries`` is a list of vectors (ids are their positions), which every task gets as it is, or a table ``(query_id, <vector>)``
+    of any size, which meets the rows by pivots.
     """
     _check(k, metric)
+    if isinstance(queries, DataFrame):
+        from .pivots import nearest_join
+
+        return nearest_join(df, queries, vector, pk, k, metric)
     schema = _candidate_schema(df, pk)
     if k == 0:
         return df.sparkSession.createDataFrame([], schema).withColumn("place", F.lit(0))
-    if isinstance(queries, DataFrame):
-        # one row beyond the bound tells that the table does not fit
-        width = queries.select(F.max(F.size(vector))).first()[0]
-        if not width:
-            return df.sparkSession.createDataFrame([], schema).withColumn("place", F.lit(0))
-        bound = max(1, BROADCAST_FLOATS // width)
-        rows = queries.select(QUERY_ID, vector).where(F.col(vector).isNotNull()).limit(bound + 1)
-        rows = rows.collect()
-        if len(rows) > bound:
-            return _merge_top(_blocked_candidates(df, queries, vector, pk, k, metric, bound), pk, k)
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype="f8").reshape(len(rows), -1)
-    else:
-        ids, matrix = list(range(len(queries))), np.array(queries, dtype="f8")
-        if matrix.size > BROADCAST_FLOATS:
-            raise InvalidRequest("too many query vectors for one request, pass them as a table")
-    kernel = _top_kernel(pk, ids, matrix, k, metric)
+    kernel = _top_kernel(pk, list(range(len(queries))), np.array(queries, dtype="f8"), k, metric)
     return _merge_top(df.select(pk, vector).mapInArrow(kernel, schema), pk, k)
 
 
-def _blocked_candidates(
-    df: DataFrame, queries: DataFrame, vector: str, pk: str, k: int, metric: str, block: int
-) -> DataFrame:
-    """Candidates for a table of queries too large to broadcast: tiles of query block x row bucket.
-
-    Each tile meets in one task, as a block of queries and a bucket of rows of bounded size, and hands
-    on ``k`` rows per query. Blocks and buckets are cut by key hash, so no tile grows with a hot value.
-    """
-    blocks = -(-queries.count() // max(1, block // 2))
-    buckets = max(1, -(-df.count() // max(1, block // 2)))
-    schema = _candidate_schema(df, pk)
-
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [QUERY_ID, pk, DISTANCE]
-        none = pa.schema(zip(names, [pa.int64(), right.schema.field(pk).type, pa.float64()])).empty_table()
-        if left.num_rows == 0 or right.num_rows == 0:
-            return none
-        vectors = left.column("query_vector").combine_chunks()
-        matrix, _ = _as_matrix(vectors, vectors.value_lengths()[0].as_py())
-        kernel = _top_kernel(pk, left.column(QUERY_ID).to_pylist(), matrix, k, metric)
-        found = list(kernel(iter(right.select([pk, vector]).to_batches())))
-        return pa.Table.from_batches(found) if found else none
-
-    spread = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    repeat = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # named anew, because both sides may be the same table
-    left = (
-        queries.where(F.col(vector).isNotNull())
-        .select(F.col(QUERY_ID).alias(QUERY_ID), F.col(vector).alias("query_vector"))
-        .withColumn("block", F.pmod(F.xxhash64(QUERY_ID), F.lit(blocks)).cast("int"))
-        .withColumn("bucket", spread)
-    )
-    right = (
-        df.select(pk, vector)
-        .where(F.col(vector).isNotNull())
-        .withColumn("bucket", F.pmod(F.xxhash64(pk), F.lit(buckets)).cast("int"))
-        .withColumn("block", repeat)
-    )
-    grouped = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket"))
-    return grouped.applyInArrow(tile, schema)
-
-
 def _with_fields(df: DataFrame, found: DataFrame, pk: str, columns: Sequence[str], rows: int) -> DataFrame:
     """Fetch output columns of found keys: the second scan skips the vectors unless they are asked for."""
     needed = [c for c in columns if c != pk]
