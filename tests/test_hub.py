@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 
 from weirgate import Hub
+from weirgate.operators import codes, postings
 from weirgate.errors import ConfigError, InvalidRequest, NotFound, SecretNotFound, SourceUnavailable
 
 STAMP = "2026-01-01T00:00:00Z"
@@ -123,12 +124,34 @@ def test_index_patterns(spark, hub, sf_dir):
     frames = hub.connection("views").names(spark, plain["index"])
     assert frames == ["ix_documents", "ix_labels"]
     assert {"text", "toxic"} <= set(hub.read(json.dumps(plain), "views").columns)
-    with pytest.raises(InvalidRequest):
+    with pytest.raises(NotFound):
         hub.read(json.dumps(plain), "two")
+    under = hub.read(json.dumps({"index": "doc*,label?", "_source": ["doc_id"]}), "two")
+    counts = [spark.read.parquet(f"{sf_dir}/{n}.parquet").count() for n in ("documents", "labels")]
+    assert {"text", "toxic"} <= set(under.columns) and under.count() == sum(counts)
+    assert hub.connection("two").names(spark, "n*,reg*") == ["nation", "region"]
     with pytest.raises(NotFound):
         hub.read('{"index": "no_such_*"}', "views")
 
 
+def test_stored_indexes_serve_searches(spark, hub, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    postings.build_text_index(docs, "doc_id", ["text"], str(tmp_path / "documents"))
+    codes.build_code_index(vectors, "embedding", "vec_id", str(tmp_path / "embeddings"))
+    entries = {
+        "docs": ("elasticsearch", {"location": f"{sf_dir}/{{name}}.parquet", "index": "documents", "id_field": "doc_id", "text_index_location": str(tmp_path / "{name}")}),
+        "vectors": ("milvus", {"location": f"{sf_dir}/{{name}}.parquet", "primary_key": "vec_id", "code_index_location": str(tmp_path / "{name}")}),
+    }
+    conns = [((k, "team", STAMP, STAMP), (k, f"type-{p}", "tabular", None, props)) for k, (p, props) in entries.items()]
+    served = Hub(spark, spark.createDataFrame(conns, CONN), hub.types, "team")
+    body = '{"query": {"match_phrase": {"text": "of the"}}, "_source": ["doc_id"]}'
+    assert sorted(r.doc_id for r in served.read(body, "docs").collect()) == sorted(r.doc_id for r in hub.read(body, "docs").collect())
+    first = [float(x) for x in vectors.orderBy("vec_id").first()["embedding"]]
+    request = json.dumps({"collectionName": "embeddings", "data": [first], "annsField": "embedding", "limit": 5, "outputFields": ["vec_id", "label"]})
+    assert [tuple(r) for r in served.read(request, "vectors").collect()] == [tuple(r) for r in hub.read(request, "vectors").collect()]
+
+
 def test_listing(hub):
     listed = hub.list_connections()
     assert listed.count() == listed.first()["total_count"] == 14

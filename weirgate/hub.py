@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ConfigError, InvalidRequest, NotFound, SecretNotFound, SourceUnavailable
-from .operators import catalog, search, vector
+from .operators import catalog, codes, postings, search, vector
 from .sources import export, files, jdbc, sqlite, sqltext
 
 
@@ -39,8 +39,8 @@ class Connection:
         for name in (n.strip() for n in wanted.split(",")):
             if "*" not in name:
                 names.append(name)
-            elif self.setting("location") is not None:
-                raise InvalidRequest(f"'{name}': a location needs the names of its tables")
+            elif (location := self.setting("location")) is not None:
+                names += files.names_at(spark, location, name)
             else:
                 names += sorted(t.name for t in spark.catalog.listTables() if fnmatchcase(t.name, name))
         if not names:
@@ -210,15 +210,18 @@ class Hub:
             doc = connection.properties.get("doc_field", "doc")
             frames = [_typed_documents(frame, doc, json.loads(mapping), id_field) for frame in frames]
         index = frames[0] if len(frames) == 1 else search.merge_schemas(frames)
-        return search.search(index, request, id_field, late)
+        stored = connection.setting("text_index_location")
+        served = postings.open_text_index(self.spark, stored.replace("{name}", wanted)) if stored else None
+        return search.search(index, request, id_field, late, served)
 
     def _read_vectors(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:
         request = vector.parse_vector_request(query)
         collection = connection.table(self.spark, request.collection)
         key = connection.properties.get("primary_key", "id")
-        stored, index = connection.setting("index_location"), None
-        if stored and request.operation == "search":
-            index = vector.open_cell_index(self.spark, stored.replace("{name}", request.collection))
+        cells, coded, index = connection.setting("index_location"), connection.setting("code_index_location"), None
+        if request.operation == "search" and (cells or coded):
+            opened = vector.open_cell_index if cells else codes.open_code_index
+            index = opened(self.spark, (cells or coded).replace("{name}", request.collection))
         return vector.vector_dispatch(collection, request, key, connection.properties.get("metric", "L2"), late, index)
 
     def _read_graph(self, query: str, connection: Connection, parameters: Any, late: bool) -> DataFrame:

@@ -132,9 +132,10 @@ def vector_dispatch(
     pk: str,
     metric: str = "L2",
     late: bool = False,
-    index: CellIndex | None = None,
+    index: CellIndex | Any | None = None,
 ) -> DataFrame:
-    """Run a request on its collection: search, get or query. With an index, searches read the cells that can have a nearest row."""
+    """Run a request on its collection: search, get or query. With a cell index, searches read the cells that can have a nearest row; with
+    a code index (see ``codes``) they read codes and a short list."""
     r = request if isinstance(request, VectorRequest) else parse_vector_request(request)
     if r.operation == "search":
         limit = DEFAULT_SEARCH_LIMIT if r.limit is None else r.limit
@@ -142,7 +143,12 @@ def vector_dispatch(
             if (r.anns_field, pk) != (index.vector, index.pk):
                 raise InvalidRequest(f"the index is on '{index.vector}' by '{index.pk}'")
             fields = list(r.output_fields) if r.output_fields is not None else sorted(df.columns)
-            found = vector_search_approx(df.sparkSession, index, r.data[:1], limit, None, metric, r.filter, fields)
+            if isinstance(index, CellIndex):
+                found = vector_search_approx(df.sparkSession, index, r.data[:1], limit, None, metric, r.filter, fields)
+            else:
+                from .codes import vector_search_codes
+
+                found = vector_search_codes(df.sparkSession, index, r.data[:1], limit, metric, r.filter, fields)
             return order_fields(found.orderBy(DISTANCE, pk), fields)
         return vector_search(df, r.data, r.anns_field, pk, limit, metric, r.filter, r.output_fields, late)
     if r.operation == "get":

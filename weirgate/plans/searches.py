@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..operators import postings, search
+from ..operators import pages, postings, search
 from ..operators.ranking import with_place
-from .tables import table
+from ..session import scratch_path
+from .tables import location, table
 
 # -- JSON documents made of events ---------------------------------------------------------------
 
@@ -196,6 +197,46 @@ def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page_after(orders, PAGE_SORT, "o_orderkey", after, 200)
 
 
+def page_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a snapshot of the orders, each page in a session of its own."""
+    root = scratch_path(spark, "snapshots")
+    snapshot, after = pages.take_snapshot(spark, location(sf_dir).replace("{name}", "orders"), root), None
+    for _ in range(2):
+        page = search.page_after(pages.open_snapshot(spark.newSession(), root, snapshot), PAGE_SORT, "o_orderkey", after, 200)
+        # Of a page only its last key is needed.
+        last = page.select(*[name for name, _, _ in search.sort_keys(PAGE_SORT, "o_orderkey")]).tail(1)
+        if not last:
+            break
+        after = search.next_key(last[0], PAGE_SORT, "o_orderkey")
+    return search.page_after(pages.open_snapshot(spark, root, snapshot), PAGE_SORT, "o_orderkey", after, 200)
+
+
+_page_indexes: dict[tuple[str, str], str] = {}
+
+
+def _page_index(spark: SparkSession, sf_dir: str) -> pages.PageIndex:
+    """The orders, newest first, in parts of 5,000 rows: built once per application, opened again by its path after that."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _page_indexes:
+        _page_indexes[key] = pages.build_page_index(table(spark, sf_dir, "orders"), PAGE_SORT, "o_orderkey", part_rows=5000).path
+    return pages.open_page_index(spark, _page_indexes[key])
+
+
+def page_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 6 of the orders, by its number."""
+    return pages.page_number(spark, _page_index(spark, sf_dir), 6, 200)
+
+
+def page_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders behind the newest one of medium priority of a day."""
+    return pages.page_behind(spark, _page_index(spark, sf_dir), ["1996-06-15", "3-MEDIUM", 0], 300)
+
+
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with their place."""
+    return pages.places(spark, _page_index(spark, sf_dir))
+
+
 QUERIES = {
     "mapping_to_schema": mapping_to_schema,
     "flatten_nested": flatten_nested,
@@ -208,6 +249,10 @@ QUERIES = {
     "narrow_int_wrap": narrow_int_wrap,
     "search_sort": search_sort,
     "page_after": page_after,
+    "page_snapshot": page_snapshot,
+    "page_numbered": page_numbered,
+    "page_behind": page_behind,
+    "page_places": page_places,
 } | {name: _search(body) for name, body in BODIES.items()} | {name: _indexed(body) for name, body in INDEXED.items()}
 
 
@@ -218,6 +263,8 @@ def _wrapped(value: str, bits: int) -> str:
 
 _KEY = "(o_orderkey * 1000003 - 500000000)"
 
+_PLACED = "SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey) AS place FROM orders"
+
 _WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 
 ORACLE = {
@@ -269,6 +316,17 @@ ORACLE = {
     "page_after": """
         SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey LIMIT 200 OFFSET 400
     """,
+    "page_snapshot": """
+        SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey LIMIT 200 OFFSET 400
+    """,
+    "page_numbered": f"SELECT * FROM ({_PLACED}) WHERE place > 1200 AND place <= 1400",
+    "page_behind": f"""
+        SELECT * FROM ({_PLACED})
+        WHERE (o_orderdate, o_orderpriority, o_orderkey) IS DISTINCT FROM (DATE '1996-06-15', '3-MEDIUM', 0)
+          AND (o_orderdate < DATE '1996-06-15' OR o_orderdate = DATE '1996-06-15' AND o_orderpriority >= '3-MEDIUM')
+        ORDER BY place LIMIT 300
+    """,
+    "page_places": _PLACED,
     "search_match_all": "SELECT * FROM documents",
     "search_term": "SELECT * FROM documents WHERE lang = 'en'",
     "search_range": "SELECT * FROM documents WHERE n_chars >= 300 AND n_chars < 5000",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vector
+from ..operators import codes, vector
 from .tables import table
 
 PK, VECTOR = "vec_id", "embedding"
@@ -90,10 +90,30 @@ def vector_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.createDataFrame([(i, r[0]) for i, r in enumerate(queries)], "place_of long, label long")
     found = vector.vector_search_approx(spark, index, [r[1] for r in queries], 10)
     found = found.join(labels, F.col(vector.QUERY_ID) == F.col("place_of")).select(F.col("label").alias(vector.QUERY_ID), PK)
+    return _recalled(exact, found)
+
+
+def _recalled(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """How many rows were wanted, and whether nine tenths of them were found."""
     hits = exact.join(found.withColumn("hit", F.lit(1)), [vector.QUERY_ID, PK], "left")
-    return hits.agg(
-        F.count("*").alias("wanted"), (F.coalesce(F.sum("hit"), F.lit(0)) >= F.count("*") * 0.9).alias("recalled")
-    )
+    return hits.agg(F.count("*").alias("wanted"), (F.coalesce(F.sum("hit"), F.lit(0)) >= F.count("*") * 0.9).alias("recalled"))
+
+
+_coded: dict[tuple[str, str], str] = {}
+
+
+def vector_codes_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through quantised codes and a short list, which read a fraction of the vectors."""
+    df, key = _embeddings(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _coded:
+        _coded[key] = codes.build_code_index(df, VECTOR, PK).path
+    index = codes.open_code_index(spark, _coded[key])
+    exact = vector.vector_search_batch(df, first_per_label(df), VECTOR, PK, 10).select(vector.QUERY_ID, PK)
+    queries = first_per_label(df).orderBy(vector.QUERY_ID).collect()
+    labels = spark.createDataFrame([(i, r[0]) for i, r in enumerate(queries)], "place_of long, label long")
+    found = codes.vector_search_codes(spark, index, [r[1] for r in queries], 10, shortlist=30)
+    found = found.join(labels, F.col(vector.QUERY_ID) == F.col("place_of")).select(F.col("label").alias(vector.QUERY_ID), PK)
+    return _recalled(exact, found)
 
 
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +132,7 @@ QUERIES = {
     "vector_search_approx": vector_search_approx,
     "vector_search_cells": vector_search_cells,
     "vector_search_recall": vector_search_recall,
+    "vector_codes_recall": vector_codes_recall,
     "order_fields": order_fields,
 }
 
@@ -152,5 +173,9 @@ ORACLE = {
         SELECT CAST(sum(least(10, n)) AS BIGINT) AS wanted, true AS recalled
         FROM (SELECT (SELECT count(*) FROM embeddings) AS n FROM embeddings GROUP BY label)
     """,
+    "vector_codes_recall": """
+        SELECT CAST(sum(least(10, n)) AS BIGINT) AS wanted, true AS recalled
+        FROM (SELECT (SELECT count(*) FROM embeddings) AS n FROM embeddings GROUP BY label)
+    """,
     "order_fields": "SELECT CAST(len(embedding) AS INT) AS dims, vec_id, label FROM embeddings",
 }

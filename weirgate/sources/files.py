@@ -56,6 +56,21 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     return listing.select("path", "length", format_column(F.col("path")).alias("format"))
 
 
+def names_at(spark: SparkSession, location: str, pattern: str) -> list[str]:
+    """The sorted names for which ``location``, which holds ``{name}``, leads to a file or folder; ``*`` in the pattern is any text."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location.replace("{name}", pattern))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    before, _, after = location.partition("{name}")
+    before, after, depth = before.rpartition("/")[2], after.partition("/")[0], after.count("/")
+    names = []
+    for status in found:
+        own = status.getPath()
+        for _ in range(depth):
+            own = own.getParent()
+        names.append(own.getName()[len(before) : len(own.getName()) - len(after)])
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns that any of the files has; filters and column lists reach the scan."""
     return spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
