@@ -39,7 +39,7 @@ COUNT_CHUNK = 1 << 16
 # Bytes of text that are hashed at once; NumPy holds some ten numbers for each byte.
 STEP = 1 << 18
 # Prefix rows of one partition, rows of a packed array, sets that a task folds at once.
-PART_ROWS, PACK_ROWS, FOLD = 400_000, 200_000, 50_000
+PART_ROWS, PACK_ROWS, FOLD = 120_000, 100_000, 50_000
 # Slots of the table that tells which sets are asked for: at most so many numbers reach the driver.
 SLOTS = 1 << 22
 # The same for the sets of some pairs: at most so many numbers are broadcast.
