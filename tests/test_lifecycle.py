@@ -320,3 +320,28 @@ def test_a_hot_document_is_folded_in_many_tasks(spark):
     parts = spark.sparkContext.defaultParallelism
     ranges = patches.repartitionByRange(parts, "id", "tenant_id", "seq").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
     assert max(r.n for r in ranges) < 2.5 * n / parts
+
+
+def test_batches_read_their_own_seeds_alone(spark, tmp_path):
+    """Five batches with a restart after each; the outcomes are those of one pass, and no batch reads an earlier one."""
+    drops, places = str(tmp_path / "drops"), [str(tmp_path / n) for n in ("table", "outcome", "checkpoint")]
+    schema = "seq long, name string, kind int, phase string"
+    rows = [(i, None if i % 50 == 7 else "hot" if i % 3 == 0 else f"n{i % 90}", i % 2, "Completed" if i % 11 == 0 else None) for i in range(1500)]
+    read, wanted, seen = [], {}, set()
+    for batch in range(5):
+        own = rows[batch * 300 : (batch + 1) * 300]
+        for seq, name, kind, phase in own:
+            added = phase is None and (name, kind) not in seen
+            seen |= {(name, kind)} if added else set()
+            wanted[seq] = (added, "Completed" if added or phase else "AlreadyExists")
+        spark.createDataFrame(own[::-1], schema).repartition(3).coalesce(1).write.mode("append").parquet(drops)
+        stream = spark.readStream.schema(schema).parquet(drops)
+        query = watch_seeds(stream, *places, ["name", "kind"], "seq", available_now=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert read == [300] * 5
+    got = {r["seq"]: (r["added"], r["phase"]) for r in spark.read.parquet(places[1]).collect()}
+    assert got == wanted
+    table = spark.read.parquet(places[0]).select("seq", "phase").collect()
+    assert sorted((r["seq"], r["phase"]) for r in table) == [(s, "Completed") for s, (added, _) in sorted(wanted.items()) if added]

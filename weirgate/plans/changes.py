@@ -245,9 +245,13 @@ def patch_types_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as arriving seeds for a document per user, starting with an empty table."""
-    schema = T.StructType(table(spark, sf_dir, "events").schema.fields)
-    arriving = spark.readStream.schema(schema).parquet(location(sf_dir).replace("{name}", "events") + "*")
+    """Events as seeds for a document per user, which arrive in five files and are decided file by file, starting with an empty table."""
+    events, drops = table(spark, sf_dir, "events"), scratch_path(spark, "seed-drops")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    fifth = F.floor((F.col("event_id") - F.lit(low)) * 5 / (F.lit(high) - F.lit(low) + 1))
+    for part in range(5):
+        events.where(fifth == part).coalesce(1).write.mode("append").parquet(drops)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(drops)
     phase = F.when(F.col("event_type") == "view", F.lit(catalog.COMPLETED))
     seeds = arriving.select("event_id", "user_id", phase.alias("phase"))
     outcome = scratch_path(spark, "seed-outcome")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import seed_if_absent
+from ..operators.catalog import ALREADY_EXISTS, COMPLETED, FINAL_PHASES, seed_if_absent
 
 EPOCH = "epoch"
 
@@ -42,6 +45,31 @@ def apply_batch(
     added.write.mode("overwrite").parquet(f"{table_path}/{EPOCH}={epoch}")
 
 
+def _decide(keys: Sequence[str], order: str, columns: Sequence[str]):
+    """What becomes of a batch's seeds of one key, given whether the key was seen. Rows are held one at a time."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, held = state.exists, None
+        for chunk in chunks:
+            final = chunk["phase"].isin(FINAL_PHASES)
+            done, todo = chunk[final].assign(added=False), chunk[~final]
+            if not known and len(todo):
+                # The first one so far by the order is held back; all others have lost.
+                both = todo if held is None else pd.concat([held, todo])
+                first = int(np.argmin(both[order].to_numpy()))
+                rest = np.arange(len(both)) != first
+                held, todo = both[~rest], both[rest]
+            lost = todo.assign(phase=ALREADY_EXISTS, added=False)
+            rows = pd.concat([done, lost])
+            if len(rows):
+                yield rows[list(columns)]
+        if held is not None:
+            state.update((True,))
+            yield held.assign(phase=COMPLETED, added=True)[list(columns)]
+
+    return run
+
+
 def watch_seeds(
     seeds: DataFrame,
     table_path: str,
@@ -53,11 +81,21 @@ def watch_seeds(
 ) -> StreamingQuery:
     """Append the absent ones of a stream of ``seeds(<keys>, <order>, phase, ...)`` to a table.
 
-    Every seed's outcome is stored too. A restart neither loses nor repeats a row.
+    Which keys have been seen is the stream's state, kept by key in its checkpoint, so a batch reads its own seeds
+    alone, however many came before. Every seed's outcome is stored too. Batches write folders of their own epoch, which
+    they overwrite when they run again, and state is taken back with them: a restart neither loses nor repeats a row. A
+    NULL key is a key like any other.
     """
+    fields = [*seeds.schema.fields, T.StructField("added", T.BooleanType())]
+    schema = T.StructType(fields)
+    run = _decide(keys, order, [f.name for f in fields])
+    decided = seeds.groupBy(*keys).applyInPandasWithState(run, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        apply_batch(batch, epoch, table_path, outcome_path, keys, order)
+        place = f"{outcome_path}/{EPOCH}={epoch}"
+        batch.write.mode("overwrite").parquet(place)
+        added = batch.sparkSession.read.schema(schema).parquet(place).where("added").drop("added")
+        added.write.mode("overwrite").parquet(f"{table_path}/{EPOCH}={epoch}")
 
-    writer = seeds.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = decided.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
