@@ -352,20 +352,22 @@ def _may_link(n: Column, pos: Column, m: Column, place: Column, percent: int) ->
     return lengths & (most * (100 + percent) >= (n + m) * percent)
 
 
-def _stars(live: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+def _stars(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of each shingle's leader and its other sets that aren't connected to it yet."""
-    pairs = live.join(leaders, "token").where("label <> leader_label").where(
+    pairs = met.where("label <> leader_label").where(
         _may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"), percent)
     )
     return pairs.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def _leaders(live: DataFrame, by: Column) -> DataFrame:
-    """A leader for each shingle whose sets are in several components."""
+def _with_leaders(live: DataFrame, by: Column) -> DataFrame:
+    """The rows of shingles whose sets are in several components, with a leader for each shingle and its number of sets."""
     best = F.max(F.struct(by.alias("by"), "cls", "n", "pos", "label")).alias("best")
-    found = live.groupBy("token").agg(best, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    ends = F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets")
+    found = live.groupBy("token").agg(best, *ends).where("low <> high")
     names = {"cls": "leader", "n": "leader_n", "pos": "leader_pos", "label": "leader_label"}
-    return found.select("token", *(F.col(f"best.{k}").alias(v) for k, v in names.items()))
+    leaders = found.select("token", "sets", *(F.col(f"best.{k}").alias(v) for k, v in names.items()))
+    return live.select("token", "cls", "n", "pos", "label").join(leaders, "token")
 
 
 def _labelled(live: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -491,11 +493,14 @@ def ngram_jaccard_join(
     of_class = classes.select("cls", "print", "key", "n").join(sets.drop("hashes"), ["print", "key"]).dropDuplicates(["cls"])
     known = written(of_class, "ngram-known")
     first = written(_labelled(live, None).join(shared, "cls"), "ngram-first")
-    edges, asked = _verify(_stars(first, _leaders(first, F.col("shared")), percent), known, sets, percent)
+    met = written(_with_leaders(first, F.col("shared")), "ngram-met")
+    edges, asked = _verify(_stars(met, percent), known, sets, percent)
     labels = components(edges)
+    # A shingle of two sets has no pair but theirs, which was looked at.
+    live = met.where("sets > 2").select("token", "cls", "n", "pos")
     degree = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
     second = written(_labelled(live, labels).join(degree, "cls", "left"), "ngram-mixed")
-    more, asked = _verify(_stars(second, _leaders(second, F.coalesce("degree", F.lit(0))), percent), known, sets, percent, asked)
+    more, asked = _verify(_stars(_with_leaders(second, F.coalesce("degree", F.lit(0))), percent), known, sets, percent, asked)
     edges = edges.unionByName(more)
     labels = components(edges)
     mixed = written(_labelled(live, labels), "ngram-mixed")
