@@ -5,13 +5,16 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weirgate.llm.packing import Bins, pack_documents, pack_lengths
+from weirgate.llm.tokens import LONGEST_PLAIN, TextEncoder, long_stretch, text_encoder
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -121,3 +124,21 @@ def test_real_texts_are_packed_tightly(spark, sf_dir, library):
     want = {r.doc_id: library(r.text) for r in docs.collect()}
     sequences, tokens = check(pack_documents(docs, PATH, PATTERN), want, 1024)
     assert sequences <= -(-tokens // 1024) * 1.02 + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab' tsdé1 \n\t\x0b\x1c\x85\xa0\u2003\u3000à .!😀漢0ñ\ufeff\x00")))), max_size=5))
+def test_whole_texts_agree_with_the_library(library, rows):
+    encoder = text_encoder(PATH, PATTERN)
+    assert isinstance(encoder, TextEncoder)
+    ids, counts = encoder.many(pa.array(rows, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(rows)] == [library(t)[:-1] for t in rows]
+
+
+def test_odd_texts_agree_with_the_library(library):
+    rows = ["<|endoftext|>", "x <|EndOfText|> y", "q" * 5000 + " end", "a" + " " * 5000 + "b", "é" * 3000, "one\n" * 3000, "don't"]
+    encoder = text_encoder(PATH, PATTERN)
+    ids, counts = encoder.many(pa.array(rows, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t)[:-1] for t in rows]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in rows)])
+    assert long_stretch(data, offsets, LONGEST_PLAIN).tolist() == [False, False, True, True, True, True, False]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_out, steps, task_number, written
-from .tokens import piece_encoder
+from .tokens import text_encoder
 
 # Pieces that are packed together; what a group leaves open is one sequence or two of its thousand.
 GROUP = 4096
@@ -217,7 +217,7 @@ def token_pieces(
     """Documents as pieces of at most ``size`` ids, with a key that is the piece's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = piece_encoder(path, pattern), end_id.to_bytes(4, "little")
+        encoder, end = text_encoder(path, pattern), end_id.to_bytes(4, "little")
         key = task_number() << 33
         for batch in steps(batches, "text", STEP_BYTES):
             rows = []

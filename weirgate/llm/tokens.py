@@ -3,11 +3,12 @@
 The library works on one word at a time once a text is split, so a word's ids are asked for once per
 Python worker. ``BlankEncoder`` is for vocabularies that lower-case and drop white space; for the ones
 that keep it there is ``bpe.PieceEncoder``. A text in which a special token is written out is left to the library as a whole,
-which finds the token there.
+which finds the token there. ``TextEncoder`` takes whole texts of byte-level vocabularies whose ids are merge ranks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 from .bpe import MARKS, MEMORY, Memory, PieceEncoder, gathered
 from .common import once, utf8
 
+# Longer stretches of a text than this many bytes are encoded piece-wise.
+LONGEST_PLAIN = 2000
 # ASCII letters in lower case, and a space for each ASCII blank.
 LOWER = bytes(32 if 9 <= x <= 13 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -77,10 +80,140 @@ def piece_encoder(path: str, pattern: str) -> PieceEncoder:
     return once(("piece_encoder", path, pattern), make)
 
 
+def _bytes_of_signs() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The ids of a byte-level vocabulary as merge ranks by piece, None if its merges aren't in the order of its ids."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    byte, special = _bytes_of_signs(), {t["content"] for t in whole.get("added_tokens", ())}
+    model = whole["model"]
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    if any(sign not in byte for token in vocabulary for sign in token):
+        return None
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    single = [i for t, i in vocabulary.items() if len(t) == 1]
+    if None in merged or merged != sorted(merged) or len(single) != 256 or max(single) >= min(merged, default=1 << 32):
+        return None
+    return {bytes(byte[sign] for sign in token): i for token, i in vocabulary.items()}
+
+
+def long_stretch(data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+    """Which of the texts, given as UTF-8, have a stretch of over ``most`` bytes without a space, or of spaces alone."""
+    space = data == 32
+    turns = np.flatnonzero(np.concatenate(([True], space[1:] != space[:-1]))) if len(data) else np.zeros(0, np.int64)
+    begins = np.unique(np.concatenate((turns, offsets[:-1][offsets[:-1] < offsets[1:]])))
+    wide = np.diff(np.append(begins, len(data)))
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, begins[wide > most], "right") - 1] = True
+    return out
+
+
+class TextEncoder:
+    """Ids of whole texts for a byte-level vocabulary, by merge ranks; odd texts are left to a piece-wise encoder.
+
+    Odd are texts with a special token written out, and those with a word so long that merging it pair by pair would take the square of its length.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, rest: PieceEncoder) -> None:
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.rest = rest
+
+    def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        odd = self.rest.apart(column) | long_stretch(*utf8(column), LONGEST_PLAIN)
+        found = []
+        for text, own in zip(column.to_pylist(), odd.tolist(), strict=True):
+            found.append(np.frombuffer(self.rest.one(text), "<u4") if own else self.encoding.encode_to_numpy(text or "", disallowed_special=()))
+        ids = np.concatenate(found).astype("<u4", copy=False) if found else np.zeros(0, "<u4")
+        return ids, np.fromiter(map(len, found), np.int64, len(found))
+
+
+def text_encoder(path: str, pattern: str) -> TextEncoder | PieceEncoder:
+    """The encoder of a byte-level vocabulary whose pre-tokens are the matches of ``pattern``, for whole texts."""
+
+    def make() -> TextEncoder | PieceEncoder:
+        ranks, rest = merge_ranks(path), piece_encoder(path, pattern)
+        return rest if ranks is None else TextEncoder(ranks, pattern, rest)
+
+    return once(("text_encoder", path, pattern), make)
+
+
 def _spaced_word(word: str) -> bool:
     return word[0] == " " and word[1:].isalpha()
 
 
+# Stands behind each word; no letter, and no text of a plain word has it.
+WORD_END = "\U0010fffd"
+
+
+def marked_ranks(path: str, suffix: str = "</w>") -> tuple[dict[bytes, int], np.ndarray] | None:
+    """A vocabulary whose words end in a sign of their own, as merge ranks of words with ``WORD_END`` behind them, and the id of each rank.
+
+    The mark is merged first, with the last byte of a word; then come the vocabulary's merges in their order. None if they don't fit that.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, byte, mark = model["vocab"], _bytes_of_signs(), WORD_END.encode()
+    ranks = {bytes([b]): b for b in range(256)}
+    ids = {i: vocabulary.get(sign) for sign, i in byte.items()}
+
+    def add(piece: bytes, token: int | None) -> bool:
+        """The next rank, if no other has the piece."""
+        ids[len(ranks)] = token
+        return token is not None and ranks.setdefault(piece, len(ranks)) == len(ids) - 1
+
+    fits = [add(mark[:n], 0) for n in range(2, len(mark) + 1)]
+    fits += [add(bytes([i]) + mark, vocabulary.get(sign + suffix)) for sign, i in byte.items()]
+    for merge in model["merges"]:
+        token = "".join(merge.split(" ") if isinstance(merge, str) else merge)
+        signs = token.removesuffix(suffix)
+        if any(s not in byte for s in signs):
+            return None
+        fits.append(add(bytes(byte[s] for s in signs) + mark * token.endswith(suffix), vocabulary.get(token)))
+    if not all(fits) or None in ids.values():
+        return None
+    return ranks, np.array([ids[i] for i in range(len(ids))], "<u4")
+
+
+def _plain_word(word: str) -> bool:
+    """Letters that the vocabulary's normalisation leaves as they are."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250") and word == word.lower()
+
+
+def _marked(path: str, rest: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+    """Ids of new words: plain ones by merge ranks, all in one text; others by ``rest``."""
+    found = marked_ranks(path)
+    if found is None:
+        return rest
+    import tiktoken
+
+    ranks, ids = found
+    encoding = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
+    last = np.zeros(len(ids), bool)
+    # The mark alone isn't left, as it is merged with the byte before it.
+    last[[i for token, i in ranks.items() if token.endswith(WORD_END.encode())]] = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        together = [w for w in words if len(w) < LONGEST_PLAIN and _plain_word(w)]
+        tokens = encoding.encode_to_numpy(WORD_END.join([*together, ""]), disallowed_special=()) if together else np.zeros(0, np.uint32)
+        cuts = [0, *(4 * (np.flatnonzero(last[tokens]) + 1)).tolist()]
+        data = ids[tokens].tobytes()
+        own = dict(zip(together, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        others = [w for w in words if w not in own]
+        own.update(zip(others, rest(others), strict=True))
+        return [own[w] for w in words]
+
+    return encode
+
+
 class BlankEncoder:
     """Ids of a text given as UTF-8 bytes, for a vocabulary that drops blanks and ignores case."""
 
@@ -149,6 +282,7 @@ class BlankEncoder:
 def blank_encoder(path: str) -> BlankEncoder:
     def make() -> BlankEncoder:
         apart, one = _whole(path)
-        return BlankEncoder(_library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True), apart=apart, one=one)
+        encode = _marked(path, _library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True))
+        return BlankEncoder(encode, apart=apart, one=one)
 
     return once(("blank_encoder", path), make)
