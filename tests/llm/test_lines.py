@@ -18,3 +18,19 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "http://a.x", "<p>same</p>", "", 1)] * 3
     assert [r.n_dropped for r in drop_frequent_lines(spark.createDataFrame(rows, SCHEMA)).collect()] == [1, 1, 1]
     assert drop_frequent_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_share_at_the_ratio_stays_and_low_ratios_count_single_pages(spark):
+    rows = [(i, "http://a.x", f"<p>{'half' if i < 4 else 'rest'}</p><p>five</p><p>own {i}</p>" if i < 5 else "<p>none</p>", "", 1) for i in range(8)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: r.text for r in drop_frequent_lines(frame).collect()}
+    assert got[0] == "half\nown 0" and got[4] == "rest\nown 4" and got[7] == "none"
+    assert {r.n_dropped for r in drop_frequent_lines(frame, ratio=0.1).collect()} == {3, 1}
+
+
+def test_long_pages_hot_hosts_and_null_ids(spark):
+    rows = [(i or None, "http://hot.x", "<p>menu</p>" + "".join(f"<p>line {i} {j}</p>" for j in range(3 if i else 20_000)), "", 1) for i in range(300)]
+    rows += [(1000 + i, f"http://h{i}.x", "<p>menu</p>", "", 1) for i in range(50)]
+    got = {r.page_id: r for r in drop_frequent_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[None].n_lines == 20_001 and got[None].n_dropped == 1 and got[5].text == "line 5 0\nline 5 1\nline 5 2"
+    assert got[1003].n_dropped == 0

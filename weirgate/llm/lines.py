@@ -56,7 +56,8 @@ def drop_frequent_lines(
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     frequent = (
-        counts.where(F.col("n") >= 2)
+        # No line on fewer pages than this can be frequent on a host with enough pages.
+        counts.where(F.col("n") > F.lit(ratio * least_pages))
         .join(totals.where(F.col("pages") >= least_pages), "host")
         .where(F.col("n") > F.lit(ratio) * F.col("pages"))
         .groupBy("host")
