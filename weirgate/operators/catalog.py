@@ -189,7 +189,9 @@ def reference_check(
     """
     # ids are unique, so each list holds one tenant, and one join answers for both tenants
     known = targets.groupBy(F.col("id").alias("__target")).agg(F.collect_set("tenant_id").alias("__owners"))
-    found = rows.join(known, F.col(reference) == F.col("__target"), "left")
+    # Rows without a reference would all meet in one place, and need no target.
+    found = rows.where(F.col(reference).isNotNull()).join(known, F.col(reference) == F.col("__target"), "left")
+    found = found.unionByName(rows.where(F.col(reference).isNull()), allowMissingColumns=True)
     seen = F.array_contains("__owners", F.col(tenant)) | F.array_contains("__owners", F.lit(global_tenant))
     text = F.concat(F.lit("unknown reference '"), F.col(reference).cast("string"), F.lit("'"))
     missing = F.when(~F.coalesce(seen, F.lit(False)), F.coalesce(text, F.lit("no reference")))

@@ -145,12 +145,28 @@ def resolve_default_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.select("event_id", index.alias("index_name"))
 
 
+# Rows of an exported batch.
+EXPORTED = 4096
+
+
 def export_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export")
-    export.export_batches(table(spark, sf_dir, "events"), path, 1 << 16)
+    export.export_batches(table(spark, sf_dir, "events"), path, EXPORTED)
     return files.read_parquet(spark, path)
 
 
+def export_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a table is delivered in, whether a batch is too long, and whether there are as many as that takes."""
+    path = scratch_path(spark, "export")
+    export.export_batches(table(spark, sf_dir, "events"), path, EXPORTED)
+    sizes = files.read_parquet(spark, path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.sum("n").alias("n_rows"),
+        (F.max("n") <= EXPORTED).alias("bounded"),
+        (F.count(F.lit(1)) >= F.ceil(F.sum("n") / EXPORTED)).alias("cut"),
+    )
+
+
 QUERIES = {
     "hub_read": hub_read,
     "parquet_scan": parquet_scan,
@@ -161,6 +177,7 @@ QUERIES = {
     "describe_query": describe_query,
     "resolve_default_index": resolve_default_index,
     "export_batches": export_batches,
+    "export_batch_sizes": export_batch_sizes,
 }
 ORACLE = {
     "hub_read": FLAGSHIP,
@@ -192,4 +209,5 @@ ORACLE = {
         FROM events
     """,
     "export_batches": "SELECT * FROM events",
+    "export_batch_sizes": "SELECT count(*) AS n_rows, true AS bounded, true AS cut FROM events",
 }
