@@ -73,11 +73,12 @@ def _whole(path: str) -> tuple[Callable[[pa.Array], np.ndarray], Callable[[str],
 def piece_encoder(path: str, pattern: str) -> PieceEncoder:
     """The encoder of a byte-level vocabulary whose pre-tokens are the matches of ``pattern``."""
 
-    def make() -> PieceEncoder:
-        apart, one = _whole(path)
-        return PieceEncoder(pattern, _library(path, _spaced_word, "", lambda t: t.startswith("Ġ"), False), apart=apart, one=one)
+    return once(("piece_encoder", path, pattern), lambda: _pieces(path, pattern, MEMORY))
+
 
-    return once(("piece_encoder", path, pattern), make)
+def _pieces(path: str, pattern: str, memory: int) -> PieceEncoder:
+    apart, one = _whole(path)
+    return PieceEncoder(pattern, _library(path, _spaced_word, "", lambda t: t.startswith("Ġ"), False), memory, apart, one)
 
 
 def _bytes_of_signs() -> dict[str, int]:
@@ -140,7 +141,9 @@ def text_encoder(path: str, pattern: str) -> TextEncoder | PieceEncoder:
     """The encoder of a byte-level vocabulary whose pre-tokens are the matches of ``pattern``, for whole texts."""
 
     def make() -> TextEncoder | PieceEncoder:
-        ranks, rest = merge_ranks(path), piece_encoder(path, pattern)
+        ranks = merge_ranks(path)
+        # Odd texts are few: the encoder of pieces remembers little for them.
+        rest = piece_encoder(path, pattern) if ranks is None else _pieces(path, pattern, 10_000)
         return rest if ranks is None else TextEncoder(ranks, pattern, rest)
 
     return once(("text_encoder", path, pattern), make)
