@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ERROR_CODES
 from ..functions import redact
-from ..operators import catalog
+from ..operators import catalog, rollups
+from ..session import scratch_path
 from .tables import event_documents, table
 
 GLOBAL = "view"
@@ -277,6 +278,33 @@ def rpc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("double") for c in numbers})
 
 
+def rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of events rolled up and stored, one in ten of them later than the others, and merged to days; whether each day's median is one."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("method"), F.col("value").alias("duration"))
+    path, late = scratch_path(spark, "rollup"), F.col("event_id") % 10 == 3
+    for calls in (events.where(~late), events.where(late)):
+        rollups.window_rollup(calls, "ts", "duration", "1 hour", ["method"], buckets=ROLLUP_BUCKETS).write.mode("append").parquet(path)
+    days = rollups.with_quantiles(rollups.merge_rollups(spark.read.parquet(path), "1 day", ["method"]), [0.5])
+    days = days.withColumn("median", F.element_at("duration_quantiles", 1))
+    # Calls below and up to the sketch's median: half of all lies between the two, but for the stated error.
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    met = events.select(day.alias(rollups.START), "method", "duration").join(days.select(rollups.START, "method", "median"), [rollups.START, "method"])
+    ranks = met.groupBy(rollups.START, "method").agg(
+        F.avg((F.col("duration") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("duration") <= F.col("median")).cast("int")).alias("up_to")
+    )
+    error = rollups.rank_error()
+    half = (F.col("below") <= 0.5 + error) & (F.col("up_to") >= 0.5 - error)
+    return days.join(ranks, [rollups.START, "method"]).select(
+        rollups.START,
+        "method",
+        "requests_total",
+        "duration_min",
+        "duration_max",
+        *[F.element_at(rollups.BUCKETS, i + 1).alias(f"le_{b}") for i, b in enumerate(ROLLUP_BUCKETS)],
+        half.alias("median_fits"),
+    )
+
+
 _KINDS = [*ERROR_CODES, "SomethingElse"]
 
 
@@ -311,6 +339,7 @@ QUERIES = {
     "seed_if_absent": seed_if_absent,
     "parse_field_specs": parse_field_specs,
     "rpc_rollup": rpc_rollup,
+    "rollup_merged": rollup_merged,
     "classify_errors": classify_errors,
 }
 
@@ -451,5 +480,12 @@ ORACLE = {
                count(*) FILTER (WHERE d <= 50) AS le_50, count(*) FILTER (WHERE d <= 100) AS le_100
         FROM c GROUP BY method, operation, status
     """,
+    "rollup_merged": """
+        SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS method, count(*) AS requests_total,
+               min(value) AS duration_min, max(value) AS duration_max, count(*) FILTER (WHERE value <= 1) AS le_1,
+               count(*) FILTER (WHERE value <= 5) AS le_5, count(*) FILTER (WHERE value <= 10) AS le_10,
+               count(*) FILTER (WHERE value <= 50) AS le_50, count(*) FILTER (WHERE value <= 100) AS le_100, true AS median_fits
+        FROM events GROUP BY ALL
+    """,
     "classify_errors": _CLASSIFIED,
 }
