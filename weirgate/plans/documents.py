@@ -300,7 +300,7 @@ def rollup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "requests_total",
         "duration_min",
         "duration_max",
-        *[F.element_at(rollups.BUCKETS, i + 1).alias(f"le_{b}") for i, b in enumerate(ROLLUP_BUCKETS)],
+        *[F.element_at(rollups.BUCKETS, i + 1).alias(f"le_{b:g}") for i, b in enumerate(ROLLUP_BUCKETS)],
         half.alias("median_fits"),
     )
 
