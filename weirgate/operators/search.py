@@ -33,27 +33,22 @@ TIE_BREAK = "_shard_doc"
 def parse_mapping(mapping: Mapping[str, Any]) -> list[tuple[str, str]]:
     """Leaf fields of a mapping as ``(dotted path, type name)``, merged over all its indices.
 
-    A field that has two types becomes ``text``.
+    A field that has two types becomes ``text``. A mapping without indices is that of one.
     """
-    indices = [v for v in mapping.values() if isinstance(v, Mapping) and "mappings" in v]
-    merged: dict[str, str] = {}
-    for index in indices:
-        _walk_properties(index["mappings"].get("properties"), "", merged)
-    if not merged and isinstance(mapping.get("mappings"), Mapping):
-        _walk_properties(mapping["mappings"].get("properties"), "", merged)
-    return list(merged.items())
-
-
-def _walk_properties(properties: Any, prefix: str, merged: dict[str, str]) -> None:
-    if not isinstance(properties, Mapping):
-        return
-    for name, spec in properties.items():
-        if "properties" in spec:
-            _walk_properties(spec["properties"], f"{prefix}{name}.", merged)
-        elif isinstance(spec.get("type"), str):
-            known = merged.setdefault(prefix + name, spec["type"])
-            if known != spec["type"]:
-                merged[prefix + name] = "text"
+    several = [leaf for own in mapping.values() if isinstance(own, Mapping) for leaf in _leaves(own.get("mappings"))]
+    types: dict[str, set[str]] = {}
+    for path, name in several or _leaves(mapping.get("mappings")):
+        types.setdefault(path, set()).add(name)
+    return [(path, min(names) if len(names) == 1 else "text") for path, names in types.items()]
+
+
+def _leaves(node: Any, path: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """All typed fields below an object of a mapping, each as often as it occurs."""
+    fields = node.get("properties") if isinstance(node, Mapping) else None
+    if isinstance(fields, Mapping):
+        return [leaf for name, inner in fields.items() for leaf in _leaves(inner, (*path, name))]
+    typed = path and isinstance(node, Mapping) and "properties" not in node and isinstance(node.get("type"), str)
+    return [(".".join(path), node["type"])] if typed else []
 
 
 def mapping_to_schema(fields: Sequence[tuple[str, str]]) -> T.StructType:
