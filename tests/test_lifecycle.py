@@ -270,6 +270,40 @@ def test_names_are_claimed_by_the_first_patch(spark, docs, types):
     assert sorted((r["seq"], r["kind"]) for r in change.rejected.collect()) == [(2, "Conflict"), (5, "Conflict")]
 
 
+def test_each_patch_is_read_once(spark, types):
+    """Verdicts are several joins; what they join is computed, and tried in Python, once."""
+    stored = [((f"c{i}", "red", STAMP, STAMP), {"name": f"n{i}", "data_connection_type_id": "t1", "format": "tabular", "admin": None, "properties": {}}, OK) for i in range(20)]
+    docs = spark.createDataFrame(stored, STORED)
+    texts = ['{"name":"shared"}', '{"data_connection_type_id":"t1"}', '{"properties":{"a":"b"}}', '{"name":null}']
+    asked = spark.createDataFrame([(f"c{i % 20}", "red", i, texts[i // 20 % 4]) for i in range(400)], "id string, tenant_id string, seq long, patch string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    change = patching.patch_in_order(docs, types, asked.mapInPandas(counted, asked.schema), "global", now=LATER)
+    assert change.table.count() == 20 and change.rejected.count() == 100 + 95
+    assert read.value == 400
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(4000).select(F.lit("d").alias("id"), F.lit("red").alias("tenant_id"), F.col("id").alias("seq"), F.when(F.col("id") == 7, "n").alias("__name"))
+    known = spark.createDataFrame([("red", "n", "d9")], "tenant_id string, __name string, __owner string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("-1", "false", "8")):
+            spark.conf.set(key, value)
+        found = patching._looked_up(rows, known, ["tenant_id", "__name"], "owners")
+        assert [(r.seq, r["__owner"]) for r in found.where("__owner IS NOT NULL").collect()] == [(7, "d9")]
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / 8
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_patch_types(spark, types):
     asked = [
         ("t1", "global", 1, '{"name":"MySQL"}', None),
@@ -307,6 +341,10 @@ def test_steps_compose(document, patches):
     for step in steps[-2::-1]:
         right = patching.compose(step, right)
     assert patching.applied(document, left) == patching.applied(document, right) == one_by_one
+    held = patching.step_of(patches[0])
+    for patch in patches[1:]:
+        held = patching.compose(held, patching.step_of(patch), True)
+    assert held == left
 
 
 def test_a_hot_document_is_folded_in_many_tasks(spark):
