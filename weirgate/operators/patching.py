@@ -73,8 +73,12 @@ def applied(value: Any, step: Step, owned: bool = False) -> Any:
     return result
 
 
+# Made once: json.dumps makes an encoder for each text.
+_ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
+
+
 def _dumped(value: Any) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return _ENCODER.encode(value)
 
 
 def conforms(value: Any, kind: T.DataType) -> bool:
