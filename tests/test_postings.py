@@ -101,3 +101,13 @@ def test_repeated_ids_empty_tables_and_other_fields(spark, docs, tmp_path):
         index.postings(spark, "parts", ["x"])
     empty = postings.build_text_index(docs.where("false"), "key", ["body"], str(tmp_path / "e"))
     assert search.search(docs, body, "key", text_index=empty).count() == 0
+
+
+def test_a_task_sorts_few_postings(spark, tmp_path):
+    """A task may take 3.6 GB; a sorted posting is some 120 bytes, and ranges are dealt by a sample, so some are twice as large."""
+    assert postings.PART_ROWS * 120 * 2 < 3.6e9 / 4
+    # The shortest words there are: as many postings as the lengths of the texts allow.
+    df = spark.range(40).select(F.col("id").alias("key"), F.repeat(F.lit("a "), 300).alias("body"))
+    index = postings.build_text_index(df, "key", ["body"], str(tmp_path / "i"), part_rows=1000)
+    files = [r.n for r in spark.read.parquet(index.path).where("word = 'a'").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(files) == 40 * 300 and max(files) < 2000

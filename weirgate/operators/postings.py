@@ -22,8 +22,8 @@ from ..errors import InvalidRequest
 from ..session import scratch_path
 from . import search
 
-# Folders of words, and postings of a file.
-BUCKETS, PART_ROWS = 64, 20_000_000
+# Folders of words, and postings of a file at most, more or less: a task sorts those of one file in memory.
+BUCKETS, PART_ROWS = 64, 2_000_000
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true"}
 
 
