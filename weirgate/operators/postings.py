@@ -69,10 +69,10 @@ def build_text_index(
     spark = df.sparkSession
     path = path or scratch_path(spark, "text-index")
     rows = reduce(lambda a, b: a.unionByName(b), [_postings(df, id_column, f) for f in fields]).withColumn("bucket", _bucket(F.col("word"), buckets))
-    # One pass counts words in place, without their shuffle, for the number of files.
-    lengths = [F.sum(F.size(search.words_of(F.concat_ws(" ", search.path_column(df, f).cast("string"))))) for f in fields]
-    total = sum(n or 0 for n in df.agg(*lengths).first())
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // part_rows))
+    # A word and what parts it from the next one are two signs or more, so the lengths bound the postings without splitting the texts.
+    lengths = [F.sum(F.length(F.concat_ws(" ", search.path_column(df, f).cast("string"))) + 1) for f in fields]
+    most = sum(n or 0 for n in df.agg(*lengths).first()) // 2
+    parts = max(spark.sparkContext.defaultParallelism, -(-most // part_rows))
     order = ["field", "bucket", "word", "id", "element", "position"]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.write.partitionBy("field", "bucket").options(**DELTAS).parquet(path)
