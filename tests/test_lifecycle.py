@@ -288,6 +288,14 @@ def test_each_patch_is_read_once(spark, types):
     assert read.value == 400
 
 
+def test_documents_that_come_twice_leave_requests_without_a_place_as_they_are(spark, docs, types):
+    twice = docs.unionByName(docs)
+    asked = [("c1", 1, "{}"), ("c1", 1, "{}"), ("c1", None, "{}"), ("c1", 2, '{"name":"c1","format":null}')]
+    patches = spark.createDataFrame([(k, "red", s, p) for k, s, p in asked], "id string, tenant_id string, seq long, patch string")
+    rejected = patching.patch_in_order(twice, types, patches, "global", now=LATER).rejected.where("kind = 'Validation'").collect()
+    assert sorted(str(r.seq) for r in rejected) == ["1", "1", "None"]
+
+
 def test_rows_without_a_key_are_spread(spark):
     rows = spark.range(4000).select(F.lit("d").alias("id"), F.lit("red").alias("tenant_id"), F.col("id").alias("seq"), F.when(F.col("id") == 7, "n").alias("__name"))
     known = spark.createDataFrame([("red", "n", "d9")], "tenant_id string, __name string, __owner string")

@@ -215,25 +215,27 @@ def _tried_alone(patches: DataFrame, template: dict, kind: T.StructType, given:
     dealt = rows.where(F.col("seq").isNotNull()).select(*place).repartition(_parts(rows), *place)
     times = dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("__times")).where("__times > 1")
     rows = _looked_up(rows, times, place, "places")
-    # Documents are unique by id and tenant; the side of the patches may be hot.
+    # Documents are unique by id and tenant; the side of the patches may be hot. A request without a place is no document's.
     known = stored.withColumnsRenamed({"id": "__id", "tenant_id": "__tenant"})
-    rows = rows.join(known, (F.col("id") == F.col("__id")) & (F.col("tenant_id") == F.col("__tenant")), "left")
+    placed = F.col("seq").isNotNull() & F.col("__times").isNull()
+    rows = rows.join(known, (F.col("id") == F.col("__id")) & (F.col("tenant_id") == F.col("__tenant")) & placed, "left")
     rows = rows.withColumn("__lost", F.col("__id").isNull()).drop("__id", "__tenant")
     rows = rows.withColumns({"kind": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
-    rows = _fail(rows, F.col("seq").isNull() | F.col("__times").isNotNull(), "Validation", F.lit(NO_PLACE))
+    rows = _fail(rows, ~placed, "Validation", F.lit(NO_PLACE))
     return _fail(rows, F.col("__lost"), "ResourceNotFound", F.concat(F.lit("no document '"), F.col("id"), F.lit("'")))
 
 
 def _claimed(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Refuse names that aren't the document's to take: a name belongs to the document that has it, else to the one whose
-    patch asks for it first. Names are claimed for the whole batch; a name that is given up in it isn't free in it."""
+    patch asks for it first. Names are claimed for the whole batch; a name that is given up in it isn't free in it.
+    ``__name`` is the name that a patch gives, and ``__wanted`` the same for those that are to be judged by it."""
     fits = judged.where(F.col("kind").isNull() & F.col("__name").isNotNull())
     asked = fits.groupBy("tenant_id", "__name").agg(F.min(F.struct("seq", "id")).alias("__first"))
     names = docs.select(F.col(catalog.TENANT).alias("tenant_id"), F.col("resource.name").alias("__name"), F.col(catalog.ID).alias("__holder"))
     owner = asked.join(names, ["tenant_id", "__name"], "left")
     owner = owner.select("tenant_id", "__name", F.coalesce("__holder", "__first.id").alias("__owner"))
     # A name has one owner, so the side of the patches may be hot.
-    rows = _looked_up(judged, owner, ["tenant_id", "__name"], "owners")
+    rows = _looked_up(judged, owner.withColumnRenamed("__name", "__wanted"), ["tenant_id", "__wanted"], "owners")
     return _fail(rows, F.col("__owner") != F.col("id"), "Conflict", F.lit(TAKEN)).drop("__owner")
 
 
@@ -279,7 +281,7 @@ def patch_in_order(docs: DataFrame, types: DataFrame, patches: DataFrame, global
     stored = catalog.reference_check(stored, "__had", "tenant_id", _type_ids(types), global_tenant, "__lacks").drop("__had")
     rows = _tried_alone(patches, template, kind, given, stored)
     rows = _fail(rows, ~(F.col("__whole") & F.col("__sound")), "Deserialization", F.lit(UNREADABLE))
-    rows = _fail(rows, F.col("__secret"), "Validation", F.lit(PLAIN_SECRET))
+    rows = _fail(rows, F.col("__secret"), "Validation", F.lit(PLAIN_SECRET)).withColumn("__wanted", F.when(F.col("kind").isNull(), F.col("__name")))
     asked = rows.where(F.col("kind").isNull() & F.col("__type").isNotNull()).select("tenant_id", "__type").distinct()
     unknown = catalog.reference_check(asked, "__type", "tenant_id", _type_ids(types), global_tenant, "__missing").where(F.col("__missing").isNotNull())
     rows = _looked_up(rows, unknown, ["tenant_id", "__type"], "unknown-types")
@@ -317,5 +319,5 @@ def patch_types(docs: DataFrame, patches: DataFrame, now: str | None = None) ->
     checked = catalog.validate_domain(rows.withColumnRenamed("reason", "__reason"), "__provider")
     checked = checked.withColumnsRenamed({"reason": "__unknown", "__reason": "reason"})
     rows = _fail(checked, F.col("__provider").isNotNull() & F.col("__unknown").isNotNull(), "Validation", F.col("__unknown"))
-    rows = _fail(rows, ~(F.col("__whole") & F.col("__sound")), "Deserialization", F.lit(UNREADABLE))
+    rows = _fail(rows, ~(F.col("__whole") & F.col("__sound")), "Deserialization", F.lit(UNREADABLE)).withColumn("__wanted", F.when(F.col("kind").isNull(), F.col("__name")))
     return _finished(docs, _claimed(docs, rows), kind, None, now)
