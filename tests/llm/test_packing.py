@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from weirgate.llm.common import utf8
 from weirgate.llm.packing import Bins, pack_documents, pack_lengths
 from weirgate.llm.tokens import LONGEST_PLAIN, TextEncoder, long_stretch, text_encoder
 
@@ -142,3 +145,30 @@ def test_odd_texts_agree_with_the_library(library):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t)[:-1] for t in rows]
     data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in rows)])
     assert long_stretch(data, offsets, LONGEST_PLAIN).tolist() == [False, False, True, True, True, True, False]
+
+
+def test_stretches_are_found_at_little_cost():
+    """The texts are looked through once; that took as long as encoding them when the places of all spaces were sorted."""
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 20, 6000)) for _ in range(100)]
+    encoder, column = text_encoder(PATH, PATTERN), pa.array(rows)
+    encoder.many(column[:1])
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    data, offsets = utf8(column)
+    assert 5 * least(lambda: long_stretch(data, offsets, LONGEST_PLAIN)) < least(lambda: [encoder.encoding.encode_to_numpy(t) for t in rows])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab é", max_size=12), max_size=6), st.integers(1, 5))
+def test_stretches_of_any_texts(rows, most):
+    data, offsets = utf8(pa.array(rows, pa.string()))
+    want = [any(len(x.encode()) > most for x in re.findall(" +|[^ ]+", t)) for t in rows]
+    assert long_stretch(data, offsets, most).tolist() == want

@@ -106,9 +106,10 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
 
 def long_stretch(data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
     """Which of the texts, given as UTF-8, have a stretch of over ``most`` bytes without a space, or of spaces alone."""
-    space = data == 32
-    turns = np.flatnonzero(np.concatenate(([True], space[1:] != space[:-1]))) if len(data) else np.zeros(0, np.int64)
-    begins = np.unique(np.concatenate((turns, offsets[:-1][offsets[:-1] < offsets[1:]])))
+    space, begin = data == 32, np.ones(len(data), bool)
+    np.not_equal(space[1:], space[:-1], out=begin[1:])
+    begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    begins = np.flatnonzero(begin)
     wide = np.diff(np.append(begins, len(data)))
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, begins[wide > most], "right") - 1] = True
