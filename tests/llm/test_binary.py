@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weirgate.llm.binary import Shard, read_token_files, write_shard, write_token_files
+from weirgate.llm.bpe import Memory
 from weirgate.llm.tokens import blank_encoder
 from weirgate.session import scratch_path
 
@@ -37,6 +38,28 @@ def test_many_texts_agree_with_the_library(library):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in rows]
 
 
+def test_plain_words_are_neither_remembered_nor_left_to_the_library(library, monkeypatch):
+    words = [a + b for a in ("zqxva", "größe", "ñandúes", "straße") for b in ("", "***", "%%%,", "'", "_-", "&&&.")]
+    encoder, asked = blank_encoder(PATH), []
+    # Its memory is shared by the tests of this process.
+    monkeypatch.setattr(encoder, "words", Memory(100))
+    monkeypatch.setattr(encoder, "cores", Memory(100))
+    real = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda new: asked.extend(new) or real(new))
+    rows = [" ".join(words), "Größe*** \u00c9cole*** 12***", *words]
+    ids, counts = encoder.many(pa.array(rows))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in rows]
+    assert sorted(x for x in asked if any(map(str.isalnum, x))) == ["12***", "\u00c9cole"]
+    assert not any(w.encode() in encoder.words.young for w in words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("aZßñǰɏ'*_%<|>.\u0301\u0338 =\U0010fffdÉ1")))), max_size=5))
+def test_plain_words_among_others_agree_with_the_library(library, rows):
+    ids, counts = blank_encoder(PATH).many(pa.array(rows, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(rows)] == [library(t) for t in rows]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(3, 6), max_size=60), min_size=1, max_size=8))
 def test_shards_come_back(docs):

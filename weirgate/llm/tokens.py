@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import string
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .bpe import MARKS, MEMORY, Memory, PieceEncoder, gathered
+from .bpe import MEMORY, Memory, PieceEncoder, gathered
 from .common import once, utf8
 
 # Longer stretches of a text than this many bytes are encoded piece-wise.
@@ -187,16 +189,17 @@ def marked_ranks(path: str, suffix: str = "</w>") -> tuple[dict[bytes, int], np.
     return ranks, np.array([ids[i] for i in range(len(ids))], "<u4")
 
 
-def _plain_word(word: str) -> bool:
-    """Letters that the vocabulary's normalisation leaves as they are."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250") and word == word.lower()
+# Letters that the vocabulary's normalisation leaves as they are.
+_LETTERS = "".join(x for x in map(chr, range(0x250)) if x.isalpha() and x == x.lower())
+# A plain word of those, and the marks after it, which the vocabulary's pattern takes as one word whatever they are.
+PLAIN = f"^(?P<core>[{_LETTERS}]+)(?P<marks>[{re.escape(string.punctuation)}]*)$"
 
 
-def _marked(path: str, rest: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
-    """Ids of new words: plain ones by merge ranks, all in one text; others by ``rest``."""
+def plain_words(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None:
+    """Gives the ids of plain words, one after the other, and how many each has, by merge ranks and all in one text. None if the vocabulary has none."""
     found = marked_ranks(path)
     if found is None:
-        return rest
+        return None
     import tiktoken
 
     ranks, ids = found
@@ -205,21 +208,19 @@ def _marked(path: str, rest: Callable[[list[str]], list[bytes]]) -> Callable[[li
     # The mark alone isn't left, as it is merged with the byte before it.
     last[[i for token, i in ranks.items() if token.endswith(WORD_END.encode())]] = True
 
-    def encode(words: list[str]) -> list[bytes]:
-        together = [w for w in words if len(w) < LONGEST_PLAIN and _plain_word(w)]
-        tokens = encoding.encode_to_numpy(WORD_END.join([*together, ""]), disallowed_special=()) if together else np.zeros(0, np.uint32)
-        cuts = [0, *(4 * (np.flatnonzero(last[tokens]) + 1)).tolist()]
-        data = ids[tokens].tobytes()
-        own = dict(zip(together, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        others = [w for w in words if w not in own]
-        own.update(zip(others, rest(others), strict=True))
-        return [own[w] for w in words]
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        together = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(WORD_END, words.type))[0].as_py() + WORD_END
+        tokens = encoding.encode_to_numpy(together, disallowed_special=()) if len(words) else np.zeros(0, np.uint32)
+        return ids[tokens], np.diff(np.flatnonzero(last[tokens]), prepend=-1)
 
     return encode
 
 
 class BlankEncoder:
-    """Ids of a text given as UTF-8 bytes, for a vocabulary that drops blanks and ignores case."""
+    """Ids of a text given as UTF-8 bytes, for a vocabulary that drops blanks and ignores case.
+
+    Plain words go through ``plain`` whenever they come, which costs less than to remember them; what else there is, is remembered.
+    """
 
     def __init__(
         self,
@@ -227,15 +228,16 @@ class BlankEncoder:
         memory: int = MEMORY,
         apart: Callable[[pa.Array], np.ndarray] | None = None,
         one: Callable[[str], bytes] | None = None,
+        plain: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None,
     ) -> None:
         self.encode, self.words, self.cores = encode, Memory(memory), Memory(memory)
-        self.apart, self.one = apart, one
+        self.apart, self.one, self.plain = apart, one, plain
 
     def _new(self, new: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words; a plain word and the marks after it are looked up apart."""
         parts: list[tuple[str, ...]] = []
         for word in map(bytes.decode, new):
-            core = word.rstrip(MARKS)  # İ becomes two signs in lower case
+            core = word.rstrip(string.punctuation)  # İ becomes two signs in lower case
             parts.append((core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and "İ" not in core else (word,))
         asked = list(dict.fromkeys(x for pair in parts for x in pair))
         found, missing = self.cores.recall(asked)
@@ -258,6 +260,28 @@ class BlankEncoder:
                 found[i] = own[words[i]]
         return found
 
+    def _entries(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after the other, and how many each has."""
+        if self.plain is None:
+            ids = self._ids(words.cast(pa.large_binary()).to_pylist())
+            return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        parts = pc.extract_regex(words, PLAIN)
+        cores, marks = (parts.field(x) for x in ("core", "marks"))
+        plain = pc.and_(parts.is_valid(), pc.fill_null(pc.less(pc.utf8_length(cores), LONGEST_PLAIN), False))
+        cores, marks = (x.filter(plain).dictionary_encode() for x in (cores, marks))
+        ids, wide = self.plain(cores.dictionary)
+        known = pa.concat_arrays([marks.dictionary, words.filter(pc.invert(plain))])
+        others = self._ids(known.cast(pa.large_binary()).to_pylist())
+        ids = np.concatenate((ids, np.frombuffer(b"".join(others), "<u4")))
+        # A word is two of these entries, a core and its marks, or one and the empty entry at the end.
+        n, few, plain = len(wide), len(marks.dictionary), plain.to_numpy(zero_copy_only=False)
+        wide = np.concatenate((wide, np.fromiter(map(len, others), np.int64, len(others)) // 4, [0]))
+        both = np.full((len(words), 2), len(wide) - 1)
+        both[plain, 0], both[plain, 1] = cores.indices.to_numpy(), n + marks.indices.to_numpy()
+        both[~plain, 0] = np.arange(n + few, len(wide) - 1)
+        ids, ends = gathered(ids, wide, both.ravel())
+        return ids, np.diff(ends[1::2], prepend=0)
+
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. A word is looked up once for all of them."""
         whole = np.flatnonzero(self.apart(texts)) if self.apart is not None else ()
@@ -270,13 +294,12 @@ class BlankEncoder:
         lists = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(texts), buffers), " ")
         words = lists.flatten().dictionary_encode()
         codes = words.indices.to_numpy().astype(np.int64)
-        ids = self._ids(words.dictionary.cast(pa.large_binary()).to_pylist())
+        ids, wide = self._entries(words.dictionary)
         begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         # A text that is left to the library is an entry of its own.
-        codes[begin[:-1][whole]] = len(ids) + np.arange(len(whole))
-        ids += [self.one(texts[int(i)].as_py()) for i in whole]
-        own = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        found, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), own, codes)
+        codes[begin[:-1][whole]] = len(wide) + np.arange(len(whole))
+        own = [np.frombuffer(self.one(texts[int(i)].as_py()), "<u4") for i in whole]
+        found, ends = gathered(np.concatenate((ids, *own)), np.concatenate((wide, np.fromiter(map(len, own), np.int64, len(own)))), codes)
         return found, np.diff(np.concatenate(([0], ends))[begin])
 
     def __call__(self, text: bytes) -> bytes:
@@ -286,7 +309,7 @@ class BlankEncoder:
 def blank_encoder(path: str) -> BlankEncoder:
     def make() -> BlankEncoder:
         apart, one = _whole(path)
-        encode = _marked(path, _library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True))
-        return BlankEncoder(encode, apart=apart, one=one)
+        encode = _library(path, str.isalpha, " ", lambda t: t.endswith("</w>"), True)
+        return BlankEncoder(encode, apart=apart, one=one, plain=plain_words(path))
 
     return once(("blank_encoder", path), make)
