@@ -7,11 +7,14 @@ stages that drop documents mark rows, not ids. An empty table goes through as on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import with_rows, written
+from weirgate.llm.common import alone, with_rows, written
 from weirgate.llm.exact import exact_dedup
 from weirgate.llm.ngram import ngram_jaccard_join
 from weirgate.llm.packing import pack_documents
@@ -22,15 +25,27 @@ from weirgate.plans.tables import table
 # A document with this score or more goes.
 TOXIC_FROM = 0.3
 ROW, SCORE, SPANS = "__row", "__toxicity", "__spans"
+FILE, PLACE, NUMBER = "__file", "__place", "__number"
+# A file has fewer rows than two to this power.
+PLACE_BITS = 40
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a number each, written once: planned again, the same files may be packed and so numbered otherwise."""
-    return written(with_rows(docs, ROW), name)
+    """The rows of a written table with a number each, made of their file's and their place in it: they hold however the files are packed.
+
+    Only the names of the files are written, which Spark lists at the driver anyway. Rows that come from no Parquet file are written as a whole.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    except AnalysisException:
+        return written(with_rows(docs, ROW), name)
+    files = written(with_rows(rows.select(FILE).distinct().coalesce(1), NUMBER), name)
+    row = F.shiftleft(NUMBER, PLACE_BITS).bitwiseOR(F.col(PLACE)).alias(ROW)
+    return rows.join(F.broadcast(files), FILE).select(*docs.columns, row)
 
 
-def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    return rows.join(written(dropped, name), ROW, "left_anti").drop(ROW)
+def _without(rows: DataFrame, dropped: Callable[[], DataFrame], name: str) -> DataFrame:
+    return rows.join(alone(rows.sparkSession, dropped, name), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +55,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs, "rows-for-copies")
-    return _without(rows, exact_dedup(rows, row_col=ROW).where(~F.col("kept")).select(ROW), "dropped-copies")
+    return _without(rows, lambda: exact_dedup(rows, row_col=ROW).where(~F.col("kept")).select(ROW), "dropped-copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays."""
     rows = _numbered(docs, "rows-for-near-copies")
-    groups = ngram_jaccard_join(rows, row_col=ROW)
-    return _without(rows, groups.where(F.col(ROW) != F.col("component_row")).select(ROW), "dropped-near-copies")
+
+    def dropped() -> DataFrame:
+        return ngram_jaccard_join(rows, row_col=ROW).where(F.col(ROW) != F.col("component_row")).select(ROW)
+
+    return _without(rows, dropped, "dropped-near-copies")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +94,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from tests.llm.test_exact import brute as exact_groups
 from tests.llm.test_ngram import brute as near_groups
 from tests.llm.test_ngram import edited
 from tests.llm.test_pii import brute as base_spans
+from weirgate.session import scratch_root
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,3 +101,34 @@ def test_rows_keep_their_numbers_when_files_are_packed_anew(spark, tmp_path, mon
     finally:
         spark.conf.unset(key)
     assert sorted(r.doc_id for r in left) == list(range(30))
+
+
+@pytest.mark.parametrize("stage", [pipeline.drop_copies, pipeline.drop_near_copies])
+def test_texts_are_not_left_in_the_scratch_folder(spark, tmp_path, stage):
+    """What a stage leaves there adds up over the stages: row numbers may stay, copies of the texts may not."""
+
+    def files():
+        return {f"{d}/{x}" for d, _, names in os.walk(scratch_root(spark)) for x in names}
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(1 << 60):x}" for _ in range(300)) for _ in range(150)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:50])]
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = files()
+    left = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    kept = sum(os.path.getsize(x) for x in files() - before)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(150))
+    assert kept < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("stage", [pipeline.drop_copies, pipeline.drop_near_copies])
+def test_rows_of_many_files_and_of_none(spark, tmp_path, stage):
+    rows = [(i % 7, f"one two three four five six {i % 3}", "en", "s", 1) for i in range(40)] + [(None, None, None, None, None)] * 2
+    frame = spark.createDataFrame(rows, COLUMNS)
+    frame.repartition(6).write.option("maxRecordsPerFile", 2).parquet(f"{tmp_path}/documents.parquet")
+    # The smallest id of each group stays, with one row; empty texts are copies of each other, but no near copies.
+    from_files, from_memory = (
+        sorted(map(plain, stage(spark, docs, str(tmp_path)).collect()), key=str) for docs in (spark.read.parquet(f"{tmp_path}/documents.parquet"), frame)
+    )
+    want = [(0, f"one two three four five six {i}") for i in range(3)] + [(None, None)] * (1 if stage is pipeline.drop_copies else 2)
+    assert from_files == from_memory == sorted(want, key=str)

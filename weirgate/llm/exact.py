@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, partitions_for, task_number, written
+from .common import cores, give_back, partitions_for, task_number, written
 
 # The characters that do not count: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -203,6 +203,8 @@ def _own_nodes(memory: int):
                         yield from table(trie.give_up(subtree, close=False))
                         trie.size -= held
         yield from table(trie.entries())
+        trie = None
+        give_back()
 
     return fold
 
@@ -247,6 +249,8 @@ def _owners(memory: int):
                 done = []
         if done:
             yield _rows(OWNERS, done)
+        trie = done = None
+        give_back()
 
     return own
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, partitions_for, rows_out, steps, task_number, utf8, written
+from .common import cores, give_back, partitions_for, rows_out, steps, task_number, utf8, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -115,10 +115,11 @@ def most_common(one: bytes, two: bytes) -> int | None:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    # What tasks of other operators left goes before, what this one needed after.
+    give_back()
     for batch in steps(batches, "text", STEP):
         yield batch, shingle_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), width)
-    # Workers live on; what one task needed isn't kept for the next.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _fold(width: int):
