@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, give_back, partitions_for, task_number, written
+from .common import cores, partitions_for, task_number, tidy, written
 
 # The characters that do not count: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -203,8 +203,6 @@ def _own_nodes(memory: int):
                         yield from table(trie.give_up(subtree, close=False))
                         trie.size -= held
         yield from table(trie.entries())
-        trie = None
-        give_back()
 
     return fold
 
@@ -249,8 +247,6 @@ def _owners(memory: int):
                 done = []
         if done:
             yield _rows(OWNERS, done)
-        trie = done = None
-        give_back()
 
     return own
 
@@ -272,7 +268,7 @@ def exact_dedup(
     """
     row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
     rows = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    nodes = written(rows.mapInArrow(_own_nodes(trie_bytes), NODES_DDL), "exact-nodes")
+    nodes = written(rows.mapInArrow(tidy(_own_nodes(trie_bytes)), NODES_DDL), "exact-nodes")
     total = nodes.agg(F.sum("n_bytes")).first()[0]
     share = partitions_for(total, share_bytes, cores(df))
     left = nodes.select(
@@ -287,7 +283,7 @@ def exact_dedup(
     owners = None
     while True:
         judged = written(
-            left.repartition(share, "n_bytes", "hash").mapInArrow(_owners(trie_bytes), OWNERS_DDL), "exact-owners"
+            left.repartition(share, "n_bytes", "hash").mapInArrow(tidy(_owners(trie_bytes)), OWNERS_DDL), "exact-owners"
         )
         done = judged.where(F.col("owner").isNotNull()).select("node", "owner", "keep_id", "group_size")
         owners = done if owners is None else owners.unionByName(done)

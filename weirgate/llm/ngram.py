@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, give_back, partitions_for, rows_out, steps, task_number, utf8, written
+from .common import cores, partitions_for, rows_out, steps, task_number, tidy, utf8, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -115,11 +115,8 @@ def most_common(one: bytes, two: bytes) -> int | None:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    # What tasks of other operators left goes before, what this one needed after.
-    give_back()
     for batch in steps(batches, "text", STEP):
         yield batch, shingle_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), width)
-    give_back()
 
 
 def _fold(width: int):
@@ -178,7 +175,7 @@ def _ranks(nodes: DataFrame) -> np.ndarray:
     """The place of each group of shingles, rare ones first, in 20 bits: 4 MB."""
     chunks = nodes.where("chunk is not null").select("chunk", "counts").repartition((1 << ORDER_BITS) // COUNT_CHUNK, "chunk")
     counts = np.zeros(1 << ORDER_BITS, np.int64)
-    for row in chunks.mapInArrow(_add_up, "chunk int, counts binary").collect():
+    for row in chunks.mapInArrow(tidy(_add_up), "chunk int, counts binary").collect():
         counts[row.chunk * COUNT_CHUNK : (row.chunk + 1) * COUNT_CHUNK] = np.frombuffer(row.counts, np.int64)
     ranks = np.empty(1 << ORDER_BITS, np.uint32)
     ranks[np.argsort(counts, kind="stable")] = np.arange(1 << ORDER_BITS, dtype=np.uint32)
@@ -331,7 +328,7 @@ def _verify(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, a
     fresh = _ordered_pairs(pairs)
     if asked is not None:
         fresh = fresh.join(asked, ["a", "b"], "left_anti")
-    new = written(fresh.join(named("a"), "a").join(named("b"), "b").mapInArrow(_suffix_filter(percent), ASKED_DDL), "ngram-asked")
+    new = written(fresh.join(named("a"), "a").join(named("b"), "b").mapInArrow(tidy(_suffix_filter(percent)), ASKED_DDL), "ngram-asked")
 
     def own(end: str, into: str) -> DataFrame:
         slots = new.select(F.col(f"sid_{end}").bitwiseAND(F.lit(PAIR_SLOTS - 1)).alias("slot")).distinct()
@@ -339,7 +336,7 @@ def _verify(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, a
         return some.select(F.col("print").alias(f"print_{end}"), F.col("key").alias(f"key_{end}"), F.col("hashes").alias(into))
 
     whole = new.join(own("b", "two"), ["print_b", "key_b"]).join(own("a", "one"), ["print_a", "key_a"])
-    links = written(whole.select("a", "b", "one", "two").mapInArrow(_verified(percent), PAIRS_DDL).distinct(), "ngram-links")
+    links = written(whole.select("a", "b", "one", "two").mapInArrow(tidy(_verified(percent)), PAIRS_DDL).distinct(), "ngram-links")
     verified = new.select("a", "b")
     return links, verified if asked is None else asked.unionByName(verified)
 
@@ -444,7 +441,7 @@ def _blocks(live: DataFrame, percent: int) -> DataFrame:
         "parity",
     )
     together = met.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
-    return together.mapInArrow(_rest(percent), PAIRS_DDL).distinct()
+    return together.mapInArrow(tidy(_rest(percent)), PAIRS_DDL).distinct()
 
 
 def ngram_jaccard_join(
@@ -465,7 +462,7 @@ def ngram_jaccard_join(
     spark = df.sparkSession
     row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
     docs = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    nodes = written(docs.mapInArrow(_fold(width), NODES_DDL), "ngram-nodes")
+    nodes = written(docs.mapInArrow(tidy(_fold(width)), NODES_DDL), "ngram-nodes")
     classes = nodes.where("n > 0").groupBy("print").agg(
         F.min("node").alias("cls"), F.first("sid").alias("sid"), F.first("n").alias("n"), F.min("least_id").alias("rep")
     )
@@ -475,8 +472,8 @@ def ngram_jaccard_join(
     parts = partitions_for((total or 0) * (100 - percent) // 100, PART_ROWS, cores(df))
 
     ranks = spark.sparkContext.broadcast(_ranks(nodes))
-    packed = docs.select("id", "text").mapInArrow(_prefixes(width, percent, parts, ranks), PACKED_DDL)
-    found = packed.repartition(parts, "part").mapInArrow(_shared_tokens, LIVE_DDL)
+    packed = docs.select("id", "text").mapInArrow(tidy(_prefixes(width, percent, parts, ranks)), PACKED_DDL)
+    found = packed.repartition(parts, "part").mapInArrow(tidy(_shared_tokens), LIVE_DDL)
     found = found.groupBy("token", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     live = written(found.join(classes.select("sid", "cls", "key"), "sid"), "ngram-live")
 
@@ -484,7 +481,7 @@ def ngram_jaccard_join(
     taken = live.select(F.col("sid").bitwiseXOR(F.col("key")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct()
     slots[taken.toArrow().column(0).to_numpy()] = True
     asked_slots = spark.sparkContext.broadcast(np.packbits(slots).tobytes())
-    sets = written(docs.select("id", "text").mapInArrow(_asked_sets(width, asked_slots), SETS_DDL), "ngram-sets")
+    sets = written(docs.select("id", "text").mapInArrow(tidy(_asked_sets(width, asked_slots)), SETS_DDL), "ngram-sets")
     live = live.select("token", "cls", "n", "pos")
 
     # First the set with most shared shingles in its prefix leads: edits put rare ones of their own there.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, steps, task_number, written
+from .common import rows_out, steps, task_number, tidy, written
 from .tokens import text_encoder
 
 # Pieces that are packed together; what a group leaves open is one sequence or two of its thousand.
@@ -234,7 +234,7 @@ def token_pieces(
             yield rows_out(PIECES, list(zip(*rows, strict=True)) if rows else [[]] * len(PIECES))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES_DDL)
+    return rows.mapInArrow(tidy(run), PIECES_DDL)
 
 
 def pack_documents(

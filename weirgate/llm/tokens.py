@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import MEMORY, Memory, PieceEncoder, gathered
-from .common import once, utf8
+from .common import give_back, once, utf8
 
 # Longer stretches of a text than this many bytes are encoded piece-wise.
 LONGEST_PLAIN = 2000
@@ -147,7 +147,11 @@ def text_encoder(path: str, pattern: str) -> TextEncoder | PieceEncoder:
         ranks = merge_ranks(path)
         # Odd texts are few: the encoder of pieces remembers little for them.
         rest = piece_encoder(path, pattern) if ranks is None else _pieces(path, pattern, 10_000)
-        return rest if ranks is None else TextEncoder(ranks, pattern, rest)
+        found = rest if ranks is None else TextEncoder(ranks, pattern, rest)
+        # The vocabulary was parsed more than once.
+        del ranks
+        give_back()
+        return found
 
     return once(("text_encoder", path, pattern), make)
 

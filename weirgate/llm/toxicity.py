@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, steps, texts, written
+from .common import rows_out, steps, texts, tidy, written
 
 DECAY = 0.6
 # The longest stretch of signs that a subsequence of three is spread over.
@@ -187,7 +187,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", into: str = "scor
     """The rows with their score, a double from 0 to 1, in a new last column."""
     rows = df.withColumn("__text", F.col(text_col).cast("string"))
     schema = df.withColumn("__score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scored(model), schema).withColumnRenamed("__score", into)
+    return rows.mapInArrow(tidy(_scored(model)), schema).withColumnRenamed("__score", into)
 
 
 # -- training ------------------------------------------------------------------------------------
@@ -359,7 +359,7 @@ def train(
         return constant(float(share.low or 0))
     learned = rows.where("part > 0")
 
-    counted = learned.select("text", "label").mapInArrow(_counted, "word string, clean long, toxic long").groupBy("word")
+    counted = learned.select("text", "label").mapInArrow(tidy(_counted), "word string, clean long, toxic long").groupBy("word")
     counted = written(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
     # A word tells the labels apart if its log-likelihood ratio is beyond what the luckiest of so many words has.
     p, total = share.share, F.col("toxic") + F.col("clean")
@@ -377,7 +377,7 @@ def train(
         positive[f" {word} "] = n
         for bent in _inserted(word, rng):
             positive[bent] = 1
-    begun = learned.mapInArrow(_shown(None, set(words), seed), SHOWN_DDL).where("label = 0").groupBy("shown").count().toArrow()  # a window per document
+    begun = learned.mapInArrow(tidy(_shown(None, set(words), seed)), SHOWN_DDL).where("label = 0").groupBy("shown").count().toArrow()  # a window per document
     negative = dict(zip(begun.column("shown").to_pylist(), begun.column("count").to_pylist(), strict=True))
     negative = {w: n for w, n in negative.items() if w not in positive}
     model = None
@@ -387,13 +387,13 @@ def train(
         clean, toxic = sorted(negative), sorted(positive, key=lambda w: (-positive[w], w))
         spread = [clean[i] for i in rng.permutation(len(clean))[: LANDMARKS // 2]]
         model = _fit(positive, negative, toxic[: LANDMARKS // 2] + spread)
-        told = learned.mapInArrow(_shown(model, set(), seed), SHOWN_DDL).where("shown <> ''")
+        told = learned.mapInArrow(tidy(_shown(model, set(), seed)), SHOWN_DDL).where("shown <> ''")
         for row in told.groupBy("label", "shown").agg(F.count(F.lit(1)).alias("n"), F.max("margin").alias("margin")).collect():  # a window per document
             if row.label == 0 and row.margin > -1:
                 negative[row.shown] = row.n
                 positive.pop(row.shown, None)
             elif row.label == 1 and row.margin > 0 and row.shown not in negative:
                 positive[row.shown] = row.n
-    kept = rows.where("part = 0").mapInArrow(_shown(model, set(), seed), SHOWN_DDL).select("label", "margin", "n", "hits").toArrow()  # a row per document
+    kept = rows.where("part = 0").mapInArrow(tidy(_shown(model, set(), seed)), SHOWN_DDL).select("label", "margin", "n", "hits").toArrow()  # a row per document
     label, margin, number, hits = (kept.column(c).to_numpy().astype(np.float64) for c in ("label", "margin", "n", "hits"))
     return Model(model.weights, model.bias, _curve(seen(margin, number, hits), label) if len(label) else model.curve)
