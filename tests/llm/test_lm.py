@@ -8,9 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weirgate.llm import lm
 from weirgate.llm.lm import GROWTH, Shard, language_model_scores, pack, unpack
 from weirgate.llm.plans import op13_lm_scores
 from weirgate.llm.trie import EliasFano, Trie
@@ -167,3 +169,27 @@ def test_a_shard_adds_up_what_chunks_learned(shift):
     got = [10.0 ** (-(int(c) - 1) / 4096) if c else 0.0 for c in last[shard.triple]]
     assert got == pytest.approx([n / (total + total ** GROWTH[1]) for n, total in times], rel=1e-3)
     assert (rest > 0).all()
+
+
+def test_word_lists_are_gone_before_their_numbers_are_sent():
+    words = [f"{'word' * 20}{i}" for i in range(20_000)]
+
+    def row(chunk, own):
+        joined = " ".join(own).encode()
+        text = pa.compress(joined, lm.CODEC, asbytes=True)
+        counts = lm.pack([np.ones(len(own), np.int64), np.full(len(own), 2)])
+        return {"chunk": chunk, "part": 0, "data": np.array([len(joined), len(text)], "<i8").tobytes() + text + counts}
+
+    rows = [row(0, words), row(1, words[::-2])]
+    batch = pa.RecordBatch.from_pylist(rows, schema=lm.SENT)
+    before = pa.total_allocated_bytes()
+    found = lm._numbers(1)(iter([batch]))
+    sent = [next(found)]
+    assert pa.total_allocated_bytes() - before < sum(map(len, words)) // 2
+    sent += found
+    totals, *of_chunks = ([lm.unpack(d) for d in b.column("data").to_pylist()][0] for b in sent)
+    assert totals[0].tolist() == [20_000, 30_000]
+    number, counts, total = of_chunks[0]
+    assert sorted(number.tolist()) == list(range(lm.FIRST, lm.FIRST + 20_000))
+    assert set(counts.tolist()) == {1, 2} and set(total.tolist()) == {2, 4}
+    assert of_chunks[1][0].tolist() == number[::-2].tolist()

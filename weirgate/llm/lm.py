@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, partitions_for, rows_out, steps, task_number, utf8, written
+from .common import cores, give_back, partitions_for, rows_out, steps, task_number, tidy, utf8, written
 from .tokens import LOWER
 from .trie import Trie
 
@@ -132,7 +132,6 @@ def _chunks(parts: int):
                 rows.append((chunk, p, None, head + text + pack([counts[order[own]], total[order[own]]]), 0, int(edges[p + 1] - edges[p])))
             yield rows_out(CHUNKS, list(zip(*rows, strict=True)))
             chunk += 1
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -140,7 +139,7 @@ def _chunks(parts: int):
 def _word_list(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     size, packed = np.frombuffer(data, "<i8", 2).tolist()
     words = pa.array([pa.decompress(data[16 : 16 + packed], size, CODEC, asbytes=True).decode()], pa.large_string())
-    return pc.split_pattern(words, " ").flatten(), *unpack(data[16 + packed :])
+    return pc.split_pattern(words, " ").flatten(), *unpack(data[16 + packed :], wide=False)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -162,18 +161,21 @@ def _numbers(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            lists = [_word_list(row["data"]) for row in rows]
-            codes = pa.chunked_array([words for words, *_ in lists]).combine_chunks().dictionary_encode()
-            at = codes.indices.to_numpy()
+            # Of a list, only the words' places among all of the partition and their counts are kept.
+            lists = [_word_list(row.pop("data")) for row in rows]
+            ends = np.cumsum([len(x[0]) for x in lists])
+            at = np.concatenate([c.indices.to_numpy() for c in pa.chunked_array([words for words, *_ in lists]).dictionary_encode().chunks])
+            lists = [own for _, *own in lists]
+            give_back()
             # Sums of counts as 64-bit floats are exact below 2^53.
-            counts, total = (np.bincount(at, weights=np.concatenate([x[k] for x in lists])).astype(np.int64) for k in (1, 2))
+            counts, total = (np.bincount(at, weights=np.concatenate([x[k] for x in lists])).astype(np.int64) for k in (0, 1))
             rank = np.empty(len(total), np.int64)
             rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
             number = FIRST + rank * parts + part
             yield rows_out(SENT, [[None], [part], [pack([np.array([(counts > 0).sum(), counts.sum()])])]])
-            ends = np.cumsum([len(x[0]) for x in lists])
-            for row, end, own in zip(rows, ends, lists, strict=True):
-                mine = at[end - len(own[0]) : end]
+            lists = None
+            for row, start, end in zip(rows, [0, *ends[:-1]], ends, strict=True):
+                mine = at[start:end]
                 yield rows_out(SENT, [[row["chunk"]], [part], [pack([number[mine], counts[mine], total[mine]])]])
 
     return run
@@ -254,6 +256,7 @@ def _of_chunk(tokens: pa.Table, answers: pa.Table, totals: dict[str, int]) -> Ch
 
 def _send(shards: int, totals: dict[str, int]):
     def run(key: tuple[pa.Scalar, ...], tokens: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         chunk, rows = _of_chunk(tokens, answers, totals), []
         if chunk:
             order, pair_edges, triple_edges = chunk.shards(shards)
@@ -366,11 +369,13 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, inner = shard.pair[at : at + pairs], shard.triple[at_triple : at_triple + triples]
             yield rows_out(SENT, [[chunk], [-1 - number], [pack([codes[0][own], codes[1][own], codes[2][inner]])]])
             at, at_triple = at + pairs, at_triple + triples
-        pa.default_memory_pool().release_unused()
+        shard = codes = None
+        give_back()
 
 
 def _finish(shards: int, totals: dict[str, int]):
     def run(key: tuple[pa.Scalar, ...], tokens: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         chunk = _of_chunk(tokens, answers, totals)
         if chunk is None:
             return pa.Table.from_batches([rows_out(SCORES, [[]] * len(SCORES))])
@@ -405,14 +410,14 @@ def language_model_scores(df: DataFrame, learned: Column, id_col: str = "doc_id"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Different words grow slower than texts; a word in a hundred bytes is more than any corpus has.
     parts = partitions_for(size // 100, PART_WORDS, cores(df))
-    chunks = written(docs.mapInArrow(_chunks(parts), CHUNKS_DDL), "lm-chunks")
+    chunks = written(docs.mapInArrow(tidy(_chunks(parts)), CHUNKS_DDL), "lm-chunks", 4 * CHUNK)
     texts = chunks.where("part < 0")
     tokens, learned_texts = texts.agg(F.sum("n"), F.sum("words")).first()
     if tokens is None:
         return docs.sparkSession.createDataFrame([], SCORES_DDL).withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(0).cast("long"))
     n_texts = texts.agg(F.sum(F.size("ids"))).first()[0]
     lists = chunks.where("part >= 0").select("chunk", "part", "data")
-    numbers = written(lists.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(_numbers(parts), SENT_DDL), "lm-numbers")
+    numbers = written(lists.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(_numbers(parts)), SENT_DDL), "lm-numbers")
     sums = [unpack(r.data)[0] for r in numbers.where("chunk IS NULL").select("data").collect()]  # two numbers per partition
     totals = {
         "texts": int(n_texts),
@@ -424,7 +429,7 @@ def language_model_scores(df: DataFrame, learned: Column, id_col: str = "doc_id"
     shards = partitions_for(tokens, SHARD_TOKENS, cores(df))
     of_texts = texts.select("chunk", "ids", "data").groupBy("chunk")
     sent = of_texts.cogroup(numbers.groupBy("chunk")).applyInArrow(_send(shards, totals), SENT_DDL)
-    found = written(sent.repartition(shards, "part").sortWithinPartitions("part", "chunk").mapInArrow(_look_up, SENT_DDL), "lm-found")
+    found = written(sent.repartition(shards, "part").sortWithinPartitions("part", "chunk").mapInArrow(tidy(_look_up), SENT_DDL), "lm-found")
     answers = numbers.unionByName(found).groupBy("chunk")
     scores = of_texts.cogroup(answers).applyInArrow(_finish(shards, totals), SCORES_DDL)
     return scores.withColumnRenamed("id", id_col).withColumn("train_tokens", F.lit(totals["tokens"]).cast("long"))
